@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import archive, packing, quality_rules, secret_scan, source_mix, token_counts, toxicity
+from . import archive, embedding_dedup, packing, quality_rules, secret_scan, source_mix, token_counts, toxicity
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
+    "op2_embedding_dedup": embedding_dedup.op2_embedding_dedup,
     "op3_source_mix": source_mix.op3_source_mix,
     "op4_content_archive": archive.op4_content_archive,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
