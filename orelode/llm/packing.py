@@ -36,7 +36,7 @@ def document_pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end_id:
 
     def run(batches):
         coder, end = word_tokenizer(tokenizer), np.array([end_id], "<u4").tobytes()
-        for b in batches:
+        for b in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
             of, rows, ids = [], [], []
             for k, raw in enumerate(coder.encode(b["text"].to_pylist())):
                 raw += end

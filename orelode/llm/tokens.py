@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+
 import re
 import unicodedata
 from array import array
@@ -9,9 +10,7 @@ from array import array
 import numpy as np
 
 #: A text with one of these is encoded in one piece: added tokens, and characters that str.split drops but the tokenizer keeps.
-_WHOLE = re.compile("<\\||[\x1c-\x1f]")
-
-
+_WHOLE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 #: Words of Latin, Greek, Cyrillic and Armenian characters are split here; others by the tokenizer itself.
 _PLAIN = re.compile("[\x21-\u058f]*")
 
@@ -23,16 +22,37 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+class _Words(dict):
+    """Ids by word, in two generations: what the younger one lacks is taken from the older one or made."""
+
+    def __init__(self, make, size: int):
+        super().__init__()
+        self.make, self.size, self.older = make, size, {}
+
+    def __missing__(self, word: str) -> bytes:
+        got = self.older.get(word)
+        if got is None:
+            got = self.make(word)
+        self[word] = got
+        return got
+
+    def trim(self) -> None:
+        if len(self) > self.size:
+            self.older = dict(self)
+            self.clear()
+
+
 class WordTokenizer:
     """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes.
 
     For the word-BPE file: it normalises (NFC, lower case), splits by a pattern
     that never crosses white space, and merges within the parts. The ids of a
     text are then those of its words one after another, and each distinct word
-    and part is merged once. The cache starts anew beyond ``size`` words.
+    and part is merged once. The cache holds about twice ``size`` words at most:
+    those not seen since the last time that it was full go.
     """
 
-    def __init__(self, path: str, size: int = 600_000):
+    def __init__(self, path: str, size: int = 150_000):
         import json
 
         import regex
@@ -44,15 +64,14 @@ class WordTokenizer:
             split = json.load(f)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.parts_of = regex.compile(split).findall
         self.letters = _byte_letters()
-        self.words: dict[str, bytes] = {}
-        self.size = size
+        self.words = _Words(self._word, size)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _part(self, part: str) -> bytes:
         """Ids of a part, which is also a word of its own."""
-        got = self.words.get(part)
+        got = self.words.get(part) or self.words.older.get(part)
         if got is None:
             letters = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
             got = self.words[part] = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
@@ -75,18 +94,10 @@ class WordTokenizer:
         return [self.encode_one(t or "") for t in texts]
 
     def encode_one(self, text: str) -> bytes:
-        if _WHOLE.search(text):
+        if any(x in text for x in _WHOLE):
             return self._whole(text)
-        words, known = text.split(), self.words
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            pass
-        if len(known) >= self.size:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = self._word(w)
-        return b"".join(map(known.__getitem__, words))
+        self.words.trim()
+        return b"".join(map(self.words.__getitem__, text.split()))
 
 
 _LOADED: dict[str, WordTokenizer] = {}
