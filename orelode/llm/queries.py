@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from . import archive, embedding_dedup, packing, quality_rules, secret_scan, source_mix, token_counts, toxicity
+from . import archive, embedding_dedup, line_dedup, minhash_dedup, packing, quality_rules, secret_scan, source_mix, token_counts, toxicity
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
     "op2_embedding_dedup": embedding_dedup.op2_embedding_dedup,
     "op3_source_mix": source_mix.op3_source_mix,
     "op4_content_archive": archive.op4_content_archive,
+    "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_token_rollup": token_counts.op8_token_rollup,
+    "op9_minhash_dedup": minhash_dedup.op9_minhash_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE_SQL = {
     "op3_source_mix": source_mix.SOURCE_MIX_SQL,
     "op4_content_archive": archive.ARCHIVE_SQL,
+    "op5_line_dedup": line_dedup.LINE_DEDUP_SQL,
 }
