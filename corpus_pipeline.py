@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orelode.llm.common import materialise, read_table
+from orelode.llm.common import WORD, materialise, read_table
+from orelode.llm.line_dedup import dedup_lines
+from orelode.llm.minhash_dedup import near_documents
 from orelode.llm.packing import pack_documents
 from orelode.llm.source_mix import mix_sources
 from orelode.llm.toxicity import fit_toxicity, grade_toxicity
@@ -22,6 +24,24 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return grade_toxicity(docs, model, keep_columns=True).where("kept").select(*docs.columns)
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without lines that match an earlier line of the corpus; n_chars follows.
+
+    A document that loses its last line with a word to an earlier document is
+    a copy of what others hold, and goes; one that lost no line stays as it is.
+    """
+    done = dedup_lines(docs)
+    done = done.where((F.col("n_removed") == 0) | F.col("text").rlike(WORD))
+    chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return done.withColumn("n_chars", chars).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8), that with the smallest id."""
+    gone = near_documents(docs, percent=80).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     copies = mix_sources(docs).where("copies > 0").select("doc_id", "copies")
@@ -33,7 +53,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs)
 
 
-STAGES = [("toxicity", toxicity), ("mixing", mixing), ("packing", packing)]
+STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("packing", packing)]
 
 #: The model, the similarity joins and the tokenizer aren't SQL.
 ORACLE_SQL = None
