@@ -32,7 +32,6 @@ from .common import materialise, read_table, scratch_dir
 REVISIT_FROM = 1000
 END = "\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_FILE_BYTES = 32 << 20
 
 
 def _bytes(text: Column) -> Column:
@@ -95,11 +94,13 @@ def restore(spark: SparkSession, path: str) -> DataFrame:
     return full.select("page_id", "ord", record(F.col("payload"))).unionByName(heads.where("not stored").select("page_id", "ord", record(F.lit(""))))
 
 
-def write_warc(records: DataFrame, path: str, total_bytes: int, file_bytes: int = _FILE_BYTES) -> None:
-    """Write ``records(record)`` as gzip-compressed WARC files of about ``file_bytes`` (before compression) each."""
-    files = max(1, -(-total_bytes // file_bytes))
-    key = F.xxhash64("page_id", "ord")
-    records.repartition(files, key).select("record").write.option("lineSep", END).option("compression", "gzip").text(path)
+def write_warc(records: DataFrame, path: str, per_file: int = 4000) -> None:
+    """Write ``records(record)`` as gzip-compressed WARC files of at most ``per_file`` records, one or more a partition.
+
+    Records are written where the join left them, spread by digest, so they
+    aren't shuffled once more.
+    """
+    records.select("record").write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
 def parse_warc(raw: bytes):
@@ -149,10 +150,7 @@ def round_trip(pages: DataFrame, path: str, revisit_from: int = REVISIT_FROM) ->
     """
     spark = pages.sparkSession
     archive(pages, f"{path}/store", revisit_from)
-    heads = spark.read.parquet(f"{path}/store/headers")
-    total = pages.agg(F.sum(F.octet_length(_bytes(F.col("html"))) + 500)).first()[0] or 0
-    del heads
-    write_warc(restore(spark, f"{path}/store"), f"{path}/warc", total)
+    write_warc(restore(spark, f"{path}/store"), f"{path}/warc")
     read = read_warc(spark, f"{path}/warc")
     got = materialise(read.select("page_id", "ord", "record_type", "refers_to", F.col("payload_digest").alias("named"), F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("n")), "warc-records")
     right = F.when(F.col("sha1") == F.col("named"), F.col("sha1")).otherwise(F.raise_error(F.lit("damaged payload in the archive")))
