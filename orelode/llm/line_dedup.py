@@ -10,11 +10,15 @@ stay and match nothing.
    hash buckets (a fixed size, so it can travel as a constant), then by hash.
    Any common order gives the same result; rare words first keeps lists short.
 3. Prefix filter: similar sets share a word among their first
-   n - ceil(percent * n / 100) + 1. Length and positional filters are join
-   conditions, so pairs that fail are never rows.
-4. Each pair left is verified on the full sets.
+   n - ceil(percent * n / 100) + 1. Length, positional and bitmap filters are
+   join conditions, so pairs that fail are never rows. The bitmap has one of 128
+   bits for each word; each bit in which two lines differ is a word that only
+   one has, which bounds the similarity from above.
+4. Pairs left are verified on the full sets, each line's likeliest partner
+   first; only lines that it doesn't settle meet their other partners.
 
-Words are compared by 47 bits of a hash and their bucket.
+Every step is written to the shared folder, so the next reads only what it
+needs and earlier shuffle files can go. Words are compared by 32-bit codes.
 
 Edge cases: a null text stays null; a null doc_id's lines stay and match
 nothing. Rows that share doc_id and text are one document; where the texts
@@ -29,79 +33,97 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, read_table
+from .common import WORD, materialise, read_table
 
 BUCKETS, LEAST, PERCENT = 1 << 16, 5, 80
 _SPACE = "[\\x20\\x09-\\x0D]+"
 
 
-def rarity_classes(docs: DataFrame) -> list[int]:
-    """For each of ``BUCKETS`` hash buckets 16 * log2(1 + how many words of all texts fall into it)."""
+def rarity_bases(docs: DataFrame) -> list[int]:
+    """For each of ``BUCKETS`` hash buckets the start of its words' codes.
+
+    A bucket's class, 0 to 31, grows with the logarithm of how many words of
+    all texts fall into it; codes of rarer classes come first.
+    """
     words = docs.select(F.explode(F.split(F.lower("text"), _SPACE)).alias("w")).where("w <> ''")
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(BUCKETS - 1).alias("b")).agg(F.count("*").alias("n")).collect()
-    classes = [0] * BUCKETS
+    n = [0] * BUCKETS
     for r in counts:  # at most BUCKETS rows
-        classes[r["b"]] = int(16 * math.log2(1 + r["n"]))
-    return classes
+        n[r["b"]] = r["n"]
+    top = math.log2(1 + max(n)) or 1.0
+    return [(int(31 * math.log2(1 + k) / top) - 16) << 27 for k in n]
+
 
+def word_codes(hashes: Column, bases: list[int]) -> Column:
+    """Sorted 32-bit codes of word hashes, rare words first."""
+    table = F.from_json(F.lit(str(bases)), "array<int>")
+    code = lambda h: F.get(table, h.bitwiseAND(BUCKETS - 1).cast("int")) + F.shiftrightunsigned(h, 37).cast("int")
+    return F.sort_array(F.transform(hashes, code))
 
-def word_set(line: str, classes: list[int] | None) -> Column:
-    """Sorted distinct codes of a line's words, rare words first."""
-    hashes = F.transform(F.array_remove(F.split(F.lower(line), _SPACE), ""), lambda w: F.xxhash64(w))
-    if classes is None:
-        return F.array_distinct(hashes)
-    table = F.from_json(F.lit(str(classes)), "array<int>")
-    rank = lambda h: F.element_at(table, (h.bitwiseAND(BUCKETS - 1) + 1).cast("int")).cast("long")
-    return F.sort_array(F.array_distinct(F.transform(hashes, lambda h: F.shiftleft(rank(h), 47).bitwiseOR(F.shiftrightunsigned(h, 17)))))
+
+def _bitmap(half: int) -> Column:
+    """64 of the 128 bits: those of codes whose 7th lowest bit is ``half``."""
+    return F.expr(f"aggregate(codes, 0L, (a, c) -> a | if((c & 64) = {64 * half}, shiftleft(1L, c & 63), 0L))")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     lines = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "words"))
     low = F.lower("words")
-    return lines.select("doc_id", "line", "words", F.xxhash64(low).alias("k1"), F.xxhash64(low, F.lit(1)).alias("k2"))
-
-
-def _need(n: Column, percent: int) -> Column:
-    return F.expr(f"({n} * {percent} + 99) div 100") if isinstance(n, str) else F.floor((n * percent + 99) / 100)
-
-
-def similar_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """(removed, classes): places (doc_id, line) of lines that go, and the first place of each class (k1, k2)."""
+    return lines.select("doc_id", "line", low.alias("words"), F.xxhash64(low).alias("k1"), F.xxhash64(low, F.lit(1)).alias("k2"))
+
+
+def line_classes(docs: DataFrame, least: int) -> DataFrame:
+    """doc_id, line (the first place), k1, k2, n, codes: one row per distinct line of at least ``least`` distinct words."""
+    bases = rarity_bases(docs)
+    hashes = F.array_distinct(F.transform(F.array_remove(F.split("words", _SPACE), ""), lambda w: F.xxhash64(w)))
+    sets = _lines(docs).withColumn("h", hashes).where(F.size("h") >= least)
+    sets = sets.select("doc_id", "line", "k1", "k2", word_codes(F.col("h"), bases).alias("codes"))
+    first = sets.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.first("codes").alias("codes"))
+    return materialise(first.select("at.doc_id", "at.line", "k1", "k2", F.size("codes").alias("n"), "codes"), "line-classes")
+
+
+def candidate_pairs(classes: DataFrame, percent: int) -> DataFrame:
+    """d1, l1, d2, l2, x: a class, an earlier one that may be similar, and in how many bits they differ."""
+    index = classes.select("doc_id", "line", "n", _bitmap(0).alias("b0"), _bitmap(1).alias("b1"), "codes")
+    prefix = F.slice("codes", F.lit(1), F.expr(f"n - int((n * {percent} + 99) div 100) + 1"))
+    index = index.select("doc_id", "line", "n", "b0", "b1", F.posexplode(prefix).alias("pos", "word"))
+    a, b = index.alias("a"), index.alias("b")
+    differ = "bit_count(a.b0 ^ b.b0) + bit_count(a.b1 ^ b.b1)"
+    on = f"""a.word = b.word and (b.doc_id < a.doc_id or (b.doc_id = a.doc_id and b.line < a.line))
+        and 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)
+        and {100 + percent} * least(a.n - a.pos, b.n - b.pos) >= {percent} * (a.n + b.n)
+        and {100 + percent} * ({differ}) <= {100 - percent} * (a.n + b.n)"""
+    pairs = a.join(b, F.expr(on)).selectExpr("a.doc_id as d1", "a.line as l1", "b.doc_id as d2", "b.line as l2", f"{differ} as x")
+    return materialise(pairs.distinct(), "line-pairs")
+
+
+def verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """d1, l1 of pairs whose sets are similar."""
+    one = classes.select(F.col("doc_id").alias("d1"), F.col("line").alias("l1"), F.col("codes").alias("c1"))
+    two = classes.select(F.col("doc_id").alias("d2"), F.col("line").alias("l2"), F.col("codes").alias("c2"))
+    both = pairs.join(one, ["d1", "l1"]).join(two, ["d2", "l2"]).withColumn("o", F.size(F.array_intersect("c1", "c2")))
+    hit = both.where(f"100 * o >= {percent} * (size(c1) + size(c2) - o)").select("d1", "l1").distinct()
+    return materialise(hit, "line-hits")
+
+
+def lines_to_remove(docs: DataFrame, percent: int = PERCENT, least: int = LEAST) -> DataFrame:
+    """doc_id, gone (array of line numbers) of documents with lines that go."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    classes = rarity_classes(docs)
-    lines = _lines(docs)
-    sets = lines.withColumn("set", word_set("words", classes)).withColumn("n", F.size("set")).where(F.col("n") >= least)
-    head = sets.withColumn("prefix", F.slice("set", F.lit(1), F.expr(f"n - int((n * {percent} + 99) div 100) + 1")))
-    first = head.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    index = first.select("at.doc_id", "at.line", "n", F.posexplode("prefix").alias("pos", "word"))
-    a = index.select("word", F.col("doc_id").alias("d1"), F.col("line").alias("l1"), F.col("n").alias("n1"), F.col("pos").alias("p1"))
-    b = index.select("word", F.col("doc_id").alias("d2"), F.col("line").alias("l2"), F.col("n").alias("n2"), F.col("pos").alias("p2"))
-    later = "(d2 < d1 or (d2 = d1 and l2 < l1))"
-    length = f"100 * least(n1, n2) >= {percent} * greatest(n1, n2)"
-    position = f"{100 + percent} * least(n1 - p1, n2 - p2) >= {percent} * (n1 + n2)"
-    on = (a["word"] == b["word"]) & F.expr(later) & F.expr(length) & F.expr(position)
-    pairs = a.join(b, on).select("d1", "l1", "d2", "l2").distinct()
-
-    ends = pairs.select(F.col("d1").alias("doc_id"), F.col("l1").alias("line")).union(pairs.select("d2", "l2"))
-    wanted = ends.groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
-    text = docs.where("doc_id is not null").join(wanted, "doc_id")
-    text = text.select("doc_id", F.split("text", "\n").alias("all"), F.explode("lines").alias("line"))
-    full = text.select("doc_id", "line", F.get("all", F.col("line")).alias("words")).withColumn("set", word_set("words", None)).select("doc_id", "line", "set")
-    s1 = full.select(F.col("doc_id").alias("d1"), F.col("line").alias("l1"), F.col("set").alias("s1"))
-    s2 = full.select(F.col("doc_id").alias("d2"), F.col("line").alias("l2"), F.col("set").alias("s2"))
-    both = pairs.join(s1, ["d1", "l1"]).join(s2, ["d2", "l2"]).withColumn("o", F.size(F.array_intersect("s1", "s2")))
-    hit = both.where(F.expr(f"100 * o >= {percent} * (size(s1) + size(s2) - o)")).select(F.col("d1").alias("doc_id"), F.col("l1").alias("line"))
-
+    classes = line_classes(docs, least)
+    pairs = candidate_pairs(classes, percent)
+    best = pairs.groupBy("d1", "l1").agg(F.min(F.struct("x", "d2", "l2")).alias("b")).select("d1", "l1", "b.d2", "b.l2")
+    hits = verified(best, classes, percent)
+    more = verified(pairs.drop("x").join(hits, ["d1", "l1"], "left_anti"), classes, percent)
     # Later members of a class; short lines have no class.
-    places = first.select("k1", "k2", F.col("at.doc_id").alias("d0"), F.col("at.line").alias("l0"))
-    again = lines.select("doc_id", "line", "k1", "k2").join(places, ["k1", "k2"]).where("doc_id <> d0 or line <> l0").select("doc_id", "line")
-    return hit.union(again), places
+    places = classes.select("k1", "k2", F.col("doc_id").alias("d0"), F.col("line").alias("l0"))
+    again = _lines(docs).select("doc_id", "line", "k1", "k2").join(places, ["k1", "k2"]).where("doc_id <> d0 or line <> l0").select("doc_id", "line")
+    gone = hits.unionByName(more).select(F.col("d1").alias("doc_id"), F.col("l1").alias("line")).unionByName(again)
+    return materialise(gone.groupBy("doc_id").agg(F.collect_set("line").alias("gone")), "lines-gone")
 
 
 def dedup_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST) -> DataFrame:
     """``docs(doc_id, text, ...)`` with text reduced to the lines that stay, and n_lines, n_removed (long)."""
-    gone, _ = similar_lines(docs, percent, least)
-    gone = gone.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line").alias("_gone"))
+    gone = lines_to_remove(docs, percent, least).select(F.col("doc_id").alias("_id"), F.col("gone").alias("_gone"))
     own = docs.select(*(c for c in docs.columns if c not in ("n_lines", "n_removed")))
     out = own.join(gone, F.col("doc_id").cast("long") == F.col("_id"), "left")
     out = out.withColumn("_all", F.split("text", "\n")).withColumn("n_lines", F.coalesce(F.size("_all"), F.lit(0)).cast("long"))
