@@ -1,4 +1,6 @@
-"""Registered queries over the driver's tables, each with its SQL twin."""
+"""Registered queries over the driver's tables, each with its SQL twin where SQL can say it."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import drillhole_queries, grid_queries, ingest_queries, line_queries, model_queries, stats_queries, version_queries  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -1 +1,101 @@
+"""Structured Streaming operators, each with a batch twin that gives the same rows.
 
+State is kept per key by ``applyInPandasWithState``; the functions below see
+one key's rows of a micro-batch at a time.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+
+def _changes(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    last = state.get[0] if state.exists else None
+    rows = pd.concat(list(batches), ignore_index=True)
+    if not len(rows):
+        return
+    rows = rows.sort_values(["ts", "hash"], kind="stable")
+    before = rows["hash"].shift(1)
+    before.iloc[0] = last
+    state.update((rows["hash"].iloc[-1],))
+    yield rows[rows["hash"] != before][["key", "hash", "ts"]]
+
+
+def change_feed(stream: DataFrame) -> DataFrame:
+    """Rows of ``stream(key, hash, ts)`` whose hash differs from the key's last one."""
+    return stream.select("key", "hash", "ts").groupBy("key").applyInPandasWithState(_changes, "key string, hash string, ts timestamp", "last string", "append", GroupStateTimeout.NoTimeout)
+
+
+def change_feed_batch(df: DataFrame) -> DataFrame:
+    w = Window.partitionBy("key").orderBy("ts", "hash")
+    before = F.lag("hash").over(w)
+    return df.select("key", "hash", "ts", (before.isNull() | (before != F.col("hash"))).alias("_new")).where("_new").drop("_new")
+
+
+def _in_order(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    top, late = state.get if state.exists else (None, 0)
+    rows = pd.concat(list(batches), ignore_index=True).sort_values("id", kind="stable")
+    keep = []
+    for t in rows["ts"]:
+        ms = None if pd.isna(t) else int(pd.Timestamp(t).value // 1000)
+        good = ms is None or top is None or ms >= top
+        keep.append(good)
+        late += not good
+        if good and ms is not None:
+            top = ms
+    state.update((top, late))
+    out = rows[keep][["line", "id", "ts"]].copy()
+    out["dropped"] = late
+    yield out
+
+
+def ordered_line_ingest(stream: DataFrame, lateness: str = "10 minutes") -> DataFrame:
+    """line, id, ts, dropped: rows of ``stream(line, id, ts)`` not earlier than the last kept one of their line.
+
+    A row sent again within ``lateness`` counts once; dropped is the line's
+    number of late rows so far.
+    """
+    fresh = stream.select("line", "id", "ts").withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["line", "id"])
+    return fresh.groupBy("line").applyInPandasWithState(_in_order, "line long, id long, ts timestamp, dropped long", "top long, late long", "append", GroupStateTimeout.NoTimeout)
+
+
+def ordered_line_batch(df: DataFrame) -> DataFrame:
+    from ..operators.lines import order_violation_filter
+
+    once = df.select("line", "id", "ts").dropDuplicates(["line", "id"])
+    return order_violation_filter(once, "line", "id", "ts")
+
+
+def _stale(seconds: float):
+    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            last = state.get[0]
+            state.remove()
+            yield pd.DataFrame({"key": [key[0]], "last_ts": [pd.Timestamp(last, unit="us")]})
+            return
+        last = max(int(p["ts"].max().value // 1000) for p in batches)
+        last = max(last, state.get[0]) if state.exists else last
+        state.update((last,))
+        state.setTimeoutTimestamp(max(last // 1000 + int(seconds * 1000), state.getCurrentWatermarkMs() + 1))
+
+    return run
+
+
+def stale_key_detection(stream: DataFrame, timeout_s: float = 30.0, lateness: str = "0 seconds") -> DataFrame:
+    """key, last_ts when the watermark passes a key's last row by ``timeout_s`` (30 at least)."""
+    seconds = max(30.0, timeout_s)
+    return stream.select("key", "ts").withWatermark("ts", lateness).groupBy("key").applyInPandasWithState(_stale(seconds), "key string, last_ts timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def stale_key_batch(df: DataFrame, timeout_s: float = 30.0) -> DataFrame:
+    """key, last_ts of every gap longer than the timeout: to the key's next row, or to the newest row of all."""
+    w = Window.partitionBy("key").orderBy("ts")
+    now = df.agg(F.max("ts").alias("_now"))  # one row
+    gap = df.select("key", "ts", F.lead("ts").over(w).alias("_next")).crossJoin(F.broadcast(now))
+    end = F.coalesce("_next", "_now")
+    return gap.where(F.timestamp_diff("MICROSECOND", F.col("ts"), end) > max(30.0, timeout_s) * 1e6).select("key", F.col("ts").alias("last_ts"))
