@@ -14,8 +14,10 @@ stay and match nothing.
    join conditions, so pairs that fail are never rows. The bitmap has one of 128
    bits for each word; each bit in which two lines differ is a word that only
    one has, which bounds the similarity from above.
-4. Pairs left are verified on the full sets, each line's likeliest partner
-   first; only lines that it doesn't settle meet their other partners.
+4. Pairs left are verified on the full sets. A line needs one earlier match
+   only: each meets first the earliest line of each of its words, so groups of
+   copies cost no more than their members; only lines that this doesn't settle
+   meet all their other partners.
 
 Every step is written to the shared folder, so the next reads only what it
 needs and earlier shuffle files can go. Words are compared by 32-bit codes.
@@ -82,19 +84,43 @@ def line_classes(docs: DataFrame, least: int) -> DataFrame:
     return materialise(first.select("at.doc_id", "at.line", "k1", "k2", F.size("codes").alias("n"), "codes"), "line-classes")
 
 
-def candidate_pairs(classes: DataFrame, percent: int) -> DataFrame:
-    """d1, l1, d2, l2, x: a class, an earlier one that may be similar, and in how many bits they differ."""
+def prefix_index(classes: DataFrame, percent: int) -> DataFrame:
+    """doc_id, line, n, b0, b1, pos, word: a row for each word of each class's prefix."""
     index = classes.select("doc_id", "line", "n", _bitmap(0).alias("b0"), _bitmap(1).alias("b1"), "codes")
     prefix = F.slice("codes", F.lit(1), F.expr(f"n - int((n * {percent} + 99) div 100) + 1"))
-    index = index.select("doc_id", "line", "n", "b0", "b1", F.posexplode(prefix).alias("pos", "word"))
-    a, b = index.alias("a"), index.alias("b")
-    differ = "bit_count(a.b0 ^ b.b0) + bit_count(a.b1 ^ b.b1)"
-    on = f"""a.word = b.word and (b.doc_id < a.doc_id or (b.doc_id = a.doc_id and b.line < a.line))
+    return index.select("doc_id", "line", "n", "b0", "b1", F.posexplode(prefix).alias("pos", "word"))
+
+
+_DIFFER = "bit_count(a.b0 ^ b.b0) + bit_count(a.b1 ^ b.b1)"
+
+
+def _maybe(percent: int) -> str:
+    """b is earlier than a, and no filter rules out that they are similar."""
+    return f"""(b.doc_id < a.doc_id or (b.doc_id = a.doc_id and b.line < a.line))
         and 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)
         and {100 + percent} * least(a.n - a.pos, b.n - b.pos) >= {percent} * (a.n + b.n)
-        and {100 + percent} * ({differ}) <= {100 - percent} * (a.n + b.n)"""
-    pairs = a.join(b, F.expr(on)).selectExpr("a.doc_id as d1", "a.line as l1", "b.doc_id as d2", "b.line as l2", f"{differ} as x")
-    return materialise(pairs.distinct(), "line-pairs")
+        and {100 + percent} * ({_DIFFER}) <= {100 - percent} * (a.n + b.n)"""
+
+
+def earliest_partners(index: DataFrame, percent: int) -> DataFrame:
+    """d1, l1, d2, l2: each class with the likeliest of the earliest classes that its words lead to.
+
+    One partner a word at most, so a group of copies gives as many rows as it
+    has members. The index is shuffled once for both sides.
+    """
+    by_word = index.repartition("word")
+    first = by_word.groupBy("word").agg(F.min(F.struct("doc_id", "line", "n", "pos", "b0", "b1")).alias("b"))
+    met = by_word.alias("a").join(first, "word").where(F.expr(_maybe(percent)))
+    best = met.groupBy(F.col("a.doc_id").alias("d1"), F.col("a.line").alias("l1")).agg(F.min(F.expr(f"struct({_DIFFER} as x, b.doc_id as d2, b.line as l2)")).alias("m"))
+    return materialise(best.select("d1", "l1", "m.d2", "m.l2"), "line-partners")
+
+
+def other_partners(index: DataFrame, settled: DataFrame, percent: int) -> DataFrame:
+    """d1, l1, d2, l2: every class that isn't settled with every earlier class that may be similar."""
+    done = settled.select(F.col("d1").alias("doc_id"), F.col("l1").alias("line"))
+    a, b = index.join(done, ["doc_id", "line"], "left_anti").alias("a"), index.alias("b")
+    pairs = a.join(b, F.expr(f"a.word = b.word and {_maybe(percent)}"))
+    return materialise(pairs.selectExpr("a.doc_id as d1", "a.line as l1", "b.doc_id as d2", "b.line as l2").distinct(), "line-pairs")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -110,10 +136,9 @@ def lines_to_remove(docs: DataFrame, percent: int = PERCENT, least: int = LEAST)
     """doc_id, gone (array of line numbers) of documents with lines that go."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     classes = line_classes(docs, least)
-    pairs = candidate_pairs(classes, percent)
-    best = pairs.groupBy("d1", "l1").agg(F.min(F.struct("x", "d2", "l2")).alias("b")).select("d1", "l1", "b.d2", "b.l2")
-    hits = verified(best, classes, percent)
-    more = verified(pairs.drop("x").join(hits, ["d1", "l1"], "left_anti"), classes, percent)
+    index = prefix_index(classes, percent)
+    hits = verified(earliest_partners(index, percent), classes, percent)
+    more = verified(other_partners(index, hits, percent), classes, percent)
     # Later members of a class; short lines have no class.
     places = classes.select("k1", "k2", F.col("doc_id").alias("d0"), F.col("line").alias("l0"))
     again = _lines(docs).select("doc_id", "line", "k1", "k2").join(places, ["k1", "k2"]).where("doc_id <> d0 or line <> l0").select("doc_id", "line")
