@@ -59,7 +59,7 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def telling(rows: list[np.ndarray], toxic: np.ndarray, least: float = 4.0) -> np.ndarray:
+def telling(rows: list[np.ndarray], toxic: np.ndarray, least: float = 3.0) -> np.ndarray:
     """Columns that toxic rows have ``least`` standard deviations more often than if labels didn't matter."""
     k1, k0 = (np.bincount(np.concatenate([np.zeros(0, np.int64), *(x for x, y in zip(rows, toxic, strict=True) if y == t)]), minlength=DIMENSIONS) for t in (1, 0))
     expected = (k0 + k1) * float((toxic == 1).mean())
