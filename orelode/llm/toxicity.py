@@ -119,16 +119,17 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -
     def shrink(batches):
         cache: dict = {}
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b["toxic"], pa.array([features(t, cache) for t in b["text"].to_pylist()], pa.list_(pa.int64()))], names=["toxic", "x"])
+            x = [features(t, cache).astype("<i4").tobytes() for t in b["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["id"], b["toxic"], pa.array(x, pa.binary())], names=["id", "toxic", "x"])
 
-    # At most 2 * max_rows ids are broadcast; only hashed features travel.
+    # At most 2 * max_rows ids are broadcast; only hashed features travel, four bytes each.
     joined = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(wanted), "id").select("id", "toxic", "text")
-    got = joined.mapInArrow(lambda bs: ((pa.RecordBatch.from_arrays([b["id"], *x.columns], names=["id", "toxic", "x"])) for b in bs for x in shrink([b])), "id long, toxic int, x array<long>").collect()
-    got.sort(key=lambda r: (r["id"], r["x"]))
-    rows, toxic = [np.array(r["x"], np.int64) for r in got], np.array([r["toxic"] for r in got])
+    got = joined.mapInArrow(shrink, "id long, toxic int, x binary").toPandas().sort_values(["id", "x"], kind="stable")
+    ids, rows, toxic = got["id"].tolist(), [np.frombuffer(x, "<i4").astype(np.int64) for x in got["x"]], got["toxic"].to_numpy()
+    del got
     if not (toxic == 1).any() or not (toxic == 0).any():
         return None
-    held = np.array([zlib.crc32(str(r["id"]).encode()) % 5 == 0 for r in got])
+    held = np.array([zlib.crc32(str(i).encode()) % 5 == 0 for i in ids])
     if not ((toxic[held] == 1).sum() >= 20 and (toxic[held] == 0).sum() >= 20):
         held[:] = False
     fit = [k for k in range(len(rows)) if not held[k]]
