@@ -84,11 +84,15 @@ def line_classes(docs: DataFrame, least: int) -> DataFrame:
     return materialise(first.select("at.doc_id", "at.line", "k1", "k2", F.size("codes").alias("n"), "codes"), "line-classes")
 
 
-def prefix_index(classes: DataFrame, percent: int) -> DataFrame:
-    """doc_id, line, n, b0, b1, pos, word: a row for each word of each class's prefix."""
-    index = classes.select("doc_id", "line", "n", _bitmap(0).alias("b0"), _bitmap(1).alias("b1"), "codes")
+def line_prefixes(classes: DataFrame, percent: int) -> DataFrame:
+    """doc_id, line, n, b0, b1, prefix: each class without the words that the index doesn't need."""
     prefix = F.slice("codes", F.lit(1), F.expr(f"n - int((n * {percent} + 99) div 100) + 1"))
-    return index.select("doc_id", "line", "n", "b0", "b1", F.posexplode(prefix).alias("pos", "word"))
+    return classes.select("doc_id", "line", "n", _bitmap(0).alias("b0"), _bitmap(1).alias("b1"), prefix.alias("prefix"))
+
+
+def prefix_index(prefixes: DataFrame) -> DataFrame:
+    """A row for each word of each class's prefix, with its place in it (pos)."""
+    return prefixes.select(*(c for c in prefixes.columns if c != "prefix"), F.posexplode("prefix").alias("pos", "word"))
 
 
 _DIFFER = "bit_count(a.b0 ^ b.b0) + bit_count(a.b1 ^ b.b1)"
@@ -115,11 +119,18 @@ def earliest_partners(index: DataFrame, percent: int) -> DataFrame:
     return materialise(best.select("d1", "l1", "m.d2", "m.l2"), "line-partners")
 
 
-def other_partners(index: DataFrame, settled: DataFrame, percent: int) -> DataFrame:
-    """d1, l1, d2, l2: every class that isn't settled with every earlier class that may be similar."""
-    done = settled.select(F.col("d1").alias("doc_id"), F.col("l1").alias("line"))
-    a, b = index.join(done, ["doc_id", "line"], "left_anti").alias("a"), index.alias("b")
-    pairs = a.join(b, F.expr(f"a.word = b.word and {_maybe(percent)}"))
+def other_partners(classes: DataFrame, settled: DataFrame, percent: int) -> DataFrame:
+    """d1, l1, d2, l2: every class that isn't settled with every earlier class that may be similar.
+
+    Both sides are the same rows, so they are shuffled once; that a side is
+    open is asked in the join (and of both sides, or it would be asked before
+    the shuffle and make two of it).
+    """
+    done = settled.select(F.col("d1").alias("doc_id"), F.col("l1").alias("line"), F.lit(True).alias("_done"))
+    marked = line_prefixes(classes, percent).join(done, ["doc_id", "line"], "left").withColumn("open", F.col("_done").isNull()).drop("_done")
+    index = prefix_index(marked)
+    a, b = index.alias("a"), index.alias("b")
+    pairs = a.join(b, F.expr(f"a.word = b.word and (a.open or (b.n < 0 and b.open)) and {_maybe(percent)}"))
     return materialise(pairs.selectExpr("a.doc_id as d1", "a.line as l1", "b.doc_id as d2", "b.line as l2").distinct(), "line-pairs")
 
 
@@ -136,9 +147,9 @@ def lines_to_remove(docs: DataFrame, percent: int = PERCENT, least: int = LEAST)
     """doc_id, gone (array of line numbers) of documents with lines that go."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     classes = line_classes(docs, least)
-    index = prefix_index(classes, percent)
+    index = prefix_index(line_prefixes(classes, percent))
     hits = verified(earliest_partners(index, percent), classes, percent)
-    more = verified(other_partners(index, hits, percent), classes, percent)
+    more = verified(other_partners(classes, hits, percent), classes, percent)
     # Later members of a class; short lines have no class.
     places = classes.select("k1", "k2", F.col("doc_id").alias("d0"), F.col("line").alias("l0"))
     again = _lines(docs).select("doc_id", "line", "k1", "k2").join(places, ["k1", "k2"]).where("doc_id <> d0 or line <> l0").select("doc_id", "line")
