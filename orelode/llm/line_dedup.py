@@ -91,8 +91,12 @@ def line_prefixes(classes: DataFrame, percent: int) -> DataFrame:
 
 
 def prefix_index(prefixes: DataFrame) -> DataFrame:
-    """A row for each word of each class's prefix, with its place in it (pos)."""
-    return prefixes.select(*(c for c in prefixes.columns if c != "prefix"), F.posexplode("prefix").alias("pos", "word"))
+    """A row for each word of each class's prefix, with its place in it (pos).
+
+    No word is null; saying so makes the sides of a join on it the same plan,
+    which is shuffled once.
+    """
+    return prefixes.select(*(c for c in prefixes.columns if c != "prefix"), F.posexplode("prefix").alias("pos", "word")).where("word is not null")
 
 
 _DIFFER = "bit_count(a.b0 ^ b.b0) + bit_count(a.b1 ^ b.b1)"
