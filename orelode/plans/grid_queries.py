@@ -109,7 +109,7 @@ def terrain_control_match(spark, sf_dir):
 
 _FIT = f"""{_MATCH}, o as (select avg(x) as cx, avg(y) as cy from c), mm as (select x - cx as u, y - cy as w, z_obs - z_grid as r, cx, cy from c, o),
  q as (select sum(r) sr, sum(u) sx, sum(w) sy, sum(u * u) sxx, sum(w * w) syy, sum(u * w) sxy, sum(u * r) sxr, sum(w * r) syr, count(*) n, any_value(cx) cx, any_value(cy) cy, sqrt(avg(r * r)) as rmse_before from mm),
- t as (select *, (sxr * syy - syr * sxy) / (sxx * syy - sxy ** 2) as tilt_x, (syr * sxx - sxr * sxy) / (sxx * syy - sxy ** 2) as tilt_y from q), f as (select *, (sr - tilt_x * sx - tilt_y * sy) / n as dz from t)"""
+ t as (select *, case when abs(sxx * syy - sxy * sxy) > 1e-9 then (sxr * syy - syr * sxy) / (sxx * syy - sxy * sxy) else 0 end as tilt_x, case when abs(sxx * syy - sxy * sxy) > 1e-9 then (syr * sxx - sxr * sxy) / (sxx * syy - sxy * sxy) else 0 end as tilt_y from q), f as (select *, (sr - tilt_x * sx - tilt_y * sy) / n as dz from t)"""
 
 
 @query(f"{_FIT} select {r('any_value(dz)', 'dz')}, {r('any_value(tilt_x)', 'tilt_x')}, {r('any_value(tilt_y)', 'tilt_y')}, {r('any_value(f.cx)', 'cx')}, {r('any_value(f.cy)', 'cy')}, {r('any_value(rmse_before)', 'rmse_before')}, {r('sqrt(avg((r - dz - tilt_x * u - tilt_y * w) ** 2))', 'rmse_after')} from mm, f")

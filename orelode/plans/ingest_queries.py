@@ -97,7 +97,7 @@ def write_rows(spark, sf_dir):
 
 def _raw_collars(spark, sf_dir):
     c = collars(spark, sf_dir)
-    return c.select(F.when(F.col("hole_id") % 50 > 0, F.concat(F.lit(" H"), F.col("hole_id").cast("string"))).otherwise(F.lit(" ")).alias("Hole_ID"), F.when(F.col("hole_id") % 40 > 0, F.col("x").cast("string")).otherwise(F.lit("1,5")).alias("Easting"), F.col("y").cast("string").alias("Northing"), F.when(F.col("hole_id") % 3 > 0, F.col("z").cast("decimal(18,4)").cast("string")).alias("RL"))
+    return c.select(F.when(F.col("hole_id") % 50 > 0, F.concat(F.lit(" H"), F.col("hole_id").cast("string"))).otherwise(F.lit(" ")).alias("Hole_ID"), F.when(F.col("hole_id") % 40 > 0, F.col("x").cast("string")).otherwise(F.lit("1,5")).alias("Easting"), F.col("y").cast("string").alias("Northing"), F.when(F.col("hole_id") % 3 > 0, F.col("z").cast("string")).alias("RL"))
 
 
 @query(f"{with_views('collars')} select 'H' || hole_id as hole_id, x, y, {r('case when hole_id % 3 > 0 then z else 0 end', 'z', 3)}, 32630 as epsg, '' as flags from collars where hole_id % 50 > 0 and hole_id % 40 > 0")

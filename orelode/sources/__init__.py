@@ -91,7 +91,7 @@ def read_ascii_grid(spark: SparkSession, path: str, nodata: float = -32768.0) ->
     none = head.get("nodata_value", nodata)
     x0 = head.get("xllcorner", head.get("xllcenter", 0.0) - size / 2)
     y0 = head.get("yllcorner", head.get("yllcenter", 0.0) - size / 2)
-    text = spark.read.text(path, wholetext=True).select(F.split(F.trim(F.regexp_replace("value", r"(?im)^\s*[a-z_]+\s+\S+\s*$", "")), r"\s+").alias("v"))
+    text = spark.read.text(path, wholetext=True).select(F.array_remove(F.split(F.regexp_replace("value", r"(?im)^[ \t]*[a-z_]+[ \t]+\S+[ \t]*$", ""), r"\s+"), "").alias("v"))
     cells = text.select(F.posexplode("v").alias("k", "t")).where(F.col("k") < nx * ny).select("k", parse_numeric("t", decimal_comma=False).alias("v"))
     every = spark.range(nx * ny).select(F.col("id").cast("int").alias("k")).join(cells, "k", "left")
     ix, iy = F.col("k") % nx, ny - 1 - F.floor(F.col("k") / nx)
