@@ -32,7 +32,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, materialise, read_table
@@ -114,11 +114,12 @@ def earliest_partners(index: DataFrame, percent: int) -> DataFrame:
     """d1, l1, d2, l2: each class with the likeliest of the earliest classes that its words lead to.
 
     One partner a word at most, so a group of copies gives as many rows as it
-    has members. The index is shuffled once for both sides.
+    has members. The index is shuffled once, and a word's rows stream by in
+    order of place: only the first of them is held.
     """
-    by_word = index.repartition("word")
-    first = by_word.groupBy("word").agg(F.min(F.struct("doc_id", "line", "n", "pos", "b0", "b1")).alias("b"))
-    met = by_word.alias("a").join(first, "word").where(F.expr(_maybe(percent)))
+    upto = Window.partitionBy("word").orderBy("doc_id", "line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = F.struct("doc_id", "line", "n", "pos", "b0", "b1")
+    met = index.select("word", own.alias("a"), F.first(own).over(upto).alias("b")).where(F.expr(_maybe(percent)))
     best = met.groupBy(F.col("a.doc_id").alias("d1"), F.col("a.line").alias("l1")).agg(F.min(F.expr(f"struct({_DIFFER} as x, b.doc_id as d2, b.line as l2)")).alias("m"))
     return materialise(best.select("d1", "l1", "m.d2", "m.l2"), "line-partners")
 
