@@ -82,10 +82,11 @@ def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A corpus's history replayed over all of ``documents``.
 
     Batch ``insert-0..3`` adds every document (by hash of its id) with its word
-    count; ``delete`` takes out those of sources whose documents were withdrawn
-    (``lang`` = 'es' and an id hash in the upper half); ``revise`` counts the
-    rest anew with the tokenizer. ``insert-1`` and ``revise`` are committed
-    twice, which must change nothing.
+    count; ``delete`` takes out those that were withdrawn for a time (``lang`` =
+    'es' and an id hash in the upper half); ``revise`` counts the rest anew with
+    the tokenizer; ``restore`` adds the withdrawn ones again, counted likewise.
+    ``insert-1`` and ``revise`` are committed twice, which must change nothing.
+    The totals are those of the tokenizer over all rows of ``documents``.
     """
     counted = materialise(count_tokens(read_table(spark, sf_dir, "documents")), "token-counts")
     part = counted.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(4)))
@@ -98,4 +99,5 @@ def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     revised = reduce(DataFrame.unionByName, [change(rest, -1, "words", "words"), change(rest, 1, "word_bpe_49k")])
     for _ in range(2):
         rollup.commit("revise", revised)
+    rollup.commit("restore", change(part.where(gone), 1, "word_bpe_49k"))
     return rollup.totals()

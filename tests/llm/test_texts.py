@@ -160,3 +160,10 @@ def test_rollup_query(spark, sf_dir, name):
             a = want.get((r.source, r.lang, "word_bpe_49k"), (0, 0))
             want[r.source, r.lang, "word_bpe_49k"] = (a[0] + 1, a[1] + r.tokens)
     assert got == want
+
+
+def test_rollup_query_counts_every_document(spark, sf_dir):
+    got = {(r.source, r.lang, r.tokenizer): (r.documents, r.tokens) for r in tc.op8_token_rollup(spark, sf_dir).collect()}
+    counted = tc.count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    plain = counted.groupBy("source", "lang").agg({"*": "count", "tokens": "sum"}).collect()
+    assert got == {(r["source"], r["lang"], "word_bpe_49k"): (r["count(1)"], r["sum(tokens)"]) for r in plain}
