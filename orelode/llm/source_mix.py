@@ -80,14 +80,21 @@ def _of(left: DataFrame, marks: DataFrame, how: str = "inner") -> DataFrame:
 
 def mix_sources(
     docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_percent: int = 150, most: int = 2, seed: int = 17, rounds: int = 3,
-    size: Column | None = None, quality: Column | None = None,
+    size: Column | None = None, quality: Column | None = None, keep_columns: bool = False,
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies (how often the mix takes the document), taken, per row of ``docs(doc_id, text, source)``."""
-    base = docs.select("doc_id", F.col("source").cast("string").alias("source"), "text").withColumn("size", document_size() if size is None else size)
+    """doc_id, source, size, source_size, target, copies (how often the mix takes the document), taken, per row of ``docs(doc_id, text, source)``.
+
+    With ``keep_columns`` the columns of ``docs`` and copies instead (a column
+    of ``docs`` of that name is left out): each row meets the marks of its
+    source, so nothing is joined by id.
+    """
+    own = F.struct(*(c for c in docs.columns if c != "copies"))
+    base = docs.select("doc_id", F.col("source").cast("string").alias("source"), "text", own.alias("_own")).withColumn("size", document_size() if size is None else size)
     base = base.withColumn("_q", F.greatest(document_quality() if quality is None else quality, F.lit(1e-9)))
     # Keys are exponential with mean 1 / quality; 1 - exp(-key) puts them into [0, 1) in the same order.
     base = base.withColumn("_key", -F.log(draw(seed)) / F.col("_q"))
     base = base.withColumn("_range", F.least(F.floor((1 - F.exp(-F.col("_key"))) * RANGES), F.lit(RANGES - 1)).cast("int"))
+    whole = base  # the rows with their texts are computed again, not stored
     base = materialise(base.select("doc_id", "source", "size", "_key", "_range"), "mix-sizes")
     ranges = materialise(base.groupBy("source", "_range").agg(F.sum("size").alias("size")), "mix-ranges")
     targets = source_targets(ranges.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share_percent, most)
@@ -114,7 +121,7 @@ def mix_sources(
         state = _of(ends, stop, "left").select("source", f"_stop{t}", F.coalesce(F.when(F.col("_end").isNull(), F.col("_all")), F.col("_got"), F.col("_before"), F.lit(0)).alias("_got"))
         marks = _of(marks, state, "left").withColumn(f"_left{t + 1}", left - F.coalesce("_got", F.lit(0))).drop("_got")
         marks = materialise(marks, f"mix-marks-{t}")
-    out = _of(base, marks)
+    out = _of(whole if keep_columns else base, marks)
     picked = place < F.col("_stop0")
     picked = F.coalesce(picked, F.lit(True))
     for t in range(1, rounds):
@@ -124,6 +131,8 @@ def mix_sources(
     picked = picked | F.coalesce((place == F.col("_stop0")) & (2 * F.col(f"_left{rounds}") > F.col("size")), F.lit(False))
     copies = F.col("_epochs") + F.when(picked & (F.col("size") > 0), F.lit(1)).otherwise(F.lit(0))
     out = out.withColumn("copies", copies.cast("long"))
+    if keep_columns:
+        return out.select("_own.*", "copies")
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 

@@ -1,6 +1,8 @@
 import corpus_pipeline as p
-from orelode.llm import minhash_dedup
+from orelode.llm import minhash_dedup, source_mix
 
+from .common import awkward
+from .common import docs as table
 from .test_sets import plain_sets
 
 
@@ -23,3 +25,22 @@ def test_near_dedup_leaves_one_of_each_group(spark, sf_dir):
     ids = sorted(sets)
     assert not [(a, b) for a in ids for b in ids if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     assert minhash_dedup.TREES * minhash_dedup.DEPTH == 128
+
+
+def test_mixing_takes_rows_without_id_and_repeated_rows(spark, sf_dir):
+    docs = table(spark, awkward())
+    want = {r[0]: r[1] for r in source_mix.mix_sources(docs).groupBy("doc_id").agg({"copies": "sum"}).collect()}
+    got = {r[0]: r[1] for r in p.mixing(spark, docs, sf_dir).groupBy("doc_id").count().collect()}
+    assert want[None] > 0 and want[7] > 2
+    assert got == {k: n for k, n in want.items() if n}
+
+
+def test_awkward_rows_in_every_stage(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
+    shifted = [(None if d[0] is None else 1_000_000 + d[0], *d[1:]) for d in awkward()]
+    docs = p.materialise(docs.unionByName(spark.createDataFrame(shifted, docs.schema)), "awkward")
+    for name, stage in p.STAGES[:-1]:
+        docs = p.materialise(stage(spark, docs, sf_dir), name)
+        n = docs.where("doc_id is null").count()
+        assert n == 1 if name != "mixing" else 0 < n <= 2
+    assert p.STAGES[-1][1](spark, docs, sf_dir).where("doc_id is null").count() > 0
