@@ -142,6 +142,21 @@ def test_dense_region(spark, monkeypatch):
     check_documents(spark, data + [(1000 + k, t, "en", "a", 1) for k, t in enumerate(prose(40, 6))])
 
 
+def test_crowded_regions_lose_no_pairs(spark, monkeypatch):
+    r, data = random.Random(9), []
+    for k, t in enumerate(prose(80, 11, 3000, (120, 120))):
+        w = t.split()
+        data.append((2 * k, t, "en", "a", 1))
+        for at in r.sample(range(0, 120, 6), 5):
+            w[at] = f"x{k}"
+        data.append((2 * k + 1, " ".join(w), "en", "a", 1))
+    run = lambda: {x.doc_id: x.component_id for x in minhash_dedup.near_documents(docs(spark, data), 60).collect()}
+    want = run()
+    monkeypatch.setattr(minhash_dedup, "REGION", 1)
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 1)
+    assert sum(i != c for i, c in want.items()) > 40 and run() == want
+
+
 def test_no_documents(spark):
     assert minhash_dedup.near_documents(docs(spark, [])).count() == 0
 
