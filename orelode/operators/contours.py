@@ -6,9 +6,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..components import connected_components
 from ..functions import scale_transform
 from .grids import corners
-from .shared import kth_values, materialise
+from .shared import global_rank, kth_values, materialise
 
 
 def contour_breaks(values: DataFrame, column: str = "v", mode: str = "fixed_interval", interval: float | None = None, levels: int = 10, explicit: list[float] | None = None, scale: str = "linear") -> DataFrame:
@@ -76,8 +77,9 @@ def stitch_contours(segments: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Ends are put on a lattice as wide as the tolerance, max(1e-6 of the span,
     0.12 of the tenth percentile of lengths, 1e-6), so ends that meet share a
-    vertex. Lines are connected components by the smallest vertex label, with
-    pointer jumping; the vertices of one line are then put in order by a walk.
+    vertex. Lines are connected components of the vertices' ranks, named by the
+    smallest vertex; an error is raised if they don't settle in ``max_rounds``.
+    The vertices of one line are then put in order by a walk.
     """
     s = segments.select("level", *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")))
     length = F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
@@ -87,15 +89,10 @@ def stitch_contours(segments: DataFrame, max_rounds: int = 60) -> DataFrame:
     e2 = s.withColumn("a", vertex(0)).withColumn("b", vertex(1)).where("a <> b")
     e2 = materialise(e2.select("level", "a", "b").distinct(), "contour-edges")
     both = e2.select("a", "b").unionByName(e2.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    label = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("l")), "contour-labels")
-    for _ in range(max_rounds):
-        near = both.join(label.select(F.col("a").alias("b"), F.col("l").alias("n")), "b").groupBy("a").agg(F.min("n").alias("n"))
-        low = label.join(near, "a").select("a", F.least("l", "n").alias("l"), F.col("l").alias("was"))
-        up = low.select(F.col("a").alias("l"), F.col("l").alias("up"))
-        nxt = materialise(low.join(up, "l", "left").select("a", F.least("l", F.coalesce("up", "l")).alias("l"), "was"), "contour-labels")
-        if nxt.where("l <> was").isEmpty():
-            break
-        label = nxt.select("a", "l")
+    ids = materialise(global_rank(both.select(F.col("a").alias("v")).distinct(), "v", name="id").select("v", "id"), "contour-vertices")
+    named = lambda v, k: ids.select(F.col("v").alias(v), F.col("id").alias(k))
+    joined = connected_components(e2.join(named("a", "_a"), "a").join(named("b", "_b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")), max_rounds)
+    label = joined.join(named("a", "node"), "node").join(named("l", "component"), "component").select("a", "l")
     lines = e2.join(label, "a")
 
     def walk(p: pd.DataFrame) -> pd.DataFrame:

@@ -199,3 +199,12 @@ def test_stale_keys(spark, tmp_path):
     assert batch == {"0", "1", "2"}
     got = _stream(spark, d, str(tmp_path / "s"), streaming.stale_key_detection)
     assert {r.key for r in got.collect()} <= batch
+
+
+def test_long_bending_contour_is_one_line(spark):
+    at = [(float(100 - abs(t - 100)), float(t)) for t in range(201)]
+    s = spark.createDataFrame([(1.0, *a, *b) for a, b in zip(at, at[1:])], "level double, x0 double, y0 double, x1 double, y1 double")
+    got = contours.stitch_contours(s.repartition(8)).collect()
+    assert len({r.line_id for r in got}) == 1 and len(got) == 201 and not any(r.closed for r in got)
+    order = [round(r.y) for r in sorted(got, key=lambda r: r.seq)]
+    assert order in (list(range(201)), list(range(200, -1, -1)))
