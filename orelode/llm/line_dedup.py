@@ -2,30 +2,35 @@
 
 A line's set is its distinct words in lower case. A line goes if an earlier
 line of the corpus (by doc_id, then line number) has Jaccard similarity of at
-least ``percent`` / 100 with it. Lines of fewer than ``least`` distinct words
-stay and match nothing.
-
-1. Equal lines are one class, known by its first place; the others of it go.
-2. Words are put in order of rarity: by counts over the corpus in ``BUCKETS``
-   hash buckets (a fixed size, so it can travel as a constant), then by hash.
-   Any common order gives the same result; rare words first keeps lists short.
+least ``percent`` / 100 with it. Lines without a word stay and match nothing.
+
+1. Words are put in order of rarity: exact counts of each word give
+   it a level (``LEVELS`` steps of a logarithm); the levels travel as a
+   constant of fixed size, by ``SLOTS`` slots of the words' hashes (words that
+   share a slot share the level of the commonest). Any common order gives the
+   same result; rare words first keeps lists short.
+2. Equal lines are one class (128 bits of hash), known by its first place; the
+   others of it go. Only the prefix of a class's words travels.
 3. Prefix filter: similar sets share a word among their first
-   n - ceil(percent * n / 100) + 1. Length, positional and bitmap filters are
-   join conditions, so pairs that fail are never rows. The bitmap has one of 128
-   bits for each word; each bit in which two lines differ is a word that only
-   one has, which bounds the similarity from above.
-4. Pairs left are verified on the full sets. A line needs one earlier match
-   only: each meets first the earliest line of each of its words, so groups of
-   copies cost no more than their members; only lines that this doesn't settle
-   meet all their other partners.
+   n - ceil(percent * n / 100) + 1. Length, positional and parity filters are
+   join conditions, so pairs that fail are never rows. Parity: 128 bits, each
+   the parity of how many words fall on it; each bit in which two lines differ
+   is a word that only one has.
+4. Pairs left are verified on the words themselves, read from the texts again.
+   A line needs one earlier match only: each first meets the earliest line of
+   each of its words within one of ``SALTS`` shares of the word's list, so
+   groups of copies cost no more than their members and no list is one task;
+   only lines that this doesn't settle meet all their other partners.
 
 Every step is written to the shared folder, so the next reads only what it
-needs and earlier shuffle files can go. Words are compared by 32-bit codes.
+needs and earlier shuffle files can go.
 
 Edge cases: a null text stays null; a null doc_id's lines stay and match
-nothing. Rows that share doc_id and text are one document; where the texts
-differ, a line number that goes in one goes in all. A text whose lines all go
-is empty. Lines end at line feeds only. An empty table gives no rows.
+nothing. Rows that share doc_id and text are one document; texts that share
+a doc_id are documents of their own, in an order fixed by a hash of the text. A
+text whose lines all go is empty. Lines end at line feeds only; a very long
+line or text is read whole. Columns named like the operator's own (n_lines,
+n_removed) are replaced, others kept. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,141 +42,186 @@ from pyspark.sql import functions as F
 
 from .common import WORD, materialise, read_table
 
-BUCKETS, LEAST, PERCENT = 1 << 16, 5, 80
-_SPACE = "[\\x20\\x09-\\x0D]+"
+PERCENT, SALTS = 80, 8
+#: Levels of rarity, and slots of the table that holds them: 16 of four bits to a long.
+LEVELS, LONGS = 16, 1 << 16
+SLOTS = LONGS * 16
+#: Larger n and positions are not told apart in the index; such pairs are left to verification.
+MOST = (1 << 16) - 1
 
 
-def rarity_bases(docs: DataFrame) -> list[int]:
-    """For each of ``BUCKETS`` hash buckets the start of its words' codes.
+def _spaced(line: Column) -> Column:
+    """Every white-space character of a line as a plain space, so that a fixed one-character pattern splits it."""
+    for c in "\t\x0b\x0c\r":
+        line = F.replace(line, F.lit(c), F.lit(" "))
+    return line
+
+
+def word_hashes(line: Column) -> Column:
+    """Hashes of the distinct words of a line."""
+    own = F.transform(F.split(_spaced(line), " "), lambda w: F.xxhash64(w))
+    return F.array_remove(F.array_distinct(own), F.xxhash64(F.lit("")))
+
+
+def lines_of(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, line, low (the line in lower case) of every line of ``docs(doc_id, text_key, text)``."""
+    return docs.select("doc_id", "text_key", F.posexplode(F.split(F.lower("text"), "\n")).alias("line", "low"))
 
-    A bucket's class, 0 to 31, grows with the logarithm of how many words of
-    all texts fall into it; codes of rarer classes come first.
-    """
-    words = docs.select(F.explode(F.split(F.lower("text"), _SPACE)).alias("w")).where("w <> ''")
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(BUCKETS - 1).alias("b")).agg(F.count("*").alias("n")).collect()
-    n = [0] * BUCKETS
-    for r in counts:  # at most BUCKETS rows
-        n[r["b"]] = r["n"]
-    top = math.log2(1 + max(n)) or 1.0
-    return [(int(31 * math.log2(1 + k) / top) - 16) << 27 for k in n]
-
-
-def word_codes(hashes: Column, bases: list[int]) -> Column:
-    """Sorted 32-bit codes of word hashes, rare words first."""
-    table = F.from_json(F.lit(str(bases)), "array<int>")
-    code = lambda h: F.get(table, h.bitwiseAND(BUCKETS - 1).cast("int")) + F.shiftrightunsigned(h, 37).cast("int")
-    return F.sort_array(F.transform(hashes, code))
 
+def _keys() -> list[Column]:
+    return [F.xxhash64("low").alias("k1"), F.xxhash64(F.lit(1), F.col("low")).alias("k2")]
 
-def _bitmap(half: int) -> Column:
-    """64 of the 128 bits: those of codes whose 7th lowest bit is ``half``."""
-    return F.expr(f"aggregate(codes, 0L, (a, c) -> a | if((c & 64) = {64 * half}, shiftleft(1L, c & 63), 0L))")
 
+def rarity_levels(docs: DataFrame) -> list[int]:
+    """The table of levels: LONGS longs with the levels of 16 slots each.
 
-def _lines(docs: DataFrame) -> DataFrame:
-    lines = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "words"))
-    low = F.lower("words")
-    return lines.select("doc_id", "line", low.alias("words"), F.xxhash64(low).alias("k1"), F.xxhash64(low, F.lit(1)).alias("k2"))
+    Exact counts by word first (with map-side partials), then the largest of
+    each slot; at most LONGS numbers come to the driver.
+    """
+    words = lines_of(docs).select(F.explode(F.split(_spaced(F.col("low")), " ")).alias("w")).where("w <> ''")
+    counts = words.groupBy(F.xxhash64("w").alias("w")).agg(F.count("*").alias("n"))
+    slots = materialise(counts.groupBy(F.col("w").bitwiseAND(SLOTS - 1).alias("s")).agg(F.max("n").alias("n")), "word-slots")
+    step = math.log((slots.agg(F.max("n")).first()[0] or 1) + 1) / (LEVELS - 0.001)
+    # Half of the levels are stored as negative numbers, so that codes sort by level.
+    level = F.pmod(F.floor(F.log("n") / step).cast("long") + LEVELS // 2, F.lit(LEVELS)).alias("v")
+    packed = slots.select(F.expr(f"int(s & {LONGS - 1})").alias("i"), F.expr(f"int(4 * (s div {LONGS}))").alias("by"), level)
+    got = packed.groupBy("i").agg(F.bit_or(F.expr("shiftleft(v, `by`)")).alias("v")).toPandas()
+    table = [0] * LONGS
+    for i, v in zip(got["i"].tolist(), got["v"].tolist(), strict=True):
+        table[i] = v
+    return table
+
+
+def word_codes(hashes: Column, levels: list[int]) -> Column:
+    """Sorted codes of word hashes, rare words first: four bits of level, then 60 bits of the hash."""
+    table = F.from_json(F.lit(str(levels)), "array<bigint>")
+
+    def code(h: Column) -> Column:
+        of_slot = F.call_function("shiftrightunsigned", F.get(table, h.bitwiseAND(LONGS - 1).cast("int")), F.shiftright(h, LONGS.bit_length() - 3).bitwiseAND(60).cast("int"))
+        return F.shiftleft(of_slot, 60) + F.shiftrightunsigned(h, 4)
+
+    return F.sort_array(F.transform(hashes, code))
 
 
-def line_classes(docs: DataFrame, least: int) -> DataFrame:
-    """doc_id, line (the first place), k1, k2, n, codes: one row per distinct line of at least ``least`` distinct words."""
-    bases = rarity_bases(docs)
-    hashes = F.array_distinct(F.transform(F.array_remove(F.split("words", _SPACE), ""), lambda w: F.xxhash64(w)))
-    sets = _lines(docs).withColumn("h", hashes).where(F.size("h") >= least)
-    sets = sets.select("doc_id", "line", "k1", "k2", word_codes(F.col("h"), bases).alias("codes"))
-    first = sets.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.first("codes").alias("codes"))
-    return materialise(first.select("at.doc_id", "at.line", "k1", "k2", F.size("codes").alias("n"), "codes"), "line-classes")
+def _parity(half: int) -> Column:
+    """64 of the 128 parity bits: those of codes whose 7th lowest bit is ``half``."""
+    return F.expr(f"aggregate(codes, 0L, (a, c) -> if((c & 64) = {64 * half}, a ^ shiftleft(1L, int(c & 63)), a))")
 
 
-def line_prefixes(classes: DataFrame, percent: int) -> DataFrame:
-    """doc_id, line, n, b0, b1, prefix: each class without the words that the index doesn't need."""
-    prefix = F.slice("codes", F.lit(1), F.expr(f"n - int((n * {percent} + 99) div 100) + 1"))
-    return classes.select("doc_id", "line", "n", _bitmap(0).alias("b0"), _bitmap(1).alias("b1"), prefix.alias("prefix"))
+def line_classes(docs: DataFrame, levels: list[int], percent: int) -> DataFrame:
+    """doc_id, text_key, line (the first place), k1, k2, n, b0, b1, prefix: one row per distinct line with a word."""
+    # explode keeps the codes from being computed once for each use of them.
+    codes = F.explode(F.array(word_codes(word_hashes(F.col("low")), levels))).alias("codes")
+    sets = lines_of(docs).select("doc_id", "text_key", "line", *_keys(), codes).where("size(codes) > 0")
+    n = F.size("codes")
+    prefix = F.slice("codes", F.lit(1), F.expr(f"size(codes) - int((size(codes) * {percent}L + 99) div 100) + 1"))
+    slim = sets.select(F.struct("doc_id", "text_key", "line").alias("at"), "k1", "k2", F.struct(n.alias("n"), _parity(0).alias("b0"), _parity(1).alias("b1"), prefix.alias("prefix")).alias("own"))
+    first = slim.groupBy("k1", "k2").agg(F.min("at").alias("at"), F.first("own").alias("own"))
+    return materialise(first.select("at.*", "k1", "k2", "own.*"), "line-classes")
 
 
-def prefix_index(prefixes: DataFrame) -> DataFrame:
-    """A row for each word of each class's prefix, with its place in it (pos).
+def prefix_index(classes: DataFrame) -> DataFrame:
+    """A row for each word of each class's prefix; m holds n and the word's place in the prefix.
 
     No word is null; saying so makes the sides of a join on it the same plan,
     which is shuffled once.
     """
-    return prefixes.select(*(c for c in prefixes.columns if c != "prefix"), F.posexplode("prefix").alias("pos", "word")).where("word is not null")
+    kept = [c for c in classes.columns if c in ("doc_id", "text_key", "line", "n", "b0", "b1", "open")]
+    rows = classes.select(*kept, F.posexplode("prefix").alias("pos", "word"))
+    packed = F.expr(f"shiftleft(least(n, {MOST}), 16) | least(pos, {MOST})").alias("m")
+    return rows.select("word", *(c for c in kept if c != "n"), packed).where("word is not null")
 
 
-_DIFFER = "bit_count(a.b0 ^ b.b0) + bit_count(a.b1 ^ b.b1)"
+_DIFFER = "(bit_count(a.b0 ^ b.b0) + bit_count(a.b1 ^ b.b1))"
 
 
 def _maybe(percent: int) -> str:
     """b is earlier than a, and no filter rules out that they are similar."""
-    return f"""(b.doc_id < a.doc_id or (b.doc_id = a.doc_id and b.line < a.line))
-        and 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)
-        and {100 + percent} * least(a.n - a.pos, b.n - b.pos) >= {percent} * (a.n + b.n)
-        and {100 + percent} * ({_DIFFER}) <= {100 - percent} * (a.n + b.n)"""
+    na, nb, pa, pb = "shiftrightunsigned(a.m, 16)", "shiftrightunsigned(b.m, 16)", f"(a.m & {MOST})", f"(b.m & {MOST})"
+    return f"""(b.doc_id < a.doc_id or (b.doc_id = a.doc_id and (b.text_key < a.text_key or (b.text_key = a.text_key and b.line < a.line))))
+        and ({na} = {MOST} or {nb} = {MOST}
+          or (100 * least({na}, {nb}) >= {percent} * greatest({na}, {nb})
+            and {100 + percent} * least({na} - {pa}, {nb} - {pb}) >= {percent} * ({na} + {nb})
+            and {100 + percent} * {_DIFFER} <= {100 - percent} * ({na} + {nb})))"""
+
 
+_PAIR = "a.doc_id as d1, a.text_key as t1, a.line as l1, b.doc_id as d2, b.text_key as t2, b.line as l2"
 
-def earliest_partners(index: DataFrame, percent: int) -> DataFrame:
-    """d1, l1, d2, l2: each class with the likeliest of the earliest classes that its words lead to.
+
+def earliest_partners(classes: DataFrame, percent: int, salts: int = SALTS) -> DataFrame:
+    """d1, t1, l1, d2, t2, l2: each class with the likeliest of the earliest classes that its words lead to.
 
     One partner a word at most, so a group of copies gives as many rows as it
-    has members. The index is shuffled once, and a word's rows stream by in
+    has members. A word's rows are dealt over ``salts`` tasks and stream by in
     order of place: only the first of them is held.
     """
-    upto = Window.partitionBy("word").orderBy("doc_id", "line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    own = F.struct("doc_id", "line", "n", "pos", "b0", "b1")
-    met = index.select("word", own.alias("a"), F.first(own).over(upto).alias("b")).where(F.expr(_maybe(percent)))
-    best = met.groupBy(F.col("a.doc_id").alias("d1"), F.col("a.line").alias("l1")).agg(F.min(F.expr(f"struct({_DIFFER} as x, b.doc_id as d2, b.line as l2)")).alias("m"))
-    return materialise(best.select("d1", "l1", "m.d2", "m.l2"), "line-partners")
+    index = prefix_index(classes).withColumn("salt", F.pmod(F.xxhash64("doc_id", "line"), F.lit(salts)).cast("int"))
+    upto = Window.partitionBy("word", "salt").orderBy("doc_id", "text_key", "line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = F.struct("doc_id", "text_key", "line", "b0", "b1", "m")
+    met = index.select(own.alias("a"), F.first(own).over(upto).alias("b")).where(F.expr(_maybe(percent)))
+    best = met.groupBy(F.col("a.doc_id").alias("d1"), F.col("a.text_key").alias("t1"), F.col("a.line").alias("l1"))
+    best = best.agg(F.min(F.expr(f"struct({_DIFFER} as x, b.doc_id as d2, b.text_key as t2, b.line as l2)")).alias("m"))
+    return materialise(best.select("d1", "t1", "l1", "m.d2", "m.t2", "m.l2"), "line-partners")
 
 
 def other_partners(classes: DataFrame, settled: DataFrame, percent: int) -> DataFrame:
-    """d1, l1, d2, l2: every class that isn't settled with every earlier class that may be similar.
+    """d1, t1, l1, d2, t2, l2: every class that isn't settled with every earlier class that may be similar.
 
     Both sides are the same rows, so they are shuffled once; that a side is
     open is asked in the join (and of both sides, or it would be asked before
     the shuffle and make two of it).
     """
-    done = settled.select(F.col("d1").alias("doc_id"), F.col("l1").alias("line"), F.lit(True).alias("_done"))
-    marked = line_prefixes(classes, percent).join(done, ["doc_id", "line"], "left").withColumn("open", F.col("_done").isNull()).drop("_done")
+    done = settled.select(F.col("d1").alias("doc_id"), F.col("t1").alias("text_key"), F.col("l1").alias("line"), F.lit(True).alias("_done"))
+    marked = classes.drop("k1", "k2").join(done, ["doc_id", "text_key", "line"], "left").withColumn("open", F.col("_done").isNull()).drop("_done")
     index = prefix_index(marked)
-    a, b = index.alias("a"), index.alias("b")
-    pairs = a.join(b, F.expr(f"a.word = b.word and (a.open or (b.n < 0 and b.open)) and {_maybe(percent)}"))
-    return materialise(pairs.selectExpr("a.doc_id as d1", "a.line as l1", "b.doc_id as d2", "b.line as l2").distinct(), "line-pairs")
+    pairs = index.alias("a").join(index.alias("b"), F.expr(f"a.word = b.word and (a.open or (b.m < 0 and b.open)) and {_maybe(percent)}"))
+    return materialise(pairs.selectExpr(*_PAIR.split(", ")).distinct(), "line-pairs")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """d1, t1, l1 of pairs whose sets of words are similar, read from the texts of ``docs(doc_id, text_key, text)``."""
+    ends = F.explode(F.array(F.struct(F.col("d1").alias("doc_id"), F.col("t1").alias("text_key"), F.col("l1").alias("line")), F.struct(F.col("d2").alias("doc_id"), F.col("t2").alias("text_key"), F.col("l2").alias("line"))))
+    wanted = pairs.select(ends.alias("e")).groupBy("e.doc_id", "e.text_key").agg(F.collect_set("e.line").alias("lines"))  # lines of one text
+    texts = docs.join(wanted, ["doc_id", "text_key"]).select("doc_id", "text_key", "lines", F.split(F.lower("text"), "\n").alias("_all"))
+    sets = texts.select("doc_id", "text_key", F.explode("lines").alias("line"), "_all").select("doc_id", "text_key", "line", F.get("_all", F.col("line")).alias("low"))
+    words = F.array_remove(F.array_distinct(F.split(_spaced(F.col("low")), " ")), "")
+    sets = materialise(sets.select("doc_id", "text_key", "line", words.alias("words")), "line-words")
+    one = sets.toDF("d1", "t1", "l1", "c1")
+    two = sets.toDF("d2", "t2", "l2", "c2")
+    both = pairs.join(one, ["d1", "t1", "l1"]).join(two, ["d2", "t2", "l2"]).withColumn("o", F.size(F.array_intersect("c1", "c2")))
+    hit = both.where(f"100L * o >= {percent}L * (size(c1) + size(c2) - o)").select("d1", "t1", "l1").distinct()
+    return materialise(hit, "line-hits")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """d1, l1 of pairs whose sets are similar."""
-    one = classes.select(F.col("doc_id").alias("d1"), F.col("line").alias("l1"), F.col("codes").alias("c1"))
-    two = classes.select(F.col("doc_id").alias("d2"), F.col("line").alias("l2"), F.col("codes").alias("c2"))
-    both = pairs.join(one, ["d1", "l1"]).join(two, ["d2", "l2"]).withColumn("o", F.size(F.array_intersect("c1", "c2")))
-    hit = both.where(f"100 * o >= {percent} * (size(c1) + size(c2) - o)").select("d1", "l1").distinct()
-    return materialise(hit, "line-hits")
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
 
 
-def lines_to_remove(docs: DataFrame, percent: int = PERCENT, least: int = LEAST) -> DataFrame:
-    """doc_id, gone (array of line numbers) of documents with lines that go."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    classes = line_classes(docs, least)
-    index = prefix_index(line_prefixes(classes, percent))
-    hits = verified(earliest_partners(index, percent), classes, percent)
-    more = verified(other_partners(classes, hits, percent), classes, percent)
-    # Later members of a class; short lines have no class.
-    places = classes.select("k1", "k2", F.col("doc_id").alias("d0"), F.col("line").alias("l0"))
-    again = _lines(docs).select("doc_id", "line", "k1", "k2").join(places, ["k1", "k2"]).where("doc_id <> d0 or line <> l0").select("doc_id", "line")
-    gone = hits.unionByName(more).select(F.col("d1").alias("doc_id"), F.col("l1").alias("line")).unionByName(again)
-    return materialise(gone.groupBy("doc_id").agg(F.collect_set("line").alias("gone")), "lines-gone")
+def lines_to_remove(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, text_key, gone (array of line numbers) of texts with lines that go."""
+    docs = _keyed(docs)
+    classes = line_classes(docs, rarity_levels(docs), percent)
+    hits = verified(earliest_partners(classes, percent), docs, percent)
+    more = verified(other_partners(classes, hits, percent), docs, percent)
+    # Later members of a class; lines without a word have none.
+    places = classes.select("k1", "k2", F.col("doc_id").alias("d0"), F.col("text_key").alias("t0"), F.col("line").alias("l0"))
+    again = lines_of(docs).select("doc_id", "text_key", "line", *_keys()).join(places, ["k1", "k2"]).where("doc_id <> d0 or text_key <> t0 or line <> l0")
+    gone = hits.unionByName(more).toDF("doc_id", "text_key", "line").unionByName(again.select("doc_id", "text_key", "line"))
+    return materialise(gone.groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("gone")), "lines-gone")
 
 
-def dedup_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST) -> DataFrame:
+def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs(doc_id, text, ...)`` with text reduced to the lines that stay, and n_lines, n_removed (long)."""
-    gone = lines_to_remove(docs, percent, least).select(F.col("doc_id").alias("_id"), F.col("gone").alias("_gone"))
+    gone = lines_to_remove(docs, percent).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("gone").alias("_gone"))
     own = docs.select(*(c for c in docs.columns if c not in ("n_lines", "n_removed")))
-    out = own.join(gone, F.col("doc_id").cast("long") == F.col("_id"), "left")
-    out = out.withColumn("_all", F.split("text", "\n")).withColumn("n_lines", F.coalesce(F.size("_all"), F.lit(0)).cast("long"))
-    out = out.withColumn("_stay", F.array_except(F.sequence(F.lit(0), F.greatest(F.size("_all") - 1, F.lit(0))), "_gone"))
+    out = own.join(gone, (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left")
+    every = F.split("text", "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(every) - 1), "_gone")
     clean = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform("_stay", lambda i: F.get("_all", i)), "\n"))
-    removed = F.when(F.col("_gone").isNull() | F.col("text").isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("_stay"))
-    return out.select(*(clean.alias("text") if c == "text" else F.col(c) for c in own.columns), F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.col("n_lines")).cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"))
+    n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"))) + 1).cast("long")
+    out = out.withColumn("_all", F.when(F.col("_gone").isNotNull(), every)).withColumn("_stay", F.when(F.col("_gone").isNotNull(), stay))
+    removed = F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_all") - F.size("_stay")).cast("long")
+    return out.select(*(clean.alias("text") if c == "text" else F.col(c) for c in own.columns), n.alias("n_lines"), removed.alias("n_removed"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,7 +231,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINE_DEDUP_SQL = f"""
 with lines as (select doc_id, unnest(range(0, len(string_split(text, chr(10)))::bigint)) as line, unnest(string_split(text, chr(10))) as words from documents where doc_id is not null),
  sets as (select doc_id, line, list_distinct(regexp_extract_all(lower(words), '{WORD}')) as s, lower(words) as low from lines),
- big as (select {{'d': doc_id, 'l': line}} as pl, s, low, len(s) as n from sets where len(s) >= {LEAST}),
+ big as (select {{'d': doc_id, 'l': line}} as pl, s, low, len(s) as n from sets where len(s) > 0),
  cls as (select low, min(pl) as pl, any_value(s) as s, any_value(n) as n from big group by low),
  tok as (select pl, n, unnest(s) as w from cls),
  df as (select w, count(*) as df from tok group by w),

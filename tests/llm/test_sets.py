@@ -163,11 +163,11 @@ def test_no_documents(spark):
 
 def test_line_dedup_equals_brute_force(spark):
     r, data = random.Random(5), []
-    pool = prose(25, 7, 60, (3, 20))
+    pool = prose(25, 7, 60, (1, 20)) + prose(3, 8, 900, (150, 250)) + ["", " \t "]
     for k in range(40):
         lines = []
         for _ in range(r.randint(1, 6)):
-            w = r.choice(pool).split()
+            w = r.choice(pool).split(" ")
             if r.random() < 0.4:
                 w[r.randrange(len(w))] = f"n{r.randint(0, 3)}"
             lines.append(" ".join(w) if r.random() < 0.8 else " ".join(w).upper())
@@ -177,11 +177,11 @@ def test_line_dedup_equals_brute_force(spark):
         stay = []
         for x in t.split("\n"):
             s = set(x.lower().split())
-            if len(s) >= 5 and any(100 * len(s & o) >= 80 * len(s | o) for o in seen):
+            if s and any(100 * len(s & o) >= 80 * len(s | o) for o in seen):
                 pass
             else:
                 stay.append(x)
-            if len(s) >= 5:
+            if s:
                 seen.append(s)
         want[k] = "\n".join(stay)
     got = line_dedup.dedup_lines(clash(docs(spark, data), "line", "n_removed")).collect()
@@ -194,6 +194,17 @@ def test_line_dedup_edges(spark):
     by = {x.doc_id: x for x in got}
     assert by[2].text is None and by[3].text == "" and by[5].n_removed == 0 and by[6].text == "" and by[None].n_removed == 0
     assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
+    # Texts that share an id are documents of their own: only the line that matches another goes.
+    two = [(1, "red fish\nblue fish", "en", "a", 1), (1, "blue fish\ngreen fish", "en", "a", 1), (0, "Red  fish", "en", "a", 1)]
+    left = sorted(x.text for x in line_dedup.dedup_lines(docs(spark, two)).collect())
+    assert left in (["Red  fish", "blue fish", "green fish"], ["Red  fish", "blue fish\ngreen fish", ""], ["", "Red  fish", "blue fish\ngreen fish"])
+
+
+def test_hot_words_and_groups_of_line_copies(spark):
+    r, words = random.Random(8), prose(1, 3, 4000, (40, 40))[0].split()
+    rows = [(k, " ".join([*words[: k % 40], f"n{r.randint(0, 9)}", *words[k % 40 + 1 :]]), "en", "a", 1) for k in range(300)] + [(1000 + k, f"page {k}", "en", "a", 1) for k in range(200)]
+    left = {x.doc_id for x in line_dedup.dedup_lines(docs(spark, rows)).where("n_removed = 0").collect()}
+    assert left == {0, *range(1000, 1200)}
 
 
 def test_mix_laws(spark):
