@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,10 +28,13 @@ def lower_ascii(text: str) -> bytes:
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) a temporary one is chosen.
+    Only where a local session names none (one machine, as in tests) a temporary
+    one is chosen; on a cluster that is an error.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -56,5 +60,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batches, rows: int = 500):
+    """The Arrow batches of a task in pieces of at most ``rows`` rows, so that long texts are few at a time."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, rows):
+            yield whole.slice(at, rows)
+
+
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def long_rows(df: DataFrame, most: int = 1000) -> DataFrame:
+    """``df``, in a session whose Arrow batches hold at most ``most`` rows: whole texts in batches of 10 000 take
+    hundreds of MB in the JVM and in each worker. A smaller setting of the user's stays.
+    """
+    if not 0 < int(df.sparkSession.conf.get(_BATCH)) <= most:
+        df.sparkSession.conf.set(_BATCH, str(most))
+    return df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

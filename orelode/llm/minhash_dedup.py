@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, lower_ascii, materialise, read_table, roots
+from .common import connected_components, long_rows, lower_ascii, materialise, read_table, roots, slices
 from .embedding_dedup import contiguous
 
 TREES, DEPTH, DEPTHS = 16, 8, (4, 6, 8)
@@ -89,18 +89,16 @@ def document_sets(docs: DataFrame, width: int = 5) -> DataFrame:
 
     def run(batches):
         hashes = _WordHash()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
-                n, key, sig = [], [], []
-                for t in b["text"].to_pylist():
-                    own = shingle_set(t, hashes, width)
-                    n.append(len(own))
-                    key.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
-                    sig.append(signature(own).tobytes() if len(own) else None)
-                yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "key", "sig"])
-
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, key binary, sig binary")
+        for b in slices(batches):
+            n, key, sig = [], [], []
+            for t in b["text"].to_pylist():
+                own = shingle_set(t, hashes, width)
+                n.append(len(own))
+                key.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
+                sig.append(signature(own).tobytes() if len(own) else None)
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "key", "sig"])
+
+    return long_rows(docs).mapInArrow(run, "doc_id long, n_shingles long, key binary, sig binary")
 
 
 def _prefixes(batches):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table
+from .common import long_rows, materialise, read_table, slices
 from .tokens import tokenizer_path, word_tokenizer
 
 LIMIT = 2048
@@ -36,7 +36,7 @@ def document_pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end_id:
 
     def run(batches):
         coder, end = word_tokenizer(tokenizer), np.array([end_id], "<u4").tobytes()
-        for b in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
+        for b in slices(batches):
             of, rows, ids = [], [], []
             for k, raw in enumerate(coder.encode(b["text"].to_pylist())):
                 raw += end
@@ -54,7 +54,7 @@ def document_pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end_id:
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(out, names=names)
 
-    return docs.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return long_rows(docs).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def fullest(seed: int, counts: np.ndarray, limit: int) -> list[tuple[int, int]]:

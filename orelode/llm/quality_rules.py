@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACES, materialise, read_table, words_of
+from .common import SPACES, long_rows, materialise, read_table, slices, words_of
 
 SYMBOLS = "#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -78,13 +78,13 @@ def rule_statistics(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             got = [text_statistics(t) for t in b["text"].to_pylist()]
             counts = np.array([x[0] for x in got], np.int64).reshape(-1, len(COUNTS))
             shares = np.array([x[1] for x in got], np.float64).reshape(-1, len(SHARES))
             yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(c) for c in counts.T), *(pa.array(c) for c in shares.T)], names=["doc_id", *COUNTS, *SHARES])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in COUNTS) + ", " + ", ".join(f"{c} double" for c in SHARES))
+    return long_rows(docs).mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in COUNTS) + ", " + ", ".join(f"{c} double" for c in SHARES))
 
 
 def _depth_left(n: float) -> float:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import long_rows, read_table, slices
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -158,7 +158,7 @@ def find_secrets(docs: DataFrame, ranks: dict[str, int] | None = None, min_log10
     span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("base", pa.bool_())])
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             out = []
             for t in b["text"].to_pylist():
                 base, more = scan(t, told.value, min_log10_guesses)
@@ -166,7 +166,7 @@ def find_secrets(docs: DataFrame, ranks: dict[str, int] | None = None, min_log10
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(out, pa.list_(span))], names=["doc_id", "spans"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, spans array<struct<kind:string,start:int,end:int,value:string,base:boolean>>")
+    return long_rows(docs).mapInArrow(run, f"doc_id {kind}, spans array<struct<kind:string,start:int,end:int,value:string,base:boolean>>")
 
 
 def secret_digest(found: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table, scratch_dir, words_of
+from .common import long_rows, materialise, read_table, scratch_dir, slices, words_of
 from .tokens import tokenizer_path, word_tokenizer
 
 KEYS = ["source", "lang", "tokenizer"]
@@ -35,13 +35,13 @@ def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches):
         coder = word_tokenizer(path)
-        for b in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
+        for b in slices(batches):
             texts = b["text"].to_pylist()
             words = [len(words_of(t or "")) for t in texts]
             ids = [len(coder.encode_one(t or "")) // 4 for t in texts]
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["source"], b["lang"], pa.array(words, pa.int64()), pa.array(ids, pa.int64())], names=["doc_id", "source", "lang", "words", "tokens"])
 
-    return docs.mapInArrow(run, "doc_id long, source string, lang string, words long, tokens long")
+    return long_rows(docs).mapInArrow(run, "doc_id long, source string, lang string, words long, tokens long")
 
 
 def change(rows: DataFrame, sign: int, tokenizer: str, tokens: str = "tokens") -> DataFrame:

@@ -11,8 +11,8 @@ import numpy as np
 
 #: A text with one of these is encoded in one piece: added tokens, and characters that str.split drops but the tokenizer keeps.
 _WHOLE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
-#: Words of Latin, Greek, Cyrillic and Armenian characters are split here; others by the tokenizer itself.
-_PLAIN = re.compile("[\x21-\u058f]*")
+#: Words of assigned letters, marks, digits, punctuation and symbols up to the Armenian block are split here; others by the tokenizer itself.
+_PLAIN = re.compile("[" + "".join(f"\\u{c:04x}" for c in range(0x21, 0x590) if unicodedata.category(chr(c))[0] in "LMNPS") + "]*")
 
 
 def _byte_letters() -> list[str]:
@@ -52,7 +52,7 @@ class WordTokenizer:
     those not seen since the last time that it was full go.
     """
 
-    def __init__(self, path: str, size: int = 150_000):
+    def __init__(self, path: str, size: int = 60_000):
         import json
 
         import regex
@@ -73,7 +73,7 @@ class WordTokenizer:
         """Ids of a part, which is also a word of its own."""
         got = self.words.get(part) or self.words.older.get(part)
         if got is None:
-            letters = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
+            letters = part if part.isascii() and part.isprintable() else "".join(map(self.letters.__getitem__, part.encode()))
             got = self.words[part] = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
         return got
 
