@@ -15,13 +15,15 @@ from orelode.llm.line_dedup import dedup_lines
 from orelode.llm.minhash_dedup import near_documents
 from orelode.llm.packing import pack_documents
 from orelode.llm.source_mix import mix_sources
-from orelode.llm.toxicity import fit_toxicity, grade_toxicity
+from orelode.llm.toxicity import grade_toxicity
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the ordinal model doesn't call toxic."""
-    model = fit_toxicity(docs, read_table(spark, sf_dir, "labels"))
-    return grade_toxicity(docs, model, keep_columns=True).where("kept").select(*docs.columns)
+    """Documents that the ordinal model doesn't call toxic.
+
+    Null and empty texts stay, repeated rows get one verdict, an empty table stays empty.
+    """
+    return grade_toxicity(docs, read_table(spark, sf_dir, "labels"), keep_columns=True).where("kept").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,6 @@ import hashlib
 import re
 
 import numpy as np
-import pytest
 
 from orelode.llm import quality_rules as q
 from orelode.llm import secret_scan as s
@@ -102,16 +101,43 @@ def _toxic_docs(n=600):
 
 def test_toxicity_held_out(spark):
     rows, labels = _toxic_docs()
-    d, lab = docs(spark, rows + awkward()[1:5]), spark.createDataFrame(labels[:400], "doc_id long, quality int, toxic int")
-    out = {r.doc_id: r for r in toxicity.grade_toxicity(d, toxicity.fit_toxicity(docs(spark, rows), lab)).collect() if r.doc_id is not None and r.doc_id >= 400}
+    lab = spark.createDataFrame(labels[:400], "doc_id long, quality int, toxic int")
+    d = docs(spark, rows + [(None if x[0] is None else 10_000 + x[0], *x[1:]) for x in awkward()])
+    out = {r.doc_id: r for r in toxicity.grade_toxicity(d, lab).collect()}
     truth = {k: k % 6 == 0 for k in range(400, 600)}
     assert np.mean([out[k].toxic == t for k, t in truth.items()]) > 0.98
+    assert not any(r.toxic for k, r in out.items() if k is None or k >= 10_000)
     assert all(0 <= r.expected_severity <= toxicity.GRADES - 1 and r.kept != r.toxic for r in out.values())
-    none = toxicity.grade_toxicity(docs(spark, awkward()), None)
-    assert none.where("toxic").count() == 0 and none.count() == len(awkward())
-    assert toxicity.fit_toxicity(docs(spark, rows), lab.limit(0)) is None
-    kept = toxicity.grade_toxicity(clash(docs(spark, awkward()), "toxic"), None, keep_columns=True)
+    # Severity follows the planted amount: texts with more toxic words aren't graded lower.
+    some = [np.mean([out[k].expected_severity for k in range(600) if k % 6 == 0 and k % 3 == j]) for j in (0,)]
+    assert some[0] > 1
+    for lab in (lab.limit(0), lab.where("toxic = 0"), lab.where("toxic = 1")):
+        none = toxicity.grade_toxicity(docs(spark, awkward()), lab)
+        assert none.where("toxic").count() == 0 and none.count() == len(awkward())
+    kept = toxicity.grade_toxicity(clash(docs(spark, awkward()), "toxic", "margin"), lab, keep_columns=True)
     assert "text" in kept.columns and kept.columns.count("toxic") == 1
+    assert toxicity.grade_toxicity(docs(spark, []), lab).count() == 0
+
+
+def test_severity_follows_planted_amounts(spark):
+    rows, labels = [], []
+    bad = [f"vile{k}" for k in range(12)]
+    for k, t in enumerate(prose(900, 12)):
+        many = (0, 0, 0, 2, 6, 11)[k % 6]
+        rows.append((k, " ".join([t, *bad[:many]]), "en", "a", 1))
+        labels.append((k, 1, int(many > 0)))
+    got = {r.doc_id: r.expected_severity for r in toxicity.grade_toxicity(docs(spark, rows), spark.createDataFrame(labels[:600], "doc_id long, quality int, toxic int")).collect()}
+    mean = [np.mean([got[k] for k in range(600, 900) if k % 6 == j]) for j in (0, 3, 4, 5)]
+    assert mean[0] < 0.3 and mean == sorted(mean) and mean[3] > mean[1] + 0.5
+
+
+def test_cut_lies_in_the_gap():
+    import pandas as pd
+
+    at = lambda z: int((z + toxicity.FAR) / (2 * toxicity.FAR) * toxicity.BINS)
+    counts = pd.DataFrame([(at(-5), 0, 1000), (at(-3), 0, 10), (at(3), 1, 90), (at(-6), 1, 10)], columns=["bin", "toxic", "n"])
+    assert -0.1 < toxicity.best_cut(counts) < 0.1
+    assert toxicity.best_cut(counts[counts["toxic"] == 0]) == float("inf")
 
 
 def test_ordinal_thresholds_are_ordered():
@@ -130,6 +156,18 @@ def test_word_tokenizer_equals_library():
     assert [x for x in t.encode(texts)] == [t._whole(x) for x in texts]
 
 
+def test_every_character_of_the_basic_plane_gets_the_librarys_ids():
+    from tokenizers import Tokenizer
+
+    plain, t = Tokenizer.from_file(tokens.tokenizer_path()), tokens.word_tokenizer(tokens.tokenizer_path())
+    wrong = []
+    for c in map(chr, [*range(0xD800), *range(0xE000, 0x10000)]):
+        for text in (c, f"ab{c}cd {c}x y{c}"):
+            if t.encode_one(text) != np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes():
+                wrong.append((hex(ord(c)), text))
+    assert not wrong
+
+
 def test_rollup_is_idempotent_and_right(spark, tmp_path):
     rows = awkward() + [(100 + k, t, "en", f"s{k % 3}", 1) for k, t in enumerate(prose(30))]
     counted = tc.count_tokens(clash(docs(spark, rows), "tokens")).cache()
@@ -150,18 +188,6 @@ def test_rollup_is_idempotent_and_right(spark, tmp_path):
     assert first == sorted(map(str, roll.compact("all").totals().collect()))
 
 
-@pytest.mark.parametrize("name", ["op8_token_rollup"])
-def test_rollup_query(spark, sf_dir, name):
-    got = {(r.source, r.lang, r.tokenizer): (r.documents, r.tokens) for r in tc.op8_token_rollup(spark, sf_dir).collect()}
-    d = tc.count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet")).selectExpr("*", "pmod(xxhash64(doc_id), 4) >= 2 and lang = 'es' as gone").collect()
-    want = {}
-    for r in d:
-        if not r.gone:
-            a = want.get((r.source, r.lang, "word_bpe_49k"), (0, 0))
-            want[r.source, r.lang, "word_bpe_49k"] = (a[0] + 1, a[1] + r.tokens)
-    assert got == want
-
-
 def test_rollup_query_counts_every_document(spark, sf_dir):
     got = {(r.source, r.lang, r.tokenizer): (r.documents, r.tokens) for r in tc.op8_token_rollup(spark, sf_dir).collect()}
     counted = tc.count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"))
