@@ -30,7 +30,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that match an earlier line of the corpus; n_chars follows.
 
     A document that loses its last line with a word to an earlier document is
-    a copy of what others hold, and goes; one that lost no line stays as it is.
+    a copy of what others hold, and goes; one that lost no line stays as it is,
+    so do null texts and rows without id. Repeated rows are treated alike.
     """
     done = dedup_lines(docs)
     done = done.where((F.col("n_removed") == 0) | F.col("text").rlike(WORD))
@@ -39,19 +40,34 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8), that with the smallest id."""
-    gone = near_documents(docs, percent=80).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near-duplicates (five-word shingles, similarity 0.8): that with the smallest id.
+
+    Rows are numbered first, so rows that repeat an id, or have none, are told
+    apart: of exact repeats one stays, of two texts with one id only the copy
+    goes. Rows without id come last in a group. Null and blank texts stay.
+    """
+    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered-documents")
+    found = near_documents(rows.select(F.col("_row").alias("doc_id"), "text"), percent=80).select(F.col("doc_id").alias("_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")
+    first = found.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(order).alias("first"))
+    return rows.join(first.select("first._row"), "_row").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix takes it, rows without id and rows that repeat one as well."""
+    """Each row as often as the mix takes it, rows without id and rows that repeat one as well.
+
+    Null sources are one source; null and blank texts have no words and aren't taken.
+    """
     taken = mix_sources(docs, keep_columns=True).where("copies > 0")
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens with their sequence and offset."""
+    """Pieces of at most 2048 tokens with their sequence and offset.
+
+    A null text is empty (one end token); longer texts are cut; every row, also
+    one that repeats another, is packed on its own; no rows give no pieces.
+    """
     return pack_documents(docs)
 
 

@@ -1,27 +1,28 @@
 """MinHash near-dedup by an LSH forest over sets of word shingles.
 
-Each document's set has ``TREES`` signature orders of ``DEPTH`` min-hashes. In a
-tree, documents with the longest common prefixes are neighbours. A region is
-all documents that share a prefix; its depth adapts: ``DEPTHS[0]`` hashes where
-few documents share them, more where over ``REGION`` do. Within a region the
-share of equal min-hashes over all trees estimates the similarity; a pair whose
-estimate lies ``SIGMAS`` deviations below the threshold is dropped, and the
-others are candidate edges. A region that is still larger at the last depth
-links all its documents to its smallest, untested. Deeper prefixes alone would
-miss more pairs, so every crowded region of the first depth whose documents
-aren't one component by then is compared as well, block by block, each pair of
-documents in different components.
-
-Equal sets are one class from the start. Components of the candidate edges are
-compared block by block (``BLOCK`` classes a side) on full sets; each task gives
-a spanning forest of its links, never the pairs. A pair at the threshold is a
-candidate if it shares a prefix of the first depth in any tree, however crowded:
-the chance that it shares none is (1 - t ** 4) ** 16, 2e-4 at 0.8.
+Each distinct set has ``TREES`` signature orders of ``DEPTH`` min-hashes. The
+orders are sorted over all partitions; neighbours in an order whose longest
+common prefix has at least ``shared`` hashes are a region (4 at 0.8 or more: the
+chance that a pair at the threshold is in none is (1 - t ** 4) ** 16, 2e-4 at
+0.8 and 7e-6 at 0.85). Where over ``REGION`` documents share a prefix the depth
+adapts: each meets those next to it in the order, with the longest prefixes, and
+all documents of such crowded regions get a second forest of longer orders
+(``DEEP_SHARED`` hashes in common, as many trees as keep the chance under
+``MISS``). What is crowded in that one too, and isn't one component by then, is
+compared block by block. A region cut by a partition's end loses pairs in one
+tree only.
+
+In a region the share of equal min-hashes over all trees estimates the
+similarity; pairs whose estimate lies ``SIGMAS`` deviations below the threshold
+are dropped. Components of the others are compared on full sets: small ones in
+one group each; in larger ones each document first meets its two likeliest
+neighbours of each region, then all others that this left in another component.
 
 Edge cases: a null or blank text has no set (n_shingles 0) and links with
 nothing. A text of fewer words than a shingle has is one shingle. A null doc_id
-is its own component. Rows that share an id and a text are one document and
-kept together. Very long texts are read whole. An empty table gives no rows.
+is its own component. Rows that share an id are one document, which links with
+what any of its texts links with. Very long texts are read whole. Other columns
+are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,8 +40,12 @@ from pyspark.sql import functions as F
 from .common import connected_components, long_rows, lower_ascii, materialise, read_table, roots, slices
 from .embedding_dedup import contiguous
 
-TREES, DEPTH, DEPTHS = 16, 8, (4, 6, 8)
-REGION, BLOCK, SIGMAS = 64, 256, 3.5
+TREES, DEPTH = 16, 8
+REGION, BLOCK, SIGMAS, MISS = 64, 256, 3.5, 3e-4
+#: Orders of crowded documents: their length, and how many hashes documents of a region share.
+DEEP, DEEP_SHARED = 12, 8
+#: Rows of a sorted order in one task.
+ORDER_ROWS = 200_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -72,46 +77,118 @@ def shingle_set(text: str | None, hashes: dict, width: int = 5) -> np.ndarray:
     return np.unique(_mix(s))
 
 
-_ODD = _mix(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64) * _STEP) | np.uint64(1)
+def _odd(n: int) -> np.ndarray:
+    return _mix(np.arange(1, n + 1, dtype=np.uint64) * _STEP) | np.uint64(1)
 
 
-def signature(own: np.ndarray) -> np.ndarray:
-    """16 bits of each of TREES * DEPTH min-hashes."""
-    low = np.full(len(_ODD), np.iinfo(np.uint64).max)
+def signature(own: np.ndarray, odd: np.ndarray) -> np.ndarray:
+    """16 bits of each min-hash, one for each multiplier."""
+    low = np.full(len(odd), np.iinfo(np.uint64).max)
     for k in range(0, len(own), 2048):
-        low = np.minimum(low, (own[k : k + 2048, None] * _ODD[None, :]).min(0))
+        low = np.minimum(low, (own[k : k + 2048, None] * odd[None, :]).min(0))
     return (_mix(low) >> np.uint64(48)).astype("<u2")
 
 
+def _digest(own: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None
+
+
 def document_sets(docs: DataFrame, width: int = 5) -> DataFrame:
     """doc_id, n_shingles, key (of the set; null if empty), sig (binary)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def run(batches):
-        hashes = _WordHash()
+        hashes, odd = _WordHash(), _odd(TREES * DEPTH)
         for b in slices(batches):
-            n, key, sig = [], [], []
-            for t in b["text"].to_pylist():
-                own = shingle_set(t, hashes, width)
-                n.append(len(own))
-                key.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
-                sig.append(signature(own).tobytes() if len(own) else None)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "key", "sig"])
+            own = [shingle_set(t, hashes, width) for t in b["text"].to_pylist()]
+            sig = [signature(x, odd).tobytes() if len(x) else None for x in own]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(map(len, own), pa.int64()), pa.array(map(_digest, own), pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "key", "sig"])
 
     return long_rows(docs).mapInArrow(run, "doc_id long, n_shingles long, key binary, sig binary")
 
 
-def _prefixes(batches):
-    """A row for each document and tree: the hash of its prefix at each depth."""
-    for p in batches:
-        sig = np.frombuffer(b"".join(p["sig"]), "<u2").reshape(len(p), TREES, DEPTH).astype(np.uint64)
-        for t in range(TREES):
-            h, cols = np.full(len(p), t + 1, np.uint64), {}
-            for d in range(DEPTH):
-                h = _mix(h * _STEP + sig[:, t, d])
-                if d + 1 in DEPTHS:
-                    cols[f"p{d + 1}"] = h.astype(np.int64)
-            yield pd.DataFrame({"id": p["id"].to_numpy(), **cols})
+def set_classes(sets: DataFrame) -> DataFrame:
+    """id (a number for each distinct set), rep (its smallest doc_id), key, sig; written once, so the numbers stay."""
+    own = sets.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
+    return materialise(own.select(F.monotonically_increasing_id().alias("id"), "rep", "key", "sig"), "set-classes")
+
+
+def _of_texts(docs: DataFrame, members: DataFrame, width: int, column: str, make) -> DataFrame:
+    """``members(id, rep, key, ...)`` with ``column`` made from the shingles of one text that has the set."""
+    names = members.columns
+    rows = long_rows(docs).select(F.col("doc_id").cast("long").alias("rep"), "text").join(members, "rep").select(*names, "text")
+
+    def run(batches):
+        hashes = _WordHash()
+        for b in slices(batches):
+            own = [shingle_set(t, hashes, width) for t in b["text"].to_pylist()]
+            right = [k for k, (x, key) in enumerate(zip(own, b["key"].to_pylist(), strict=True)) if _digest(x) == key]
+            yield pa.RecordBatch.from_arrays([*(b[c].take(pa.array(right, pa.int64())) for c in names), make([own[k] for k in right])], names=[*names, column])
+
+    kind = "binary" if column == "sig" else "array<long>"
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in members.schema)
+    return rows.mapInArrow(run, f"{fields}, {column} {kind}").dropDuplicates(["id"])
+
+
+def sorted_orders(classes: DataFrame, trees: int, depth: int) -> DataFrame:
+    """tree, order (big-endian hashes), id of ``classes(id, sig)``: the forest's signature orders, sorted over all partitions.
+
+    The id is part of the order, so a prefix that a third of all documents
+    share is dealt over many partitions.
+    """
+
+    def run(batches):
+        for p in batches:
+            sig = np.frombuffer(b"".join(p["sig"]), "<u2").reshape(len(p), trees, depth).astype(">u2")
+            for t in range(trees):
+                flat = sig[:, t].tobytes()
+                yield pd.DataFrame({"tree": np.full(len(p), t, np.int32), "order": [flat[k : k + 2 * depth] for k in range(0, len(flat), 2 * depth)], "id": p["id"].to_numpy()})
+
+    rows = classes.select("id", "sig").mapInPandas(run, "tree int, order binary, id long")
+    parts = max(1, -(-classes.count() * trees // ORDER_ROWS))
+    return rows.repartitionByRange(parts, "tree", "order", "id").sortWithinPartitions("tree", "order", "id")
+
+
+def regions_of(tree: np.ndarray, h: np.ndarray, shared: int, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, region, crowded) from a sorted order's rows: neighbours whose common prefix has at least ``shared`` hashes.
+
+    Up to REGION such neighbours are one region. Where there are more, each
+    row meets those next to it in the order, which have the longest prefixes in
+    common: windows of REGION rows, half over the next. So the depth adapts.
+    """
+    lcp = np.cumprod(h[1:] == h[:-1], axis=1).sum(1) * (tree[1:] == tree[:-1])
+    start = np.flatnonzero(np.append(True, lcp < shared))
+    size = np.diff(np.append(start, len(h)))
+    of = np.repeat(np.arange(len(start)), size)
+    crowded, at = size[of] > REGION, np.arange(len(h)) - start[of]
+    key = tree.astype(np.uint64) + np.uint64(1)
+    for k in range(shared):
+        key = _mix(key * _STEP + h[:, k].astype(np.uint64))
+    window = at // max(1, REGION // 2)
+    own = np.where(crowded, _mix(key + _STEP * (window + 1).astype(np.uint64) + np.uint64(part + 1)), key)
+    last = _mix(key + _STEP * window.astype(np.uint64) + np.uint64(part + 1))
+    rows, again = np.flatnonzero(size[of] > 1), np.flatnonzero(crowded & (window > 0))
+    return np.append(rows, again), np.append(own[rows], last[again]).astype(np.int64), crowded[np.append(rows, again)]
+
+
+def forest_regions(orders: DataFrame, depth: int, shared: int) -> DataFrame:
+    """region, id, crowded, run (of all its neighbours) for the rows of the sorted orders that have neighbours."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        parts = [(p["tree"].to_numpy(), np.frombuffer(b"".join(p["order"]), ">u2").reshape(-1, depth), p["id"].to_numpy()) for p in batches if len(p)]
+        if parts:
+            tree, h, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
+            rows, region, crowded = regions_of(tree, h, shared, TaskContext.get().partitionId())
+            whole = tree.astype(np.uint64) + np.uint64(1)
+            for k in range(shared):
+                whole = _mix(whole * _STEP + h[:, k].astype(np.uint64))
+            for k in range(0, len(rows), 50_000):
+                r = rows[k : k + 50_000]
+                yield pd.DataFrame({"region": region[k : k + 50_000], "id": ids[r], "crowded": crowded[k : k + 50_000], "run": whole[r].astype(np.int64)})
+
+    return materialise(orders.mapInPandas(run, "region long, id long, crowded boolean, run long"), "regions")
 
 
 def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -126,31 +203,59 @@ def _likely(threshold: float) -> float:
     return threshold - SIGMAS * math.sqrt(threshold * (1 - threshold) / (TREES * DEPTH))
 
 
-def _candidates(threshold: float):
+def _candidates(threshold: float, what: str):
+    """Pairs of each region that the estimate doesn't rule out.
+
+    ``forest``: as many as connect what they connect. ``best``: each document
+    with the two likeliest. ``across``: all in different components (comp).
+    """
     least = _likely(threshold)
 
     def run(batches):
         for p, groups in contiguous(batches, ["region"]):
             ids, left, right = p["id"].to_numpy(), [], []
             sig = np.frombuffer(b"".join(p["sig"]), "<u2").reshape(len(p), -1)
+            comp = p["comp"].to_numpy() if what == "across" else None
             for a, b in groups:
                 if b - a > 1:
-                    i, j = np.nonzero(np.triu(_alike(sig[a:b], sig[a:b]) >= least, 1))
+                    est = _alike(sig[a:b], sig[a:b])
+                    np.fill_diagonal(est, 0)
+                    if what == "best":
+                        j = np.argsort(-est, axis=1)[:, :2]
+                        i = np.repeat(np.arange(b - a), j.shape[1])
+                        j = j.ravel()
+                        on = est[i, j] >= least
+                        i, j = i[on], j[on]
+                    else:
+                        on = np.triu(est >= least, 1)
+                        if what == "across":
+                            on &= comp[a:b, None] != comp[None, a:b]
+                        i, j = np.nonzero(on)
                     left.append(ids[a + i])
                     right.append(ids[a + j])
             if left and sum(map(len, left)):
-                nodes, low = roots(np.concatenate(left), np.concatenate(right))
-                yield pd.DataFrame({"a": nodes, "b": low})[nodes != low]
+                x, y = np.concatenate(left), np.concatenate(right)
+                if what == "forest":
+                    nodes, low = roots(x, y)
+                    yield pd.DataFrame({"a": nodes, "b": low})[nodes != low]
+                else:
+                    yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}).query("a < b").drop_duplicates()
 
     return run
 
 
-def _across(threshold: float):
-    """Candidate edges between components, of one pair of blocks of a crowded region."""
+def region_pairs(regions: DataFrame, classes: DataFrame, threshold: float, what: str, parts: int) -> DataFrame:
+    """a, b from ``regions(region, id[, comp])``."""
+    rows = regions.select("region", "id", *(["comp"] if what == "across" else [])).join(classes.select("id", "sig"), "id")
+    return rows.repartition(parts, "region").sortWithinPartitions("region").mapInPandas(_candidates(threshold, what), "a long, b long")
+
+
+def _across_blocks(threshold: float):
+    """Candidate edges between components, of one pair of blocks of a crowded run."""
     least = _likely(threshold)
 
     def run(batches):
-        for p, groups in contiguous(batches, ["region", "bi", "bj"]):
+        for p, groups in contiguous(batches, ["run", "bi", "bj"]):
             ids, comp, blk, left, right = p["id"].to_numpy(), p["comp"].to_numpy(), p["blk"].to_numpy(), [], []
             sig = np.frombuffer(b"".join(p["sig"]), "<u2").reshape(len(p), -1)
             for a, b in groups:
@@ -169,66 +274,39 @@ def _across(threshold: float):
 
 
 def crowded_links(crowded: DataFrame, comps: DataFrame, classes: DataFrame, threshold: float, parts: int) -> DataFrame:
-    """a, b: candidates among ``crowded(id, region)`` that ``comps(id, comp)`` doesn't hold together yet."""
-    rows = crowded.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    loose = rows.groupBy("region").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    rows = rows.join(loose.select("region", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb")), "region").join(classes.select("id", "sig"), "id")
+    """a, b: candidates among ``crowded(id, run)`` that ``comps(id, comp)`` doesn't hold together yet."""
+    rows = crowded.distinct().join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    loose = rows.groupBy("run").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    rows = rows.join(loose.select("run", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb")), "run").join(classes.select("id", "sig"), "id")
     rows = rows.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    rows = rows.select("region", F.least("blk", "_o").alias("bi"), F.greatest("blk", "_o").alias("bj"), "blk", "id", "comp", "sig")
-    rows = rows.repartition(parts, "region", "bi", "bj").sortWithinPartitions("region", "bi", "bj")
-    return materialise(rows.mapInPandas(_across(threshold), "a long, b long"), "crowded-links")
-
-
-def _overlap(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of sets i and j."""
-    if len(i) <= 500:
-        return np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(i, j, strict=True)], np.int64)
-    rows, cols = np.unique(i), np.unique(j)
-    used = np.union1d(rows, cols)
-    flat = np.concatenate([sets[x] for x in used])
-    of = np.repeat(np.arange(len(used)), [len(sets[x]) for x in used])
-    column = np.unique(flat, return_inverse=True)[1]
-    shared = np.bincount(column)[column] > 1
-    column, of = np.unique(column[shared], return_inverse=True)[1], of[shared]
-    total = np.zeros((len(rows), len(cols)), np.float32)
-    ri, ci = np.searchsorted(used, rows), np.searchsorted(used, cols)
-    order = np.argsort(column, kind="stable")
-    column, of = column[order], of[order]
-    width = 4096  # columns of the dense part at a time
-    for k in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        lo, hi = np.searchsorted(column, [k, k + width])
-        m = np.zeros((len(used), width), np.float32)
-        m[of[lo:hi], column[lo:hi] - k] = 1
-        total += m[ri] @ m[ci].T
-    return total[np.searchsorted(rows, i), np.searchsorted(cols, j)].round().astype(np.int64)
-
-
-def _confirm(percent: int):
-    """Links of one pair of blocks on full sets, as a spanning forest."""
+    rows = rows.select("run", F.least("blk", "_o").alias("bi"), F.greatest("blk", "_o").alias("bj"), "blk", "id", "comp", "sig")
+    rows = rows.repartition(parts, "run", "bi", "bj").sortWithinPartitions("run", "bi", "bj")
+    return materialise(rows.mapInPandas(_across_blocks(threshold), "a long, b long"), "crowded-links")
+
+
+def linked_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets, ``sets(id, shingles)``, are similar."""
+    both = pairs.join(sets.toDF("a", "s1"), "a").join(sets.toDF("b", "s2"), "b").withColumn("o", F.size(F.array_intersect("s1", "s2")))
+    return materialise(both.where(f"100L * o >= {percent}L * (size(s1) + size(s2) - o)").select("a", "b"), "document-links")
+
+
+def _small_components(percent: int):
+    """Links within each component on full sets, as a spanning forest."""
     least = _likely(percent / 100)
 
     def run(batches):
-        for p, groups in contiguous(batches, ["comp", "bi", "bj"]):
+        for p, groups in contiguous(batches, ["comp"]):
             ids, left, right = p["id"].to_numpy(), [], []
             for a, b in groups:
-                g = p.iloc[a:b]
-                blk, bi, bj = g["blk"].to_numpy(), g["bi"].iloc[0], g["bj"].iloc[0]
-                x, y = np.flatnonzero(blk == bi), np.flatnonzero(blk == bj)
-                if not len(x) or not len(y):
-                    continue
-                sig = np.frombuffer(b"".join(g["sig"]), "<u2").reshape(len(g), -1)
-                i, j = np.nonzero(_alike(sig[x], sig[y]) >= least)
-                i, j = x[i], y[j]
-                if bi == bj:
-                    i, j = i[i < j], j[i < j]
-                if not len(i):
-                    continue
-                sets = [np.frombuffer(s, np.uint64) for s in g["shingles"]]
-                size = np.array([len(s) for s in sets])
-                both = _overlap(sets, i, j)
-                linked = 100 * both >= percent * (size[i] + size[j] - both)
-                left.append(ids[a + i[linked]])
-                right.append(ids[a + j[linked]])
+                sig = np.frombuffer(b"".join(p["sig"].iloc[a:b]), "<u2").reshape(b - a, -1)
+                i, j = np.nonzero(np.triu(_alike(sig, sig) >= least, 1))
+                if len(i):
+                    sets = list(p["shingles"].iloc[a:b])
+                    size = np.array([len(s) for s in sets])
+                    both = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(i, j, strict=True)], np.int64)
+                    on = 100 * both >= percent * (size[i] + size[j] - both)
+                    left.append(ids[a + i[on]])
+                    right.append(ids[a + j[on]])
             if left and sum(map(len, left)):
                 nodes, low = roots(np.concatenate(left), np.concatenate(right))
                 yield pd.DataFrame({"a": nodes, "b": low})[nodes != low]
@@ -236,61 +314,65 @@ def _confirm(percent: int):
     return run
 
 
+def _comps(edges: DataFrame) -> DataFrame:
+    return materialise(connected_components(edges).select(F.col("node").alias("id"), F.col("component").alias("comp")), "components")
+
+
+def set_links(docs: DataFrame, classes: DataFrame, percent: int, width: int) -> DataFrame:
+    """a, b: links between classes, enough of them to connect all that are linked."""
+    threshold, parts = percent / 100, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shared = max([1, *(d for d in range(1, 5) if (1 - threshold**d) ** TREES <= MISS)])
+    regions = forest_regions(sorted_orders(classes, TREES, DEPTH), DEPTH, shared)
+    crowded = materialise(regions.where("crowded").select("id").distinct(), "crowded-documents")
+    own, seen = regions.select("region", "id"), None
+    if not crowded.isEmpty():
+        trees = math.ceil(math.log(MISS) / math.log(1 - threshold**DEEP_SHARED))
+        odd = _odd(TREES * DEPTH + trees * DEEP)[TREES * DEPTH :]
+        sign = lambda sets: pa.array([signature(x, odd).tobytes() for x in sets], pa.binary())
+        deep = materialise(_of_texts(docs, classes.join(crowded, "id").select("id", "rep", "key"), width, "sig", sign).select("id", "sig"), "deep-signatures")
+        seen = forest_regions(sorted_orders(deep, trees, DEEP), DEEP, DEEP_SHARED)
+        own = own.unionByName(seen.select("region", "id"))
+    edges = region_pairs(own, classes, threshold, "forest", parts)
+    comps = _comps(edges)
+    more = None
+    if seen is not None:
+        more = crowded_links(seen.where("crowded").select("id", "run"), comps, classes, threshold, parts)
+        if not more.isEmpty():
+            comps = _comps(comps.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(more))
+
+    sizes = comps.groupBy("comp").agg(F.count("*").alias("m"))
+    members = comps.join(sizes, "comp").join(classes, "id").select("id", "rep", "key", "comp", "sig", F.expr(f"m <= {BLOCK}").alias("small"))
+    shingles = lambda sets: pa.array([x.astype(np.int64) for x in sets], pa.list_(pa.int64()))
+    full = materialise(_of_texts(docs, members, width, "shingles", shingles).drop("rep", "key"), "full-sets")
+    small = full.where("small").select("comp", "id", "sig", "shingles").repartition(parts, "comp").sortWithinPartitions("comp")
+    links = small.mapInPandas(_small_components(percent), "a long, b long")
+    large = full.where("not small").select("id", "shingles")
+    if not large.isEmpty():
+        # Each document of a large component meets its likeliest neighbours first, then only those that this left apart.
+        own = own.join(large.select("id"), "id")
+        first = linked_pairs(region_pairs(own, classes, threshold, "best", parts).distinct(), large, percent)
+        apart = _comps(first)
+        own = own.join(apart, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        rest = region_pairs(own, classes, threshold, "across", parts)
+        rest = rest if more is None else rest.unionByName(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        links = links.unionByName(first).unionByName(linked_pairs(rest.distinct(), large, percent))
+    return links
+
+
 def near_documents(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row; links: 100 * intersection >= percent * union."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """doc_id, n_shingles, component_id, kept for every row of ``docs(doc_id, text)``; links: 100 * intersection >= percent * union."""
     sets = materialise(document_sets(docs, width), "document-sets")
-    classes = sets.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"))
-    classes = materialise(classes, "set-classes")
-
-    last = f"p{DEPTHS[-1]}"
-    columns = ", ".join(f"p{d} long" for d in DEPTHS)
-    rows = classes.select("id", "sig").mapInPandas(_prefixes, f"id long, {columns}")
-    shared = rows.groupBy(f"p{DEPTHS[0]}").agg(F.count("*").alias("n")).where("n > 1")
-    near = rows.join(shared.withColumnRenamed("n", f"n{DEPTHS[0]}"), f"p{DEPTHS[0]}")
-    near = shallow = materialise(near, "shared-prefixes")
-    for d in DEPTHS[1:]:
-        near = near.join(near.groupBy(f"p{d}").agg(F.count("*").alias(f"n{d}")), f"p{d}")
-    region, size = F.col(last), F.col(f"n{DEPTHS[-1]}")
-    for d in reversed(DEPTHS[:-1]):
-        fits = F.col(f"n{d}") <= REGION
-        region, size = F.when(fits, F.col(f"p{d}")).otherwise(region), F.when(fits, F.col(f"n{d}")).otherwise(size)
-    near = materialise(near.select("id", region.alias("region"), size.alias("m")).where("m > 1"), "regions")
-    heads = near.where(f"m > {REGION}").groupBy("region").agg(F.min("id").alias("low"))
-    untested = near.where(f"m > {REGION}").join(heads, "region").where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
-    tested = near.where(f"m <= {REGION}").select("id", "region").join(classes.select("id", "sig"), "id")
-    tested = tested.repartition(parts, "region").sortWithinPartitions("region").mapInPandas(_candidates(percent / 100), "a long, b long")
-    comps = connected_components(tested.unionByName(untested)).select(F.col("node").alias("id"), F.col("component").alias("comp"))
-    comps = materialise(comps, "candidate-components")
-    crowded = shallow.where(f"n{DEPTHS[0]} > {REGION}").select("id", F.col(f"p{DEPTHS[0]}").alias("region"))
-    more = crowded_links(crowded, comps, classes, percent / 100, parts)
-    if not more.isEmpty():
-        edges = comps.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(more)
-        comps = connected_components(edges).select(F.col("node").alias("id"), F.col("component").alias("comp"))
-        comps = materialise(comps, "candidate-components")
-
-    blocks = comps.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
-    members = comps.join(blocks, "comp").join(classes.select("id", "sig"), "id")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(members, "id").dropDuplicates(["id"])
-
-    def shingles(batches):
-        hashes = _WordHash()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
-                own = [shingle_set(t, hashes, width).tobytes() for t in b["text"].to_pylist()]
-                yield pa.RecordBatch.from_arrays([b["id"], b["comp"], b["nb"], b["sig"], b["blk"], pa.array(own, pa.binary())], names=["id", "comp", "nb", "sig", "blk", "shingles"])
-
-    blk = F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")
-    full = texts.withColumn("blk", blk).select("id", "comp", "nb", "sig", "blk", "text").mapInArrow(shingles, "id long, comp long, nb int, sig binary, blk int, shingles binary")
-    full = full.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    full = full.withColumn("bi", F.least("blk", "_o")).withColumn("bj", F.greatest("blk", "_o")).drop("_o", "nb")
-    full = full.repartition(parts, "comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj")
-    linked = connected_components(full.mapInPandas(_confirm(percent), "a long, b long"))
-    by_class = classes.select("key", "id").join(linked.select(F.col("node").alias("id"), "component"), "id", "left").select("key", F.coalesce("component", "id").alias("component"))
-    out = sets.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(by_class, "key", "left")
-    component = F.coalesce("component", "doc_id")
+    classes = set_classes(sets)
+    rows = sets.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(classes.select("key", "id"), "key", "left")
+    rows = materialise(rows.select("doc_id", "n_shingles", "id"), "document-classes")
+    # An id with several texts is one document, which links with what any of them links with.
+    several = rows.where("id is not null").groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("doc_id", "a")
+    same = rows.join(several, "doc_id").select("a", F.col("id").alias("b"))
+    comps = _comps(set_links(docs, classes, percent, width).unionByName(same))
+    by_class = classes.select("id", "rep").join(comps, "id", "left").select("id", "rep", F.coalesce("comp", "id").alias("comp"))
+    lowest = by_class.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    out = rows.join(by_class.join(lowest, "comp").select("id", "component_id"), "id", "left")
+    component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 

@@ -1,7 +1,7 @@
 import corpus_pipeline as p
-from orelode.llm import minhash_dedup, source_mix
+from orelode.llm import source_mix
 
-from .common import awkward
+from .common import awkward, prose
 from .common import docs as table
 from .test_sets import plain_sets
 
@@ -24,7 +24,24 @@ def test_near_dedup_leaves_one_of_each_group(spark, sf_dir):
     sets = plain_sets(left)
     ids = sorted(sets)
     assert not [(a, b) for a in ids for b in ids if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
-    assert minhash_dedup.TREES * minhash_dedup.DEPTH == 128
+    # What goes is like something that stays or goes: every text that is alone is still there.
+    every = plain_sets(docs.select("doc_id", "text").collect())
+    alone = {a for a in every if not any(a != b and every[a] and every[b] and 100 * len(every[a] & every[b]) >= 80 * len(every[a] | every[b]) for b in every)}
+    assert alone <= set(ids)
+
+
+def test_near_dedup_tells_rows_apart(spark, sf_dir):
+    a, b = prose(2, 31, 2000, (60, 60))
+    rows = [(5, a, "en", "x", 1), (5, a, "en", "x", 1), (5, b, "en", "x", 1), (3, b + " end", "en", "x", 1), (None, a, "en", "x", 1), (9, None, "en", "x", 1), (9, " ", "en", "x", 1)]
+    left = sorted(((r.doc_id or 0), r.text or "") for r in p.near_dedup(spark, table(spark, rows), sf_dir).collect())
+    assert left == [(3, b + " end"), (5, a), (9, ""), (9, " ")]
+    assert p.near_dedup(spark, table(spark, []), sf_dir).count() == 0
+
+
+def test_line_dedup_stage(spark, sf_dir):
+    rows = [(1, "one fish\ntwo fish", "en", "x", 17), (2, "Two  fish\nred fish", "en", "x", 18), (3, "red fish", "en", "x", 8), (4, None, "en", "x", None), (None, "one fish", "en", "x", 8), (5, "", "en", "x", 0)]
+    got = {r.doc_id: (r.text, r.n_chars) for r in p.line_dedup(spark, table(spark, rows), sf_dir).collect()}
+    assert got == {1: ("one fish\ntwo fish", 17), 2: ("red fish", 8), 4: (None, None), None: ("one fish", 8), 5: ("", 0)}
 
 
 def test_mixing_takes_rows_without_id_and_repeated_rows(spark, sf_dir):

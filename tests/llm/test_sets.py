@@ -142,6 +142,49 @@ def test_dense_region(spark, monkeypatch):
     check_documents(spark, data + [(1000 + k, t, "en", "a", 1) for k, t in enumerate(prose(40, 6))])
 
 
+def test_dense_family_that_is_not_one_component(spark, monkeypatch):
+    """A family of loosely alike texts, groups of near copies in it, and everything crowded and large."""
+    for name, n in (("REGION", 6), ("BLOCK", 8)):
+        monkeypatch.setattr(minhash_dedup, name, n)
+    r, base, data = random.Random(14), prose(1, 15, 3000, (160, 160))[0].split(), []
+    for g in range(12):
+        own = list(base)
+        for at in r.sample(range(0, 160, 8), 6):
+            own[at] = f"g{g}"
+        for c in range(6):
+            w = list(own)
+            w[r.randrange(160)] = f"c{g}x{c}"
+            data.append((100 * g + c, " ".join(w), "en", "a", 1))
+    check_documents(spark, data)
+    check_documents(spark, data, 80)
+
+
+def test_recall_in_crowded_regions_at_the_threshold(spark, monkeypatch):
+    """Pairs just over the threshold, all in one crowded family: at least 0.99 are found."""
+    monkeypatch.setattr(minhash_dedup, "REGION", 16)
+    r, base, data = random.Random(16), prose(1, 17, 5000, (400, 400))[0].split(), []
+    for g in range(120):
+        own = list(base)
+        for at in r.sample(range(0, 400, 10), 12):  # families differ in 60 and more of about 400 shingles
+            own[at] = f"g{g}"
+        other = list(own)
+        for at in r.sample([k for k in range(5, 400, 10)], 5):
+            other[at] = f"h{g}"
+        data += [(10 * g, " ".join(own), "en", "a", 1), (10 * g + 1, " ".join(other), "en", "a", 1)]
+    for percent in (80, 85):
+        sets = plain_sets(data)
+        links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+        got = {x.doc_id: x.component_id for x in minhash_dedup.near_documents(docs(spark, data), percent).collect()}
+        assert len(links) >= 100 and np.mean([got[a] == got[b] for a, b in links]) >= 0.99
+
+
+def test_an_id_with_two_texts_links_with_what_either_links_with(spark):
+    a, b = prose(2, 21, 3000, (60, 60))
+    data = [(1, a, "en", "a", 1), (1, b, "en", "a", 1), (2, a + " end", "en", "a", 1), (3, b + " end", "en", "a", 1), (0, "other words stand here now", "en", "a", 1)]
+    got = {x.doc_id: x.component_id for x in minhash_dedup.near_documents(docs(spark, data)).collect()}
+    assert got == {0: 0, 1: 1, 2: 1, 3: 1}
+
+
 def test_crowded_regions_lose_no_pairs(spark, monkeypatch):
     r, data = random.Random(9), []
     for k, t in enumerate(prose(80, 11, 3000, (120, 120))):
