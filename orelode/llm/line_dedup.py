@@ -18,9 +18,10 @@ least ``percent`` / 100 with it. Lines without a word stay and match nothing.
    is a word that only one has.
 4. Pairs left are verified on the words themselves, read from the texts again.
    A line needs one earlier match only: each first meets the earliest line of
-   each of its words within one of ``SALTS`` shares of the word's list, so
-   groups of copies cost no more than their members and no list is one task;
-   only lines that this doesn't settle meet all their other partners.
+   each of its words, so groups of copies cost no more than their members; only
+   lines that this doesn't settle meet all their other partners. A word's level
+   tells how long its list may be: lists of over ``LIST_ROWS`` lines are dealt
+   over several tasks, each with an earliest line of its own.
 
 Every step is written to the shared folder, so the next reads only what it
 needs and earlier shuffle files can go.
@@ -42,7 +43,9 @@ from pyspark.sql import functions as F
 
 from .common import WORD, materialise, read_table
 
-PERCENT, SALTS = 80, 8
+PERCENT = 80
+#: Words that occur more often than this have their lists dealt over several tasks.
+LIST_ROWS = 100_000
 #: Levels of rarity, and slots of the table that holds them: 16 of four bits to a long.
 LEVELS, LONGS = 16, 1 << 16
 SLOTS = LONGS * 16
@@ -72,8 +75,8 @@ def _keys() -> list[Column]:
     return [F.xxhash64("low").alias("k1"), F.xxhash64(F.lit(1), F.col("low")).alias("k2")]
 
 
-def rarity_levels(docs: DataFrame) -> list[int]:
-    """The table of levels: LONGS longs with the levels of 16 slots each.
+def rarity_levels(docs: DataFrame) -> tuple[list[int], list[int]]:
+    """The table of levels, LONGS longs with the levels of 16 slots each; and the largest count of each level.
 
     Exact counts by word first (with map-side partials), then the largest of
     each slot; at most LONGS numbers come to the driver.
@@ -89,7 +92,7 @@ def rarity_levels(docs: DataFrame) -> list[int]:
     table = [0] * LONGS
     for i, v in zip(got["i"].tolist(), got["v"].tolist(), strict=True):
         table[i] = v
-    return table
+    return table, [math.ceil(math.exp((k + 1) * step)) for k in range(LEVELS)]
 
 
 def word_codes(hashes: Column, levels: list[int]) -> Column:
@@ -148,14 +151,16 @@ def _maybe(percent: int) -> str:
 _PAIR = "a.doc_id as d1, a.text_key as t1, a.line as l1, b.doc_id as d2, b.text_key as t2, b.line as l2"
 
 
-def earliest_partners(classes: DataFrame, percent: int, salts: int = SALTS) -> DataFrame:
+def earliest_partners(classes: DataFrame, percent: int, counts: list[int]) -> DataFrame:
     """d1, t1, l1, d2, t2, l2: each class with the likeliest of the earliest classes that its words lead to.
 
     One partner a word at most, so a group of copies gives as many rows as it
-    has members. A word's rows are dealt over ``salts`` tasks and stream by in
-    order of place: only the first of them is held.
+    has members. A word's rows stream by in order of place: only the first of
+    them is held. ``counts``: the most occurrences of a word of each level.
     """
-    index = prefix_index(classes).withColumn("salt", F.pmod(F.xxhash64("doc_id", "line"), F.lit(salts)).cast("int"))
+    shares = F.array(*(F.lit(max(1, n // LIST_ROWS)) for n in counts))
+    level = F.pmod(F.shiftright("word", 60).cast("int") + LEVELS // 2, F.lit(LEVELS))
+    index = prefix_index(classes).withColumn("salt", F.pmod(F.xxhash64("doc_id", "line"), F.get(shares, level)).cast("int"))
     upto = Window.partitionBy("word", "salt").orderBy("doc_id", "text_key", "line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     own = F.struct("doc_id", "text_key", "line", "b0", "b1", "m")
     met = index.select(own.alias("a"), F.first(own).over(upto).alias("b")).where(F.expr(_maybe(percent)))
@@ -200,8 +205,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def lines_to_remove(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_key, gone (array of line numbers) of texts with lines that go."""
     docs = _keyed(docs)
-    classes = line_classes(docs, rarity_levels(docs), percent)
-    hits = verified(earliest_partners(classes, percent), docs, percent)
+    levels, counts = rarity_levels(docs)
+    classes = line_classes(docs, levels, percent)
+    hits = verified(earliest_partners(classes, percent, counts), docs, percent)
     more = verified(other_partners(classes, hits, percent), docs, percent)
     # Later members of a class; lines without a word have none.
     places = classes.select("k1", "k2", F.col("doc_id").alias("d0"), F.col("text_key").alias("t0"), F.col("line").alias("l0"))
