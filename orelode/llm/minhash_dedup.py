@@ -5,12 +5,12 @@ orders are sorted over all partitions; neighbours in an order whose longest
 common prefix has at least ``shared`` hashes are a region (4 at 0.8 or more: the
 chance that a pair at the threshold is in none is (1 - t ** 4) ** 16, 2e-4 at
 0.8 and 7e-6 at 0.85). Where over ``REGION`` documents share a prefix the depth
-adapts: each meets those next to it in the order, with the longest prefixes, and
-all documents of such crowded regions get a second forest of longer orders
-(``DEEP_SHARED`` hashes in common, as many trees as keep the chance under
-``MISS``). What is crowded in that one too, and isn't one component by then, is
-compared block by block. A region cut by a partition's end loses pairs in one
-tree only.
+adapts: each meets those next to it in the order, with the longest prefixes.
+Crowded regions whose documents the links don't hold together by then get a
+second forest of longer orders (``DEEP_SHARED`` hashes in common, as many trees
+as keep the chance under ``MISS``). What is crowded in that one too, and still
+isn't one component, is compared block by block. A region cut by a partition's
+end loses pairs in one tree only.
 
 In a region the share of equal min-hashes over all trees estimates the
 similarity; pairs whose estimate lies ``SIGMAS`` deviations below the threshold
@@ -199,8 +199,8 @@ def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _likely(threshold: float) -> float:
-    return threshold - SIGMAS * math.sqrt(threshold * (1 - threshold) / (TREES * DEPTH))
+def _likely(threshold: float, hashes: int = TREES * DEPTH) -> float:
+    return threshold - SIGMAS * math.sqrt(threshold * (1 - threshold) / hashes)
 
 
 def _candidates(threshold: float, what: str):
@@ -209,12 +209,12 @@ def _candidates(threshold: float, what: str):
     ``forest``: as many as connect what they connect. ``best``: each document
     with the two likeliest. ``across``: all in different components (comp).
     """
-    least = _likely(threshold)
 
     def run(batches):
         for p, groups in contiguous(batches, ["region"]):
             ids, left, right = p["id"].to_numpy(), [], []
             sig = np.frombuffer(b"".join(p["sig"]), "<u2").reshape(len(p), -1)
+            least = _likely(threshold, sig.shape[1])
             comp = p["comp"].to_numpy() if what == "across" else None
             for a, b in groups:
                 if b - a > 1:
@@ -251,13 +251,13 @@ def region_pairs(regions: DataFrame, classes: DataFrame, threshold: float, what:
 
 
 def _across_blocks(threshold: float):
-    """Candidate edges between components, of one pair of blocks of a crowded run."""
-    least = _likely(threshold)
+    """Candidates in different components, of one pair of blocks of a crowded run."""
 
     def run(batches):
         for p, groups in contiguous(batches, ["run", "bi", "bj"]):
             ids, comp, blk, left, right = p["id"].to_numpy(), p["comp"].to_numpy(), p["blk"].to_numpy(), [], []
             sig = np.frombuffer(b"".join(p["sig"]), "<u2").reshape(len(p), -1)
+            least = _likely(threshold, sig.shape[1])
             for a, b in groups:
                 x = a + np.flatnonzero(blk[a:b] == p["bi"].iloc[a])
                 y = a + np.flatnonzero(blk[a:b] == p["bj"].iloc[a])
@@ -267,21 +267,26 @@ def _across_blocks(threshold: float):
                 left.append(ids[x[i]])
                 right.append(ids[y[j]])
             if left and sum(map(len, left)):
-                nodes, low = roots(np.concatenate(left), np.concatenate(right))
-                yield pd.DataFrame({"a": nodes, "b": low})[nodes != low]
+                x, y = np.concatenate(left), np.concatenate(right)
+                yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}).drop_duplicates()
 
     return run
 
 
-def crowded_links(crowded: DataFrame, comps: DataFrame, classes: DataFrame, threshold: float, parts: int) -> DataFrame:
-    """a, b: candidates among ``crowded(id, run)`` that ``comps(id, comp)`` doesn't hold together yet."""
+def loose_runs(crowded: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(run, id, comp) of ``crowded(run, id)``, and (run, m) of the runs that ``comps(id, comp)`` doesn't hold together."""
     rows = crowded.distinct().join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    loose = rows.groupBy("run").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    rows = rows.join(loose.select("run", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb")), "run").join(classes.select("id", "sig"), "id")
+    return rows, rows.groupBy("run").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("run", "m")
+
+
+def crowded_pairs(crowded: DataFrame, comps: DataFrame, signed: DataFrame, threshold: float, parts: int) -> DataFrame:
+    """a, b: candidates of ``crowded(run, id)`` that ``comps(id, comp)`` doesn't hold together, block by block."""
+    rows, loose = loose_runs(crowded, comps)
+    rows = rows.join(loose.select("run", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb")), "run").join(signed.select("id", "sig"), "id")
     rows = rows.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     rows = rows.select("run", F.least("blk", "_o").alias("bi"), F.greatest("blk", "_o").alias("bj"), "blk", "id", "comp", "sig")
     rows = rows.repartition(parts, "run", "bi", "bj").sortWithinPartitions("run", "bi", "bj")
-    return materialise(rows.mapInPandas(_across_blocks(threshold), "a long, b long"), "crowded-links")
+    return rows.mapInPandas(_across_blocks(threshold), "a long, b long")
 
 
 def linked_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -318,45 +323,53 @@ def _comps(edges: DataFrame) -> DataFrame:
     return materialise(connected_components(edges).select(F.col("node").alias("id"), F.col("component").alias("comp")), "components")
 
 
+def full_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """``members(id, rep, key, ...)`` with their sets (array of hashes) instead of rep and key."""
+    shingles = lambda sets: pa.array([x.astype(np.int64) for x in sets], pa.list_(pa.int64()))
+    return materialise(_of_texts(docs, members, width, "shingles", shingles).drop("rep", "key"), "full-sets")
+
+
 def set_links(docs: DataFrame, classes: DataFrame, percent: int, width: int) -> DataFrame:
     """a, b: links between classes, enough of them to connect all that are linked."""
     threshold, parts = percent / 100, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shared = max([1, *(d for d in range(1, 5) if (1 - threshold**d) ** TREES <= MISS)])
     regions = forest_regions(sorted_orders(classes, TREES, DEPTH), DEPTH, shared)
-    crowded = materialise(regions.where("crowded").select("id").distinct(), "crowded-documents")
-    own, seen = regions.select("region", "id"), None
-    if not crowded.isEmpty():
-        trees = math.ceil(math.log(MISS) / math.log(1 - threshold**DEEP_SHARED))
-        odd = _odd(TREES * DEPTH + trees * DEEP)[TREES * DEPTH :]
-        sign = lambda sets: pa.array([signature(x, odd).tobytes() for x in sets], pa.binary())
-        deep = materialise(_of_texts(docs, classes.join(crowded, "id").select("id", "rep", "key"), width, "sig", sign).select("id", "sig"), "deep-signatures")
-        seen = forest_regions(sorted_orders(deep, trees, DEEP), DEEP, DEEP_SHARED)
-        own = own.unionByName(seen.select("region", "id"))
-    edges = region_pairs(own, classes, threshold, "forest", parts)
-    comps = _comps(edges)
-    more = None
-    if seen is not None:
-        more = crowded_links(seen.where("crowded").select("id", "run"), comps, classes, threshold, parts)
-        if not more.isEmpty():
-            comps = _comps(comps.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(more))
-
+    comps = _comps(region_pairs(regions, classes, threshold, "forest", parts))
     sizes = comps.groupBy("comp").agg(F.count("*").alias("m"))
     members = comps.join(sizes, "comp").join(classes, "id").select("id", "rep", "key", "comp", "sig", F.expr(f"m <= {BLOCK}").alias("small"))
-    shingles = lambda sets: pa.array([x.astype(np.int64) for x in sets], pa.list_(pa.int64()))
-    full = materialise(_of_texts(docs, members, width, "shingles", shingles).drop("rep", "key"), "full-sets")
+    full = full_sets(docs, members, width)
     small = full.where("small").select("comp", "id", "sig", "shingles").repartition(parts, "comp").sortWithinPartitions("comp")
     links = small.mapInPandas(_small_components(percent), "a long, b long")
     large = full.where("not small").select("id", "shingles")
     if not large.isEmpty():
         # Each document of a large component meets its likeliest neighbours first, then only those that this left apart.
-        own = own.join(large.select("id"), "id")
+        own = regions.join(large.select("id"), "id")
         first = linked_pairs(region_pairs(own, classes, threshold, "best", parts).distinct(), large, percent)
-        apart = _comps(first)
-        own = own.join(apart, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        rest = region_pairs(own, classes, threshold, "across", parts)
-        rest = rest if more is None else rest.unionByName(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-        links = links.unionByName(first).unionByName(linked_pairs(rest.distinct(), large, percent))
-    return links
+        own = own.join(_comps(first), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        links = links.unionByName(first).unionByName(linked_pairs(region_pairs(own, classes, threshold, "across", parts).distinct(), large, percent))
+    links = materialise(links, "set-links")
+
+    crowded = regions.where("crowded").select("run", "id")
+    linked = _comps(links)
+    rows, loose = loose_runs(crowded, linked)
+    apart = materialise(rows.join(loose, "run").select("id").distinct(), "crowded-documents")
+    if apart.isEmpty():
+        return links
+    trees = math.ceil(math.log(MISS) / math.log(1 - threshold**DEEP_SHARED))
+    odd = _odd(TREES * DEPTH + trees * DEEP)[TREES * DEPTH :]
+    sign = lambda sets: pa.array([signature(x, odd).tobytes() for x in sets], pa.binary())
+    named = classes.select("id", "rep", "key")
+    deep = materialise(_of_texts(docs, named.join(apart, "id"), width, "sig", sign).select("id", "sig"), "deep-signatures")
+    seen = forest_regions(sorted_orders(deep, trees, DEEP), DEEP, DEEP_SHARED)
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        pairs = materialise(pairs.distinct(), "crowded-pairs")
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        return linked_pairs(pairs, full_sets(docs, named.join(ends, "id"), width), percent)
+
+    own = seen.join(linked, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    links = links.unionByName(confirmed(region_pairs(own, deep, threshold, "across", parts)))
+    return links.unionByName(confirmed(crowded_pairs(seen.where("crowded").select("run", "id"), _comps(links), deep, threshold, parts)))
 
 
 def near_documents(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:

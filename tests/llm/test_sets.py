@@ -243,7 +243,8 @@ def test_line_dedup_edges(spark):
     assert left in (["Red  fish", "blue fish", "green fish"], ["Red  fish", "blue fish\ngreen fish", ""], ["", "Red  fish", "blue fish\ngreen fish"])
 
 
-def test_hot_words_and_groups_of_line_copies(spark):
+def test_hot_words_and_groups_of_line_copies(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "LIST_ROWS", 20)
     r, words = random.Random(8), prose(1, 3, 4000, (40, 40))[0].split()
     rows = [(k, " ".join([*words[: k % 40], f"n{r.randint(0, 9)}", *words[k % 40 + 1 :]]), "en", "a", 1) for k in range(300)] + [(1000 + k, f"page {k}", "en", "a", 1) for k in range(200)]
     left = {x.doc_id for x in line_dedup.dedup_lines(docs(spark, rows)).where("n_removed = 0").collect()}
