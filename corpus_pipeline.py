@@ -7,10 +7,14 @@ return the columns of ``documents``.
 
 from __future__ import annotations
 
+import os
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orelode.llm.common import WORD, materialise, read_table
+from orelode.llm.common import MADE, WORD, delete_folders, materialise, read_table
 from orelode.llm.line_dedup import dedup_lines
 from orelode.llm.minhash_dedup import near_documents
 from orelode.llm.packing import pack_documents
@@ -71,7 +75,29 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs)
 
 
-STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("packing", packing)]
+_left: list[str] = []
+
+
+def _tidy(stage: Callable[[SparkSession, DataFrame, str], DataFrame], first: bool = False) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """``stage``, which begins by deleting the scratch tables of the stage before it: its result is written by then.
+
+    Tables that ``docs`` still reads stay.
+    """
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if not first:
+            read = docs.inputFiles()
+            delete_folders(spark, [x for x in _left if not any(os.path.basename(x) in f for f in read)])
+        before = len(MADE)
+        out = stage(spark, docs, sf_dir)
+        _left[:] = MADE[before:]
+        return out
+
+    return run_stage
+
+
+STAGES = [("toxicity", _tidy(toxicity, first=True)), ("line_dedup", _tidy(line_dedup)), ("near_dedup", _tidy(near_dedup)), ("mixing", _tidy(mixing)), ("packing", _tidy(packing))]
 
 #: The model, the similarity joins and the tokenizer aren't SQL.
 ORACLE_SQL = None

@@ -57,7 +57,28 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    MADE.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+#: Folders that ``materialise`` has written in this process, the last one last.
+MADE: list[str] = []
+
+
+def delete_folders(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders of the shared store; those that are gone already are no error."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` returned, once all that is made of them is written itself."""
+    for t in tables:
+        delete_folders(t.sparkSession, [t.scratch_path])
 
 
 def slices(batches, rows: int = 500):

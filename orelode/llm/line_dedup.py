@@ -41,13 +41,13 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise, read_table
+from .common import WORD, discard, materialise, read_table
 
 PERCENT = 80
 #: Words that occur more often than this have their lists dealt over several tasks.
 LIST_ROWS = 100_000
 #: Levels of rarity, and slots of the table that holds them: 16 of four bits to a long.
-LEVELS, LONGS = 16, 1 << 16
+LEVELS, LONGS = 16, 1 << 14
 SLOTS = LONGS * 16
 #: Larger n and positions are not told apart in the index; such pairs are left to verification.
 MOST = (1 << 16) - 1
@@ -92,6 +92,7 @@ def rarity_levels(docs: DataFrame) -> tuple[list[int], list[int]]:
     table = [0] * LONGS
     for i, v in zip(got["i"].tolist(), got["v"].tolist(), strict=True):
         table[i] = v
+    discard(slots)
     return table, [math.ceil(math.exp((k + 1) * step)) for k in range(LEVELS)]
 
 
@@ -187,7 +188,8 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """d1, t1, l1 of pairs whose sets of words are similar, read from the texts of ``docs(doc_id, text_key, text)``."""
     ends = F.explode(F.array(F.struct(F.col("d1").alias("doc_id"), F.col("t1").alias("text_key"), F.col("l1").alias("line")), F.struct(F.col("d2").alias("doc_id"), F.col("t2").alias("text_key"), F.col("l2").alias("line"))))
     wanted = pairs.select(ends.alias("e")).groupBy("e.doc_id", "e.text_key").agg(F.collect_set("e.line").alias("lines"))  # lines of one text
-    texts = docs.join(wanted, ["doc_id", "text_key"]).select("doc_id", "text_key", "lines", F.split(F.lower("text"), "\n").alias("_all"))
+    # Never broadcast, so that the plan is the same at every size.
+    texts = docs.hint("merge").join(wanted, ["doc_id", "text_key"]).select("doc_id", "text_key", "lines", F.split(F.lower("text"), "\n").alias("_all"))
     sets = texts.select("doc_id", "text_key", F.explode("lines").alias("line"), "_all").select("doc_id", "text_key", "line", F.get("_all", F.col("line")).alias("low"))
     words = F.array_remove(F.array_distinct(F.split(_spaced(F.col("low")), " ")), "")
     sets = materialise(sets.select("doc_id", "text_key", "line", words.alias("words")), "line-words")
@@ -195,7 +197,9 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     two = sets.toDF("d2", "t2", "l2", "c2")
     both = pairs.join(one, ["d1", "t1", "l1"]).join(two, ["d2", "t2", "l2"]).withColumn("o", F.size(F.array_intersect("c1", "c2")))
     hit = both.where(f"100L * o >= {percent}L * (size(c1) + size(c2) - o)").select("d1", "t1", "l1").distinct()
-    return materialise(hit, "line-hits")
+    hit = materialise(hit, "line-hits")
+    discard(sets, pairs)
+    return hit
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -213,14 +217,16 @@ def lines_to_remove(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     places = classes.select("k1", "k2", F.col("doc_id").alias("d0"), F.col("text_key").alias("t0"), F.col("line").alias("l0"))
     again = lines_of(docs).select("doc_id", "text_key", "line", *_keys()).join(places, ["k1", "k2"]).where("doc_id <> d0 or text_key <> t0 or line <> l0")
     gone = hits.unionByName(more).toDF("doc_id", "text_key", "line").unionByName(again.select("doc_id", "text_key", "line"))
-    return materialise(gone.groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("gone")), "lines-gone")
+    gone = materialise(gone.groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("gone")), "lines-gone")
+    discard(classes, hits, more)
+    return gone
 
 
 def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs(doc_id, text, ...)`` with text reduced to the lines that stay, and n_lines, n_removed (long)."""
     gone = lines_to_remove(docs, percent).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("gone").alias("_gone"))
     own = docs.select(*(c for c in docs.columns if c not in ("n_lines", "n_removed")))
-    out = own.join(gone, (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left")
+    out = own.hint("merge").join(gone, (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left")
     every = F.split("text", "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(every) - 1), "_gone")
     clean = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform("_stay", lambda i: F.get("_all", i)), "\n"))

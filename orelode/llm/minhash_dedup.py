@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, long_rows, lower_ascii, materialise, read_table, roots, slices
+from .common import connected_components, discard, long_rows, lower_ascii, materialise, read_table, roots, slices
 from .embedding_dedup import contiguous
 
 TREES, DEPTH = 16, 8
@@ -113,21 +113,20 @@ def set_classes(sets: DataFrame) -> DataFrame:
     return materialise(own.select(F.monotonically_increasing_id().alias("id"), "rep", "key", "sig"), "set-classes")
 
 
-def _of_texts(docs: DataFrame, members: DataFrame, width: int, column: str, make) -> DataFrame:
-    """``members(id, rep, key, ...)`` with ``column`` made from the shingles of one text that has the set."""
+def full_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """``members(id, rep, key, ...)`` with their sets (shingles, array of hashes) instead of rep and key."""
     names = members.columns
-    rows = long_rows(docs).select(F.col("doc_id").cast("long").alias("rep"), "text").join(members, "rep").select(*names, "text")
+    rows = long_rows(docs).select(F.col("doc_id").cast("long").alias("rep"), "text").hint("merge").join(members, "rep").select(*names, "text")
 
     def run(batches):
         hashes = _WordHash()
         for b in slices(batches):
             own = [shingle_set(t, hashes, width) for t in b["text"].to_pylist()]
             right = [k for k, (x, key) in enumerate(zip(own, b["key"].to_pylist(), strict=True)) if _digest(x) == key]
-            yield pa.RecordBatch.from_arrays([*(b[c].take(pa.array(right, pa.int64())) for c in names), make([own[k] for k in right])], names=[*names, column])
+            yield pa.RecordBatch.from_arrays([*(b[c].take(pa.array(right, pa.int64())) for c in names), pa.array([own[k].astype(np.int64) for k in right], pa.list_(pa.int64()))], names=[*names, "shingles"])
 
-    kind = "binary" if column == "sig" else "array<long>"
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in members.schema)
-    return rows.mapInArrow(run, f"{fields}, {column} {kind}").dropDuplicates(["id"])
+    return materialise(rows.mapInArrow(run, f"{fields}, shingles array<long>").dropDuplicates(["id"]).drop("rep", "key"), "full-sets")
 
 
 def sorted_orders(classes: DataFrame, trees: int, depth: int) -> DataFrame:
@@ -323,18 +322,14 @@ def _comps(edges: DataFrame) -> DataFrame:
     return materialise(connected_components(edges).select(F.col("node").alias("id"), F.col("component").alias("comp")), "components")
 
 
-def full_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
-    """``members(id, rep, key, ...)`` with their sets (array of hashes) instead of rep and key."""
-    shingles = lambda sets: pa.array([x.astype(np.int64) for x in sets], pa.list_(pa.int64()))
-    return materialise(_of_texts(docs, members, width, "shingles", shingles).drop("rep", "key"), "full-sets")
-
-
 def set_links(docs: DataFrame, classes: DataFrame, percent: int, width: int) -> DataFrame:
     """a, b: links between classes, enough of them to connect all that are linked."""
     threshold, parts = percent / 100, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shared = max([1, *(d for d in range(1, 5) if (1 - threshold**d) ** TREES <= MISS)])
     regions = forest_regions(sorted_orders(classes, TREES, DEPTH), DEPTH, shared)
     comps = _comps(region_pairs(regions, classes, threshold, "forest", parts))
+    crowded = materialise(regions.where("crowded").select("run", "id").distinct(), "crowded-runs")
+    comps = comps.unionByName(crowded.select("id").distinct().join(comps, "id", "left_anti").select("id", F.col("id").alias("comp")))
     sizes = comps.groupBy("comp").agg(F.count("*").alias("m"))
     members = comps.join(sizes, "comp").join(classes, "id").select("id", "rep", "key", "comp", "sig", F.expr(f"m <= {BLOCK}").alias("small"))
     full = full_sets(docs, members, width)
@@ -349,27 +344,32 @@ def set_links(docs: DataFrame, classes: DataFrame, percent: int, width: int) ->
         links = links.unionByName(first).unionByName(linked_pairs(region_pairs(own, classes, threshold, "across", parts).distinct(), large, percent))
     links = materialise(links, "set-links")
 
-    crowded = regions.where("crowded").select("run", "id")
     linked = _comps(links)
     rows, loose = loose_runs(crowded, linked)
     apart = materialise(rows.join(loose, "run").select("id").distinct(), "crowded-documents")
     if apart.isEmpty():
+        discard(full, regions)
         return links
     trees = math.ceil(math.log(MISS) / math.log(1 - threshold**DEEP_SHARED))
-    odd = _odd(TREES * DEPTH + trees * DEEP)[TREES * DEPTH :]
-    sign = lambda sets: pa.array([signature(x, odd).tobytes() for x in sets], pa.binary())
-    named = classes.select("id", "rep", "key")
-    deep = materialise(_of_texts(docs, named.join(apart, "id"), width, "sig", sign).select("id", "sig"), "deep-signatures")
+    deep = materialise(full.join(apart, "id").select("id", "shingles").mapInArrow(_deep_signatures(trees), "id long, sig binary"), "deep-signatures")
     seen = forest_regions(sorted_orders(deep, trees, DEEP), DEEP, DEEP_SHARED)
+    own = seen.join(linked, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    links = links.unionByName(linked_pairs(region_pairs(own, deep, threshold, "across", parts).distinct(), full, percent))
+    pairs = crowded_pairs(seen.where("crowded").select("run", "id"), _comps(links), deep, threshold, parts)
+    links = links.unionByName(linked_pairs(pairs.distinct(), full, percent))
+    discard(full, regions, seen, deep)
+    return links
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = materialise(pairs.distinct(), "crowded-pairs")
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        return linked_pairs(pairs, full_sets(docs, named.join(ends, "id"), width), percent)
 
-    own = seen.join(linked, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    links = links.unionByName(confirmed(region_pairs(own, deep, threshold, "across", parts)))
-    return links.unionByName(confirmed(crowded_pairs(seen.where("crowded").select("run", "id"), _comps(links), deep, threshold, parts)))
+def _deep_signatures(trees: int):
+    def run(batches):
+        odd = _odd(TREES * DEPTH + trees * DEEP)[TREES * DEPTH :]
+        for b in slices(batches):
+            values, at = b["shingles"].values.to_numpy(), b["shingles"].offsets.to_numpy()
+            sig = [signature(values[x:y].view(np.uint64), odd).tobytes() for x, y in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([b["id"], pa.array(sig, pa.binary())], names=["id", "sig"])
+
+    return run
 
 
 def near_documents(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
