@@ -290,8 +290,9 @@ def crowded_pairs(crowded: DataFrame, comps: DataFrame, signed: DataFrame, thres
 
 def linked_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets, ``sets(id, shingles)``, are similar."""
-    both = pairs.join(sets.toDF("a", "s1"), "a").join(sets.toDF("b", "s2"), "b").withColumn("o", F.size(F.array_intersect("s1", "s2")))
-    return materialise(both.where(f"100L * o >= {percent}L * (size(s1) + size(s2) - o)").select("a", "b"), "document-links")
+    one, two = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s_{x}")) for x in "ab")
+    both = pairs.join(one, "a").join(two, "b").withColumn("o", F.size(F.array_intersect("s_a", "s_b")))
+    return materialise(both.where(f"100L * o >= {percent}L * (size(s_a) + size(s_b) - o)").select("a", "b"), "document-links")
 
 
 def _small_components(percent: int):
