@@ -153,7 +153,7 @@ def regions_of(tree: np.ndarray, h: np.ndarray, shared: int, part: int) -> tuple
 
     Up to REGION such neighbours are one region. Where there are more, each
     row meets those next to it in the order, which have the longest prefixes in
-    common: windows of REGION rows, half over the next. So the depth adapts.
+    common: windows of REGION rows, a quarter over the next. So the depth adapts.
     """
     lcp = np.cumprod(h[1:] == h[:-1], axis=1).sum(1) * (tree[1:] == tree[:-1])
     start = np.flatnonzero(np.append(True, lcp < shared))
@@ -163,10 +163,11 @@ def regions_of(tree: np.ndarray, h: np.ndarray, shared: int, part: int) -> tuple
     key = tree.astype(np.uint64) + np.uint64(1)
     for k in range(shared):
         key = _mix(key * _STEP + h[:, k].astype(np.uint64))
-    window = at // max(1, REGION // 2)
+    stride = max(1, REGION * 3 // 4)
+    window = at // stride
     own = np.where(crowded, _mix(key + _STEP * (window + 1).astype(np.uint64) + np.uint64(part + 1)), key)
     last = _mix(key + _STEP * window.astype(np.uint64) + np.uint64(part + 1))
-    rows, again = np.flatnonzero(size[of] > 1), np.flatnonzero(crowded & (window > 0))
+    rows, again = np.flatnonzero(size[of] > 1), np.flatnonzero(crowded & (window > 0) & (at % stride < REGION - stride))
     return np.append(rows, again), np.append(own[rows], last[again]).astype(np.int64), crowded[np.append(rows, again)]
 
 
