@@ -48,10 +48,12 @@ def plan_records(pages: DataFrame, revisit_from: int = REVISIT_FROM) -> DataFram
     ids = pages.select("page_id", F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), "[\\r\\n]", "").alias("url"), F.sha2(raw, 256).alias("sha256"), F.sha1(raw).alias("sha1"), F.octet_length(raw).cast("long").alias("payload_bytes"))
     ids = materialise(ids, "page-digests")
     same = ids.groupBy("sha256", "page_id").agg(F.count("*").alias("n"), F.min("sha1").alias("sha1"), F.min("payload_bytes").alias("payload_bytes"), F.array_sort(F.collect_list("url")).alias("urls"))
-    best = ids.groupBy("sha256").agg(F.max("page_id").alias("best"), F.count("*").alias("total"), F.min("sha1").alias("a"), F.max("sha1").alias("b"), F.min("payload_bytes").alias("c"), F.max("payload_bytes").alias("d"))
+    best = ids.groupBy("sha256").agg(F.max("page_id").alias("best"), F.min("sha1").alias("a"), F.max("sha1").alias("b"), F.min("payload_bytes").alias("c"), F.max("payload_bytes").alias("d"))
     # A strong digest is trusted only where length and second digest agree too.
-    best = best.withColumn("total", F.when((F.col("a") == F.col("b")) & (F.col("c") == F.col("d")), F.col("total")).otherwise(F.raise_error(F.concat(F.lit("two payloads share the digest "), F.col("sha256"))).cast("long")))
-    rows = same.join(best.select("sha256", "best", "total"), "sha256").select("*", F.posexplode("urls").alias("ord", "url"))
+    # The check stands in a column that every record's header is made of, so it can't be pruned.
+    one = (F.col("a") == F.col("b")) & (F.col("c") == F.col("d"))
+    best = best.select("sha256", F.when(one, F.col("best")).otherwise(F.raise_error(F.concat(F.lit("two payloads share the digest "), F.col("sha256"))).cast(best.schema["best"].dataType)).alias("best"))
+    rows = same.join(best, "sha256").select("*", F.posexplode("urls").alias("ord", "url"))
     leads = F.col("page_id").eqNullSafe(F.col("best")) & (F.col("ord") == 0)
     large = F.col("payload_bytes") >= revisit_from
     return rows.select(
