@@ -117,16 +117,16 @@ def mercator_to_lonlat(x: Column, y: Column) -> tuple[Column, Column]:
 
 #: Colour stops (position, red, green, blue).
 RAMPS = {
-    "inferno": ((0.0, 0, 0, 4), (0.25, 87, 16, 110), (0.5, 188, 55, 84), (0.75, 249, 142, 9), (1.0, 252, 255, 164)),
-    "viridis": ((0.0, 68, 1, 84), (0.25, 59, 82, 139), (0.5, 33, 145, 140), (0.75, 94, 201, 98), (1.0, 253, 231, 37)),
-    "terrain": ((0.0, 51, 102, 153), (0.35, 102, 178, 102), (0.7, 204, 178, 102), (1.0, 255, 255, 255)),
-    "default": ((0.0, 43, 131, 186), (0.5, 255, 255, 191), (1.0, 215, 25, 28)),
+    "inferno": ((0.0, 0, 0, 4), (0.2, 43, 10, 90), (0.45, 120, 28, 109), (0.7, 209, 58, 47), (1.0, 255, 59, 47)),
+    "viridis": ((0.0, 68, 1, 84), (0.25, 59, 82, 139), (0.5, 33, 144, 140), (0.75, 93, 200, 99), (1.0, 253, 231, 37)),
+    "terrain": ((0.0, 43, 131, 186), (0.35, 171, 221, 164), (0.6, 102, 189, 99), (0.8, 253, 174, 97), (1.0, 215, 25, 28)),
+    "default": ((0.0, 44, 123, 182), (0.25, 0, 166, 202), (0.5, 0, 204, 106), (0.75, 249, 208, 87), (1.0, 215, 25, 28)),
 }
 
 
 def colour_ramp(t: Column, palette: str = "inferno") -> Column:
     """struct(r, g, b) of 8 bits for t in [0, 1], linear between stops."""
-    stops = RAMPS.get(palette, RAMPS["default"])
+    stops = RAMPS.get(palette.lower(), RAMPS["default"])
     own = clamp(t, 0.0, 1.0)
 
     def channel(k: int) -> Column:

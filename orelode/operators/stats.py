@@ -119,7 +119,7 @@ def type_profile(df: DataFrame) -> DataFrame:
 
 
 #: Words in a column's name that suggest a measure.
-MEASURE_WORDS = ("grade", "ppm", "pct", "value", "assay", "conc", "au", "cu", "ag")
+MEASURE_WORDS = ("au", "gold", "cu", "copper", "zn", "zinc", "pb", "lead", "ag", "silver", "grade", "ppm", "ppb", "pct", "%", "value", "assay")
 
 
 def measure_ranking(df: DataFrame, k: int = 10) -> DataFrame:

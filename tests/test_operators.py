@@ -208,3 +208,20 @@ def test_long_bending_contour_is_one_line(spark):
     assert len({r.line_id for r in got}) == 1 and len(got) == 201 and not any(r.closed for r in got)
     order = [round(r.y) for r in sorted(got, key=lambda r: r.seq)]
     assert order in (list(range(201)), list(range(200, -1, -1)))
+
+
+def test_fixed_values():
+    from orelode.functions import RAMPS
+    from orelode.operators.stats import MEASURE_WORDS
+
+    assert RAMPS["inferno"][2] == (0.45, 120, 28, 109) and RAMPS["viridis"][3] == (0.75, 93, 200, 99) and RAMPS["default"][1] == (0.25, 0, 166, 202)
+    assert len(MEASURE_WORDS) == 17 and "conc" not in MEASURE_WORDS
+    assert all(r[0][0] == 0.0 and r[-1][0] == 1.0 and [x[0] for x in r] == sorted(x[0] for x in r) for r in RAMPS.values())
+
+
+def test_colour_ramp_hits_its_stops(spark):
+    from orelode.functions import RAMPS, colour_ramp
+
+    for name, stops in RAMPS.items():
+        got = spark.createDataFrame([(s[0],) for s in stops], "t double").select(colour_ramp(F.col("t"), name).alias("c")).collect()
+        assert [tuple(r.c) for r in got] == [s[1:] for s in stops]
