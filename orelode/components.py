@@ -37,18 +37,8 @@ def _contract(batches):
         yield pd.DataFrame({"a": nodes[far], "b": low[far]})
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """(node, component) for every node of ``edges(a, b)``; component is the smallest node reached.
-
-    Each partition first replaces its edges by stars, which keeps what is
-    connected and leaves at most one row per node. Then large-star and
-    small-star rounds run until no edge changes. A hub's neighbours are never
-    gathered: only minima are aggregated (with map-side partials) and joined
-    back, so a skewed join can be split. Each round is written to the shared
-    folder. Null ends and self loops are ignored.
-    """
-    e = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
-    e = materialise(e.mapInPandas(_contract, "a long, b long"), "edges")
+def _rounds(e: DataFrame, max_rounds: int) -> DataFrame:
+    """Large-star and small-star rounds until no edge changes."""
     state = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -65,10 +55,34 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         e = materialise(small, "edges")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_000_007)).first()
         if now == state:
-            break
+            return e
         state = now
-    else:
-        raise RuntimeError("components did not settle; raise max_rounds")
+    raise RuntimeError("components did not settle; raise max_rounds")
+
+
+#: Edges that one task contracts at a time.
+TASK_EDGES = 500_000
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+    """(node, component) for every node of ``edges(a, b)``; component is the smallest node reached.
+
+    Each partition first replaces its edges by stars, which keeps what is
+    connected and leaves at most one row per node; then the stars of several
+    partitions, TASK_EDGES at a time, are contracted again, so that nodes which
+    many partitions hold don't enter the rounds many times. Then large-star and
+    small-star rounds run until no edge changes. A hub's neighbours are never
+    gathered: only minima are aggregated (with map-side partials) and joined
+    back, so a skewed join can be split. Each round is written to the shared
+    folder. Null ends and self loops are ignored.
+    """
+    e = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
+    e = materialise(e.mapInPandas(_contract, "a long, b long"), "edges")
+    tasks = max(1, -(-e.count() // TASK_EDGES))
+    if tasks < len(e.inputFiles()):
+        e = materialise(e.coalesce(tasks).mapInPandas(_contract, "a long, b long"), "edges")
+    if tasks > 1:  # stars of one task are settled
+        e = _rounds(e, max_rounds)
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )

@@ -225,3 +225,17 @@ def test_colour_ramp_hits_its_stops(spark):
     for name, stops in RAMPS.items():
         got = spark.createDataFrame([(s[0],) for s in stops], "t double").select(colour_ramp(F.col("t"), name).alias("c")).collect()
         assert [tuple(r.c) for r in got] == [s[1:] for s in stops]
+
+
+@pytest.mark.parametrize("most", [500_000, 40])
+def test_components_equal_union_find(spark, monkeypatch, most):
+    """Paths, a hub and random edges; contracted in one task, or in many with rounds after."""
+    from orelode import components
+
+    monkeypatch.setattr(components, "TASK_EDGES", most)
+    r = np.random.default_rng(4)
+    edges = [(k, k + 1) for k in range(60)] + [(100, 101 + k) for k in range(80)] + [tuple(map(int, e)) for e in r.integers(200, 400, (120, 2))] + [(7, 7), (7, 8)]
+    got = components.connected_components(spark.createDataFrame(edges, "a long, b long").repartition(8)).collect()
+    nodes, low = components.roots(*np.array([e for e in edges if e[0] != e[1]]).T)
+    assert sorted((x.node, x.component) for x in got) == list(zip(nodes.tolist(), low.tolist(), strict=True))
+    assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
