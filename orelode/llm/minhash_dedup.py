@@ -289,6 +289,12 @@ def crowded_pairs(crowded: DataFrame, comps: DataFrame, signed: DataFrame, thres
     return rows.mapInPandas(_across_blocks(threshold), "a long, b long")
 
 
+def new_pairs(pairs: DataFrame, tried: DataFrame | None = None) -> DataFrame:
+    """The distinct pairs (a, b) that aren't in ``tried``: what full sets have decided once isn't compared again."""
+    found = pairs.distinct()
+    return materialise(found if tried is None else found.join(tried, ["a", "b"], "left_anti"), "candidate-pairs")
+
+
 def linked_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets, ``sets(id, shingles)``, are similar."""
     one, two = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s_{x}")) for x in "ab")
@@ -337,13 +343,15 @@ def set_links(docs: DataFrame, classes: DataFrame, percent: int, width: int) ->
     full = full_sets(docs, members, width)
     small = full.where("small").select("comp", "id", "sig", "shingles").repartition(parts, "comp").sortWithinPartitions("comp")
     links = small.mapInPandas(_small_components(percent), "a long, b long")
-    large = full.where("not small").select("id", "shingles")
+    large, tried = full.where("not small").select("id", "shingles"), None
     if not large.isEmpty():
         # Each document of a large component meets its likeliest neighbours first, then only those that this left apart.
         own = regions.join(large.select("id"), "id")
-        first = linked_pairs(region_pairs(own, classes, threshold, "best", parts).distinct(), large, percent)
+        tried = new_pairs(region_pairs(own, classes, threshold, "best", parts))
+        first = linked_pairs(tried, large, percent)
         own = own.join(_comps(first), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        links = links.unionByName(first).unionByName(linked_pairs(region_pairs(own, classes, threshold, "across", parts).distinct(), large, percent))
+        others = new_pairs(region_pairs(own, classes, threshold, "across", parts), tried)
+        links, tried = links.unionByName(first).unionByName(linked_pairs(others, large, percent)), tried.unionByName(others)
     links = materialise(links, "set-links")
 
     linked = _comps(links)
@@ -356,9 +364,10 @@ def set_links(docs: DataFrame, classes: DataFrame, percent: int, width: int) ->
     deep = materialise(full.join(apart, "id").select("id", "shingles").mapInArrow(_deep_signatures(trees), "id long, sig binary"), "deep-signatures")
     seen = forest_regions(sorted_orders(deep, trees, DEEP), DEEP, DEEP_SHARED)
     own = seen.join(linked, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    links = links.unionByName(linked_pairs(region_pairs(own, deep, threshold, "across", parts).distinct(), full, percent))
+    others = new_pairs(region_pairs(own, deep, threshold, "across", parts), tried)
+    links, tried = links.unionByName(linked_pairs(others, full, percent)), others if tried is None else tried.unionByName(others)
     pairs = crowded_pairs(seen.where("crowded").select("run", "id"), _comps(links), deep, threshold, parts)
-    links = links.unionByName(linked_pairs(pairs.distinct(), full, percent))
+    links = links.unionByName(linked_pairs(new_pairs(pairs, tried), full, percent))
     discard(full, regions, seen, deep)
     return links
 
