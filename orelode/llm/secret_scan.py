@@ -19,10 +19,10 @@ import math
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import long_rows, read_table, slices
+from .common import long_rows, materialise, read_table, slices
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -60,13 +60,41 @@ def _adjacent(a: str, b: str) -> tuple[int, int] | None:
     return step if abs(step[0]) <= 1 and abs(step[1]) <= 1 else None
 
 
-def _walks(low: str) -> list[int]:
-    """For each position the length of the keyboard walk that starts there."""
-    n, out = len(low), [1] * len(low)
-    for i in range(n - 2, -1, -1):
-        if _adjacent(low[i], low[i + 1]):
-            out[i] = out[i + 1] + 1
-    return out
+class _Starts:
+    """Where an open segment may have begun: (start, cost up to there), for costs that grow with log10 of the length.
+
+    Of two starts the earlier one, once it is as cheap, stays so, and the later
+    one goes. An earlier one that costs as much up to its start as a later one
+    never gets cheaper, and goes too. Few are left at a time.
+    """
+
+    def __init__(self) -> None:
+        self.at: list[tuple[int, float]] = []
+
+    def cheapest(self, end: int, first: int, least: int, shift: int = 0) -> float:
+        """Cost + log10 of (length - shift) of the best start from ``first`` on that lies ``least`` or more before ``end``."""
+        low, found, keep = math.inf, math.inf, []
+        for i, cost in self.at:
+            if i >= first:
+                if end - i - shift > 0:
+                    own = cost + math.log10(end - i - shift)
+                    if own >= low:
+                        continue
+                    low = own
+                    if end - i >= least:
+                        found = own
+                keep.append((i, cost))
+        floor, self.at = math.inf, []
+        for i, cost in reversed(keep):
+            if cost < floor:
+                self.at.append((i, cost))
+                if end - i >= least:
+                    floor = cost
+        self.at.reverse()
+        return found
+
+
+_TURN, _KEYS_47 = math.log10(4.6), math.log10(47)
 
 
 def guess_cost(value: str, ranks: dict[str, int]) -> float:
@@ -77,15 +105,38 @@ def guess_cost(value: str, ranks: dict[str, int]) -> float:
     n, low = len(value), value.lower()
     if len(low) != n:  # letters whose lower case is longer
         low = "".join(c.lower()[:1] or c for c in value)
-    plain, walk = low.translate(_LEET), _walks(low)
+    plain = low.translate(_LEET)
+    steps = [None, *(_adjacent(low[k - 1], low[k]) for k in range(1, n))]
+    turns = [0] * (n + 1)  # changes of direction up to each step
+    for k in range(1, n):
+        turns[k] = turns[k - 1] + (steps[k] != steps[k - 1])
+    turns[n] = turns[n - 1] if n else 0
     classes = [any(c.islower() for c in value) * 26, any(c.isupper() for c in value) * 26, any(c.isdigit() for c in value) * 10, any(not c.isalnum() for c in value) * 33]
     char = math.log10(max(10, min(sum(classes), 36)))
     best = [0.0] + [math.inf] * n
     brute = [math.inf] * (n + 1)  # cheapest way that ends in a brute-force span
-    for i in range(n):
+    walks, walk_from = _Starts(), 0
+    repeats = {unit: [_Starts() for _ in range(unit)] for unit in range(1, 9)}
+    repeat_from = dict.fromkeys(repeats, 0)
+    for i in range(n + 1):
+        if i >= 2 and steps[i - 1] is None:
+            walk_from = i - 1
+        if i >= 3:
+            best[i] = min(best[i], walks.cheapest(i, walk_from, 3, 1) + _KEYS_47 + _TURN * (1 + turns[i - 1]))
+        for unit, starts in repeats.items():
+            if i > unit and low[i - 1] != low[i - 1 - unit]:
+                repeat_from[unit] = i - unit
+            if i >= 2 * unit:
+                cost = starts[i % unit].cheapest(i, repeat_from[unit], 3 if unit == 1 else 2 * unit)
+                best[i] = min(best[i], cost + unit * char - math.log10(unit))
         if i and brute[i] < best[i]:
             best[i] = brute[i]
+        if i == n:
+            break
         here = best[i] + (_SEGMENT if i else 0)
+        walks.at.append((i, here - _TURN * turns[i + 1]))
+        for unit, starts in repeats.items():
+            starts[i % unit].at.append((i, here))
         brute[i + 1] = min(brute[i + 1], brute[i] + char, here + char)
         for j in range(i + 2, min(n, i + _LONGEST_WORD) + 1):
             for form, extra in ((low[i:j], 0.0), (plain[i:j], 0.6)):
@@ -95,26 +146,13 @@ def guess_cost(value: str, ranks: dict[str, int]) -> float:
                     break
         if m := _DATE.match(value, i):
             best[m.end()] = min(best[m.end()], here + (math.log10(150) if m.end() - i == 4 else math.log10(366 * 150)))
-        if walk[i] >= 3:
-            turns, last = 0, None
-            for j in range(i + 1, i + walk[i]):
-                step = _adjacent(low[j - 1], low[j])
-                turns, last = turns + (step != last), step
-                if j - i >= 2:
-                    best[j + 1] = min(best[j + 1], here + math.log10(47 * (j - i)) + turns * math.log10(4.6))
-        for unit in range(1, 9):
-            j = i + unit
-            while j + unit <= n and low[j : j + unit] == low[i : i + unit]:
-                j += unit
-                if (j - i) // unit >= (3 if unit == 1 else 2):
-                    best[j] = min(best[j], here + unit * char + math.log10((j - i) / unit))
     return min(best[n], brute[n])
 
 
-def scan(text: str | None, ranks: dict[str, int], min_log10_guesses: float) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans and added spans of one text, as (start, kind number, end)."""
+def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
+    """Base spans of one text as (start, kind number, end), and (start, end) of the values in credential context."""
     text = text or ""
-    base, more = [], []
+    base, said = [], []
     low = text.lower()
     hinted = any(h in low for h in _HINTS)
     if hinted:
@@ -124,49 +162,109 @@ def scan(text: str | None, ranks: dict[str, int], min_log10_guesses: float) -> t
     base += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     base.sort()
     if hinted:
-        for m in _CONTEXT.finditer(text):
-            k = m.lastindex
-            if guess_cost(m[k], ranks) >= min_log10_guesses and not any(s <= m.start(k) and m.end(k) <= e for s, _, e in base):
-                more.append((m.start(k), 3, m.end(k)))
-    return base, more
+        said = [m.span(m.lastindex) for m in _CONTEXT.finditer(text)]
+    return base, said
+
+
+def outside(base: list[tuple[int, int, int]], said: list[tuple[int, int]]) -> list[bool]:
+    """Whether each of ``said`` lies in no base span; one pass, as both are sorted by start."""
+    out, k, far = [], 0, -1
+    for start, end in said:
+        while k < len(base) and base[k][0] <= start:
+            far, k = max(far, base[k][2]), k + 1
+        out.append(far < end)
+    return out
 
 
 KINDS = ("assign", "access", "hex", "guess")
 
 
-def common_words(docs: DataFrame, size: int = 20_000) -> dict[str, int]:
-    """The ``size`` most frequent ASCII words of all texts (ties: by word) with their rank.
+def words_in(text: Column) -> Column:
+    """Runs of letters of whatever script, in lower case."""
+    return F.explode(F.split(F.lower(text), r"[^\p{L}]+"))
+
+
+def word_ranks(docs: DataFrame, leave_out: DataFrame) -> DataFrame:
+    """word, rank (1 + number of more frequent words) for every word of all texts, less its occurrences in ``leave_out(value, n)``.
 
-    Counted over the whole table by Spark with map-side partials; only the
-    dictionary, of at most ``size`` words, comes to the driver.
+    Ranks come from how many words have each count: at most the square root of
+    twice the corpus' words, so the one window over these levels is small.
     """
-    words = docs.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).where(F.length("w").between(2, _LONGEST_WORD))
-    top = words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(size).collect()
-    return {r["w"]: k for k, r in enumerate(top, 1)}
+    one = docs.select(words_in(F.col("text")).alias("word"), F.lit(1).cast("long").alias("n"))
+    less = leave_out.select(words_in(F.col("value")).alias("word"), (-F.col("n")).alias("n"))
+    counts = one.unionByName(less).where(F.length("word").between(2, _LONGEST_WORD)).groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
+    counts = materialise(counts, "word-counts")
+    above = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    levels = counts.groupBy("n").agg(F.count("*").alias("m")).select("n", (F.coalesce(F.sum("m").over(above), F.lit(0)) + 1).alias("rank"))
+    return counts.join(levels, "n").select("word", "rank")
+
+
+def _parts(value: str) -> set[str]:
+    """Substrings of a value that may be words: letters only, plain or after undoing usual replacements."""
+    low = value.lower()
+    runs = [r for form in {low, low.translate(_LEET)} for r in "".join(c if c.isalpha() else " " for c in form).split(" ")]
+    return {r[i:j] for r in runs for i in range(len(r) - 1) for j in range(i + 2, min(len(r), i + _LONGEST_WORD) + 1)}
+
+
+def hard_values(values: DataFrame, ranks: DataFrame, min_log10_guesses: float) -> DataFrame:
+    """The rows of ``values(vid, value)`` whose cheapest segmentation takes that many guesses.
+
+    Substrings meet the dictionary in a join, so it may be of any size and each
+    task holds only the words of its own values.
+    """
+
+    def split(batches):
+        for b in slices(batches, 100):
+            for vid, value in zip(b["vid"].to_pylist(), b["value"].to_pylist(), strict=True):
+                own = list(_parts(value))
+                for k in range(0, len(own), 10_000):
+                    some = own[k : k + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([vid] * len(some), pa.int64()), pa.array(some, pa.string())], names=["vid", "word"])
+
+    def judge(batches):
+        for b in slices(batches, 100):
+            own = [dict(w or ()) for w in b["words"].to_pylist()]
+            on = [guess_cost(v, w) >= min_log10_guesses for v, w in zip(b["value"].to_pylist(), own, strict=True)]
+            yield pa.RecordBatch.from_arrays([b["value"].filter(pa.array(on, pa.bool_()))], names=["value"])
+
+    known = values.mapInArrow(split, "vid long, word string").join(ranks, "word")
+    known = known.groupBy("vid").agg(F.map_from_entries(F.collect_list(F.struct("word", "rank"))).alias("words"))
+    return values.join(known, "vid", "left").select("value", "words").mapInArrow(judge, "value string")
 
 
-def find_secrets(docs: DataFrame, ranks: dict[str, int] | None = None, min_log10_guesses: float = 8.0) -> DataFrame:
-    """One row per row of ``docs(doc_id, text)``: doc_id, spans array<struct<kind,start,end,value,base>>.
+def find_secrets(docs: DataFrame, ranks: DataFrame | None = None, min_log10_guesses: float = 8.0) -> DataFrame:
+    """One row per row of ``docs(doc_id, text)``: doc_id, spans array<struct<start,kind_no,end,kind,value,base>>.
 
     Offsets are code points, end exclusive. Kinds: assign, access, hex (base)
     and guess (a credential value outside every base span that costs at least
-    ``10 ** min_log10_guesses`` guesses).
+    ``10 ** min_log10_guesses`` guesses). ``ranks(word, rank)``: another
+    dictionary than the words of all texts.
     """
     docs = docs.select("doc_id", "text")
-    ranks = common_words(docs) if ranks is None else ranks
-    told = docs.sparkSession.sparkContext.broadcast(ranks)
-    span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("base", pa.bool_())])
+    span = pa.struct([("start", pa.int32()), ("kind_no", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("value", pa.string()), ("base", pa.bool_())])
+    one = "struct<start:int,kind_no:int,end:int,kind:string,value:string,base:boolean>"
 
     def run(batches):
         for b in slices(batches):
-            out = []
+            spans, values = [], []
             for t in b["text"].to_pylist():
-                base, more = scan(t, told.value, min_log10_guesses)
-                out.append([{"kind": KINDS[k], "start": s, "end": e, "value": t[s:e], "base": k < 3} for s, k, e in sorted(base + more)])
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(out, pa.list_(span))], names=["doc_id", "spans"])
+                base, said = scan(t)
+                spans.append([{"start": s, "kind_no": k, "end": e, "kind": KINDS[k], "value": t[s:e], "base": True} for s, k, e in base])
+                free = outside(base, said)
+                values.append([{"start": s, "kind_no": 3 if o else -1, "end": e, "kind": KINDS[3], "value": t[s:e], "base": False} for (s, e), o in zip(said, free, strict=True)])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(spans, pa.list_(span)), pa.array(values, pa.list_(span))], names=["doc_id", "spans", "said"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return long_rows(docs).mapInArrow(run, f"doc_id {kind}, spans array<struct<kind:string,start:int,end:int,value:string,base:boolean>>")
+    rows = long_rows(docs).mapInArrow(run, f"doc_id {kind}, spans array<{one}>, said array<{one}>")
+    rows = materialise(rows.withColumn("_row", F.monotonically_increasing_id()), "credential-values")
+    said = rows.where(F.size("said") > 0).select("_row", F.explode("said").alias("s")).withColumn("value", F.col("s.value"))
+    if ranks is None:
+        ranks = word_ranks(docs, said.groupBy("value").agg(F.count("*").alias("n")))
+    said = said.where("s.kind_no = 3")
+    values = materialise(said.select("value").distinct().withColumn("vid", F.monotonically_increasing_id()), "distinct-values")
+    hard = said.join(hard_values(values, ranks, min_log10_guesses), "value").groupBy("_row").agg(F.collect_list("s").alias("more"))
+    out = rows.join(hard, "_row", "left")
+    return out.select("doc_id", F.when(F.col("more").isNull(), F.col("spans")).otherwise(F.array_sort(F.concat("spans", "more"))).alias("spans"))
 
 
 def secret_digest(found: DataFrame) -> DataFrame:

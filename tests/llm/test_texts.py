@@ -1,6 +1,8 @@
 """Secrets, quality rules, toxicity and token counts."""
 
 import hashlib
+import math
+import random
 import re
 
 import numpy as np
@@ -34,7 +36,59 @@ def test_secrets_equal_plain_patterns(spark):
     by = {r.doc_id: r for r in got}
     assert by[1].n_assign == 1 and by[3].n_access == 1 and by[4].n_hex == 1 and by[6].n_assign == 1
     assert "guess" in by[5].spans and by[5].n_guess == 1
-    assert s.find_secrets(docs(spark, []), ranks={}).count() == 0
+    assert s.find_secrets(docs(spark, [])).count() == 0
+
+
+def test_dictionary_is_every_word_of_the_texts(spark):
+    """Rare and accented words are cheap where texts use them; what only stands in credential values isn't a word."""
+    texts = ["der Übermütigkeitsgrund und die désinvolture", "désinvolture der und", "token: désinvolture", "secret: Übermütigkeitsgrund", "token: xkqvwzjytp", "pwd: xkqvwzjytp"]
+    rows = [(k, t, "de", "a", 1) for k, t in enumerate(texts)]
+    got = {r.doc_id: [x.kind for x in r.spans] for r in s.find_secrets(docs(spark, rows)).collect()}
+    assert got[2] == [] and got[3] == [] and "guess" in got[5], got
+    # A base span covers the value, so it isn't added again.
+    assert got[4] == ["assign"]
+    ranks = {(r.word, r.rank) for r in s.word_ranks(docs(spark, rows), spark.createDataFrame([("xkqvwzjytp", 2)], "value string, n long")).collect()}
+    assert ("der", 2) in ranks and ("désinvolture", 1) in ranks and not any(w == "xkqvwzjytp" for w, _ in ranks), ranks
+
+
+def slow_cost(value, ranks):
+    """The same costs, every segment tried by itself."""
+    n, low = len(value), value.lower()
+    plain = low.translate(s._LEET)
+    classes = [any(c.islower() for c in value) * 26, any(c.isupper() for c in value) * 26, any(c.isdigit() for c in value) * 10, any(not c.isalnum() for c in value) * 33]
+    char = math.log10(max(10, min(sum(classes), 36)))
+    best = [0.0] + [math.inf] * n
+    for j in range(1, n + 1):
+        for i in range(j):
+            size, costs = j - i, [(j - i) * char]
+            if 2 <= size <= s._LONGEST_WORD:
+                if (r := ranks.get(low[i:j])) is not None:
+                    costs.append(math.log10(r + 1) + 0.3 * (value[i:j] != low[i:j]))
+                elif (r := ranks.get(plain[i:j])) is not None:
+                    costs.append(math.log10(r + 1) + 0.6 + 0.3 * (value[i:j] != low[i:j]))
+            if (m := s._DATE.match(value, i)) and m.end() == j:
+                costs.append(math.log10(150 if size == 4 else 366 * 150))
+            steps = [s._adjacent(low[k - 1], low[k]) for k in range(i + 1, j)]
+            if size >= 3 and all(steps):
+                turns = 1 + sum(a != b for a, b in zip(steps, steps[1:]))
+                costs.append(math.log10(47 * (size - 1)) + turns * math.log10(4.6))
+            for unit in range(1, 9):
+                if size % unit == 0 and size // unit >= (3 if unit == 1 else 2) and low[i:j] == low[i : i + unit] * (size // unit):
+                    costs.append(unit * char + math.log10(size / unit))
+            best[j] = min(best[j], best[i] + (s._SEGMENT if i else 0) + min(costs))
+    return best[n]
+
+
+def test_guess_cost_equals_trying_every_segment():
+    r = random.Random(5)
+    ranks = {"pass": 3, "word": 9, "qwe": 40, "aba": 7, "monkey": 100}
+    pieces = ["qwerty", "aaa", "ab", "abab", "zxcv", "pass", "w0rd", "Monkey", "2019", "01.02.2003", "!", "a", "q", "w", "1", "é", "fdsa", "qaz", "ababab", "11"]
+    for _ in range(300):
+        v = "".join(r.choice(pieces) * r.randint(1, 4) for _ in range(r.randint(1, 6)))
+        assert abs(s.guess_cost(v, ranks) - slow_cost(v, ranks)) < 1e-9, v
+    for _ in range(300):
+        v = "".join(r.choice("abqw") for _ in range(r.randint(1, 30)))
+        assert abs(s.guess_cost(v, ranks) - slow_cost(v, ranks)) < 1e-9, v
 
 
 def test_guess_cost():
@@ -43,7 +97,9 @@ def test_guess_cost():
     assert cost("password") < cost("P4ssword") < cost("xkqvwzjy")
     assert cost("qwertyuiop") < 4 and cost("abababababab") < cost("abcaxyqwmkbz") and cost("19991231") < 6
     assert cost("monkeymonkey") < 6 and cost("Zq9!xT#4mV2@") > 11
-    assert cost("a" * 20_000) < 10  # a long value is one repeat
+    for unit in ("a", "qw", "abc"):  # a long value is one repeat, and takes no longer than its length
+        assert cost(unit * (20_000 // len(unit))) < 12
+    assert cost("") == 0
 
 
 def test_guess_cost_is_a_shortest_path():
