@@ -250,8 +250,25 @@ def region_pairs(regions: DataFrame, classes: DataFrame, threshold: float, what:
     return rows.repartition(parts, "region").sortWithinPartitions("region").mapInPandas(_candidates(threshold, what), "a long, b long")
 
 
+def _least_common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The smallest value that each row of x shares with the same row of y; both are padded, with a value of their own each."""
+    out = np.empty(len(x), np.int64)
+    for k in range(0, len(x), 4096):
+        a, b = x[k : k + 4096], y[k : k + 4096]
+        on = (a[:, :, None] == b[:, None, :]).any(2)
+        out[k : k + 4096] = np.where(on, a, np.iinfo(np.int64).max).min(1)
+    return out
+
+
+def _padded(lists: list, fill: int) -> np.ndarray:
+    out = np.full((len(lists), max(map(len, lists))), fill, np.int64)
+    for row, own in zip(out, lists, strict=True):
+        row[: len(own)] = own
+    return out
+
+
 def _across_blocks(threshold: float):
-    """Candidates in different components, of one pair of blocks of a crowded run."""
+    """Candidates in different components, of one pair of blocks of a crowded run; a pair that shares several runs comes from the smallest."""
 
     def run(batches):
         for p, groups in contiguous(batches, ["run", "bi", "bj"]):
@@ -264,8 +281,11 @@ def _across_blocks(threshold: float):
                 if not len(x) or not len(y) or (comp[x][:, None] == comp[y][None, :]).all():
                     continue
                 i, j = np.nonzero((_alike(sig[x], sig[y]) >= least) & (comp[x][:, None] != comp[y][None, :]))
-                left.append(ids[x[i]])
-                right.append(ids[y[j]])
+                if len(i):
+                    runs = p["runs"].iloc[a:b].to_list()
+                    once = _least_common(_padded(runs, -1)[x[i] - a], _padded(runs, -2)[y[j] - a]) == p["run"].iloc[a]
+                    left.append(ids[x[i[once]]])
+                    right.append(ids[y[j[once]]])
             if left and sum(map(len, left)):
                 x, y = np.concatenate(left), np.concatenate(right)
                 yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}).drop_duplicates()
@@ -282,9 +302,11 @@ def loose_runs(crowded: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFra
 def crowded_pairs(crowded: DataFrame, comps: DataFrame, signed: DataFrame, threshold: float, parts: int) -> DataFrame:
     """a, b: candidates of ``crowded(run, id)`` that ``comps(id, comp)`` doesn't hold together, block by block."""
     rows, loose = loose_runs(crowded, comps)
-    rows = rows.join(loose.select("run", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb")), "run").join(signed.select("id", "sig"), "id")
+    rows = materialise(rows.join(loose.select("run", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb")), "run"), "loose-runs")
+    runs = rows.groupBy("id").agg(F.collect_set("run").alias("runs"))  # one a tree at most
+    rows = rows.join(runs, "id").join(signed.select("id", "sig"), "id")
     rows = rows.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    rows = rows.select("run", F.least("blk", "_o").alias("bi"), F.greatest("blk", "_o").alias("bj"), "blk", "id", "comp", "sig")
+    rows = rows.select("run", F.least("blk", "_o").alias("bi"), F.greatest("blk", "_o").alias("bj"), "blk", "id", "comp", "sig", "runs")
     rows = rows.repartition(parts, "run", "bi", "bj").sortWithinPartitions("run", "bi", "bj")
     return rows.mapInPandas(_across_blocks(threshold), "a long, b long")
 
