@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import grade_factor
 from .grids import point_in_polygon, topography_clip
-from .neighbours import knn_3d_anisotropic, pair_self_join
+from .neighbours import knn_3d_anisotropic
+from .pairs import lag_sums
 from .shared import materialise
 from .stats import histogram
 
@@ -19,13 +20,15 @@ OUNCES_PER_TONNE = 32150.74656862745
 
 
 def variogram(points: DataFrame, lags: int = 12, max_range: float = 0.0) -> DataFrame:
-    """lag_from, lag_to, lag_mid, pairs, gamma over all pairs in range (half the diagonal by default); an empty lag has gamma 0."""
+    """lag_from, lag_to, lag_mid, pairs, gamma over all pairs in range (half the diagonal by default); an empty lag has gamma 0.
+
+    No pair is a row: tasks compare tiles of points and send a count and a sum per lag (``pairs.lag_sums``).
+    """
     if max_range <= 0:
         e = points.agg(*(F.max(c) - F.min(c) for c in "xyz")).first()
-        max_range = 0.5 * math.sqrt(sum(v * v for v in e)) or 1.0
+        max_range = 0.5 * math.sqrt(sum((v or 0.0) ** 2 for v in e)) or 1.0
     step = max_range / lags
-    pairs = pair_self_join(points, max_range).where("d > 0").withColumn("lag", F.least(F.floor(F.col("d") / step), F.lit(lags - 1)).cast("int"))
-    g = pairs.groupBy("lag").agg(F.count("*").alias("pairs"), F.avg("half_sq_diff").alias("gamma"))
+    g = lag_sums(points, lags, max_range).select("lag", "pairs", F.try_divide("gamma_sum", "pairs").alias("gamma"))
     every = points.sparkSession.range(lags).select(F.col("id").cast("int").alias("lag"))
     return every.join(g, "lag", "left").select((F.col("lag") * step).alias("lag_from"), ((F.col("lag") + 1) * step).alias("lag_to"), ((F.col("lag") + 0.5) * step).alias("lag_mid"), F.coalesce("pairs", F.lit(0)).alias("pairs"), F.coalesce("gamma", F.lit(0.0)).alias("gamma"))
 

@@ -13,9 +13,12 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .pairs import pair_rows
 from .shared import materialise
 
 BROADCAST_ROWS = 50_000
@@ -143,14 +146,15 @@ def leave_one_out(points: DataFrame, method: str = "idw", k: int = 32, radius: f
 
 
 def pair_self_join(points: DataFrame, max_d: float) -> DataFrame:
-    """i, j, d, half_sq_diff of all pairs i < j at most ``max_d`` apart, joined on cells of that width."""
-    dims = ("x", "y", "z")
-    a = points.select(F.col("pid").alias("i"), *(F.col(d).alias(f"a{d}") for d in dims), F.col("v").alias("av"), *_cells(dims, max_d, True))
-    for j in range(3):
-        a = a.withColumn(f"_c{j}", F.explode(f"_c{j}"))
-    b = points.select(F.col("pid").alias("j"), *(F.col(d).alias(f"b{d}") for d in dims), F.col("v").alias("bv"), *_cells(dims, max_d, False))
-    d = F.sqrt(sum(((F.col(f"a{c}") - F.col(f"b{c}")) ** 2 for c in dims), F.lit(0.0)))
-    on = F.expr("i < j")
-    for k in range(3):
-        on = on & (a[f"_c{k}"] == b[f"_c{k}"])
-    return a.join(b, on).withColumn("d", d).where(F.col("d") <= max_d).select("i", "j", "d", (0.5 * (F.col("av") - F.col("bv")) ** 2).alias("half_sq_diff"))
+    """i, j, d, half_sq_diff of all pairs of ids i < j at most ``max_d`` apart, from pairs of tiles."""
+    kind = points.schema["pid"].dataType.simpleString()
+
+    def of(a, b, i, j, d):
+        va, vb = np.asarray(a.field("v"), float), np.asarray(b.field("v"), float)
+        one, two = a.field("pid").take(pa.array(i)), b.field("pid").take(pa.array(j))
+        turn = pc.greater(one, two)
+        out = pa.RecordBatch.from_arrays([pc.if_else(turn, two, one), pc.if_else(turn, one, two), pa.array(d), pa.array(0.5 * (va[i] - vb[j]) ** 2)], names=["i", "j", "d", "half_sq_diff"])
+        return out.filter(pc.not_equal(out["i"], out["j"]))
+
+    rows = points.select("pid", *(F.col(c).cast("double").alias(c) for c in "xyzv")).where(" and ".join(f"{c} is not null" for c in ("pid", *"xyz")))
+    return pair_rows(rows, ("x", "y", "z"), ["pid", *"xyzv"], max_d, f"i {kind}, j {kind}, d double, half_sq_diff double", of)
