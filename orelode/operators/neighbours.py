@@ -1,10 +1,7 @@
 """Nearest neighbours in two or three dimensions.
 
 Few points (counted, at most ``BROADCAST_ROWS``) travel to the tasks and are
-searched there in chunks; more are put into square cells and joined on the
-cell. A row is final when its k-th neighbour is no farther than a cell is wide
-(all points within that distance are in the cells around); the others are
-joined again with cells twice as wide, up to the extent.
+searched there in chunks; more are partitioned into leaves (``leaves``).
 """
 
 from __future__ import annotations
@@ -15,11 +12,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .leaves import nearest
 from .pairs import pair_rows
-from .shared import materialise
 
 BROADCAST_ROWS = 50_000
 _OUT = "id {kind}, pid {pkind}, rank int, d double, v double"
@@ -52,52 +49,12 @@ def _broadcast_search(left: DataFrame, points: DataFrame, k: int, radius: float,
     return left.select("id", *dims).mapInPandas(run, _OUT.format(**kinds))
 
 
-def _cells(dims: tuple[str, ...], width: float, around: bool):
-    own = [F.floor(F.col(d) / width).cast("long") for d in dims]
-    if not around:
-        return [c.alias(f"_c{j}") for j, c in enumerate(own)]
-    return [F.sequence(c - 1, c + 1).alias(f"_c{j}") for j, c in enumerate(own)]
-
-
-def _bucket_search(left: DataFrame, points: DataFrame, k: int, radius: float, dims: tuple[str, ...], exclude_self: bool, n: int) -> DataFrame:
-    e = points.agg(*(f(d).alias(f"{d}{m}") for d in dims for m, f in (("0", F.min), ("1", F.max)))).first()
-    spans = [max(e[f"{d}1"] - e[f"{d}0"], 1e-9) for d in dims]
-    width = radius if radius > 0 else max(math.pow(math.prod(spans) * (k + 1) / n, 1 / len(dims)), max(spans) * 1e-6)
-    keys = [f"_c{j}" for j in range(len(dims))]
-    todo, done = left.select("id", *dims), None
-    while True:
-        around = todo.select("*", *_cells(dims, width, True))
-        for c in keys:
-            around = around.withColumn(c, F.explode(c))
-        own = points.select("pid", "v", *(F.col(d).alias(f"_p{d}") for d in dims), *_cells(dims, width, False))
-        j = around.join(own, keys).withColumn("d", F.sqrt(sum(((F.col(d) - F.col(f"_p{d}")) ** 2 for d in dims), F.lit(0.0))))
-        if exclude_self:
-            j = j.where("id <> pid")
-        if radius > 0:
-            j = j.where(F.col("d") <= radius)
-        w = Window.partitionBy("id").orderBy("d", "pid")
-        near = j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("id", "pid", "rank", "d", "v")
-        if radius > 0:
-            return near if done is None else done.unionByName(near)
-        near = materialise(near, "neighbours")
-        final = near.where((F.col("rank") == k) & (F.col("d") <= width)).select("id")
-        last = width >= max(spans) * 4
-        got = near if last else near.join(final, "id", "left_semi")
-        done = got if done is None else done.unionByName(got)
-        if last:
-            return done
-        todo = materialise(todo.join(final, "id", "left_anti"), "open")
-        if todo.isEmpty():
-            return done
-        width *= 2
-
-
 def knn(left: DataFrame, points: DataFrame, k: int, radius: float = 0.0, dims: tuple[str, ...] = ("x", "y"), exclude_self: bool = False, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """id, pid, rank, d, v: the k nearest ``points(pid, dims, v)`` of each ``left(id, dims)``; ties by pid."""
     n = points.count()
     if n <= broadcast_rows:
         return _broadcast_search(left, points, k, radius, dims, exclude_self)
-    return _bucket_search(left, points, k, radius, dims, exclude_self, n)
+    return nearest(left, points, k, radius, dims, exclude_self)
 
 
 def knn_2d(left: DataFrame, points: DataFrame, k: int = 32, radius: float = 0.0) -> DataFrame:

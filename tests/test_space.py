@@ -66,3 +66,38 @@ def test_pair_rows_equal_all_pairs(spark):
     assert set(got) == set(want) and all(np.allclose(got[k], want[k]) for k in want)
     named = spark.createDataFrame([("b", 0.0, 0.0, 0.0, 1.0), ("a", 1.0, 0.0, 0.0, 1.0)], POINT.replace("pid long", "pid string"))
     assert [(r.i, r.j) for r in neighbours.pair_self_join(named, 3.0).collect()] == [("a", "b")]
+
+
+def plain_nearest(left, points, k, dims, radius=0.0, exclude_self=False):
+    out = []
+    p = np.array([x[1 : 1 + dims] for x in points])
+    ids = np.array([x[0] for x in points])
+    for q in left:
+        d = np.sqrt(((p - np.array(q[1 : 1 + dims])) ** 2).sum(1))
+        if exclude_self:
+            d[ids == q[0]] = np.inf
+        order = [x for x in np.lexsort((ids, d))[: k + 1] if np.isfinite(d[x]) and (not radius or d[x] <= radius)][:k]
+        out += [(q[0], int(ids[x]), rank, round(float(d[x]), 9)) for rank, x in enumerate(order, 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("k", "radius", "leaf", "sample", "own"), [(5, 0.0, 24, 60, False), (3, 0.0, 64, 40, True), (4, 40.0, 30, 5000, False), (12, 0.0, 10, 3, False)])
+def test_leaves_find_the_nearest(spark, k, radius, leaf, sample, own):
+    """Crowds at a thousand times the density, a place of many points, far-off query rows, tiny samples."""
+    from orelode.operators.leaves import nearest
+
+    data = cloud(1200, 5)
+    r = random.Random(8)
+    left = [(x[0], *x[1:4]) for x in data[::9]] if own else [(k, r.uniform(-2000, 3000), r.uniform(-300, 1300), r.uniform(0, 50)) for k in range(60)] + [(100 + k, 500.0, 500.0, 0.0) for k in range(40)]
+    got = nearest(spark.createDataFrame(left, "id long, x double, y double, z double").repartition(3), spark.createDataFrame(data, POINT).repartition(4), k, radius, ("x", "y", "z"), own, leaf, sample)
+    assert sorted((x.id, x.pid, x["rank"], round(x.d, 9)) for x in got.collect()) == plain_nearest(left, data, k, 3, radius, own)
+
+
+def test_no_leaf_is_large(spark):
+    from orelode.operators import leaves
+
+    points = spark.createDataFrame([x for x in cloud(4000, 3, twins=0.0)], POINT)
+    for sample in (40, 3000):
+        splits, sent = leaves.partition(points, ("x", "y"), 50, sample)
+        sizes = [r["count"] for r in leaves.with_leaf(points, sent, ("x", "y")).groupBy("leaf").count().collect()]
+        assert max(sizes) <= 50 and sum(sizes) == 4000 and len(sizes) <= splits.leaves
