@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from ..components import connected_components
 from ..functions import scale_transform
 from .grids import corners
-from .shared import global_rank, kth_values, materialise
+from .selection import kth_values
+from .shared import global_rank, materialise
 
 
 def contour_breaks(values: DataFrame, column: str = "v", mode: str = "fixed_interval", interval: float | None = None, levels: int = 10, explicit: list[float] | None = None, scale: str = "linear") -> DataFrame:
@@ -83,8 +84,8 @@ def stitch_contours(segments: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     s = segments.select("level", *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")))
     length = F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
-    e = s.agg(F.max(F.greatest("x0", "x1", "y0", "y1")) - F.min(F.least("x0", "x1", "y0", "y1")), F.percentile(length, F.lit(0.1))).first()
-    tol = max((e[0] or 0) * 1e-6, 0.12 * (e[1] or 0), 1e-6)
+    span = s.agg(F.max(F.greatest("x0", "x1", "y0", "y1")) - F.min(F.least("x0", "x1", "y0", "y1"))).first()[0]
+    tol = max((span or 0) * 1e-6, 0.12 * (kth_values(s.select(length.alias("v")), "v", [0.1], linear=True)[0] or 0), 1e-6)
     vertex = lambda k: F.struct("level", F.round(F.col(f"x{k}") / tol).cast("long").alias("i"), F.round(F.col(f"y{k}") / tol).cast("long").alias("j"))
     e2 = s.withColumn("a", vertex(0)).withColumn("b", vertex(1)).where("a <> b")
     e2 = materialise(e2.select("level", "a", "b").distinct(), "contour-edges")

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .neighbours import interpolate, knn, nearest_distance
-from .shared import kth_values, materialise
+from .selection import kth_values
+from .shared import materialise
 from .stats import extent_2d
 
 

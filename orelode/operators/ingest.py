@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import blank_to_null, lonlat_to_mercator, lonlat_to_utm, mercator_to_lonlat, parse_numeric, utm_epsg, utm_to_lonlat
-from .shared import kth_values
+from .selection import kth_values
 
 #: Names under which a field is found, in canonical form.
 ALIASES = {
@@ -207,9 +207,10 @@ def top_attributes(df: DataFrame, attrs: str = "num_attrs", k: int = 20) -> Data
 
 def igrf_subtract(df: DataFrame, threshold: float = 5000.0) -> DataFrame:
     """m less igrf, if any row has igrf and the median of |m| is over ``threshold``; else m as it is."""
-    a = df.agg(F.percentile(F.abs("m"), F.lit(0.5)).alias("_med"), F.count("igrf").alias("_n"))
-    on = (F.col("_med") > threshold) & (F.col("_n") > 0)
-    return df.crossJoin(F.broadcast(a)).withColumn("m", F.when(on & F.col("igrf").isNotNull(), F.col("m") - F.col("igrf")).otherwise(F.col("m"))).drop("_med", "_n")
+    median = kth_values(df.select(F.abs("m").alias("v")), "v", [0.5], linear=True)[0]
+    if median is None or median <= threshold or df.where("igrf is not null").isEmpty():
+        return df
+    return df.withColumn("m", F.when(F.col("igrf").isNotNull(), F.col("m") - F.col("igrf")).otherwise(F.col("m")))
 
 
 def percentile_clamp(df: DataFrame, column: str = "v", lo: float = 0.0, hi: float = 100.0) -> DataFrame:

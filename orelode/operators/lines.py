@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .selection import keyed, selected
 
 
 def along_track_distance(df: DataFrame, line: str = "line", order: list[str] | None = None) -> DataFrame:
@@ -77,7 +78,8 @@ def decimate(df: DataFrame, pct: float = 100.0, line: str = "line", order: list[
 def magnetic_report(rows: DataFrame, points: DataFrame) -> DataFrame:
     """rows, points, dropped, lines, m_min, m_max, m_mean, m_median."""
     a = rows.agg(F.count("*").alias("rows"))
-    b = points.agg(F.count("*").alias("points"), F.countDistinct("line").alias("lines"), F.min("m").alias("m_min"), F.max("m").alias("m_max"), F.avg("m").alias("m_mean"), F.percentile("m", F.lit(0.5)).alias("m_median"))
-    return a.crossJoin(b).select("rows", "points", (F.col("rows") - F.col("points")).alias("dropped"), "lines", "m_min", "m_max", "m_mean", "m_median")
+    b = points.agg(F.count("*").alias("points"), F.countDistinct("line").alias("lines"), F.min("m").alias("m_min"), F.max("m").alias("m_max"), F.avg("m").alias("m_mean"))
+    middle = selected(keyed(points, "m"), [0.5], linear=True).agg(F.max("value").alias("m_median"))
+    return a.crossJoin(b).crossJoin(middle).select("rows", "points", (F.col("rows") - F.col("points")).alias("dropped"), "lines", "m_min", "m_max", "m_mean", "m_median")
 
 

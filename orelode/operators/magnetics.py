@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from .grids import bilinear_sample, interpolate_grid, magnetic_derivatives, make_grid, relax_grid, stencil
 from .ingest import igrf_subtract, magnetic_row_filter
 from .lines import along_track_distance, decimate, despike, magnetic_report, order_violation_filter, resample_by_distance, smooth_by_distance
-from .shared import kth_values, materialise
+from .selection import kth_values
+from .shared import materialise
 from .stats import extent_2d
 
 

@@ -1,4 +1,4 @@
-"""Helpers for operators: scratch tables, ranks and exact percentiles without a global window."""
+"""Helpers for operators: scratch tables, and ranks without a global window."""
 
 from __future__ import annotations
 
@@ -48,35 +48,3 @@ def global_rank(df: DataFrame, *order: str | Column, name: str = "_rank") -> Dat
     before = counts.select("_p", (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_b"))
     out = rows.withColumn("_p", pid).join(F.broadcast(before), "_p")
     return out.withColumn(name, F.col("_b") + F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_p", "_m", "_b")
-
-
-def kth_values(df: DataFrame, column: str, fractions: list[float], bins: int = 4096) -> list[float | None]:
-    """Exact nearest-rank percentiles of a column: index round((n - 1) * p), half away from zero.
-
-    Counts in equal bins (at most ``bins`` rows on the driver) tell in which bin
-    a rank lies; only the distinct values of these bins are put in order.
-    """
-    v = df.select(F.col(column).cast("double").alias("v")).where("v is not null")
-    n, lo, hi = v.agg(F.count("*"), F.min("v"), F.max("v")).first()
-    if not n:
-        return [None] * len(fractions)
-    width = (hi - lo) / bins or 1.0
-    v = v.withColumn("b", F.least(F.floor((F.col("v") - lo) / width), F.lit(bins - 1)).cast("int"))
-    counts = sorted((r["b"], r["c"]) for r in v.groupBy("b").agg(F.count("*").alias("c")).collect())
-    wanted: dict[int, list[tuple[int, int]]] = {}
-    for k, p in enumerate(fractions):
-        rank, before = int((n - 1) * p + 0.5), 0
-        for b, c in counts:
-            if rank < before + c:
-                wanted.setdefault(b, []).append((k, rank - before))
-                break
-            before += c
-    per = v.where(F.col("b").isin(list(wanted))).groupBy("b", "v").agg(F.count("*").alias("c"))
-    run = per.withColumn("r", F.sum("c").over(Window.partitionBy("b").orderBy("v")))
-    out: list[float | None] = [None] * len(fractions)
-    asks = [(k, b, r) for b, pairs in wanted.items() for k, r in pairs]
-    hit = F.coalesce(*[F.when((F.col("b") == b) & (F.col("r") > r) & (F.col("r") - F.col("c") <= r), F.lit(True)) for _, b, r in asks], F.lit(False))
-    rows = run.where(hit).collect()
-    for k, b, r in asks:
-        out[k] = next(x["v"] for x in rows if x["b"] == b and x["r"] - x["c"] <= r < x["r"])
-    return out

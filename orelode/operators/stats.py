@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import parse_numeric, scale_transform
-from .shared import global_rank, kth_values
+from .selection import keyed, kth_values, selected
+from .shared import global_rank
 
 
 def extent_2d(dfs: DataFrame | list[DataFrame], pad: float = 0.25, least: float = 1e-6) -> DataFrame:
@@ -88,11 +89,15 @@ _MISSING = ("", "null", "na", "n/a")
 
 
 def numeric_profile(df: DataFrame, column: str) -> DataFrame:
-    """n, missing (blank, null, na, n/a or no number), min, p05 .. p95 (nearest rank), max, mean of a text column."""
-    v = df.select(parse_numeric(column).alias("v"))
-    names, fractions = ("p05", "p25", "p50", "p75", "p95"), [0.05, 0.25, 0.5, 0.75, 0.95]
-    ps = kth_values(v, "v", fractions)
-    return v.agg(F.count("v").alias("n"), F.count_if(F.col("v").isNull()).alias("missing"), F.min("v").alias("min"), *(F.lit(p).cast("double").alias(n) for n, p in zip(names, ps, strict=True)), F.max("v").alias("max"), F.avg("v").alias("mean"))
+    """n, missing (blank, null, na, n/a or no number), min, p05 .. p95 (nearest rank), max, mean of a text column.
+
+    Numbers are parsed and written once; aggregates and percentiles read them from there.
+    """
+    v = keyed(df.select(parse_numeric(column).alias("v")), "v")
+    names = ("p05", "p25", "p50", "p75", "p95")
+    ps = selected(v, [0.05, 0.25, 0.5, 0.75, 0.95]).agg(*(F.max(F.when(F.col("i") == k, F.col("value"))).alias(n) for k, n in enumerate(names)))
+    a = v.agg(F.count("value").alias("n"), F.count_if(F.col("value").isNull()).alias("missing"), F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"))
+    return a.crossJoin(ps).select("n", "missing", "min", *names, "max", "mean")  # one row each
 
 
 def _kinds(df: DataFrame) -> DataFrame:
@@ -167,24 +172,23 @@ def median_mad(df: DataFrame, column: str, by: list[str]) -> DataFrame:
 
 
 def percentile_nearest_rank(df: DataFrame, column: str, p: float, by: list[str] | None = None) -> DataFrame:
-    """value at index round((n - 1) * p) of the sorted values, half away from zero."""
+    """value at index round((n - 1) * p) of the sorted values, half away from zero; of each group that has values, or of all rows."""
     if not by:
         return df.sparkSession.createDataFrame([(kth_values(df, column, [p])[0],)], "value double")
-    # Distinct values with counts are ordered, so repeated values cost one row.
-    c = df.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).cast("double").alias("value")).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*by)
-    r = c.withColumn("r", F.sum("c").over(w.orderBy("value"))).withColumn("k", F.floor((F.sum("c").over(w) - 1) * p + 0.5))
-    return r.where("r > k and r - c <= k").select(*by, "value")
+    return selected(keyed(df, column, by), [p]).select("g.*", "value")
 
 
 def percentile_linear(df: DataFrame, column: str, p: float, by: list[str] | None = None) -> DataFrame:
-    return df.groupBy(*(by or [])).agg(F.percentile(column, F.lit(p)).alias("value"))
+    """value between those around index (n - 1) * p; of each group that has values, or of all rows."""
+    if not by:
+        return df.sparkSession.createDataFrame([(kth_values(df, column, [p], linear=True)[0],)], "value double")
+    return selected(keyed(df, column, by), [p], linear=True).select("g.*", "value")
 
 
 def measure_domain(dfs: list[DataFrame], measure: str, mode: str = "linear", lo: float = 0.02, hi: float = 0.98) -> DataFrame:
     """lo, hi: linear percentiles of a transformed measure over several inputs."""
     v = reduce(DataFrame.unionByName, [d.select(scale_transform(F.col(measure).cast("double"), mode).alias("v")) for d in dfs])
-    return v.agg(F.percentile("v", F.lit(lo)).alias("lo"), F.percentile("v", F.lit(hi)).alias("hi"))
+    return selected(keyed(v, "v"), [lo, hi], linear=True).agg(*(F.max(F.when(F.col("i") == k, F.col("value"))).alias(n) for k, n in enumerate(("lo", "hi"))))
 
 
 def scene_qa(features: DataFrame, bounds: DataFrame, project_epsg: int, has_terrain: bool = False) -> DataFrame:
