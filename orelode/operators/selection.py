@@ -80,9 +80,9 @@ def selected(rows: DataFrame, fractions: list[float], linear: bool = False) -> D
         w = Window.partitionBy("g", "prefix").orderBy("next").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         counts = counts.withColumn("before", F.sum("c").over(w) - F.col("c"))
         hit = asked.join(counts, ["g", "prefix"]).where("rank >= before and rank < before + c")
-        asked = materialise(hit.select("g", "i", "share", (F.col("rank") - F.col("before")).alias("rank"), F.col("next").alias("prefix"), "c"), "ranks")
-        known = down
-        if known and (asked.select("g", "prefix", "c").distinct().agg(F.sum("c")).first()[0] or 0) <= FEW:
+        found = materialise(hit.select("g", "i", "share", (F.col("rank") - F.col("before")).alias("rank"), F.col("next").alias("prefix"), "c"), "ranks")
+        asked, known = found.drop("c"), down
+        if known and (found.select("g", "prefix", "c").distinct().agg(F.sum("c")).first()[0] or 0) <= FEW:
             under = rows.withColumn("prefix", prefix(known)).join(asked.select("g", "prefix").distinct(), ["g", "prefix"], "left_semi")
             c = under.groupBy("g", "prefix", "key").agg(F.count("*").alias("k"))
             w = Window.partitionBy("g", "prefix").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
