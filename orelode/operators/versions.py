@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import materialise
@@ -125,11 +125,21 @@ def attach_metadata(df: DataFrame, meta: DataFrame) -> DataFrame:
     return j.select(*own, *(F.col(f"_m_{c}").alias(c) for c in meta.columns if c not in df.columns))
 
 
-def dataset_fingerprint(df: DataFrame, cols: list[str], bins: int = 1024) -> DataFrame:
-    """hash: SHA-256 of the rows whatever their order. Rows are hashed, sorted hashes hashed by bin, and the bins' hashes hashed in order."""
-    row = F.sha2(F.array_join(F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in cols)), "\x1f"), 256)
-    h = df.select(row.alias("h")).withColumn("b", F.conv(F.substring("h", 1, 3), 16, 10).cast("int") % bins)
-    # Equal rows become one row with a count first, so a bin holds distinct hashes only.
-    h = h.groupBy("b", "h").agg(F.count("*").alias("n"))
-    by_bin = h.groupBy("b").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("*", "h", "n"))), "\x1e"), 256).alias("hb"))
-    return by_bin.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "hb"))), lambda s: s["hb"]), "\x1e"), 256).alias("hash"))
+def _exact_text(c: str, kind: str) -> Column:
+    """A value as text that no other value and no neighbour's text can be read as: its length and itself, or N."""
+    t = F.hex(c) if kind == "binary" else F.to_json(F.struct(c)) if kind.startswith(("array", "map", "struct")) else F.col(c).cast("string")
+    return F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("N"))
+
+
+def dataset_fingerprint(df: DataFrame, cols: list[str]) -> DataFrame:
+    """hash: SHA-256 of the rows as a multiset: their number, and the sums of their digests in four lanes modulo 2^64.
+
+    Sums are taken map-side, so a task sends one row. Rows in any order and any
+    split give the same hash; a row more or less, also an equal one, another.
+    """
+    kinds = dict(df.dtypes)
+    row = F.sha2(F.concat(*(_exact_text(c, kinds[c]) for c in cols)), 256)
+    lanes = [F.conv(F.substring("h", 16 * k + 1, 16), 16, 10).cast("decimal(28,0)") for k in range(4)]
+    sums = df.select(row.alias("h")).agg(F.count("*").alias("n"), *(F.coalesce(F.sum(x), F.lit(0)).cast("decimal(38,0)").alias(f"s{k}") for k, x in enumerate(lanes)))
+    ring = F.lit(str(2**64)).cast("decimal(38,0)")
+    return sums.select(F.sha2(F.concat_ws(",", F.col("n").cast("string"), *((F.col(f"s{k}") % ring).cast("decimal(20,0)").cast("string") for k in range(4))), 256).alias("hash"))
