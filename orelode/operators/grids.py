@@ -89,10 +89,10 @@ def idw_surface(points: DataFrame, resolution: float = 25.0, max_cells: int = 65
     return make_grid(points.sparkSession, spec).join(v, ["ix", "iy"], "left").select("ix", "iy", "x", "y", "v"), spec
 
 
-def interpolate_grid(cells: DataFrame, points: DataFrame, method: str = "idw", power: float = 2.0, radius: float = 0.0, min_points: int = 3, max_points: int = 32) -> DataFrame:
+def interpolate_grid(cells: DataFrame, points: DataFrame, method: str = "idw", power: float = 2.0, radius: float = 0.0, min_points: int = 3, max_points: int = 32, hit_d: float = 1e-6) -> DataFrame:
     """``cells(ix, iy, x, y)`` with v from the nearest of ``points(pid, x, y, v)``."""
     left = cells.withColumn("id", F.col("iy").cast("long") * 1_000_000 + F.col("ix"))
-    got = interpolate(knn(left, points, max_points, radius), method, power, min_points)
+    got = interpolate(knn(left, points, max_points, radius), method, power, min_points, hit_d)
     return left.join(got, "id", "left").select("ix", "iy", "x", "y", "v")
 
 
@@ -177,16 +177,24 @@ def terrain_from_raster(raster: DataFrame, raster_spec: dict, points: DataFrame,
 
 
 def terrain_confidence(grid: DataFrame, controls: DataFrame, spec: dict, low_density_cells: float = 8.0, anchor_cells: float = 0.75, filled: str | None = None, fitted: bool = True, fallback: bool = False) -> DataFrame:
-    """ix, iy, class (0 missing, 1 filled, 2 raw, 3 fitted, 4 anchor, 5 fallback), score, low_density by the distance to the nearest control."""
-    cell = max((spec["xmax"] - spec["xmin"]) / max(spec["nx"] - 1, 1), (spec["ymax"] - spec["ymin"]) / max(spec["ny"] - 1, 1))
+    """ix, iy, class, score, low_density: how far each node of ``grid(ix, iy, x, y, v)`` can be trusted.
+
+    0 missing or low density, 1 filled, 2 raw, 3 fitted, 4 anchor, 5 fallback.
+    A node within ``anchor_cells`` of a control is an anchor, in a fallback
+    surface too; one beyond ``low_density_cells`` of every control is of class 0
+    unless the surface is a fallback. A cell is the extent over the number of
+    nodes. Without controls the class is that of the node's source.
+    """
+    cell = max(abs(spec["xmax"] - spec["xmin"]) / max(spec["nx"], 1), abs(spec["ymax"] - spec["ymin"]) / max(spec["ny"], 1), 1e-9)
     left = grid.withColumn("id", F.col("iy").cast("long") * 1_000_000 + F.col("ix"))
     d = nearest_distance(left, controls.select(F.monotonically_increasing_id().alias("pid"), "x", "y", F.lit(0.0).alias("v")))
-    was = F.col(filled) if filled else F.lit(False)
-    kind = F.when(F.col("v").isNull(), 0).when(F.lit(fallback), 5).when(F.col("d") <= anchor_cells * cell, 4).when(was, 1).when(F.lit(fitted), 3).otherwise(2)
+    was = F.coalesce(F.col(filled), F.lit(False)) if filled else F.lit(False)
+    own = F.lit(5) if fallback else F.when(was, 1).otherwise(3 if fitted else 2)
+    far = F.coalesce(F.col("d") > low_density_cells * cell, F.lit(False))
+    kind = F.when(F.col("v").isNull(), 0).when(F.col("d") <= anchor_cells * cell, 4).when(far & F.lit(not fallback), 0).otherwise(own)
     #: Score by class.
     scores = F.array(*(F.lit(s) for s in (0.12, 0.38, 0.62, 0.82, 1.0, 0.8)))
-    j = left.join(d, "id", "left")
-    return j.select("ix", "iy", kind.alias("class"), F.element_at(scores, kind + 1).alias("score"), (F.col("d") > low_density_cells * cell).alias("low_density"))
+    return left.join(d, "id", "left").select("ix", "iy", kind.alias("class"), F.element_at(scores, kind + 1).alias("score"), far.alias("low_density"))
 
 
 def _beside(c: str, by, axis: str, step: int) -> Column:
@@ -245,12 +253,20 @@ def relax_grid(grid: DataFrame, passes: int = 8, tile: int = 64) -> DataFrame:
 
 
 def raster_interpolate(points: DataFrame, nx: int, ny: int, method: str = "idw", power: float = 2.0, k: int = 32, lo: float = 2.0, hi: float = 98.0) -> DataFrame:
-    """ix, iy, v of a raster over the points' extent: neighbours in coordinates scaled to the unit square, values clipped to percentiles lo, hi."""
+    """ix, iy, v at the centres of a raster over the extent of ``points(pid, x, y, v)``.
+
+    Neighbours are found in coordinates scaled to the unit square and samples
+    count as they are; the result is clipped to the samples' percentiles lo, hi.
+    """
     e = points.agg(F.min("x").alias("xmin"), F.max("x").alias("xmax"), F.min("y").alias("ymin"), F.max("y").alias("ymax")).first()
-    unit = {"nx": nx, "ny": ny, "xmin": 0.0, "xmax": 1.0, "ymin": 0.0, "ymax": 1.0}
     a, b = kth_values(points, "v", [lo / 100, hi / 100])
-    p = points.select("pid", *(((F.col(c) - e[f"{c}min"]) / max(e[f"{c}max"] - e[f"{c}min"], 1e-9)).alias(c) for c in "xy"), F.greatest(F.least("v", F.lit(b)), F.lit(a)).alias("v"))
-    return interpolate_grid(make_grid(points.sparkSession, unit), p, method, power, min_points=1, max_points=k).select("ix", "iy", "v")
+    if a is None:
+        return make_grid(points.sparkSession, {"nx": nx, "ny": ny, "xmin": 0.0, "xmax": 1.0, "ymin": 0.0, "ymax": 1.0}).select("ix", "iy", F.lit(None).cast("double").alias("v"))
+    span = {c: e[f"{c}max"] - e[f"{c}min"] for c in "xy"}
+    unit = {"nx": nx, "ny": ny} | {f"{c}min": 0.0 for c in "xy"} | {f"{c}max": max(span[c], 1e-9) / max(span[c], 1e-12) for c in "xy"}
+    p = points.select("pid", *(((F.col(c) - e[f"{c}min"]) / max(span[c], 1e-12)).alias(c) for c in "xy"), F.col("v").cast("double").alias("v"))
+    g = interpolate_grid(make_grid(points.sparkSession, unit, "centre"), p, method, power, min_points=1, max_points=k, hit_d=1e-12)
+    return g.select("ix", "iy", F.when(F.col("v").isNotNull(), F.greatest(F.least("v", F.lit(max(b, a + 1e-9))), F.lit(a))).alias("v"))
 
 
 def point_in_polygon(df: DataFrame, ring: list[tuple[float, float]], buffer: float = 0.0) -> DataFrame:

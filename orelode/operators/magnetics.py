@@ -126,9 +126,17 @@ def euler_solve(members: DataFrame, spec: dict, h: float, n: float | None = None
 
 
 def euler_sources(solutions: DataFrame, resolution: float, min_confidence: float = 0.05, voxel_scale: float = 0.15) -> DataFrame:
-    """x, y, depth_m, n, size, proxy (mean |M| * depth^(n+1) over its 95th percentile, at most 1), confidence 1 / (1 + 2 residual)."""
+    """x, y, z, depth_m, n, size, proxy, confidence, anomaly, background, residual of the solutions that can be trusted.
+
+    confidence is 1 / (1 + 2 residual); proxy is mean |M| * depth^(n + 1) over
+    the value at index floor(0.95 count) in order (the last one at most), from 0
+    to 1; size grows with depth from the resolution up to half the depth.
+    """
     s = solutions.withColumn("confidence", 1 / (1 + 2 * F.col("residual"))).where(F.col("confidence") >= min_confidence)
     s = materialise(s.withColumn("_raw", F.col("mean_abs") * F.pow("depth_m", F.col("n") + 1)), "solutions")
-    p95 = kth_values(s, "_raw", [0.95])[0] or 1.0
+    count = s.count()
+    at = min(int(0.95 * count), count - 1) / max(count - 1, 1)
+    scale = max(kth_values(s, "_raw", [at])[0] if count else 0.0, 1e-9)
     size = F.least(F.greatest(F.col("depth_m") * voxel_scale, F.lit(resolution)), F.col("depth_m") * 0.5)
-    return s.select("x", "y", "depth_m", "n", size.alias("size"), F.least(F.greatest(F.col("_raw") / p95, F.lit(0.0)), F.lit(1.0)).alias("proxy"), "confidence")
+    proxy = F.least(F.greatest(F.col("_raw") / scale, F.lit(0.0)), F.lit(1.0))
+    return s.select("x", "y", (-F.col("depth_m")).alias("z"), "depth_m", "n", size.alias("size"), proxy.alias("proxy"), "confidence", F.col("mean_abs").alias("anomaly"), "background", "residual")

@@ -80,8 +80,8 @@ def nearest_distance(left: DataFrame, points: DataFrame) -> DataFrame:
     return knn(left, points, 1).select("id", "d")
 
 
-def interpolate(neighbours: DataFrame, method: str = "idw", power: float = 2.0, min_points: int = 3) -> DataFrame:
-    """id, v from ``neighbours(id, rank, d, v)``: idw, nearest, rbf or kriging weights; an exact hit gives its value."""
+def interpolate(neighbours: DataFrame, method: str = "idw", power: float = 2.0, min_points: int = 3, hit_d: float = 1e-6) -> DataFrame:
+    """id, v from ``neighbours(id, rank, d, v)``: idw, nearest, rbf or kriging weights; a neighbour nearer than ``hit_d`` gives its value."""
     g = neighbours.groupBy("id").agg(F.count("*").alias("_n"), F.max("d").alias("_far"), F.min(F.struct("rank", "d", "v")).alias("_near"), F.collect_list(F.struct("d", "v")).alias("_all"))
     reach = F.greatest("_far", F.lit(1e-9))
     weight = {
@@ -89,7 +89,7 @@ def interpolate(neighbours: DataFrame, method: str = "idw", power: float = 2.0,
         "kriging": lambda s: 1.0 / (0.05 + F.greatest(1.0 - F.exp(-(s["d"] / reach)), F.lit(1e-6))),
     }.get(method, lambda s: F.pow(s["d"], F.lit(-min(max(power, 1.0), 6.0))))
     add = lambda of: F.aggregate("_all", F.lit(0.0), lambda a, s: a + of(s))
-    hit = F.col("_near.d") < 1e-6
+    hit = F.col("_near.d") < hit_d
     value = F.when(hit | F.lit(method == "nearest"), F.col("_near.v")).otherwise(add(lambda s: weight(s) * s["v"]) / add(weight))
     return g.where(F.col("_n") >= min_points).select("id", value.alias("v"))
 

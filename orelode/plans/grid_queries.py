@@ -131,10 +131,15 @@ def terrain_from_raster(spark, sf_dir):
     return grids.terrain_from_raster(holes, spec, _controls(spark, sf_dir), resolution=15.0)[0]
 
 
-@query()
+_TRUST = f"""{with_views('grid')}, c as (select (p_partkey * 13) % 230 * 0.8::double - 5 as cx, (p_partkey * 29) % 1000 * 0.9::double as cy from part where p_partkey % 5 = 0), e as (select max((max_ix) * 10.0 / (max_ix + 1), (max_iy) * 10.0 / (max_iy + 1)) as cell from (select max(ix) as max_ix, max(iy) as max_iy from grid)),
+ d as (select ix, iy, min(sqrt((x - cx) ** 2 + (y - cy) ** 2)) as d from grid, c group by ix, iy), k as (select ix, iy, case when d <= {{anchor}} * cell then 4 when d > {{low}} * cell then 0 else 3 end as class, d > {{low}} * cell as low_density from d, e)
+ select ix, iy, class, case class when 4 then 1.0 when 0 then .12 else .82 end::double as score, low_density from k"""
+
+
+@query(_TRUST.replace("max((max_ix)", "greatest((max_ix)").format(anchor=0.75, low=1.5))
 def terrain_confidence(spark, sf_dir):
     g, spec = part_grid(spark, sf_dir)
-    return grids.terrain_confidence(g, _controls(spark, sf_dir), spec)
+    return grids.terrain_confidence(g, _controls(spark, sf_dir), spec, low_density_cells=1.5)
 
 
 _STENCIL = f"{with_views('grid')}, s as (select g.ix, g.iy, g.v, w.v as w, e.v as e, s.v as s, n.v as n from grid g left join grid w on w.ix = g.ix - 1 and w.iy = g.iy left join grid e on e.ix = g.ix + 1 and e.iy = g.iy left join grid s on s.ix = g.ix and s.iy = g.iy - 1 left join grid n on n.ix = g.ix and n.iy = g.iy + 1)"
@@ -162,9 +167,16 @@ def relax_grid(spark, sf_dir):
     return rounded(grids.relax_grid(part_grid(spark, sf_dir)[0], passes=4, tile=16))
 
 
-@query()
+_RASTER = f"""{with_views('points')}, e as (select min(x) a, max(x) - min(x) as w, min(y) c, max(y) - min(y) as h, count(*) as n from points), u as (select pid, (x - a) / w as x, (y - c) / h as y, v from points, e),
+ q as (select v, row_number() over (order by v) - 1 as r from points), lim as (select max(v) filter (r = floor((n - 1) * .02 + .5)) as lo, max(v) filter (r = floor((n - 1) * .98 + .5)) as hi from q, e),
+ cell as (select (i % 64)::int as ix, (i // 64)::int as iy, (i % 64 + .5) / 64 as x, (i // 64 + .5) / 64 as y from (select unnest(range(4096)) as i)),
+ d as (select ix, iy, u.v, sqrt((cell.x - u.x) ** 2 + (cell.y - u.y) ** 2) as d, pid from cell, u qualify row_number() over (partition by ix, iy order by d, pid) <= 32),
+ m as (select ix, iy, case when min(d) < 1e-12 then arg_min(v, d) else sum(v / d ** 2) / sum(1 / d ** 2) end as v from d group by ix, iy)"""
+
+
+@query(f"{_RASTER} select ix, iy, {r('greatest(least(v, hi), lo)', 'v')} from m, lim")
 def raster_interpolate(spark, sf_dir):
-    return grids.raster_interpolate(points3d(spark, sf_dir), 64, 64)
+    return rounded(grids.raster_interpolate(points3d(spark, sf_dir), 64, 64))
 
 
 @query(f"""{with_views('points')}, e as (select min(x) a, max(x) b, min(y) c, max(y) d from points), f as (select a - .25 * (b - a) as x0, b + .25 * (b - a) as x1, c - .25 * (d - c) as y0, d + .25 * (d - c) as y1 from e),
