@@ -73,6 +73,58 @@ def contour_xyz(grid: DataFrame, spec: dict, **how) -> DataFrame:
     return s.select("level", "z", F.explode(ends).alias("p")).select("level", "p.x", "p.y", "z")
 
 
+def _ranked(arcs: DataFrame, max_rounds: int) -> DataFrame:
+    """Arcs u -> v with ``next`` (the arc that follows, null at the end of a run) ranked by pointer doubling.
+
+    Returns id, a, b, last (the run's last arc), steps (arcs from here to it)
+    and low (the smallest of the vertices after this one and before the run's
+    end). Each round doubles how far an arc sees, so a run of n arcs takes
+    log2(n) rounds of one join, whatever tasks its arcs lie in.
+    """
+    # What an arc sees: the arcs from itself up to ``at``, and the smallest vertex between them.
+    seen = arcs.select("id", "a", "b", F.col("id").alias("at"), "next", F.lit(0).cast("long").alias("steps"), F.lit(None).cast("long").alias("low"))
+    seen = materialise(seen, "arcs")
+    for _ in range(max_rounds):
+        if seen.where("next is not null").isEmpty():
+            return seen.select("id", "a", "b", F.col("at").alias("last"), "steps", "low")
+        far = seen.select(F.col("id").alias("next"), F.col("at").alias("_at"), F.col("next").alias("_next"), F.col("steps").alias("_steps"), F.col("low").alias("_low"), F.col("a").alias("_a"))
+        j = seen.join(far, "next", "left")
+        more = F.col("_at").isNotNull()
+        seen = materialise(
+            j.select("id", "a", "b", F.when(more, F.col("_at")).otherwise(F.col("at")).alias("at"), F.col("_next").alias("next"), (F.col("steps") + F.coalesce(F.col("_steps") + 1, F.lit(0))).alias("steps"), F.least("low", "_a", "_low").alias("low")), "arcs"
+        )
+    raise RuntimeError(f"runs of contours are not ranked after {max_rounds} rounds")
+
+
+def _walk(p: pd.DataFrame) -> pd.DataFrame:
+    """The runs of one component put together: run, part, start (place of its first vertex in the part), closed.
+
+    From the smallest vertex with an odd number of runs left, or else the
+    smallest, always on to the smallest next vertex, until none is left.
+    """
+    out: dict[int, list[tuple]] = {}
+    twin, length = {}, {}
+    for a, b, first, run, back, n in zip(p["a"], p["b"], p["first"], p["run"], p["back"], p["n"], strict=True):
+        out.setdefault(a, []).append((first, b, run))
+        twin[run], length[run] = back, n
+    for v in out.values():
+        v.sort()
+    left, rows, part = set(twin), [], 0
+    while left:
+        degree = {v: sum(r in left for _, _, r in runs) for v, runs in out.items()}
+        at = min((v for v, d in degree.items() if d % 2), default=None)
+        at = min(v for v, d in degree.items() if d) if at is None else at
+        begin, place, path = at, 0, []
+        while nxt := next(((b, r) for _, b, r in out[at] if r in left), None):
+            at, run = nxt
+            left -= {run, twin[run]}
+            path.append((run, place))
+            place += length[run]
+        rows += [(run, part, start, at == begin) for run, start in path]
+        part += 1
+    return pd.DataFrame(rows, columns=["run", "part", "start", "closed"])
+
+
 def stitch_contours(segments: DataFrame, max_rounds: int = 60) -> DataFrame:
     """level, line_id, seq, x, y, closed: segments joined end to end.
 
@@ -80,46 +132,52 @@ def stitch_contours(segments: DataFrame, max_rounds: int = 60) -> DataFrame:
     0.12 of the tenth percentile of lengths, 1e-6), so ends that meet share a
     vertex. Lines are connected components of the vertices' ranks, named by the
     smallest vertex; an error is raised if they don't settle in ``max_rounds``.
-    The vertices of one line are then put in order by a walk.
+
+    Between ends, junctions and the smallest vertex of a ring, vertices have two
+    neighbours; places along such runs come from joins (``_ranked``). Each run
+    is cut once more at its smallest vertex. Only runs, of which a component has
+    as many as its junctions ask for, are then put in order by a walk.
     """
     s = segments.select("level", *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")))
     length = F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
     span = s.agg(F.max(F.greatest("x0", "x1", "y0", "y1")) - F.min(F.least("x0", "x1", "y0", "y1"))).first()[0]
     tol = max((span or 0) * 1e-6, 0.12 * (kth_values(s.select(length.alias("v")), "v", [0.1], linear=True)[0] or 0), 1e-6)
     vertex = lambda k: F.struct("level", F.round(F.col(f"x{k}") / tol).cast("long").alias("i"), F.round(F.col(f"y{k}") / tol).cast("long").alias("j"))
-    e2 = s.withColumn("a", vertex(0)).withColumn("b", vertex(1)).where("a <> b")
-    e2 = materialise(e2.select("level", "a", "b").distinct(), "contour-edges")
-    both = e2.select("a", "b").unionByName(e2.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    ids = materialise(global_rank(both.select(F.col("a").alias("v")).distinct(), "v", name="id").select("v", "id"), "contour-vertices")
+    e = s.withColumn("a", vertex(0)).withColumn("b", vertex(1)).where("a <> b")
+    e = e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    e = materialise(e, "contour-edges")
+    ids = materialise(global_rank(e.select(F.explode(F.array("a", "b")).alias("v")).distinct(), "v", name="id").select("v", "id"), "contour-vertices")
     named = lambda v, k: ids.select(F.col("v").alias(v), F.col("id").alias(k))
-    joined = connected_components(e2.join(named("a", "_a"), "a").join(named("b", "_b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")), max_rounds)
-    label = joined.join(named("a", "node"), "node").join(named("l", "component"), "component").select("a", "l")
-    lines = e2.join(label, "a")
-
-    def walk(p: pd.DataFrame) -> pd.DataFrame:
-        beside: dict[tuple, list[tuple]] = {}
-        for a, b in zip(p["a"], p["b"], strict=True):
-            a, b = (a["i"], a["j"]), (b["i"], b["j"])
-            beside.setdefault(a, []).append(b)
-            beside.setdefault(b, []).append(a)
-        left = {tuple(sorted((a, b))) for a, ns in beside.items() for b in ns}
-        out, first = [], p["l"].iloc[0]
-        part = 0
-        while left:
-            open_ = {v for edge in left for v in edge}
-            degree = {v: sum(tuple(sorted((v, n))) in left for n in beside[v]) for v in open_}
-            at = min((v for v in open_ if degree[v] % 2), default=min(open_))
-            path = [at]
-            while nxt := [n for n in sorted(beside[at]) if tuple(sorted((at, n))) in left]:
-                left.discard(tuple(sorted((at, nxt[0]))))
-                at = nxt[0]
-                path.append(at)
-            closed = path[0] == path[-1]
-            out += [(first["level"], f"{first['level']}:{first['i']}:{first['j']}:{part}", k, i * tol, j * tol, closed) for k, (i, j) in enumerate(path)]
-            part += 1
-        return pd.DataFrame(out, columns=["level", "line_id", "seq", "x", "y", "closed"])
-
-    return lines.select("l", "a", "b").groupBy("l").applyInPandas(walk, "level double, line_id string, seq int, x double, y double, closed boolean")
+    edges = materialise(e.join(named("a", "_a"), "a").join(named("b", "_b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")), "contour-edges")
+    label = materialise(connected_components(edges, max_rounds).select("node", "component"), "contour-lines")
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    # Arcs in both directions; an arc goes on unless it comes to an end, a junction or a ring's smallest vertex.
+    arcs = materialise(both.withColumn("id", F.monotonically_increasing_id()), "arcs")
+    beside = arcs.groupBy(F.col("a").alias("v")).agg(F.count("*").alias("degree"), F.min(F.struct(F.col("b").alias("to"), "id")).alias("one"), F.max(F.struct(F.col("b").alias("to"), "id")).alias("two"))
+    passed = beside.join(label.withColumnRenamed("node", "v"), "v").where("degree = 2 and v <> component")
+    ranked = arcs.join(passed.select(F.col("v").alias("b"), "one", "two"), "b", "left").select("id", "a", "b", F.when(F.col("one.to") == F.col("a"), F.col("two.id")).otherwise(F.col("one.id")).alias("next"))
+    ranked = _ranked(ranked, max_rounds)
+    # A run is named by its last arc; its first arc sees the whole of it.
+    w = ranked.groupBy("last").agg(F.max(F.struct("steps", "low")).alias("whole"), F.max_by("b", -F.col("steps")).alias("end"))
+    on = ranked.join(w, "last").withColumn("pos", F.col("whole.steps") - F.col("steps")).select("id", "a", "b", "last", "pos", F.col("whole.low").alias("low"), "end")
+    # Cut at the smallest vertex between: arcs from it on are the run's second half.
+    cut = on.where("a = low").select("last", F.col("pos").alias("_cut"))
+    on = on.join(cut, "last", "left").withColumn("half", (F.col("_cut").isNotNull() & (F.col("pos") >= F.col("_cut"))).cast("int"))
+    on = on.withColumn("run", F.col("last") * 2 + F.col("half")).withColumn("pos", F.col("pos") - F.when(F.col("half") == 1, F.col("_cut")).otherwise(0))
+    on = materialise(on.select("id", "a", "b", "run", "pos"), "contour-runs")
+    runs = on.groupBy("run").agg(F.count("*").alias("n"), F.min_by(F.struct("a", "b"), "pos").alias("f"), F.max_by(F.struct("a", "b"), "pos").alias("l"))
+    runs = runs.select("run", "n", F.col("f.a").alias("a"), F.col("f.b").alias("first"), F.col("l.b").alias("b"), F.col("l.a").alias("before_end"))
+    back = runs.select(F.col("run").alias("back"), F.col("a").alias("b"), F.col("first").alias("before_end"))
+    runs = runs.join(back, ["b", "before_end"]).join(label.withColumnRenamed("node", "a"), "a")
+    kept = runs.select("component", "a", "b", "first", "run", "back", "n").groupBy("component").applyInPandas(lambda p: _walk(p).assign(component=p["component"].iloc[0]), "run long, part int, start long, closed boolean, component long")
+    kept = materialise(kept, "contour-paths")
+    spots = on.join(kept, "run")
+    places = spots.select("component", "part", "closed", (F.col("start") + F.col("pos")).alias("seq"), F.col("a").alias("v"))
+    size = kept.join(runs.select("run", "n", F.col("b").alias("v")), "run").withColumn("_end", F.col("start") + F.col("n"))
+    ends = size.groupBy("component", "part", "closed").agg(F.max(F.struct("_end", "v")).alias("e")).select("component", "part", "closed", F.col("e._end").alias("seq"), F.col("e.v").alias("v"))
+    at = places.unionByName(ends).join(named("p", "v"), "v").join(named("l", "component"), "component")
+    line = F.concat_ws(":", F.col("l.level").cast("string"), F.col("l.i").cast("string"), F.col("l.j").cast("string"), F.col("part").cast("string"))
+    return at.select(F.col("p.level").alias("level"), line.alias("line_id"), F.col("seq").cast("int").alias("seq"), (F.col("p.i") * tol).alias("x"), (F.col("p.j") * tol).alias("y"), "closed")
 
 
 def assay_heatmap(points: DataFrame, measure: str, method: str = "idw", scale: str = "linear", lo: float = 0.0, hi: float = 100.0, power: float = 2.0, radius: float = 0.0, min_points: int = 3, max_points: int = 32, smoothness: int = 256, pad: float = 0.0) -> tuple[DataFrame, dict, DataFrame, DataFrame]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,36 +98,51 @@ def trace_polylines(segments: DataFrame) -> DataFrame:
     return ends.groupBy("hole_id").agg(F.array_sort(F.collect_set("p")).alias("vertices"))
 
 
+def _composite_numbers(samples: DataFrame, length: float) -> DataFrame:
+    """``samples``, sorted by hole, with p (place in the hole) and k (its composite): a sum that starts again once it reaches ``length``.
+
+    A task streams its sorted rows; the sum so far is carried from one Arrow
+    batch to the next, so a hole of any size takes the memory of one batch.
+    """
+
+    def run(batches):
+        hole, p, k, total = None, 0, 0, 0.0
+        for b in batches:
+            ps, ks = [], []
+            for own, support in zip(b.column("hole_id").to_pylist(), b.column("support_m").to_pylist(), strict=True):
+                if own != hole:
+                    hole, p, k, total = own, 0, 0, 0.0
+                ps.append(p)
+                ks.append(k)
+                p, total = p + 1, total + max(support, 1e-6)
+                if total >= length:
+                    k, total = k + 1, 0.0
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ps, pa.int64()), pa.array(ks, pa.int64())], names=[*b.schema.names, "p", "k"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in samples.schema.fields)
+    return samples.mapInArrow(run, f"{fields}, p long, k long")
+
+
 def composite_intervals(samples: DataFrame, length: float = 0.0) -> DataFrame:
     """Greedy composites of at least ``length`` per hole, in depth order, never splitting a sample.
 
     ``samples(hole_id, from_m, to_m, depth_m, x, y, z, v, sg)``; support is
     to - from, 1 where that isn't positive. A composite closes as soon as its
-    support reaches the length; the rest of a hole is one more. Which composite
-    a sample belongs to needs the sums in order (a reset sum), which is a fold
-    over the hole's array; the weighted means are then a plain aggregate. Rows
-    without a hole, and holes of one row, pass through.
+    support reaches the length; the rest of a hole is one more. Rows are sorted
+    by hole and depth and numbered in a stream; the weighted means are then a
+    plain aggregate. Rows without a hole, and holes of one row, pass through.
     """
     support = F.when(F.col("to_m") - F.col("from_m") > 0, F.col("to_m") - F.col("from_m")).otherwise(F.lit(1.0))
-    s = samples.withColumn("support_m", support)
+    s = samples.withColumn("support_m", support.cast("double"))
     out = ["hole_id", "from_m", "to_m", "depth_m", "x", "y", "z", "v", "sg", "support_m"]
     if length <= 0:
         return s.select(*out)
     loose = s.where("hole_id is null").select(*out)
-    row = F.struct(F.coalesce("from_m", "depth_m").alias("o"), "from_m", "to_m", "depth_m", "x", "y", "z", "v", "sg", "support_m")
-    holes = s.where("hole_id is not null").groupBy("hole_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    start = F.struct(F.lit(0.0).alias("len"), F.lit(0).alias("k"), F.expr("array_repeat(0, 0)").alias("ks"))
-
-    def step(acc, r):
-        total = acc["len"] + F.greatest(r["support_m"], F.lit(1e-6))
-        closed = total >= length
-        return F.struct(F.when(closed, F.lit(0.0)).otherwise(total).alias("len"), (acc["k"] + F.when(closed, F.lit(1)).otherwise(F.lit(0))).alias("k"), F.concat(acc["ks"], F.array(acc["k"])).alias("ks"))
-
-    each = holes.withColumn("ks", F.aggregate("rows", start, step)["ks"]).select("hole_id", F.posexplode(F.arrays_zip("rows", "ks")).alias("p", "z_"))
-    each = each.select("hole_id", "p", "z_.ks", "z_.rows.*")
+    sorted_ = s.where("hole_id is not null").select(*out).repartition("hole_id").sortWithinPartitions("hole_id", F.coalesce("from_m", "depth_m"), *out[1:])
+    each = _composite_numbers(sorted_, length)
     w = F.greatest("support_m", F.lit(1e-6))
     first, last = (lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("p")))), (lambda c: F.max_by(c, "p"))
-    grouped = each.groupBy("hole_id", "ks").agg(
+    grouped = each.groupBy("hole_id", "k").agg(
         first("from_m").alias("from_m"), F.max_by(F.coalesce("to_m", "depth_m"), "p").alias("to_m"),
         first("depth_m").alias("d0"), last("depth_m").alias("d1"),
         *((F.sum(F.col(c) * w) / F.sum(w)).alias(c) for c in ("x", "y", "z", "v")),
