@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from .. import sources
@@ -34,14 +36,20 @@ def read_delimited(spark, sf_dir):
 def read_json_rows(spark, sf_dir):
     path = _folder(spark, "json")
     table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice").write.json(path)
-    d = spark.read.json(path)
+    d = sources.read_json_rows(spark, path)
     return d.select("o_orderkey", "o_orderstatus", "o_totalprice")
 
 
 def _collection(spark, features, path: str) -> None:
-    """One feature collection a part: features gathered by part number, each of bounded size."""
-    parts = features.withColumn("p", F.pmod(F.xxhash64("value"), F.lit(8))).groupBy("p").agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("value"), ","), F.lit("]}")).alias("value"))
-    parts.write.partitionBy("p").text(path)
+    """Feature collections as texts: each task's features between a head and a tail, one feature a line."""
+
+    def wrap(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(['{"type":"FeatureCollection","features":[{"type":"Feature","geometry":null,"properties":{}}'])], names=["value"])
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(",", b.column(0).cast(pa.string()), "")], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["]}"])], names=["value"])
+
+    features.select("value").mapInArrow(wrap, "value string").write.text(path)
 
 
 @query(f"{with_views('collars')} select hole_id, x as lon, y as lat, {r('z', 'z')} from collars")
@@ -66,10 +74,10 @@ def read_ascii_grid(spark, sf_dir):
     g, spec = part_grid(spark, sf_dir)
     path = _folder(spark, "grid")
     line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ix", "v"))), lambda s: s["v"].cast("string")), " ")
-    rows = g.groupBy("iy").agg(line.alias("t")).select(F.struct((-F.col("iy")).alias("o"), "t").alias("s"))
-    head = f"ncols {spec['nx']}\nNROWS {spec['ny']}\nxllcorner 0\nyllcorner 0\ncellsize 10\nnodata_value -9999\n"
-    whole = rows.agg(F.concat(F.lit(head), F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["t"]), "\n")).alias("value"))  # one ASCII grid is one text
-    whole.coalesce(1).write.text(path)
+    rows = g.groupBy("iy").agg(line.alias("value"))  # a row of the grid is a line
+    head = f"ncols {spec['nx']}\nNROWS {spec['ny']}\nxllcorner 0\nyllcorner 0\ncellsize 10\nnodata_value -9999"
+    spark.createDataFrame([(head,)], "value string").coalesce(1).write.text(f"{path}/0-head")
+    rows.repartitionByRange(4, F.desc("iy")).sortWithinPartitions(F.desc("iy")).select("value").write.text(f"{path}/1-rows")
     out, _ = sources.read_ascii_grid(spark, path)
     return rounded(out.select("ix", "iy", "v"))
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import blank_to_null, parse_numeric
 from ..operators.ingest import explode_row_arrays, infer_mapping  # noqa: F401
+from ..operators.shared import scratch_path
 from ..operators.versions import dataset_fingerprint
+from .splits import before, json_objects, pieces
 
 SEPARATORS = (",", ";", "\t", "|")
 
@@ -40,22 +42,35 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None, heade
     return df.dropna(how="all")
 
 
-def read_json_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a JSON array of objects, or of one object a line; columns are the union of keys."""
-    return spark.read.json(path, multiLine=True)
+def _lines(objects: DataFrame, name: str) -> str:
+    """The folder that one object a line was written to."""
+    spark = objects.sparkSession
+    path = scratch_path(spark, name)
+    objects.write.text(path)
+    return path
+
 
+def _opens_with(spark: SparkSession, path: str) -> str:
+    """The first character of the first file that isn't white space."""
+    first = min(spark.read.option("recursiveFileLookup", "true").text(path).inputFiles(), default=None)
+    row = first and pieces(spark, first, "}").where("start = 0").orderBy("no").select(F.substring(F.ltrim(F.regexp_replace("value", r"^[\\s\ufeff]+", "")), 1, 1)).first()
+    return row[0] if row else ""
 
-def _features(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.json(path, multiLine=True)
-    return raw.select(F.explode("features").alias("f")).select("f.*") if "features" in raw.columns else raw
+
+def read_json_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a JSON array of objects in any layout, or of objects one after another; columns are the union of keys."""
+    return spark.read.json(_lines(json_objects(spark, path, 2 if _opens_with(spark, path) == "[" else 1), "json-rows"))
 
 
 def read_geojson_points(spark: SparkSession, path: str) -> DataFrame:
-    """The features' properties with lon, lat and z (null if absent)."""
-    f = _features(spark, path).where("geometry.type = 'Point'")
-    props = ["properties.*"] if "properties" in f.columns else []
-    at = F.col("geometry.coordinates")
-    return f.select(*props, F.get(at, F.lit(0)).cast("double").alias("lon"), F.get(at, F.lit(1)).cast("double").alias("lat"), F.get(at, F.lit(2)).cast("double").alias("z"))
+    """The features' properties with lon, lat and z (null if absent), of one or many feature collections."""
+    kept = json_objects(spark, path, 3, "features").where(F.get_json_object("value", "$.geometry.type") == "Point")
+    kept = spark.read.text(_lines(kept, "point-features"))
+    at = F.from_json(F.get_json_object("value", "$.geometry.coordinates"), "array<double>")
+    f = kept.select(F.coalesce(F.get_json_object("value", "$.properties"), F.lit("{}")).alias("p"), at.alias("at"))
+    place = [F.get("at", F.lit(k)).alias(n) for k, n in enumerate(("lon", "lat", "z"))]
+    kind = spark.read.json(_lines(f.select("p"), "properties")).schema
+    return f.select(F.from_json("p", kind).alias("p"), *place).select("p.*", "lon", "lat", "z") if len(kind) else f.select(*place)
 
 
 #: Properties that hold a line's level, in this order.
@@ -64,7 +79,7 @@ LEVEL_KEYS = ("elevation", "elev", "z", "contour", "level", "height", "value")
 
 def read_geojson_lines(spark: SparkSession, path: str) -> DataFrame:
     """x0, y0, z0, x1, y1, z1, level, has_z: consecutive vertices of LineString and MultiLineString features."""
-    f = spark.read.text(path, wholetext=True).select(F.explode(F.from_json(F.get_json_object("value", "$.features"), "array<string>")).alias("f"))
+    f = json_objects(spark, path, 3, "features").withColumnRenamed("value", "f")
     kind = F.get_json_object("f", "$.geometry.type")
     level = F.coalesce(*(parse_numeric(F.get_json_object("f", f"$.properties.{k}"), decimal_comma=False) for k in LEVEL_KEYS))
     coords = F.get_json_object("f", "$.geometry.coordinates")
@@ -79,21 +94,25 @@ def read_geojson_lines(spark: SparkSession, path: str) -> DataFrame:
 def read_ascii_grid(spark: SparkSession, path: str, nodata: float = -32768.0) -> tuple[DataFrame, dict]:
     """(grid, spec) of an Esri ASCII grid: six header lines in any case, then rows from north to south.
 
-    Lines keep their place in the file by a count of value lines before them;
-    missing values are null, surplus ones are dropped.
+    Values are numbered by how many stand before them, in whole byte ranges and
+    in their own (``splits``), so a file is read by many tasks and a row is one
+    line. A folder counts as its files in the order of their names. Missing
+    values are null, surplus ones are dropped.
     """
+    first = min(spark.read.option("recursiveFileLookup", "true").text(path).inputFiles())
     head: dict[str, float] = {}
-    for r in spark.read.text(path).limit(6).collect():
+    for r in pieces(spark, first).where("start = 0").orderBy("no").limit(6).collect():
         parts = r[0].split()
-        if len(parts) == 2:
+        if len(parts) == 2 and not parts[0][0].isdigit():
             head[parts[0].lower()] = float(parts[1])
     nx, ny, size = int(head["ncols"]), int(head["nrows"]), head["cellsize"]
     none = head.get("nodata_value", nodata)
     x0 = head.get("xllcorner", head.get("xllcenter", 0.0) - size / 2)
     y0 = head.get("yllcorner", head.get("yllcenter", 0.0) - size / 2)
-    text = spark.read.text(path, wholetext=True).select(F.array_remove(F.split(F.regexp_replace("value", r"(?im)^[ \t]*[a-z_]+[ \t]+\S+[ \t]*$", ""), r"\s+"), "").alias("v"))
-    cells = text.select(F.posexplode("v").alias("k", "t")).where(F.col("k") < nx * ny).select("k", parse_numeric("t", decimal_comma=False).alias("v"))
-    every = spark.range(nx * ny).select(F.col("id").cast("int").alias("k")).join(cells, "k", "left")
+    rows = pieces(spark, path).where(~F.col("value").rlike(r"^[ \t]*[A-Za-z_]+[ \t]+\S+[ \t\r]*$")).withColumn("v", F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " "))
+    rows = before(rows.where("trim(value) <> ''").withColumn("n", F.size("v")), "n", "k0")
+    cells = rows.select("k0", F.posexplode("v").alias("i", "t")).select((F.col("k0") + F.col("i")).alias("k"), parse_numeric("t", decimal_comma=False).alias("v")).where(F.col("k") < nx * ny)
+    every = spark.range(nx * ny).select(F.col("id").alias("k")).join(cells, "k", "left")
     ix, iy = F.col("k") % nx, ny - 1 - F.floor(F.col("k") / nx)
     g = every.select(ix.cast("int").alias("ix"), iy.cast("int").alias("iy"), (x0 + (ix + 0.5) * size).alias("x"), (y0 + (iy + 0.5) * size).alias("y"), F.when(F.col("v") != none, F.col("v")).alias("v"))
     return g, {"nx": nx, "ny": ny, "xmin": x0 + size / 2, "xmax": x0 + (nx - 0.5) * size, "ymin": y0 + size / 2, "ymax": y0 + (ny - 0.5) * size}
