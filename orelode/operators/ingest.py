@@ -14,19 +14,19 @@ from .selection import kth_values
 #: Names under which a field is found, in canonical form.
 ALIASES = {
     "hole_id": ("holeid", "hole", "bhid", "dhid", "drillhole", "collarid"),
-    "x": ("x", "easting", "east", "xcoord", "utme"),
-    "y": ("y", "northing", "north", "ycoord", "utmn"),
-    "z": ("z", "elevation", "elev", "rl", "altitude"),
+    "x": ("x", "xwgs84", "easting", "east", "xcoord", "utme", "xm", "fx"),
+    "y": ("y", "ywgs84", "northing", "north", "ycoord", "utmn", "ym", "fy"),
+    "z": ("z", "elevation", "elev", "rl", "altitude", "alt", "gpsz", "fz"),
     "depth_m": ("depth", "depthm", "md", "at"),
     "azimuth_deg": ("azimuth", "azi", "azimuthdeg", "bearing"),
     "dip_deg": ("dip", "dipdeg", "inclination"),
-    "from_m": ("from", "fromm", "depthfrom"),
-    "to_m": ("to", "tom", "depthto"),
+    "from_m": ("from", "fromm", "depthfrom", "fromdepth"),
+    "to_m": ("to", "tom", "depthto", "todepth"),
     "id": ("id", "sampleid", "sample"),
-    "lon": ("lon", "longitude", "lng"),
+    "lon": ("lon", "longitude", "long", "lng"),
     "lat": ("lat", "latitude"),
-    "ts": ("time", "timestamp", "datetime", "date"),
-    "segment_id": ("segment", "segmentid", "line", "lineid"),
+    "ts": ("utc", "time", "timestamp", "datetime", "date"),
+    "segment_id": ("segment", "segmentid", "line", "lineid", "flightline", "group"),
 }
 
 
@@ -34,13 +34,24 @@ def canonical(name: str) -> str:
     return re.sub(r"[_\-. ]", "", name.strip().lower())
 
 
+def _field_of(name: str) -> str | None:
+    """The measured field that a canonical name belongs to: by an alias that it equals, else by the longest that it contains."""
+    measured = (f for f in ALIASES if f not in ("hole_id", "id", "segment_id", "ts"))
+    held = [(a == name, len(a), f) for f in measured for a in ALIASES[f] if a == name or (len(a) > 2 and a in name)]
+    return max(held)[2] if held else None
+
+
 def infer_mapping(columns: list[str], fields: list[str]) -> dict[str, str]:
-    """field -> column: the first alias that equals a column's canonical name, else one that it contains; a column serves once."""
+    """field -> column: the first alias that equals a column's canonical name, else one that it contains; a column serves once.
+
+    A name that only contains an alias serves no field if another field's alias
+    names it better (``from_azimuth`` is no start of an interval).
+    """
     out, names = {}, {c: canonical(c) for c in columns}
     for exact in (True, False):
         for f in fields:
             for a in () if f in out else ALIASES.get(f, (f,)):
-                free = [c for c in columns if c not in out.values() and (names[c] == a if exact else len(a) > 2 and a in names[c])]
+                free = [c for c in columns if c not in out.values() and (names[c] == a if exact else len(a) > 2 and a in names[c] and (_field_of(names[c]) or f) == f)]
                 if free:
                     out[f] = free[0]
                     break

@@ -155,6 +155,16 @@ def test_mapping_by_alias():
     assert ingest.infer_mapping(["Hole ID", "EASTING", "Northing_m", "rl"], ["hole_id", "x", "y", "z"]) == {"hole_id": "Hole ID", "x": "EASTING", "y": "Northing_m", "z": "rl"}
 
 
+def test_every_header_alias():
+    for field, names in {"x": "x X_WGS84 easting utm_e x_m fx", "y": "y y_wgs84 Northing utm_n y_m fy", "z": "z elevation alt gpsz fz", "lon": "lon longitude long", "lat": "lat Latitude", "ts": "utc time timestamp datetime", "segment_id": "line line_id flightline group segment"}.items():
+        for n in names.split():
+            assert ingest.infer_mapping(["other", n], ["x", "y", "z", "lon", "lat", "ts", "segment_id"]) == {field: n}, n
+    interval = ["hole_id", "from_m", "to_m"]
+    assert ingest.infer_mapping(["from_azimuth", "hole", "Depth From", "to"], interval) == {"hole_id": "hole", "from_m": "Depth From", "to_m": "to"}
+    assert ingest.infer_mapping(["from_azimuth", "hole"], interval) == {"hole_id": "hole"}
+    assert ingest.infer_mapping(["sample from (m)", "hole"], interval)["from_m"] == "sample from (m)"
+
+
 def test_empty_tables(spark):
     e = spark.createDataFrame([], "pid long, x double, y double, z double, v double")
     assert neighbours.knn(e.withColumnRenamed("pid", "id"), e, 3).count() == 0
