@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,6 +61,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     MADE.append(path)
+    if (notes := _NOTES.get()) is not None:
+        notes.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
@@ -67,6 +72,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 MADE: list[str] = []
 
 
+_NOTES: ContextVar[list[str] | None] = ContextVar("notes", default=None)
+
+
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """The folders that ``materialise`` writes within the block, in this thread only."""
+    notes: list[str] = []
+    before = _NOTES.set(notes)
+    try:
+        yield notes
+    finally:
+        _NOTES.reset(before)
+
+
 def delete_folders(spark: SparkSession, paths: list[str]) -> None:
     """Delete folders of the shared store; those that are gone already are no error."""
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
