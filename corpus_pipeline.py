@@ -7,14 +7,13 @@ return the columns of ``documents``.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orelode.llm.common import MADE, WORD, delete_folders, materialise, read_table
+from orelode.llm.common import WORD, delete_folders, materialise, noted, read_table
 from orelode.llm.line_dedup import dedup_lines
 from orelode.llm.minhash_dedup import near_documents
 from orelode.llm.packing import pack_documents
@@ -75,36 +74,34 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs)
 
 
-_left: list[str] = []
+#: The columns that stages know; any others pass through under names that no stage uses.
+KNOWN = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _tidy(stage: Callable[[SparkSession, DataFrame, str], DataFrame], first: bool = False) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """``stage``, which begins by deleting the scratch tables of the stage before it: its result is written by then.
-
-    Tables that ``docs`` still reads stay.
-    """
+def _carry(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """``stage`` on documents with any further columns: they come back unchanged, whatever they are called."""
 
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        if not first:
-            read = docs.inputFiles()
-            delete_folders(spark, [x for x in _left if not any(os.path.basename(x) in f for f in read)])
-        before = len(MADE)
-        out = stage(spark, docs, sf_dir)
-        _left[:] = MADE[before:]
-        return out
+        names = docs.columns
+        return stage(spark, docs.toDF(*(c if c in KNOWN else f"carried_{k}" for k, c in enumerate(names))), sf_dir).toDF(*names)
 
     return run_stage
 
 
-STAGES = [("toxicity", _tidy(toxicity, first=True)), ("line_dedup", _tidy(line_dedup)), ("near_dedup", _tidy(near_dedup)), ("mixing", _tidy(mixing)), ("packing", _tidy(packing))]
+STAGES = [("toxicity", _carry(toxicity)), ("line_dedup", _carry(line_dedup)), ("near_dedup", _carry(near_dedup)), ("mixing", _carry(mixing)), ("packing", packing)]
 
 #: The model, the similarity joins and the tokenizer aren't SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    """The last stage's rows. Each stage's result is written; then the scratch tables that the stage itself wrote go."""
+    docs, before = read_table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with noted() as scratch:
+            result = stage(spark, docs, sf_dir)
+        docs = materialise(result, f"pipeline-{name}")
+        delete_folders(spark, scratch + before)
+        before = [docs.scratch_path]
     return STAGES[-1][1](spark, docs, sf_dir)
