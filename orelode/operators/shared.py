@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_LOCAL: dict[str, str] = {}  # by application: the temporary folder of a local session
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
@@ -23,8 +26,9 @@ def scratch_dir(spark: SparkSession) -> str:
     if not at:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        at = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
+        app = spark.sparkContext.applicationId
+        at = _LOCAL.setdefault(app, "") or f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        _LOCAL[app] = at
     return at.rstrip("/")
 
 

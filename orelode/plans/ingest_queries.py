@@ -98,7 +98,11 @@ def write_geojson(spark, sf_dir):
     return d.agg(F.count("*").alias("n"), F.sum("k").alias("keys"))
 
 
-@query()
+_ROW = "sha256(" + " || ".join(f"coalesce(length({c}::varchar) || ':' || {c}::varchar, 'N')" for c in ("hole_id", "x", "y", "z")) + ")"
+_LANES = ", ".join(f"(sum(('0x' || h[{16 * k + 1}:{16 * k + 16}])::ubigint::hugeint) % 18446744073709551616::hugeint)::varchar as s{k}" for k in range(4))
+
+
+@query(f"{with_views('collars')}, h as (select {_ROW} as h from collars), s as (select count(*)::varchar as n, {_LANES} from h) select sha256(n || ',' || s0 || ',' || s1 || ',' || s2 || ',' || s3) as hash from s")
 def write_rows(spark, sf_dir):
     return sources.write_rows(collars(spark, sf_dir), _folder(spark, "rows"))
 

@@ -155,6 +155,30 @@ def test_mapping_by_alias():
     assert ingest.infer_mapping(["Hole ID", "EASTING", "Northing_m", "rl"], ["hole_id", "x", "y", "z"]) == {"hole_id": "Hole ID", "x": "EASTING", "y": "Northing_m", "z": "rl"}
 
 
+class _Named:
+    """A session that names this master and no shared folder."""
+
+    def __init__(self, master):
+        self.conf = self.sparkContext = self
+        self.master, self.applicationId = master, f"app-{master}"
+
+    def getConf(self):
+        return {}
+
+    def get(self, key, default=None):
+        return default
+
+
+def test_scratch_folder_is_local_only_on_one_machine():
+    from orelode.operators import shared
+
+    at = shared.scratch_dir(_Named("local[4]"))
+    assert at.startswith("file://") and shared.scratch_dir(_Named("local[4]")) == at
+    for master in ("spark://host:7077", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared.scratch_dir(_Named(master))
+
+
 def test_every_header_alias():
     for field, names in {"x": "x X_WGS84 easting utm_e x_m fx", "y": "y y_wgs84 Northing utm_n y_m fy", "z": "z elevation alt gpsz fz", "lon": "lon longitude long", "lat": "lat Latitude", "ts": "utc time timestamp datetime", "segment_id": "line line_id flightline group segment"}.items():
         for n in names.split():
