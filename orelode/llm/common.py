@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -12,6 +10,7 @@ from contextvars import ContextVar
 from pyspark.sql import DataFrame, SparkSession
 
 from ..components import connected_components, roots  # noqa: F401
+from ..operators.shared import scratch_dir
 
 #: White space that ends a word: space, tab, line feed, vertical tab, form feed, return.
 SPACES = " \t\n\x0b\x0c\r"
@@ -28,21 +27,6 @@ def lower_ascii(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass").lower()
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only where a local session names none (one machine, as in tests) a temporary
-    one is chosen; on a cluster that is an error.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        at = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -60,7 +44,6 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    MADE.append(path)
     if (notes := _NOTES.get()) is not None:
         notes.append(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -68,10 +51,6 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-#: Folders that ``materialise`` has written in this process, the last one last.
-MADE: list[str] = []
-
-
 _NOTES: ContextVar[list[str] | None] = ContextVar("notes", default=None)
 
 

@@ -1,7 +1,7 @@
 import corpus_pipeline as p
-from orelode.llm import source_mix
+from orelode.llm import common, source_mix
 
-from .common import awkward, prose
+from .common import awkward, clash, prose
 from .common import docs as table
 from .test_sets import plain_sets
 
@@ -61,3 +61,29 @@ def test_awkward_rows_in_every_stage(spark, sf_dir):
         n = docs.where("doc_id is null").count()
         assert n == 1 if name != "mixing" else 0 < n <= 2
     assert p.STAGES[-1][1](spark, docs, sf_dir).where("doc_id is null").count() > 0
+
+
+def test_results_of_two_calls_can_both_be_read_later(spark, sf_dir):
+    one = p.line_dedup(spark, table(spark, [(1, "one fish\ntwo fish", "en", "x", 17), (2, "two fish\nred fish", "en", "x", 17)]), sf_dir)
+    two = dict(p.STAGES)["line_dedup"](spark, table(spark, [(1, "blue fish", "en", "x", 9)]), sf_dir)
+    dict(p.STAGES)["near_dedup"](spark, table(spark, [(1, "blue fish", "en", "x", 9)]), sf_dir).count()
+    assert one.count() == 2 and two.count() == 1
+
+
+def test_columns_of_the_caller_come_back_unchanged(spark, sf_dir):
+    names = ["margin", "grade", "toxic", "kept", "copies", "_row", "_key", "_id", "_gone", "_all", "_stay", "word", "component_id"]
+    rows = table(spark, [(k, f"{t}\nline {k} of its own here", "en", "x", 9) for k, t in enumerate(prose(12, 5, 3000, (40, 60)))])
+    docs = p.materialise(clash(rows, *names), "clash")
+    for name, stage in p.STAGES[:-1]:
+        docs = p.materialise(stage(spark, docs, sf_dir), name)
+        assert docs.columns == [*rows.columns, *names] and docs.count() > 0
+        assert {tuple(r) for r in docs.select(*names).distinct().collect()} == {("clash",) * len(names)}
+
+
+def test_run_leaves_only_what_it_still_reads(spark, sf_dir, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "scratch_dir", lambda spark: f"file://{tmp_path}")
+    out = p.run(spark, sf_dir)
+    assert out.count() > 0
+    left = [x.name for x in tmp_path.iterdir()]
+    assert [x.split("-")[1] for x in left if x.startswith("pipeline-")] == ["mixing"]
+    assert not [x for x in left if x.startswith(("numbered", "toxicity"))]
