@@ -223,9 +223,15 @@ def lines_to_remove(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``docs(doc_id, text, ...)`` with text reduced to the lines that stay, and n_lines, n_removed (long)."""
-    gone = lines_to_remove(docs, percent).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("gone").alias("_gone"))
+    """``docs(doc_id, text, ...)`` with text reduced to the lines that stay, and n_lines, n_removed (long).
+
+    Other columns come back unchanged, whatever they are called; those named
+    n_lines or n_removed are replaced.
+    """
     own = docs.select(*(c for c in docs.columns if c not in ("n_lines", "n_removed")))
+    names = own.columns
+    own = own.toDF(*(c if c in ("doc_id", "text") else f"carried_{k}" for k, c in enumerate(names)))
+    gone = lines_to_remove(docs, percent).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("gone").alias("_gone"))
     out = own.hint("merge").join(gone, (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left")
     every = F.split("text", "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(every) - 1), "_gone")
@@ -233,7 +239,8 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"))) + 1).cast("long")
     out = out.withColumn("_all", F.when(F.col("_gone").isNotNull(), every)).withColumn("_stay", F.when(F.col("_gone").isNotNull(), stay))
     removed = F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_all") - F.size("_stay")).cast("long")
-    return out.select(*(clean.alias("text") if c == "text" else F.col(c) for c in own.columns), n.alias("n_lines"), removed.alias("n_removed"))
+    kept = out.select(*(clean.alias("text") if c == "text" else F.col(c) for c in own.columns), n.alias("n_lines"), removed.alias("n_removed"))
+    return kept.toDF(*names, "n_lines", "n_removed")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -342,3 +342,13 @@ def test_queries_equal_sql(spark, sf_dir):
     con = connect(sf_dir)
     for name, sql in ORACLE_SQL.items():
         same(QUERIES[name](spark, sf_dir), con, sql)
+
+
+def test_line_dedup_returns_the_callers_columns(spark):
+    from orelode.llm import line_dedup
+
+    names = ["_key", "_id", "_gone", "_all", "_stay", "word", "n_lines"]
+    rows = clash(docs(spark, [(1, "one fish\ntwo fish", "en", "x", 17), (2, "two fish\nred fish", "en", "x", 17), (3, None, "en", "x", 0)]), *names)
+    got = line_dedup.dedup_lines(rows).collect()
+    assert {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in got} == {1: ("one fish\ntwo fish", 2, 0), 2: ("red fish", 2, 1), 3: (None, 0, 0)}
+    assert all(r[n] == "clash" for r in got for n in names[:-1])
