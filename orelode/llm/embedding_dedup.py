@@ -20,8 +20,10 @@ computed again in double precision.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing; nor do vectors of different lengths. A null
-vec_id is its own component. Repeated rows are copies and count as links. Other
-columns are not read. An empty table gives no rows.
+vec_id is its own component. Repeated rows are copies and count as links. Rows
+with one vec_id and different vectors each link by their own vector, and all
+that any of them links with is one component. Other columns are not read. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -86,12 +88,37 @@ def encode_vectors(vectors: DataFrame, times: int) -> DataFrame:
                 packed = np.packbits(y > 0, axis=1)
                 small = np.rint(u * 127).astype(np.int8)
                 for i, k in enumerate(at):
-                    key[k], dim[k], code[k], factor[k], query[k] = hashlib.blake2b((x[i] + 0.0).tobytes(), digest_size=16).digest(), d, packed[i].tobytes(), np.abs(y[i]).sum(), small[i].tobytes()
+                    key[k], dim[k], code[k], factor[k], query[k] = _key(x[i]), d, packed[i].tobytes(), np.abs(y[i]).sum(), small[i].tobytes()
             yield pa.RecordBatch.from_arrays([b["vec_id"], pa.array(key, pa.binary()), pa.array(dim), pa.array(code, pa.binary()), pa.array(factor), pa.array(query, pa.binary())], names=["vec_id", "key", "dim", "code", "factor", "query"])
 
     return vectors.mapInArrow(run, f"vec_id {kind}, key binary, dim int, code binary, factor double, query binary")
 
 
+def unit_vectors(vectors: DataFrame) -> DataFrame:
+    """rep, key, vec of every vector that can link: ``encode_vectors``' key and the unit vector's doubles, once per rep and key."""
+    vectors = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("rep"), F.col("embedding").cast("array<double>").alias("v")).where("size(v) > 0")
+
+    def run(batches):
+        for p in batches:
+            key, vec = [], []
+            for x in p["v"]:
+                x = np.asarray(x, float)
+                with np.errstate(all="ignore"):
+                    u = x / np.abs(x).max()
+                    u = u / np.linalg.norm(u)
+                good = np.isfinite(u).all()
+                key.append(_key(x) if good else None)
+                vec.append(u.tobytes() if good else None)
+            yield pd.DataFrame({"rep": p["rep"], "key": key, "vec": vec})
+
+    return vectors.mapInPandas(run, "rep long, key binary, vec binary").where("key is not null").dropDuplicates(["rep", "key"])
+
+
+def _key(x: np.ndarray) -> bytes:
+    """Equal vectors have one key; -0.0 is 0.0."""
+    return hashlib.blake2b((x + 0.0).tobytes(), digest_size=16).digest()
+
+
 def _band_rows(times: int, bands: int, bits: int):
     def run(batches):
         weights = 1 << np.arange(bits, dtype=np.int64)
@@ -203,16 +230,17 @@ def _compare(times: int, threshold: float):
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``vectors(vec_id, embedding)``."""
-    count = vectors.count()
+    size = F.size("embedding")
+    count, dim, least_dim = vectors.agg(F.count("*"), F.max(size), F.min(F.when(size > 0, size))).first()
+    dim, least_dim = max(1, dim or 1), least_dim or 1
     bands, bits = bands_for(count, threshold)
-    dim = vectors.select(F.max(F.size("embedding"))).first()[0] or 1
-    least_dim = vectors.select(F.min(F.when(F.size("embedding") > 0, F.size("embedding")))).first()[0] or 1
-    times = max(1, math.ceil(max(256 / max(1, dim), bands * bits / max(1, least_dim))))
+    times = max(1, math.ceil(max(256 / dim, bands * bits / least_dim)))
     coded = materialise(encode_vectors(vectors, times), "vector-codes")
-    classes = coded.where("key is not null and vec_id is not null").groupBy("key").agg(F.min("vec_id").cast("long").alias("id"), F.count("*").alias("n"))
-    classes = materialise(classes, "vector-classes")
-    reps = classes.join(coded.withColumn("_id", F.col("vec_id").cast("long")), "key").where("id = _id").dropDuplicates(["id"]).select("id", "n", "dim", "code", "factor", "query")
-    reps = materialise(reps, "vector-reps")
+    linkable = coded.where("key is not null and vec_id is not null").withColumn("rep", F.col("vec_id").cast("long"))
+    # Rows of one key have one code, factor and query, so any row's will do.
+    classes = linkable.groupBy("key").agg(F.min("rep").alias("rep"), F.count("*").alias("n"), *(F.any_value(c).alias(c) for c in ("dim", "code", "factor", "query")))
+    reps = materialise(classes.withColumn("id", F.monotonically_increasing_id()), "vector-classes")
+    classes = reps.select("key", "id", "rep", "n")
 
     rows = "bucket long, id long, dim int, code binary, factor double, query binary"
     banded = reps.select("id", "dim", "code", "factor", "query").mapInPandas(_band_rows(times, bands, bits), rows)
@@ -225,25 +253,24 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     comps = materialise(connected_components(tested.unionByName(untested)).select(F.col("node").alias("id"), F.col("component").alias("comp")), "candidate-components")
 
     blocks = comps.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
-    double = F.col("embedding").cast("array<double>")
-    members = comps.join(blocks, "comp").join(reps.drop("query"), "id").join(vectors.select(F.col("vec_id").cast("long").alias("id"), double.alias("v")).dropDuplicates(["id"]), "id")
-
-    def pack(batches):
-        for p in batches:
-            u = [np.asarray(x, float) for x in p["v"]]
-            u = [x / np.abs(x).max() for x in u]
-            yield p.drop(columns="v").assign(vec=[(x / np.linalg.norm(x)).tobytes() for x in u])
-
+    members = comps.join(blocks, "comp").join(reps.drop("query"), "id").join(unit_vectors(vectors), ["rep", "key"])
     spread = members.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-    spread = spread.mapInPandas(pack, "id long, comp long, nb int, n long, dim int, code binary, factor double, blk int, vec binary")
+    spread = spread.select("id", "comp", "nb", "n", "dim", "code", "factor", "blk", "vec")
     spread = spread.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     spread = spread.withColumn("bi", F.least("blk", "_o")).withColumn("bj", F.greatest("blk", "_o")).drop("_o", "nb")
     spread = spread.repartition(parts, "comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj")
     found = materialise(spread.mapInPandas(_compare(times, threshold), "id long, links long, root long"), "vector-links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    joined = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    several = linkable.groupBy("rep").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high")
+    ids = classes.select("key", "id")
+    with_low = several.join(ids.select(F.col("key").alias("low"), F.col("id").alias("a")), "low").select("rep", "a")
+    same = linkable.select("rep", "key").join(with_low, "rep").join(ids.withColumnRenamed("id", "b"), "key").select("a", "b").where("a <> b").distinct()
+    joined = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(same))
     by_class = classes.join(links, "id", "left").join(joined.select(F.col("node").alias("id"), "component"), "id", "left")
-    by_class = by_class.select("key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
+    by_class = by_class.select("key", "rep", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("comp"))
+    by_class = materialise(by_class, "vector-components")
+    lowest = by_class.groupBy("comp").agg(F.min("rep").alias("component"))
+    by_class = by_class.join(lowest, "comp").select("key", "n_links", "component")
     out = coded.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("key")).alias("key")).join(by_class, "key", "left")
     component = F.coalesce("component", F.col("vec_id").cast("long"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").cast("long").eqNullSafe(component).alias("kept"))

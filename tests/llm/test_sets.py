@@ -70,6 +70,15 @@ def test_embeddings_equal_brute_force(spark):
     assert e.near_vectors(df.limit(0)).count() == 0
 
 
+def test_an_id_with_two_vectors_links_by_both(spark):
+    r = np.random.default_rng(8)
+    a, b, c = r.normal(0, 1, (3, 16))
+    data = [(1, a), (1, b), (2, a * 2 + 0.01), (3, b * 3 - 0.01), (4, c), (5, -0.0 * c), (6, a), (1, a)]
+    got = e.near_vectors(spark.createDataFrame([(k, v.tolist()) for k, v in data], "vec_id long, embedding array<double>").repartition(3)).collect()
+    rows = sorted((x.vec_id, x.n_links, x.component_id, x.kept) for x in got)
+    assert rows == [(1, 1, 1, True), (1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False), (3, 1, 1, False), (4, 0, 4, True), (5, 0, 5, True), (6, 3, 1, False)]
+
+
 def test_hot_embedding_group_is_split(spark, monkeypatch):
     monkeypatch.setattr(e, "BLOCK", 16)
     monkeypatch.setattr(e, "HOT", 32)
