@@ -2,14 +2,18 @@
 
 A batch holds signed changes: inserts (+), deletes (-), and revised counts (the
 old row with -, the new one with +). Committing a batch writes its sums by key
-as one Parquet partition ``batch=<id>``; totals are sums over partitions. Sums
-are additive, so batches may come in any order, and a batch is written under
-its own id: committing it again replaces what it said before instead of adding
-to it, also after a commit that broke off half-way.
+as Parquet under ``batch=<id>/attempt=<number>-<random>``; totals are sums over
+the last complete attempt of each batch. Sums are additive, so batches may come
+in any order, and a batch committed again replaces what it said before instead
+of adding to it. An attempt counts once Spark has marked it as complete, so a
+reader sees a batch as it was or as it is, never half of it, and a commit that
+broke off changes nothing. ``vacuum`` deletes attempts that no longer count.
 
 Edge cases: null source or language is a group of its own. A null or empty text
-has no tokens and still counts as a document. Repeated rows each count. A key
-whose documents are all deleted goes. An empty batch commits as no rows.
+has no tokens and still counts as a document; texts are counted whole, a few
+hundred rows at a time. Repeated rows each count. A key whose documents are all
+deleted goes. An empty batch commits as no rows; a rollup without a commit has
+no totals. Other columns of the input are not read, whatever they are called.
 """
 
 from __future__ import annotations
@@ -21,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import long_rows, materialise, read_table, scratch_dir, slices, words_of
+from .common import delete_folders, long_rows, materialise, read_table, scratch_dir, slices, words_of
 from .tokens import tokenizer_path, word_tokenizer
 
 KEYS = ["source", "lang", "tokenizer"]
+#: Spark's option for the mark of a complete write.
+_MARK = "mapreduce.fileoutputcommitter.marksuccessfuljobs"
 _DELTA = "source string, lang string, tokenizer string, documents long, tokens long"
 
 
@@ -56,15 +62,33 @@ class Rollup:
         self.spark, self.path = spark, path.rstrip("/")
 
     def commit(self, batch: str, changes: DataFrame) -> None:
-        """Write the batch's sums under its id; the same id again replaces them.
-
-        The write is Spark's own: task files appear only when the job commits.
-        """
+        """Write the batch's sums as a new attempt; it replaces those before once it is complete."""
         sums = changes.groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
-        sums.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        number = 1 + max((int(a.split("-")[0]) for b, a in self._attempts() if b == batch), default=0)
+        path = f"{self.path}/batch={batch}/attempt={number:012d}-{uuid.uuid4().hex}"
+        sums.coalesce(1).write.option(_MARK, "true").parquet(path)
+
+    def _attempts(self) -> list[tuple[str, str]]:
+        """(batch, attempt) of every complete attempt."""
+        jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        pattern = jvm.org.apache.hadoop.fs.Path(f"{self.path}/batch=*/attempt=*/_SUCCESS")
+        found = [str(x.getPath().toString()).split("/")[-3:-1] for x in pattern.getFileSystem(conf).globStatus(pattern) or ()]
+        return sorted((b.removeprefix("batch="), a.removeprefix("attempt=")) for b, a in found)
 
     def deltas(self) -> DataFrame:
-        return self.spark.read.option("basePath", self.path).schema(_DELTA + ", batch string").parquet(self.path)
+        """The rows of each batch's last complete attempt, and the batch."""
+        last = dict(self._attempts())  # sorted, so the last attempt of a batch stays
+        kinds = _DELTA + ", batch string"
+        if not last:
+            return self.spark.createDataFrame([], kinds)
+        paths = [f"{self.path}/batch={b}/attempt={a}" for b, a in last.items()]
+        return self.spark.read.option("basePath", self.path).schema(kinds + ", attempt string").parquet(*paths).drop("attempt")
+
+    def vacuum(self) -> None:
+        """Delete complete attempts that a later one replaced; readers that began before may fail, but never get wrong totals."""
+        done = self._attempts()
+        last = dict(done)
+        delete_folders(self.spark, [f"{self.path}/batch={b}/attempt={a}" for b, a in done if a != last[b]])
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, documents, tokens; keys without documents are left out."""

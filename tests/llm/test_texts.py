@@ -229,6 +229,7 @@ def test_rollup_is_idempotent_and_right(spark, tmp_path):
     counted = tc.count_tokens(clash(docs(spark, rows), "tokens")).cache()
     assert counted.count() == len(rows)
     roll = tc.Rollup(spark, str(tmp_path / "r"))
+    assert roll.totals().count() == 0
     roll.commit("a", tc.change(counted, 1, "words", "words"))
     roll.commit("b", tc.change(counted.where("source = 's1'"), -1, "words", "words"))
     first = sorted(map(str, roll.totals().collect()))
@@ -240,6 +241,12 @@ def test_rollup_is_idempotent_and_right(spark, tmp_path):
             k = (r.source, r.lang)
             want[k] = (want.get(k, (0, 0))[0] + 1, want.get(k, (0, 0))[1] + r.words)
     assert {(r.source, r.lang): (r.documents, r.tokens) for r in roll.totals().collect()} == want
+    (tmp_path / "r" / "batch=a" / "attempt=000000000009-broken").mkdir()  # a commit that broke off
+    before = roll.totals()
+    roll.commit("b", tc.change(counted.where("source = 's1'"), -1, "words", "words"))
+    assert first == sorted(map(str, before.collect())) == sorted(map(str, roll.totals().collect()))
+    roll.vacuum()
+    assert len(roll._attempts()) == 2 and first == sorted(map(str, roll.totals().collect()))
     roll.commit("none", tc.change(counted.limit(0), 1, "words", "words"))
     assert first == sorted(map(str, roll.compact("all").totals().collect()))
 
