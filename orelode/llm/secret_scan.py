@@ -8,8 +8,9 @@ at least ``min_log10_guesses`` is a secret; a placeholder such as
 ``your-password`` is cheap and isn't.
 
 Edge cases: a null or empty text gives no span, counts of 0 and the digest of
-the empty string. Values are read whole, however long. Repeated rows each give
-a row. Other columns of the input are not read. An empty table gives no rows.
+the empty string. Values are read whole, however long; dictionary words of more
+than 24 letters are not tried. Repeated rows each give a row. Other columns of
+the input are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -199,11 +201,22 @@ def word_ranks(docs: DataFrame, leave_out: DataFrame) -> DataFrame:
     return counts.join(levels, "n").select("word", "rank")
 
 
-def _parts(value: str) -> set[str]:
-    """Substrings of a value that may be words: letters only, plain or after undoing usual replacements."""
-    low = value.lower()
-    runs = [r for form in {low, low.translate(_LEET)} for r in "".join(c if c.isalpha() else " " for c in form).split(" ")]
-    return {r[i:j] for r in runs for i in range(len(r) - 1) for j in range(i + 2, min(len(r), i + _LONGEST_WORD) + 1)}
+def _parts(value: str, most: int = 10_000) -> Iterator[set[str]]:
+    """Substrings of a value that may be words: letters only, plain or after undoing usual replacements.
+
+    They come in sets of about ``most``, as a value of a megabyte has tens of
+    millions of them; one that stands in distant places may come again.
+    """
+    low, own = value.lower(), set()
+    for form in {low, low.translate(_LEET)}:
+        for r in "".join(c if c.isalpha() else " " for c in form).split():
+            for i in range(len(r) - 1):
+                own.update(r[i:j] for j in range(i + 2, min(len(r), i + _LONGEST_WORD) + 1))
+                if len(own) >= most:
+                    yield own
+                    own = set()
+    if own:
+        yield own
 
 
 def hard_values(values: DataFrame, ranks: DataFrame, min_log10_guesses: float) -> DataFrame:
@@ -216,9 +229,7 @@ def hard_values(values: DataFrame, ranks: DataFrame, min_log10_guesses: float) -
     def split(batches):
         for b in slices(batches, 100):
             for vid, value in zip(b["vid"].to_pylist(), b["value"].to_pylist(), strict=True):
-                own = list(_parts(value))
-                for k in range(0, len(own), 10_000):
-                    some = own[k : k + 10_000]
+                for some in map(list, _parts(value)):
                     yield pa.RecordBatch.from_arrays([pa.array([vid] * len(some), pa.int64()), pa.array(some, pa.string())], names=["vid", "word"])
 
     def judge(batches):
@@ -228,7 +239,7 @@ def hard_values(values: DataFrame, ranks: DataFrame, min_log10_guesses: float) -
             yield pa.RecordBatch.from_arrays([b["value"].filter(pa.array(on, pa.bool_()))], names=["value"])
 
     known = values.mapInArrow(split, "vid long, word string").join(ranks, "word")
-    known = known.groupBy("vid").agg(F.map_from_entries(F.collect_list(F.struct("word", "rank"))).alias("words"))
+    known = known.groupBy("vid").agg(F.map_from_entries(F.collect_set(F.struct("word", "rank"))).alias("words"))
     return values.join(known, "vid", "left").select("value", "words").mapInArrow(judge, "value string")
 
 
