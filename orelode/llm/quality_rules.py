@@ -8,6 +8,7 @@ scores every document, and its threshold is set from all labelled rows.
 Edge cases: a null or empty text has no words and fails the base rule. Very
 long texts are read whole. Repeated rows each give a row. Without labelled
 rows of both kinds the forest rejects nothing. An empty table gives no rows.
+Other columns of the input are not read, whatever they are called.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACES, long_rows, materialise, read_table, slices, words_of
+from .common import SPACES, first_by_hash, long_rows, materialise, read_table, slices, words_of
 
 SYMBOLS = "#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -136,7 +137,7 @@ def anomaly(rows: np.ndarray, forest: list, sample: int = SAMPLE) -> np.ndarray:
 
 def anomaly_scores(stats: DataFrame, trees: int = TREES, sample: int = SAMPLE) -> DataFrame:
     """``stats`` with a column score. The forest sees at most trees * sample rows, by hash of doc_id."""
-    kept = [r[:] for r in stats.where("n_words > 0").select(*SHARES, "doc_id").orderBy(F.xxhash64("doc_id", F.lit(11)), *SHARES).limit(trees * sample).collect()]
+    kept = [r[:] for r in first_by_hash(stats.where("n_words > 0").select(*SHARES, "doc_id"), F.xxhash64("doc_id", F.lit(11)), trees * sample, *SHARES)]
     rows = np.array([r[: len(SHARES)] for r in kept], float).reshape(-1, len(SHARES))
     forest = grow_forest(rows, trees, sample) if len(rows) else []
     told = stats.sparkSession.sparkContext.broadcast(forest)

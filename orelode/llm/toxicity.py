@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import long_rows, materialise, read_table, slices
+from .common import first_by_hash, long_rows, materialise, read_table, slices
 
 DIMENSIONS = 1 << 18
 GRADES = 4
@@ -115,7 +115,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -
     """
     marks = _marks(labels)
     picked = [
-        [r["doc_id"] for r in marks.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(max_rows).select("doc_id").collect()] for t in (0, 1)
+        [r["doc_id"] for r in first_by_hash(marks.where(F.col("toxic") == t), F.xxhash64("doc_id", F.lit(5)), max_rows, "doc_id")] for t in (0, 1)
     ]
     held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
     enough = all(sum(map(held, own)) >= 20 for own in picked)

@@ -11,6 +11,7 @@ from orelode.llm import quality_rules as q
 from orelode.llm import secret_scan as s
 from orelode.llm import token_counts as tc
 from orelode.llm import tokens, toxicity
+from orelode.llm.common import first_by_hash
 
 from .common import awkward, clash, docs, prose
 
@@ -51,6 +52,25 @@ def test_dictionary_is_every_word_of_the_texts(spark):
     assert ("der", 2) in ranks and ("désinvolture", 1) in ranks and not any(w == "xkqvwzjytp" for w, _ in ranks), ranks
 
 
+def test_substrings_come_in_bounded_sets():
+    value = "p4ssWörd_x9" + "abcdefghij" * 400
+    sets = list(s._parts(value, 100))
+    assert max(map(len, sets)) <= 100 + s._LONGEST_WORD
+    low = value.lower()
+    runs = [r for form in (low, low.translate(s._LEET)) for r in "".join(c if c.isalpha() else " " for c in form).split()]
+    assert set().union(*sets) == {r[i:j] for r in runs for i in range(len(r)) for j in range(i + 2, min(len(r), i + s._LONGEST_WORD) + 1)}
+
+
+def test_first_rows_by_hash_are_those_of_a_sort(spark):
+    from pyspark.sql import functions as F
+
+    d = spark.range(3000, numPartitions=5).selectExpr("if(id % 3 = 0, 7, id) as k", "id")  # a third with one key
+    for n in (0, 10, 400, 2900, 5000):
+        key = F.xxhash64("k")
+        assert first_by_hash(d, key, n, "id") == d.orderBy(key, "id").limit(n).collect()
+    assert first_by_hash(d.limit(0), F.xxhash64("k"), 5, "id") == []
+
+
 def slow_cost(value, ranks):
     """The same costs, every segment tried by itself."""
     n, low = len(value), value.lower()
