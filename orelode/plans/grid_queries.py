@@ -240,12 +240,19 @@ def stitch_contours(spark, sf_dir):
     return contours.stitch_contours(contours.iso_extract(grids.relax_grid(g).join(g.select("ix", "iy", "x", "y"), ["ix", "iy"]), spec))
 
 
-@query()
+_HEAT = f"""{with_views('points')}, q as (select v, row_number() over (order by v) - 1 as i, count(*) over () as n from points where v is not null), lim as (select max(v) filter (i = floor((n - 1) * .02 + .5)) as lo, max(v) filter (i = floor((n - 1) * .98 + .5)) as hi from q),
+ p as (select pid, x, y, greatest(least(v, hi), lo) as v from points, lim), e as (select min(x) as x0, max(x) - min(x) as w, min(y) as y0, max(y) - min(y) as h from p)"""
+
+
+@query(f"""{_HEAT}, cell as (select (i % 64)::int as ix, (i // 64)::int as iy, x0 + i % 64 / 63 * w as x, y0 + i // 64 / 63 * h as y from e, (select unnest(range(4096)) as i)),
+ d as (select ix, iy, p.v, sqrt((cell.x - p.x) ** 2 + (cell.y - p.y) ** 2) as d from cell, p qualify row_number() over (partition by ix, iy order by d, pid) <= 32)
+ select ix, iy, {r('case when min(d) < 1e-6 then arg_min(v, d) else sum(v / greatest(d, 1e-9) ** 2) / sum(1 / greatest(d, 1e-9) ** 2) end', 'v')} from d group by ix, iy""")
 def assay_heatmap(spark, sf_dir):
     grid, *_ = contours.assay_heatmap(points3d(spark, sf_dir).withColumnRenamed("v", "grade"), "grade", lo=2, hi=98)
-    return grid.select("ix", "iy", "v")
+    return rounded(grid.select("ix", "iy", "v"))
 
 
-@query()
+@query(f"""{_HEAT}, d as (select a.pid as id, a.v as observed, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) as d, b.v from p a, p b where a.pid <> b.pid qualify row_number() over (partition by a.pid order by d, b.pid) <= 32),
+ m as (select id, observed, sum(v / d ** 2) / sum(1 / d ** 2) as predicted from d group by id, observed) select id, {r('observed', 'observed')}, {r('predicted', 'predicted')}, {r('observed - predicted', 'residual')} from m""")
 def assay_heatmap_residuals(spark, sf_dir):
-    return contours.assay_heatmap(points3d(spark, sf_dir).withColumnRenamed("v", "grade"), "grade", lo=2, hi=98)[2]
+    return rounded(contours.assay_heatmap(points3d(spark, sf_dir).withColumnRenamed("v", "grade"), "grade", lo=2, hi=98)[2])

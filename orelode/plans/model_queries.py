@@ -81,7 +81,11 @@ def variogram_readout(spark, sf_dir):
     return rounded(blocks.variogram_readout(blocks.variogram(points3d(spark, sf_dir), 12, 1200.0)))
 
 
-@query()
+# A corner sees all other points within less than half a turn: some gap between their directions is wider than pi.
+@query(f"""{with_views('points')}, p as (select distinct x, y from points), d as (select a.x, a.y, atan2(b.y - a.y, b.x - a.x) as t from p a join p b on (a.x, a.y) <> (b.x, b.y)),
+ gap as (select x, y, coalesce(lead(t) over w, min(t) over (partition by x, y) + 2 * pi()) - t as gap from d window w as (partition by x, y order by t)), corner as (select x, y from gap group by x, y having max(gap) > pi()),
+ o as (select min(x) as x0, min_by(y, (x, y)) as y0 from corner)
+ select (row_number() over (order by (x, y) <> (x0, y0), atan2(y - y0, x - x0)) - 1)::int as seq, x, y from corner, o""")
 def convex_hull(spark, sf_dir):
     return blocks.convex_hull(points3d(spark, sf_dir))
 
@@ -113,20 +117,34 @@ def mesh_filter(spark, sf_dir):
     return blocks.mesh_filter(b, _octahedron(spark)).select("ix", "iy", "iz")
 
 
+_MODEL = f"""{with_views('points')}, hole as (select *, (row_number() over (partition by pid % 40 order by pid) - 1) // 2 as k from points), comp as (select avg(x) as x, avg(y) as y, avg(z) as z, avg(v) as v from hole group by pid % 40, k),
+ cap as (select max(v) as cap from (select v, row_number() over (order by v) - 1 as i, count(*) over () as n from comp) where i <= floor((n - 1) * .995 + .5)), s as (select row_number() over () as sid, x, y, z, least(v, cap) as v from comp, cap),
+ e as (select min(x) - .05 * (max(x) - min(x)) - 20 as x0, max(x) + .05 * (max(x) - min(x)) + 20 as x1, min(y) - .05 * (max(y) - min(y)) - 20 as y0, max(y) + .05 * (max(y) - min(y)) + 20 as y1, min(z) - .05 * (max(z) - min(z)) - 20 as z0, max(z) + .05 * (max(z) - min(z)) + 20 as z1 from s),
+ n as (select *, ceil((x1 - x0) / 100)::bigint as nx, ceil((y1 - y0) / 100)::bigint as ny, ceil((z1 - z0) / 80)::bigint as nz from e), k as (select *, unnest(range(nx * ny * nz)) as k from n),
+ blk as (select k, (k % nx)::int as ix, (k // nx % ny)::int as iy, (k // (nx * ny))::int as iz, x0 + (k % nx + .5) * 100 as x, y0 + (k // nx % ny + .5) * 100 as y, z0 + (k // (nx * ny) + .5) * 80 as z from k),
+ near as (select ix, iy, iz, s.v, sqrt((b.x - s.x) ** 2 + (b.y - s.y) ** 2 + (b.z - s.z) ** 2) as d from blk b, s qualify row_number() over (partition by b.k order by d, sid) <= 12),
+ ton as (select ix, iy, iz, sum(v / d ** 2) / sum(1 / d ** 2) as grade, 2.7::double as sg, 2.16::double as tonnage_mt, case when count(*) >= 12 and min(d) <= .75 * diag and avg(d) <= 2 * diag then 'high' when count(*) >= 6 and min(d) <= 1.5 * diag then 'medium' else 'low' end as confidence
+  from near, (select sqrt(100.0 ** 2 * 2 + 80.0 ** 2) as diag) group by ix, iy, iz, diag having count(*) >= 3)"""
+
+
 def _grade_model(spark, sf_dir):
     p = points3d(spark, sf_dir)
     s = p.select((F.col("pid") % 40).alias("hole_id"), F.floor(F.col("pid") / 40).cast("double").alias("from_m"), (F.floor(F.col("pid") / 40) + 1).cast("double").alias("to_m"), F.floor(F.col("pid") / 40).cast("double").alias("depth_m"), "x", "y", "z", "v", F.lit(2.7).alias("sg"))
     return blocks.block_grade_model(s, composite=2.0, cap={"mode": "percentile"}, size=_SIZE, cutoff=4.0, max_samples=12)
 
 
-@query()
+@query(f"{_MODEL} select ix, iy, iz, {r('grade', 'grade')}, {r('sg', 'sg')}, {r('tonnage_mt', 'tonnage_mt')}, confidence from ton where grade >= 4")
 def block_grade_model(spark, sf_dir):
-    return _grade_model(spark, sf_dir)["blocks"].select("ix", "iy", "iz", "grade", "sg", "tonnage_t", "confidence")
+    b = _grade_model(spark, sf_dir)["blocks"]
+    return rounded(b.select("ix", "iy", "iz", "grade", "sg", (F.col("tonnage_t") / 1e6).alias("tonnage_mt"), "confidence"))
 
 
-@query()
+@query(f"""{_MODEL}, a as (select count(*) as blocks, sum(tonnage_mt) as t, sum(tonnage_mt * grade) as c, count(*) filter (grade >= 4) as blocks_above, coalesce(sum(tonnage_mt) filter (grade >= 4), 0) as ta, coalesce(sum(tonnage_mt * grade) filter (grade >= 4), 0) as ca, min(grade) as lo, max(grade) as hi from ton)
+ select blocks, blocks_above, {r('t / 1e3', 'tonnage_gt')}, {r('ta / 1e3', 'above_gt')}, {r('lo', 'grade_min')}, {r('hi', 'grade_max')}, {r('c / t', 'grade_mean')}, {r('ca / ta', 'grade_mean_above')}, {r('c * 32150.74656862745 / 1e9', 'metal_goz')}, {r('ca * 32150.74656862745 / 1e9', 'above_goz')}, {r('blocks_above / blocks', 'share_blocks')}, {r('ta / t', 'share_tonnage')} from a""")
 def block_grade_totals(spark, sf_dir):
-    return _grade_model(spark, sf_dir)["totals"]
+    giga = lambda c: F.col(c) / 1e9
+    t = _grade_model(spark, sf_dir)["totals"].withColumns({"tonnage_gt": giga("tonnage_t"), "above_gt": giga("tonnage_above_t"), "metal_goz": giga("metal_oz"), "above_goz": giga("metal_above_oz")})
+    return rounded(t.select("blocks", "blocks_above", "tonnage_gt", "above_gt", "grade_min", "grade_max", "grade_mean", "grade_mean_above", "metal_goz", "above_goz", "share_blocks", "share_tonnage"))
 
 
 def _field(spark, sf_dir):
