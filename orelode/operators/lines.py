@@ -1,18 +1,25 @@
-"""Survey lines: ordered rows of one line are a window partition."""
+"""Survey lines: rows of a line in their order, a line of any length (``scans``).
+
+Operators put the rows in runs where they aren't already; rows given in runs
+(by line and ``order``) keep that layout, so a chain of operators sorts once.
+A null line is a line like any other.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scans import beside, in_runs, running_max, running_sum
 from .selection import keyed, selected
+from .shared import materialise
 
 
 def along_track_distance(df: DataFrame, line: str = "line", order: list[str] | None = None) -> DataFrame:
-    """``df`` with along_m, the distance flown since the line's first row."""
-    w = Window.partitionBy(line).orderBy(*(order or ["fid"]))
-    step = F.coalesce(F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)), F.lit(0.0))
-    return df.withColumn("_s", step).withColumn("along_m", F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_s")
+    """``df`` with along_m, the distance flown since the line's first row; a step from or to a row without coordinates counts 0."""
+    d = beside(in_runs(df, [line], order or ["fid"]), ["x", "y"], "_b")
+    step = F.hypot(F.col("x") - F.col("_b.x"), F.col("y") - F.col("_b.y"))
+    return running_sum(d, step.cast("double"), "along_m").select(*df.columns, "along_m")
 
 
 def order_violation_filter(df: DataFrame, line: str = "line", arrival: str = "fid", ts: str = "ts") -> DataFrame:
@@ -21,47 +28,61 @@ def order_violation_filter(df: DataFrame, line: str = "line", arrival: str = "fi
     What was kept last has the largest time so far, dropped rows lie below it,
     so the running maximum of all rows is that of the kept ones.
     """
-    w = Window.partitionBy(line).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("_m", F.max(ts).over(w)).where(F.col(ts).isNull() | F.col("_m").isNull() | (F.col(ts) >= F.col("_m"))).drop("_m")
+    d = running_max(in_runs(df, [line], [arrival]), ts, "_m")
+    return d.where(F.col(ts).isNull() | F.col("_m").isNull() | (F.col(ts) >= F.col("_m"))).select(*df.columns)
+
+
+def _middle(df: DataFrame, column: str, line: str, name: str) -> DataFrame:
+    """_line (struct of line) and the median of ``column``, of each line that has values."""
+    return selected(keyed(df, column, [line]), [0.5], linear=True).select(F.col("g").alias("_line"), F.col("value").alias(name))
 
 
 def despike(df: DataFrame, line: str = "line", sigma: float = 6.0, order: list[str] | None = None) -> DataFrame:
     """Rows whose gradient to the row before is at most |median| + sigma * 1.4826 * MAD of their line's gradients."""
-    w = Window.partitionBy(line).orderBy("along_m", *(order or []))
-    g = (F.col("m") - F.lag("m").over(w)) / F.greatest(F.col("along_m") - F.lag("along_m").over(w), F.lit(1e-6))
-    d = df.withColumn("_g", g)
-    med = d.groupBy(line).agg(F.percentile("_g", F.lit(0.5)).alias("_med"))
-    dev = d.join(med, line).withColumn("_d", F.abs(F.col("_g") - F.col("_med")))
-    mad = dev.groupBy(line).agg(F.first("_med").alias("_med"), F.greatest(F.percentile("_d", F.lit(0.5)), F.lit(1e-9)).alias("_mad"))
-    return d.join(mad, line).where(F.col("_g").isNull() | (F.abs("_g") <= F.abs("_med") + sigma * 1.4826 * F.col("_mad"))).drop("_g", "_med", "_mad")
+    d = beside(in_runs(df, [line], ["along_m", *(order or [])]), ["m", "along_m"], "_b")
+    g = (F.col("m") - F.col("_b.m")) / F.greatest(F.col("along_m") - F.col("_b.along_m"), F.lit(1e-6))
+    d = materialise(d.withColumn("_grad", g).withColumn("_line", F.struct(line)).select(*df.columns, "_grad", "_line"), "gradients")
+    dev = d.join(_middle(d, "_grad", line, "_med"), "_line", "left")
+    mad = _middle(dev.select(line, F.abs(F.col("_grad") - F.col("_med")).alias("_dev")), "_dev", line, "_mad")
+    most = F.abs("_med") + sigma * 1.4826 * F.greatest("_mad", F.lit(1e-9))
+    return dev.join(mad, "_line", "left").where(F.col("_grad").isNull() | (F.abs("_grad") <= most)).select(*df.columns)
 
 
 def smooth_by_distance(df: DataFrame, window_m: float, line: str = "line") -> DataFrame:
-    """m as the mean over rows within half a window before and after along the line."""
+    """m as the mean over rows within half a window before and after along the line; rows without along_m keep theirs.
+
+    Rows at one place are added up first. Places are then cut into stretches of
+    eight windows, each with the places half a window beyond its ends, so no
+    task holds a line and the mean looks at distinct places only.
+    """
     if window_m <= 0:
         return df
-    h = window_m / 2
+    half, stretch = window_m / 2, window_m * 8
+    places = df.where("along_m is not null").groupBy(F.struct(line).alias("_line"), "along_m").agg(F.sum("m").alias("_s"), F.count("m").alias("_c"))
+    own = F.floor(F.col("along_m") / stretch)
+    near = F.sequence(F.floor((F.col("along_m") - half) / stretch), F.floor((F.col("along_m") + half) / stretch))
+    p = places.withColumn("_own", own).withColumn("_part", F.explode(near))
     # Only SQL text takes fractional range bounds.
-    mean = F.expr(f"avg(m) over (partition by {line} order by along_m range between {h}D preceding and {h}D following)")
-    return df.withColumn("m", mean)
+    over = f"over (partition by _line, _part order by along_m range between {half}D preceding and {half}D following)"
+    p = p.select("_line", "along_m", "_own", "_part", F.expr(f"sum(_s) {over} / nullif(sum(_c) {over}, 0)").alias("_mean")).where("_own = _part")
+    d = df.withColumn("_line", F.struct(line)).join(p.select("_line", "along_m", "_mean"), ["_line", "along_m"], "left")
+    return d.withColumn("m", F.when(F.col("along_m").isNull(), F.col("m")).otherwise(F.col("_mean"))).select(*df.columns)
 
 
 def resample_by_distance(df: DataFrame, spacing: float, line: str = "line", order: list[str] | None = None) -> DataFrame:
     """Rows every ``spacing`` metres, x, y, z, m linear between the rows around, the rest from the earlier one."""
     if spacing <= 0:
         return df
-    w = Window.partitionBy(line).orderBy("along_m", *(order or []))
-    d = df
-    for c in ("along_m", "x", "y", "z", "m"):
-        d = d.withColumn(f"_n_{c}", F.lead(c).over(w))
-    end = F.coalesce(F.col("_n_along_m"), F.col("along_m"))
+    moved = ("along_m", "x", "y", "z", "m")
+    d = beside(in_runs(df, [line], ["along_m", *(order or [])]), list(moved), "_next", step=1)
+    end = F.coalesce(F.col("_next.along_m"), F.col("along_m"))
     first, last = F.ceil(F.col("along_m") / spacing), F.ceil(end / spacing) - 1
     # A span [a, b) owns the multiples in it; the line's last row owns its own place.
-    last = F.when(F.col("_n_along_m").isNull(), F.floor(end / spacing)).otherwise(last)
+    last = F.when(F.col("_next.along_m").isNull(), F.floor(end / spacing)).otherwise(last)
     d = d.withColumn("_k", F.explode(F.when(last >= first, F.sequence(first.cast("long"), last.cast("long"))).otherwise(F.array().cast("array<long>"))))
-    span = F.col("_n_along_m") - F.col("along_m")
+    span = F.col("_next.along_m") - F.col("along_m")
     t = F.when(span > 0, (F.col("_k") * spacing - F.col("along_m")) / span).otherwise(F.lit(0.0))
-    out = [(F.col("_k") * spacing).cast("double").alias(c) if c == "along_m" else F.coalesce(F.col(c) + t * (F.col(f"_n_{c}") - F.col(c)), F.col(c)).alias(c) if c in ("x", "y", "z", "m") else F.col(c) for c in df.columns]
+    out = [(F.col("_k") * spacing).cast("double").alias(c) if c == "along_m" else F.coalesce(F.col(c) + t * (F.col(f"_next.{c}") - F.col(c)), F.col(c)).alias(c) if c in moved else F.col(c) for c in df.columns]
     return d.select(*out)
 
 
@@ -70,9 +91,10 @@ def decimate(df: DataFrame, pct: float = 100.0, line: str = "line", order: list[
     stride = max(1, int(100 / pct + 0.5))
     if stride == 1:
         return df
-    w = Window.partitionBy(line)
-    d = df.withColumn("_r", F.row_number().over(w.orderBy("along_m", *(order or []))) - 1).withColumn("_n", F.count("*").over(w))
-    return d.where((F.col("_n") <= 2) | (F.col("_r") % stride == 0) | (F.col("_r") == F.col("_n") - 1)).drop("_r", "_n")
+    d = running_sum(in_runs(df, [line], ["along_m", *(order or [])]), F.lit(1), "_r")
+    n = d.groupBy("_g").agg(F.max("_r").alias("_n"))
+    keep = (F.col("_n") <= 2) | ((F.col("_r") - 1) % stride == 0) | (F.col("_r") == F.col("_n"))
+    return d.join(n, "_g").where(keep).select(*df.columns)
 
 
 def magnetic_report(rows: DataFrame, points: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .grids import bilinear_sample, interpolate_grid, magnetic_derivatives, make_grid, relax_grid, stencil
 from .ingest import igrf_subtract, magnetic_row_filter
 from .lines import along_track_distance, decimate, despike, magnetic_report, order_violation_filter, resample_by_distance, smooth_by_distance
+from .scans import PLACE, in_runs
 from .selection import kth_values
 from .shared import materialise
 from .stats import extent_2d
@@ -24,9 +25,13 @@ def magnetic_model(rows: DataFrame, resolution: float = 25.0, max_cells: int = 2
         F.coalesce(has("line").cast("string"), F.lit("LINE_000")).alias("line"), "fid", has("ts").alias("ts"), "x", "y",
         F.coalesce(has("radar"), has("gps_alt"), F.lit(0.0)).cast("double").alias("z"), F.coalesce(has("tmf"), has("mag_lev")).cast("double").alias("m"), has("igrf").cast("double").alias("igrf"),
     )
-    p = along_track_distance(order_violation_filter(igrf_subtract(p)), order=["fid"])
-    p = decimate(resample_by_distance(smooth_by_distance(despike(p, sigma=sigma, order=["fid"]), smooth), spacing), pct)
-    p = materialise(p.withColumn("pid", F.monotonically_increasing_id()), "magnetic-points")
+    # One sort by line and fid for all steps; each is written, as the next reads it more than once.
+    p = order_violation_filter(in_runs(igrf_subtract(p), ["line"], ["fid"]))
+    p = materialise(along_track_distance(materialise(p, "in-order")), "along")
+    p = smooth_by_distance(despike(p, sigma=sigma), smooth)
+    if spacing > 0:
+        p = in_runs(resample_by_distance(materialise(p, "smooth"), spacing).drop(*PLACE), ["line"], ["along_m", "fid"])
+    p = materialise(decimate(p, pct).withColumn("pid", F.col("_at")).drop(*PLACE), "magnetic-points")
     e = extent_2d(p, pad=0.0).first()
     w, h, res = e["xmax"] - e["xmin"], e["ymax"] - e["ymin"], resolution
     while (math.floor(w / res) + 1) * (math.floor(h / res) + 1) > max_cells:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import streaming
 from ..operators import ingest, lines, magnetics
 from .registry import query, r, rounded
+from .grid_queries import relaxed
 from .views import survey_lines, table, with_views
 
 _ALONG = ", st as (select *, coalesce(sqrt((x - lag(x) over w) ** 2 + (y - lag(y) over w) ** 2), 0) as st from lines window w as (partition by line order by fid)), al as (select *, sum(st) over (partition by line order by fid rows unbounded preceding) as along_m from st)"
@@ -66,14 +67,31 @@ def _model(spark, sf_dir, **how):
     return magnetics.magnetic_model(d, **({"resolution": 100.0, "k": 8, "max_cells": 20_000} | how))
 
 
-@query()
+# Rows in order of time, cleaned of spikes; the resolution grows until the grid is small enough; eight neighbours a node.
+_MODEL = f"""{with_views('lines').replace('with ', 'with recursive ', 1)}, tm as (select * from lines where fid % 50 > 0 and m is not null), md as (select median(abs(m)) as med, count(igrf) as n from tm),
+ ig as (select line, fid, ts, x, y, case when med > 5000 and n > 0 and igrf is not null then m - igrf else m end as m from tm, md), o as (select *, max(ts) over (partition by line order by fid rows between unbounded preceding and 1 preceding) as top from ig qualify top is null or ts >= top),
+ st as (select *, coalesce(sqrt((x - lag(x) over w) ** 2 + (y - lag(y) over w) ** 2), 0) as st from o window w as (partition by line order by fid)), al as (select *, sum(st) over (partition by line order by fid rows unbounded preceding) as along_m from st),
+ g as (select *, (m - lag(m) over w) / greatest(along_m - lag(along_m) over w, 1e-6) as g from al window w as (partition by line order by fid)), a as (select line, median(g) as med from g group by 1), b as (select line, med, greatest(median(abs(g - med)), 1e-9) as mad from g join a using (line) group by 1, 2),
+ pts as materialized (select line, fid, x, y, m, row_number() over (order by line::varchar, fid) as pid from g join b using (line) where g is null or abs(g) <= abs(med) + 6 * 1.4826 * mad),
+ ext as (select min(x) as x0, max(x) - min(x) as w, min(y) as y0, max(y) - min(y) as h from pts), rs as (select 100.0::double as res from ext union all select res * greatest(1.01, sqrt((floor(w / res) + 1) * (floor(h / res) + 1) / 20000)) from rs, ext where (floor(w / res) + 1) * (floor(h / res) + 1) > 20000),
+ sp as materialized (select x0, y0, max(res) as res, greatest(2, floor(w / max(res)) + 1)::int as nx, greatest(2, floor(h / max(res)) + 1)::int as ny from rs, ext group by x0, y0, w, h),
+ node as (select (k % nx)::int as ix, (k // nx)::int as iy, x0 + (k % nx) * res as x, y0 + (k // nx) * res as y from (select *, unnest(range(nx * ny)) as k from sp)),
+ near as (select ix, iy, unnest(min(struct_pack(d := sqrt((n.x - p.x) ** 2 + (n.y - p.y) ** 2), pid := p.pid, v := p.m), 8)) as q from node n, pts p group by ix, iy),
+ grid as materialized (select ix, iy, case when min(q.d) < 1e-6 then arg_min(q.v, q.d) else sum(q.v / q.d ** 2) / sum(1 / q.d ** 2) end as v from near group by ix, iy)"""
+
+
+@query(f"""{_MODEL}, t as (select p.*, greatest(least((p.x - x0) / ((nx - 1) * res), 1), 0) * (nx - 1) as tx, greatest(least((p.y - y0) / ((ny - 1) * res), 1), 0) * (ny - 1) as ty, nx, ny from pts p, sp), l as (select *, floor(tx)::int as ix, floor(ty)::int as iy, tx - floor(tx) as fx, ty - floor(ty) as fy from t)
+ select l.line::varchar as line, fid, {r('l.x', 'x')}, {r('l.y', 'y')}, {r('m', 'm')}, {r('(a.v * (1 - fx) + b.v * fx) * (1 - fy) + (c.v * (1 - fx) + d.v * fx) * fy', 'm_grid')} from l join grid a on a.ix = l.ix and a.iy = l.iy join grid b on b.ix = least(l.ix + 1, nx - 1) and b.iy = l.iy
+ join grid c on c.ix = l.ix and c.iy = least(l.iy + 1, ny - 1) join grid d on d.ix = least(l.ix + 1, nx - 1) and d.iy = least(l.iy + 1, ny - 1)""")
 def magnetic_model(spark, sf_dir):
-    return _model(spark, sf_dir)["points"].select("line", "fid", "x", "y", "m", "m_grid")
+    return rounded(_model(spark, sf_dir)["points"].select("line", "fid", "x", "y", "m", "m_grid"))
 
 
-@query()
+@query(f"""{_MODEL}, {relaxed(8)}, s as (select g.ix, g.iy, g.v, w.v as w, e.v as e, s.v as s, n.v as n, res from sp, r8 g left join r8 w on w.ix = g.ix - 1 and w.iy = g.iy left join r8 e on e.ix = g.ix + 1 and e.iy = g.iy left join r8 s on s.ix = g.ix and s.iy = g.iy - 1 left join r8 n on n.ix = g.ix and n.iy = g.iy + 1),
+ d as (select ix, iy, v, -((e - 2 * v + w) / res ** 2 + (n - 2 * v + s) / res ** 2) as fvd, sqrt(((e - w) / (2 * res)) ** 2 + ((n - s) / (2 * res)) ** 2) as g from s) select ix, iy, {r('v', 'v')}, {r('fvd', 'fvd', 7)}, {r('g', 'grad_mag')}, {r('atan2(fvd, greatest(g, 1e-9))', 'tilt')} from d""")
 def magnetic_model_grid(spark, sf_dir):
-    return _model(spark, sf_dir, relax=True)["grid"].select("ix", "iy", "v", "fvd", "grad_mag", "tilt")
+    g = _model(spark, sf_dir, relax=True)["grid"]
+    return rounded(rounded(g.select("ix", "iy", "v", "fvd", "grad_mag", "tilt"), 7, only=["fvd"]), only=["v", "grad_mag", "tilt"])
 
 
 def _feed(spark, sf_dir):

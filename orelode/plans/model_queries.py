@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import blocks, grids, magnetics, stats, tiles
+from .grid_queries import relaxed
 from .registry import query, r, rounded
 from .views import part_grid, points3d, with_views
 
@@ -166,22 +167,49 @@ def _windows(spark, sf_dir):
     return magnetics.euler_windows(magnetics.euler_derivatives(g, 10.0)), spec
 
 
-@query()
+_EULER = f"""{with_views('grid')}, {relaxed(8)}, mm as (select max(ix) as mx, max(iy) as my from grid), s as (select g.ix, g.iy, g.v, w.v as w, e.v as e, s.v as s, n.v as n, mx, my from r8 g cross join mm left join r8 w on w.ix = g.ix - 1 and w.iy = g.iy left join r8 e on e.ix = g.ix + 1 and e.iy = g.iy left join r8 s on s.ix = g.ix and s.iy = g.iy - 1 left join r8 n on n.ix = g.ix and n.iy = g.iy + 1),
+ d as (select ix, iy, v, mx, my, case when ix = 0 then (e - v) / 10 when ix = mx then (v - w) / 10 else (e - w) / 20 end as dx, case when iy = 0 then (n - v) / 10 when iy = my then (v - s) / 10 else (n - s) / 20 end as dy, ((e - 2 * v + w) / 100 + (n - 2 * v + s) / 100) * 30 as dz from s),
+ cell as (select * from d where greatest(abs(dx), abs(dy), abs(dz)) >= 1e-9 and dz is not null), ax as (select (2 * i + 3)::int as c from mm, (select unnest(range(greatest(mx, my))) as i from mm)),
+ win as (select cx.c as cx, cy.c as cy, count(*) over (partition by cx.c, cy.c) as cells, dx, dy, -dz as h, (ix - cx.c) * 10 * dx + (iy - cy.c) * 10 * dy as rr, v from cell join ax cx on abs(cx.c - ix) <= 3 and cx.c <= mx - 3 join ax cy on abs(cy.c - iy) <= 3 and cy.c <= my - 3 qualify cells >= 8)"""
+
+
+@query(f"{_EULER} select cx, cy, count(*) as cells from win group by cx, cy")
 def euler_windows(spark, sf_dir):
     w, _ = _windows(spark, sf_dir)
     return w.groupBy("cx", "cy").agg(F.count("*").alias("cells"))
 
 
-@query()
+def _elimination() -> str:
+    """CTEs that solve the symmetric 4 x 4 system of CTE e3's columns a00 .. a33, b0 .. b3 (with the ridge g): e2, e1, e0 lose one unknown each, then back."""
+    steps, a, b = [], {(i, j): f"a{i}{j} + g" if i == j < 3 else f"a{i}{j}" for i in range(4) for j in range(i, 4)}, [f"b{i}" for i in range(4)]
+    steps.append("e0 as (select *, " + ", ".join([f"{x} as m{i}{j}_0" for (i, j), x in a.items()] + [f"{x} as q{i}_0" for i, x in enumerate(b)]) + " from sys)")
+    for k in range(3):
+        new = [f"m{i}{j}_{k} - m{k}{i}_{k} / m{k}{k}_{k} * m{k}{j}_{k} as m{i}{j}_{k + 1}" for i in range(k + 1, 4) for j in range(i, 4)] + [f"q{i}_{k} - m{k}{i}_{k} / m{k}{k}_{k} * q{k}_{k} as q{i}_{k + 1}" for i in range(k + 1, 4)]
+        steps.append(f"e{k + 1} as (select *, {', '.join(new)} from e{k})")
+    steps += ["f3 as (select *, q3_3 / m33_3 as u3 from e3)", "f2 as (select *, (q2_2 - m23_2 * u3) / m22_2 as u2 from f3)", "f1 as (select *, (q1_1 - m12_1 * u2 - m13_1 * u3) / m11_1 as u1 from f2)", "f0 as (select *, (q0_0 - m01_0 * u1 - m02_0 * u2 - m03_0 * u3) / m00_0 as u0 from f1)"]
+    return ", ".join(steps)
+
+
+_QUAD = " + ".join(f"{1 if i == j else 2} * u{i} * a{i}{j} * u{j}" for i in range(4) for j in range(i, 4))
+_SOLVE = f"""{_EULER}, su as (select cx, cy, count(*) as k, avg(abs(v)) as mean_abs, {', '.join(f'sum({a} * {b}) as s{i}{j}' for i, a in enumerate(('dx', 'dy', 'h', '1', 'rr', 'v')) for j, b in enumerate(('dx', 'dy', 'h', '1', 'rr', 'v')) if i <= j)} from win group by cx, cy),
+ sys0 as (select *, {', '.join(f's{i}{j} as a{i}{j}' for i in range(3) for j in range(i, 3))}, {', '.join(f's{i}3 * n as a{i}3' for i in range(3))}, s33 * n * n as a33, {', '.join(f's{i}4 + n * s{i}5 as b{i}' for i in range(3))}, n * (s34 + n * s35) as b3, s44 + 2 * n * s45 + n * n * s55 as rhs2 from su, (select unnest([1.0, 2.0, 3.0])::double as n)),
+ sys as (select *, 1e-6 * greatest(a00, a11, a22) as g from sys0), {_elimination()}, res as (select *, sqrt(greatest({_QUAD} - 2 * (u0 * b0 + u1 * b1 + u2 * b2 + u3 * b3) + rhs2, 0) / k) / mean_abs as residual from f0 where mean_abs > 1e-9),
+ sol as materialized (select cx, cy, cx * 10 + u0 as x, cy * 10 + u1 as y, u2 as depth_m, n, u3 as background, residual, mean_abs from res where u2 between 10 and 1500 and abs(u0) <= 150 and abs(u1) <= 150 qualify row_number() over (partition by cx, cy order by residual, n) = 1)"""
+
+
+@query(f"{_SOLVE} select cx, cy, {r('x', 'x', 2)}, {r('y', 'y', 2)}, {r('depth_m', 'depth_m', 2)}, n, {r('background', 'background', 2)}, {r('residual', 'residual')}, {r('mean_abs', 'mean_abs')} from sol")
 def euler_solve(spark, sf_dir):
     w, spec = _windows(spark, sf_dir)
-    return magnetics.euler_solve(w, spec, 10.0)
+    s = rounded(magnetics.euler_solve(w, spec, 10.0), 2, only=["x", "y", "depth_m", "background"])
+    return rounded(s, only=["residual", "mean_abs"])
 
 
-@query()
+@query(f"""{_SOLVE}, k as (select *, 1 / (1 + 2 * residual) as confidence, mean_abs * depth_m ** (n + 1) as raw from sol where 1 / (1 + 2 * residual) >= .05), o as (select raw, row_number() over (order by raw) - 1 as i, count(*) over () as c from k), top as (select greatest(max(raw), 1e-9) as scale from o where i <= least(floor(.95 * c), c - 1))
+ select {r('x', 'x', 2)}, {r('y', 'y', 2)}, {r('-depth_m', 'z', 2)}, {r('depth_m', 'depth_m', 2)}, n, {r('least(greatest(depth_m * .15, 10), depth_m * .5)', 'size', 2)}, {r('least(greatest(raw / scale, 0), 1)', 'proxy', 3)}, {r('confidence', 'confidence', 3)}, {r('mean_abs', 'anomaly', 3)}, {r('background', 'background', 2)}, {r('residual', 'residual', 3)} from k, top""")
 def euler_sources(spark, sf_dir):
     w, spec = _windows(spark, sf_dir)
-    return magnetics.euler_sources(magnetics.euler_solve(w, spec, 10.0), 10.0)
+    s = rounded(magnetics.euler_sources(magnetics.euler_solve(w, spec, 10.0), 10.0), 2, only=["x", "y", "z", "depth_m", "size", "background"])
+    return rounded(s, 3, only=["proxy", "confidence", "anomaly", "residual"])
 
 
 @query()
