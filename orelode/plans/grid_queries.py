@@ -128,8 +128,8 @@ def terrain_adjust(spark, sf_dir):
  n as (select *, least(greatest(ceil(w / 15)::int + 1, 8), 512) as nx, least(greatest(ceil(h / 15)::int + 1, 8), 512) as ny from m), node as (select (k % nx)::int as ix, (k // nx)::int as iy, (k % nx)::double / (nx - 1) * w as x, (k // nx)::double / (ny - 1) * h as y, mx, my, w, h from (select *, unnest(range(nx * ny)) as k from n)),
  t as (select *, least(x / w, 1) * mx as tx, least(y / h, 1) * my as ty from node), l as (select *, floor(tx)::int as jx, floor(ty)::int as jy, tx - floor(tx) as fx, ty - floor(ty) as fy from t),
  raw as (select l.ix, l.iy, l.x, l.y, (a.v * (1 - fx) + b.v * fx) * (1 - fy) + (c.v * (1 - fx) + d.v * fx) * fy as v from l left join hole a on a.ix = jx and a.iy = jy left join hole b on b.ix = least(jx + 1, mx) and b.iy = jy left join hole c on c.ix = jx and c.iy = least(jy + 1, my) left join hole d on d.ix = least(jx + 1, mx) and d.iy = least(jy + 1, my)),
- near as (select u.ix, u.iy, k.v, sqrt((u.x - k.x) ** 2 + (u.y - k.y) ** 2) as d from raw u, raw k where u.v is null and k.v is not null qualify row_number() over (partition by u.ix, u.iy order by d, k.iy * 1000000 + k.ix) <= 12),
- full_ as (select ix, iy, v from raw where v is not null union all select ix, iy, sum(v / d ** 2) / sum(1 / d ** 2) from near group by ix, iy),
+ near as (select u.ix, u.iy, k.v, (u.x - k.x) * (u.x - k.x) + (u.y - k.y) * (u.y - k.y) as d2 from raw u, raw k where u.v is null and k.v is not null qualify row_number() over (partition by u.ix, u.iy order by d2, k.iy * 1000000 + k.ix) <= 12),
+ full_ as (select ix, iy, v from raw where v is not null union all select ix, iy, sum(v / d2) / sum(1 / d2) from near group by ix, iy),
  c as (select (p_partkey * 13) % 230 * .8::double - 5 as x, (p_partkey * 29) % 1000 * .9::double as y from part where p_partkey % 5 = 0), on_ as (select c.*, x / w * (nx - 1) as tx, y / h * (ny - 1) as ty, nx, ny from c, n where x between 0 and w and y between 0 and h), at_ as (select *, floor(tx)::int as jx, floor(ty)::int as jy, tx - floor(tx) as fx, ty - floor(ty) as fy from on_),
  hit as (select 30 + x / 10 - y / 50 as z_obs, (a.v * (1 - fx) + b.v * fx) * (1 - fy) + (c.v * (1 - fx) + d.v * fx) * fy as z_grid from at_ join full_ a on a.ix = jx and a.iy = jy join full_ b on b.ix = least(jx + 1, nx - 1) and b.iy = jy join full_ c on c.ix = jx and c.iy = least(jy + 1, ny - 1) join full_ d on d.ix = least(jx + 1, nx - 1) and d.iy = least(jy + 1, ny - 1))
  select f.ix, f.iy, {r('x', 'x')}, {r('y', 'y')}, {r('f.v + case when n >= 3 then dz else 0 end', 'v')} from full_ f join node using (ix, iy), (select avg(z_obs - z_grid) as dz, count(*) as n from hit)""")
