@@ -4,9 +4,10 @@ A double's bits, with negative ones turned round, order like whole numbers.
 Each pass counts the values that share the bits found so far by their next 16
 bits (counted map-side, at most 65 536 rows a group and pass) and tells in
 which count each asked rank lies. After four passes all 64 bits are known; once
-few rows are left under them, these are put in order directly. One far-off
-value changes nothing, no task holds a group's values, and all asked ranks, and
-both neighbours of an interpolated one, go through the same passes.
+few rows are left under them, these are put in order directly (at once if no
+group has more). One far-off value changes nothing, no task holds the values of
+a larger group, and all asked ranks, and both neighbours of an interpolated
+one, go through the same passes.
 
 Nulls are left out; NaN is the largest value, as when Spark sorts; -0.0 is 0.0.
 """
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import materialise
@@ -54,6 +55,20 @@ def keyed(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
     return materialise(_keyed(df.select(g.alias("g"), F.col(column).cast("double").alias("value")), "value"), "keyed")
 
 
+def _prefix(bits: int) -> Column:
+    """The key without its last ``bits`` bits."""
+    return F.shiftright("key", bits) if bits < 64 else F.lit(0).cast("long")
+
+
+def _in_order(rows: DataFrame, asked: DataFrame, known: int) -> DataFrame:
+    """g, i, share and the key itself as prefix: the few rows under each asked prefix are put in order."""
+    under = rows.withColumn("prefix", _prefix(known)).join(asked.select("g", "prefix").distinct(), ["g", "prefix"], "left_semi")
+    c = under.groupBy("g", "prefix", "key").agg(F.count("*").alias("k"))
+    w = Window.partitionBy("g", "prefix").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    c = c.withColumn("before", F.sum("k").over(w) - F.col("k"))
+    return asked.join(c, ["g", "prefix"]).where("rank >= before and rank < before + k").select("g", "i", "share", F.col("key").alias("prefix"))
+
+
 def selected(rows: DataFrame, fractions: list[float], linear: bool = False) -> DataFrame:
     """g, i, value: of ``keyed`` rows, the value at each fraction i of each group.
 
@@ -70,25 +85,21 @@ def selected(rows: DataFrame, fractions: list[float], linear: bool = False) -> D
         asked = asked.select("g", "i", F.lit(1.0).alias("share"), F.floor(F.col("at") + 0.5).alias("rank"))
     asked = asked.withColumn("prefix", F.lit(0).cast("long"))
     known = 64  # bits to the right of the prefix
-    prefix = lambda bits: F.shiftright("key", bits) if bits < 64 else F.lit(0).cast("long")
+    if (rows.groupBy("g").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) <= FEW:
+        asked, known = _in_order(rows, asked, known), 0  # groups may be many, but each is small
     while known:
         down, left = known - DIGIT, known
-        under = rows.withColumn("prefix", prefix(left))
+        under = rows.withColumn("prefix", _prefix(left))
         if left < 64:
             under = under.join(asked.select("g", "prefix").distinct(), ["g", "prefix"], "left_semi")
-        counts = under.groupBy("g", "prefix", prefix(down).alias("next")).agg(F.count("*").alias("c"))
+        counts = under.groupBy("g", "prefix", _prefix(down).alias("next")).agg(F.count("*").alias("c"))
         w = Window.partitionBy("g", "prefix").orderBy("next").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         counts = counts.withColumn("before", F.sum("c").over(w) - F.col("c"))
         hit = asked.join(counts, ["g", "prefix"]).where("rank >= before and rank < before + c")
         found = materialise(hit.select("g", "i", "share", (F.col("rank") - F.col("before")).alias("rank"), F.col("next").alias("prefix"), "c"), "ranks")
         asked, known = found.drop("c"), down
         if known and (found.select("g", "prefix", "c").distinct().agg(F.sum("c")).first()[0] or 0) <= FEW:
-            under = rows.withColumn("prefix", prefix(known)).join(asked.select("g", "prefix").distinct(), ["g", "prefix"], "left_semi")
-            c = under.groupBy("g", "prefix", "key").agg(F.count("*").alias("k"))
-            w = Window.partitionBy("g", "prefix").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            c = c.withColumn("before", F.sum("k").over(w) - F.col("k"))
-            asked = asked.join(c, ["g", "prefix"]).where("rank >= before and rank < before + k").select("g", "i", "share", F.col("key").alias("prefix"))
-            known = 0
+            asked, known = _in_order(rows, asked, known), 0
 
     def decode(batches):
         for b in batches:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parse_numeric, scale_transform
 from .selection import keyed, kth_values, selected
-from .shared import global_rank
+from .shared import global_rank, materialise
 
 
 def extent_2d(dfs: DataFrame | list[DataFrame], pad: float = 0.25, least: float = 1e-6) -> DataFrame:
@@ -137,14 +137,18 @@ def measure_ranking(df: DataFrame, k: int = 10) -> DataFrame:
 
 
 def table_profile(df: DataFrame, order: list[str], n: int = 12) -> DataFrame:
-    """part (head or tail), row_no, and the row as JSON, for the first and last ``n`` rows; plus one row part = count."""
-    r = global_rank(df, *order)
-    total = r.agg(F.count("*").alias("_n"))
-    j = r.crossJoin(F.broadcast(total))  # one row
-    whole = F.to_json(F.struct(*df.columns))
-    ends = j.where((F.col("_rank") < n) | (F.col("_rank") >= F.col("_n") - n))
-    head = ends.where(F.col("_rank") < n).select(F.lit("head").alias("part"), F.col("_rank").alias("row_no"), whole.alias("values"))
-    tail = ends.where(F.col("_rank") >= F.col("_n") - n).select(F.lit("tail").alias("part"), F.col("_rank").alias("row_no"), whole.alias("values"))
+    """part (head or tail), row_no, and the row as JSON, for the first and last ``n`` rows; plus one row part = count.
+
+    Two top-n sorts and a count, no full sort; rows that are equal in ``order``
+    come in any order. Of fewer than ``n`` rows all are in both parts.
+    """
+    total = df.agg(F.count("*").alias("_n"))
+    whole = F.to_json(F.struct(*df.columns)).alias("values")
+    up, down = [F.asc(c) for c in order], [F.desc(c) for c in order]
+    place = lambda by: F.row_number().over(Window.orderBy(*by)).cast("long")  # noqa: E731 (of n rows)
+    head = df.orderBy(*up).limit(n).select(F.lit("head").alias("part"), (place(up) - 1).alias("row_no"), whole)
+    tail = df.orderBy(*down).limit(n).select(place(down).alias("_k"), whole).crossJoin(F.broadcast(total))  # one row
+    tail = tail.select(F.lit("tail").alias("part"), (F.col("_n") - F.col("_k")).alias("row_no"), "values")
     return head.unionByName(tail).unionByName(total.select(F.lit("count").alias("part"), F.col("_n").alias("row_no"), F.lit(",".join(df.columns)).alias("values")))
 
 
@@ -166,9 +170,17 @@ def fit_residual_metrics(df: DataFrame, residual: str = "residual") -> DataFrame
 
 
 def median_mad(df: DataFrame, column: str, by: list[str]) -> DataFrame:
-    """by, median, mad: exact medians (mean of the middle two), the deviation at least 1e-9."""
-    med = df.groupBy(*by).agg(F.percentile(column, F.lit(0.5)).alias("median"))
-    return df.join(med, by).groupBy(*by).agg(F.first("median").alias("median"), F.greatest(F.percentile(F.abs(F.col(column) - F.col("median")), F.lit(0.5)), F.lit(1e-9)).alias("mad"))
+    """by, median, mad: exact medians (mean of the middle two), the deviation at least 1e-9; groups without values have no median.
+
+    Medians come from radix selection, so a group may be of any size; nulls in
+    ``by`` are a group.
+    """
+    rows = df.select(F.struct(*by).alias("g"), F.col(column).cast("double").alias("_v"))
+    middle = selected(keyed(df, column, by), [0.5], linear=True).select("g", F.col("value").alias("median"))
+    middle = materialise(rows.select("g").distinct().join(middle, "g", "left"), "medians")
+    off = rows.join(middle, "g").select("g", F.abs(F.col("_v") - F.col("median")).alias("_d"))
+    mad = selected(keyed(off, "_d", ["g"]), [0.5], linear=True).select("g.g", F.col("value").alias("_mad"))
+    return middle.join(mad, "g", "left").select("g.*", "median", F.greatest("_mad", F.lit(1e-9)).alias("mad"))
 
 
 def percentile_nearest_rank(df: DataFrame, column: str, p: float, by: list[str] | None = None) -> DataFrame:

@@ -6,6 +6,8 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from orelode.operators import selection, stats
 
 FRACTIONS = [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0]
@@ -23,7 +25,7 @@ def columns():
     }
 
 
-@pytest.mark.parametrize("few", [0, selection.FEW])
+@pytest.mark.parametrize("few", [0, 40, selection.FEW])
 def test_groups_and_all_rows_equal_sorting(spark, monkeypatch, few):
     """With all four passes, and with the direct end."""
     monkeypatch.setattr(selection, "FEW", few)
@@ -57,3 +59,21 @@ def test_profile_with_an_outlier(spark):
     r = stats.numeric_profile(df, "t").first()
     assert (r.n, r.missing, r.min, r.max, r.p50) == (103, 2, 0.0, 1e308, 50.0)
     assert stats.numeric_profile(df.where("t = 'n/a'"), "t").first().p50 is None
+
+
+def test_median_mad_by_group(spark):
+    rows = [("a", 1.0), ("a", 4.0), ("a", None), ("a", 2.0), ("a", 10.0), (None, 5.0), (None, 7.0), ("c", None), ("d", 3.0)]
+    got = {r.k: (r.median, r.mad) for r in stats.median_mad(spark.createDataFrame(rows, "k string, v double"), "v", ["k"]).collect()}
+    assert got == {"a": (3.0, 1.5), None: (6.0, 1.0), "c": (None, 1e-9), "d": (3.0, 1e-9)}
+    assert stats.median_mad(spark.createDataFrame([], "k string, v double"), "v", ["k"]).count() == 0
+
+
+def test_table_profile_ends(spark):
+    for n in (0, 3, 40):
+        d = spark.range(n).select((F.col("id") * 7 % 41).alias("k"), F.lit("x").alias("v"))
+        keys = sorted(i * 7 % 41 for i in range(n))
+        got = {(r.part, r.row_no): r["values"] for r in stats.table_profile(d, ["k"], 12).collect()}
+        want = {("count", n): "k,v"}
+        want |= {("head", i): f'{{"k":{keys[i]},"v":"x"}}' for i in range(min(n, 12))}
+        want |= {("tail", i): f'{{"k":{keys[i]},"v":"x"}}' for i in range(max(n - 12, 0), n)}
+        assert got == want
