@@ -92,7 +92,7 @@ class _InOrder(_PerKey):
     schema = "top long, late long"
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows), ignore_index=True).sort_values("id", kind="stable")
+        new = pd.concat(list(rows), ignore_index=True).sort_values(["id", "ts"], kind="stable")
         top, late = self.value.get() if self.value.exists() else (None, 0)
         keep = []
         for t in new["ts"]:
@@ -110,20 +110,21 @@ class _InOrder(_PerKey):
 def ordered_line_ingest(stream: DataFrame, lateness: str = "10 minutes", ttl_s: float = 86_400.0) -> DataFrame:
     """line, id, ts, dropped: rows of ``stream(line, id, ts)`` not earlier than the last kept one of their line.
 
-    A row sent again within ``lateness`` counts once; dropped is the line's
-    number of late rows so far. A line that was silent for ``ttl_s`` beyond the
+    A row sent again within ``lateness`` counts once; rows of one id with other
+    times are rows of their own, the earlier first. dropped is the line's number
+    of late rows so far. A line that was silent for ``ttl_s`` beyond the
     watermark is forgotten: rows from before are too late for the stream then,
     and its count starts again.
     """
-    fresh = with_state_store(stream).select("line", "id", "ts").withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["line", "id"])
+    fresh = with_state_store(stream).select("line", "id", "ts").withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["line", "id", "ts"])
     return fresh.groupBy("line").transformWithStateInPandas(_InOrder(int(ttl_s * 1000)), "line long, id long, ts timestamp, dropped long", "append", "eventTime")
 
 
 def ordered_line_batch(df: DataFrame) -> DataFrame:
     from ..operators.lines import order_violation_filter
 
-    once = df.select("line", "id", "ts").dropDuplicates(["line", "id"])
-    return order_violation_filter(once, "line", "id", "ts")
+    once = df.select("line", "id", "ts").distinct()
+    return order_violation_filter(once.withColumn("_arrival", F.struct("id", "ts")), "line", "_arrival", "ts").drop("_arrival")
 
 
 class _Stale(_PerKey):

@@ -227,6 +227,15 @@ def test_ordered_lines_stream_equals_batch(spark, tmp_path):
     assert sorted(rows(got.select("line", "id", "ts"))) == sorted(rows(streaming.ordered_line_batch(d)))
 
 
+def test_ordered_lines_keep_rows_that_share_an_id(spark, tmp_path):
+    # Two rows of line 1 are called 5; only the one sent twice counts once.
+    d = spark.sql("select * from values (1L, 5L, timestamp_seconds(1010)), (1L, 5L, timestamp_seconds(1020)), (1L, 5L, timestamp_seconds(1020)), (1L, 7L, timestamp_seconds(1015)), (1L, 9L, timestamp_seconds(1030)) as t(line, id, ts)")
+    batch = sorted((r.id, r.ts.minute * 60 + r.ts.second) for r in streaming.ordered_line_batch(d).collect())
+    assert batch == [(5, 1010 % 3600), (5, 1020 % 3600), (9, 1030 % 3600)]
+    got = _stream(spark, d, str(tmp_path / "o"), lambda s: streaming.ordered_line_ingest(s, "1 hour"))
+    assert sorted(rows(got.select("line", "id", "ts"))) == sorted(rows(streaming.ordered_line_batch(d)))
+
+
 def test_stale_keys(spark, tmp_path):
     d = spark.sql("select cast(id % 3 as string) key, timestamp_seconds(1000 + id) ts from range(30) union all select 'late', timestamp_seconds(5000)")
     batch = {k for k, _ in rows(streaming.stale_key_batch(d))}
