@@ -47,6 +47,16 @@ def test_features_of_one_file_in_many_ranges(spark, small_splits, tmp_path, layo
     assert len(lines) == sum(len(f["geometry"]["coordinates"]) - 1 for f in data["features"] if f["geometry"]["type"] == "LineString") and all(s.has_z for s in lines)
 
 
+def test_only_the_named_array_counts(spark, small_splits, tmp_path):
+    data = collection(20, other=[{"type": "Feature", "properties": {"level": -k}, "geometry": {"type": "Point", "coordinates": [k, k]}} for k in range(30)])
+    data["features"].insert(7, [{"type": "Feature", "deep": "x" * 3000}])  # an array is no feature
+    path = tmp_path / "c.geojson"
+    path.write_text(json.dumps(data))
+    objects = splits.json_objects(spark, str(path), 3, "features")
+    want = [f for f in data["features"] if isinstance(f, dict)]
+    assert sorted(str(json.loads(r.value)) for r in objects.collect()) == sorted(map(str, want))
+
+
 @pytest.mark.parametrize("form", ["array", "pretty", "lines"])
 def test_json_rows_in_many_ranges(spark, small_splits, tmp_path, form):
     r = random.Random(3)
