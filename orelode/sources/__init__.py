@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions import blank_to_null, parse_numeric
 from ..operators.ingest import explode_row_arrays, infer_mapping  # noqa: F401
@@ -65,12 +66,15 @@ def read_json_rows(spark: SparkSession, path: str) -> DataFrame:
 def read_geojson_points(spark: SparkSession, path: str) -> DataFrame:
     """The features' properties with lon, lat and z (null if absent), of one or many feature collections."""
     kept = json_objects(spark, path, 3, "features").where(F.get_json_object("value", "$.geometry.type") == "Point")
-    kept = spark.read.text(_lines(kept, "point-features"))
-    at = F.from_json(F.get_json_object("value", "$.geometry.coordinates"), "array<double>")
-    f = kept.select(F.coalesce(F.get_json_object("value", "$.properties"), F.lit("{}")).alias("p"), at.alias("at"))
-    place = [F.get("at", F.lit(k)).alias(n) for k, n in enumerate(("lon", "lat", "z"))]
-    kind = spark.read.json(_lines(f.select("p"), "properties")).schema
-    return f.select(F.from_json("p", kind).alias("p"), *place).select("p.*", "lon", "lat", "z") if len(kind) else f.select(*place)
+    written = _lines(kept, "point-features")
+    kind = next((f.dataType for f in spark.read.json(written).schema if f.name == "properties"), None)
+    props = isinstance(kind, StructType)
+    f = spark.read.text(written).select(F.from_json("value", StructType([StructField("geometry", _POINT), *([StructField("properties", kind)] if props else [])])).alias("f"))
+    place = [F.get("f.geometry.coordinates", F.lit(k)).alias(n) for k, n in enumerate(("lon", "lat", "z"))]
+    return f.select(*(["f.properties.*"] if props else []), *place)
+
+
+_POINT = StructType([StructField("coordinates", ArrayType(DoubleType()))])
 
 
 #: Properties that hold a line's level, in this order.
@@ -79,10 +83,10 @@ LEVEL_KEYS = ("elevation", "elev", "z", "contour", "level", "height", "value")
 
 def read_geojson_lines(spark: SparkSession, path: str) -> DataFrame:
     """x0, y0, z0, x1, y1, z1, level, has_z: consecutive vertices of LineString and MultiLineString features."""
-    f = json_objects(spark, path, 3, "features").withColumnRenamed("value", "f")
-    kind = F.get_json_object("f", "$.geometry.type")
-    level = F.coalesce(*(parse_numeric(F.get_json_object("f", f"$.properties.{k}"), decimal_comma=False) for k in LEVEL_KEYS))
-    coords = F.get_json_object("f", "$.geometry.coordinates")
+    levels = ", ".join(f"`{k}`: string" for k in LEVEL_KEYS)
+    f = json_objects(spark, path, 3, "features").select(F.from_json("value", f"geometry struct<type: string, coordinates: string>, properties struct<{levels}>").alias("f"))
+    kind, coords = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
+    level = F.coalesce(*(parse_numeric(F.col(f"f.properties.{k}"), decimal_comma=False) for k in LEVEL_KEYS))
     one = F.array(F.from_json(coords, "array<array<double>>"))
     f = f.select(level.alias("level"), F.explode(F.when(kind == "LineString", one).when(kind == "MultiLineString", F.from_json(coords, "array<array<array<double>>>"))).alias("line"))
     n = F.size("line")
