@@ -50,6 +50,15 @@ def test_no_row_of_the_variogram_is_a_pair(spark):
     assert pairs.lag_sums(points, 8, 100.0).count() == 8
 
 
+def test_pairs_are_dealt_over_units_and_rows_are_sent_a_bounded_number_of_times(spark):
+    points = spark.createDataFrame(cloud(3000, twins=0.0), POINT).select(*"xyzv")
+    for n in (1500, 3000):
+        rows = pairs.block_pairs(points.limit(n), ("x", "y", "z"), [*"xyzv"], 1e5, 32)
+        units = rows.groupBy("unit", "side").count().collect()
+        assert len({u.unit for u in units}) >= 20 and max(u["count"] for u in units) <= n // 4
+        assert sum(u["count"] for u in units) <= 5 * pairs.BLOCKS * n and rows.rdd.getNumPartitions() == len({u.unit for u in units})
+
+
 def test_variogram_of_few_points(spark):
     assert {r.pairs for r in blocks.variogram(spark.createDataFrame([], POINT)).collect()} == {0}
     assert {r.pairs for r in blocks.variogram(spark.createDataFrame([(1, 1.0, 1.0, 1.0, 1.0)] * 5, POINT)).collect()} == {0}
