@@ -49,6 +49,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a key's partition that a task sorts at once.
+SPREAD = 250_000
+
+
+def spread(df: DataFrame, key: str, rows: int = SPREAD) -> DataFrame:
+    """``df`` as it is, or dealt by ``key`` over more tasks where the session's number of shuffle partitions would give each over ``rows``.
+
+    Windows and joins on the key keep that number, so what a task sorts doesn't
+    grow with the table. The count reads no column.
+    """
+    tasks = -(-df.count() // rows)
+    return df.repartition(tasks, key) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def require_columns(df: DataFrame, *names: str) -> DataFrame:
     missing = [n for n in names if n not in df.columns]
     if missing:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.shared import spread
+
 GRID_NX = 20
 
 
@@ -27,12 +29,12 @@ def collars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def surveys(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("l_orderkey").orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("hole_id"), F.sum(10 + F.col("l_partkey") % 40).over(w).cast("double").alias("depth_m"), (F.col("l_partkey") % 360).cast("double").alias("azimuth_deg"), (-(45 + F.col("l_suppkey") % 45)).cast("double").alias("dip_deg"))
+    return spread(table(spark, sf_dir, "lineitem"), "l_orderkey").select(F.col("l_orderkey").alias("hole_id"), F.sum(10 + F.col("l_partkey") % 40).over(w).cast("double").alias("depth_m"), (F.col("l_partkey") % 360).cast("double").alias("azimuth_deg"), (-(45 + F.col("l_suppkey") % 45)).cast("double").alias("dip_deg"))
 
 
 def assays(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("l_orderkey").orderBy(*_ORDER)
-    return table(spark, sf_dir, "lineitem").select(
+    return spread(table(spark, sf_dir, "lineitem"), "l_orderkey").select(
         F.col("l_orderkey").alias("hole_id"), (F.sum("l_quantity").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("l_quantity")).alias("from_m"), F.sum("l_quantity").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("to_m"),
         (F.col("l_extendedprice") / 10000).alias("grade"), (2 + 10 * F.col("l_tax")).alias("sg"), F.col("l_returnflag").alias("rock"), F.row_number().over(w).cast("long").alias("sample_no"),
     )

@@ -236,6 +236,15 @@ def test_ordered_lines_keep_rows_that_share_an_id(spark, tmp_path):
     assert sorted(rows(got.select("line", "id", "ts"))) == sorted(rows(streaming.ordered_line_batch(d)))
 
 
+def test_spread_deals_a_key_over_more_tasks_only_for_many_rows(spark):
+    from orelode.operators.shared import spread
+
+    d = spark.range(1000).selectExpr("id % 100 as k")
+    assert spread(d, "k", 1000) is d
+    got = spread(d, "k", 50)
+    assert got.rdd.getNumPartitions() == 20 and got.groupBy("k").count().where("count = 10").count() == 100
+
+
 def test_stale_keys(spark, tmp_path):
     d = spark.sql("select cast(id % 3 as string) key, timestamp_seconds(1000 + id) ts from range(30) union all select 'late', timestamp_seconds(5000)")
     batch = {k for k, _ in rows(streaming.stale_key_batch(d))}
