@@ -110,3 +110,35 @@ def test_no_leaf_is_large(spark):
         splits, sent = leaves.partition(points, ("x", "y"), 50, sample)
         sizes = [r["count"] for r in leaves.with_leaf(points, sent, ("x", "y")).groupBy("leaf").count().collect()]
         assert max(sizes) <= 50 and sum(sizes) == 4000 and len(sizes) <= splits.leaves
+
+
+def test_methods_share_one_search(spark, tmp_path):
+    """Four methods read one table of gathered neighbours: no search, window or shuffle of neighbours is repeated for each."""
+    from orelode.plans import grid_queries
+
+    spark.range(300).selectExpr("id as p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(200).selectExpr("id as vec_id", "int(id % 3) as label", "transform(sequence(1, 4), k -> float((id * 37 * k) % 101) / 50 - 1) as embedding").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = grid_queries.interpolate(spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == 1200 and not any(node in plan for node in ("MapIn", "Window", "Aggregate"))
+
+
+def test_a_small_table_of_many_places_is_many_tasks(spark, monkeypatch):
+    from orelode.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "TASK_PAIRS", 1000)
+    left = spark.range(0, 100, 1, 1).selectExpr("id", "double(id % 10) as x", "double(id div 10) as y")
+    points = spark.range(50).selectExpr("id as pid", "double(id % 10) as x", "double(id div 10) as y", "double(id) as v")
+    got = neighbours.knn(left, points, 2)
+    assert got.rdd.getNumPartitions() >= 5
+    assert {(x.id, x.pid) for x in got.where("rank = 1").collect()} >= {(k, k) for k in range(50)}
+
+
+def test_equal_distances_go_by_pid_though_their_squares_differ():
+    import numpy as np
+
+    from orelode.operators import leaves
+
+    d2 = np.array([[2.0000000000000004, 2.0, 5.0]])
+    assert np.sqrt(d2[0, 0]) == np.sqrt(d2[0, 1])
+    assert leaves.smallest(d2, np.array([np.inf]), 1)[1].tolist() == [0]
