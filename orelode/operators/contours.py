@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..components import connected_components
+from ..components import connected_components, roots
 from ..functions import scale_transform
 from .grids import corners
+from .leaves import partition, with_leaf
 from .selection import kth_values
 from .shared import global_rank, materialise
 
@@ -125,27 +127,126 @@ def _walk(p: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["run", "part", "start", "closed"])
 
 
-def stitch_contours(segments: DataFrame, max_rounds: int = 60) -> DataFrame:
+#: Edges that one task puts together at a time.
+LEAF_EDGES = 50_000
+
+
+def _walk_edges(a: np.ndarray, b: np.ndarray, low: np.ndarray) -> tuple[list, list, list, list]:
+    """vertex, part, seq, closed: components of the edges a-b walked as ``_walk`` does; ``low`` is each vertex's smallest one.
+
+    A walk takes the odd degrees of its two ends only, so both the odd
+    vertices and those with edges left are passed once: linear in the edges.
+    """
+    src, dst, edge = np.concatenate([a, b]), np.concatenate([b, a]), np.tile(np.arange(len(a)), 2)
+    order = np.lexsort((dst, src))
+    at_ = np.searchsorted(src[order], np.arange(len(low) + 1)).tolist()
+    left = np.bincount(src, minlength=len(low))
+    known = np.flatnonzero(left)
+    known = known[np.lexsort((known, low[known]))]
+    cuts = np.append(np.flatnonzero(np.diff(low[known], prepend=-1)), len(known)).tolist()
+    dst, edge, left, known, on = dst[order].tolist(), edge[order].tolist(), left.tolist(), known.tolist(), at_[:-1]
+    used = bytearray(len(a))
+    vertex, parts, seq, closed = [], [], [], []
+    for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+        odd, o, part = [v for v in known[s:e] if left[v] & 1], 0, 0
+        while True:
+            while o < len(odd) and not left[odd[o]] & 1:
+                o += 1
+            while s < e and not left[known[s]]:
+                s += 1
+            if s == e:
+                break
+            at = odd[o] if o < len(odd) else known[s]
+            path = [at]
+            while True:
+                k, end = on[at], at_[at + 1]
+                while k < end and used[edge[k]]:
+                    k += 1
+                on[at] = k
+                if k == end:
+                    break
+                used[edge[k]] = 1
+                left[at] -= 1
+                at = dst[k]
+                left[at] -= 1
+                path.append(at)
+            vertex += path
+            parts += [part] * len(path)
+            seq += range(len(path))
+            closed += [at == path[0]] * len(path)
+            part += 1
+    return vertex, parts, seq, closed
+
+
+_PLACES = "open boolean, level double, i long, j long, i2 long, j2 long, part int, seq int, closed boolean"
+
+
+def _within(p: pd.DataFrame) -> pd.DataFrame:
+    """Lines of a leaf's edges: the places of those that stay within it; the edges of the others (open), each from the leaf of its end a."""
+    lv, i, j = (np.concatenate([p[f"{c}a"], p[f"{c}b"]]) for c in "lij")
+    order = np.lexsort((j, i, lv))
+    new = np.ones(len(lv), bool)
+    new[1:] = (np.diff(lv[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)
+    ids, first = np.empty(len(lv), np.int64), order[new]
+    ids[order] = np.cumsum(new) - 1
+    a, b = ids[: len(p)], ids[len(p) :]
+    low = roots(a, b)[1]  # every vertex has an edge
+    leaves = p["leaf"].to_numpy(), p["leaf_a"].to_numpy(), p["leaf_b"].to_numpy()
+    far = np.zeros(len(first), bool)
+    far[low[a[leaves[1] != leaves[2]]]] = True
+    goes_on = far[low[a]]
+    own = goes_on & (leaves[0] == leaves[1])
+    apart = pd.DataFrame({"open": True, "level": lv[: len(p)][own], "i": i[: len(p)][own], "j": j[: len(p)][own], "i2": i[len(p) :][own], "j2": j[len(p) :][own], "part": 0, "seq": 0, "closed": False})
+    vertex, part, seq, closed = _walk_edges(a[~goes_on], b[~goes_on], low)
+    vertex = np.array(vertex, np.int64)
+    at, of = first[vertex], first[low[vertex]]
+    done = pd.DataFrame({"open": False, "level": lv[at], "i": i[at], "j": j[at], "i2": i[of], "j2": j[of], "part": part, "seq": seq, "closed": closed})
+    return pd.concat([x for x in (apart, done) if len(x)] or [done]).astype({"open": bool, "level": float, "i": int, "j": int, "i2": int, "j2": int, "part": "int32", "seq": "int32", "closed": bool})
+
+
+def stitch_contours(segments: DataFrame, max_rounds: int = 60, leaf_edges: int = LEAF_EDGES) -> DataFrame:
     """level, line_id, seq, x, y, closed: segments joined end to end.
 
     Ends are put on a lattice as wide as the tolerance, max(1e-6 of the span,
     0.12 of the tenth percentile of lengths, 1e-6), so ends that meet share a
-    vertex. Lines are connected components of the vertices' ranks, named by the
-    smallest vertex; an error is raised if they don't settle in ``max_rounds``.
+    vertex. Lines are connected components, named by the smallest vertex.
 
-    Between ends, junctions and the smallest vertex of a ring, vertices have two
-    neighbours; places along such runs come from joins (``_ranked``). Each run
-    is cut once more at its smallest vertex. Only runs, of which a component has
-    as many as its junctions ask for, are then put in order by a walk.
+    Space is cut into leaves of at most ``leaf_edges`` edges. Lines that stay
+    within their leaf are walked there; the edges of those that cross into
+    another one go on to joins over all leaves (``_stitch``).
     """
     s = segments.select("level", *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")))
+    s = materialise(s, "segments")
     length = F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
     span = s.agg(F.max(F.greatest("x0", "x1", "y0", "y1")) - F.min(F.least("x0", "x1", "y0", "y1"))).first()[0]
     tol = max((span or 0) * 1e-6, 0.12 * (kth_values(s.select(length.alias("v")), "v", [0.1], linear=True)[0] or 0), 1e-6)
     vertex = lambda k: F.struct("level", F.round(F.col(f"x{k}") / tol).cast("long").alias("i"), F.round(F.col(f"y{k}") / tol).cast("long").alias("j"))
     e = s.withColumn("a", vertex(0)).withColumn("b", vertex(1)).where("a <> b")
     e = e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    e = materialise(e, "contour-edges")
+    e = materialise(e.select(*(F.col(f"{v}.{c}").alias(f"{c[0]}{v}") for v in "ab" for c in ("level", "i", "j"))), "contour-edges")
+    ends = {v: (f"l{v}", f"i{v}", f"j{v}") for v in "ab"}
+    _, splits = partition(e.select(*(F.col(c).cast("double").alias(c) for c in ends["a"])), ends["a"], leaf_edges)
+    rows = with_leaf(with_leaf(e, splits, ends["a"], "leaf_a"), splits, ends["b"], "leaf_b")
+    rows = rows.withColumn("leaf", F.explode(F.array_distinct(F.array("leaf_a", "leaf_b"))))
+    found = materialise(rows.groupBy("leaf").applyInPandas(_within, _PLACES), "contour-lines")
+    lines = found.where("not open").select("level", "i", "j", "i2", "j2", "part", "seq", "closed")
+    apart = found.where("open")
+    if not apart.isEmpty():
+        lines = lines.unionByName(_stitch(apart.select(F.struct("level", "i", "j").alias("a"), F.struct("level", F.col("i2").alias("i"), F.col("j2").alias("j")).alias("b")), max_rounds))
+    line = F.concat_ws(":", F.col("level").cast("string"), F.col("i2").cast("string"), F.col("j2").cast("string"), F.col("part").cast("string"))
+    return lines.select("level", line.alias("line_id"), "seq", (F.col("i") * tol).alias("x"), (F.col("j") * tol).alias("y"), "closed")
+
+
+def _stitch(e: DataFrame, max_rounds: int) -> DataFrame:
+    """level, i, j, i2, j2 (of the line's smallest vertex), part, seq, closed: lines of edges ``e(a, b)`` of any length, by joins.
+
+    Lines are connected components of the vertices' ranks; an error is raised
+    if they don't settle in ``max_rounds``. Between ends, junctions and the
+    smallest vertex of a ring, vertices have two neighbours; places along such
+    runs come from joins (``_ranked``). Each run is cut once more at its
+    smallest vertex. Only runs, of which a component has as many as its
+    junctions ask for, are then put in order by a walk.
+    """
     ids = materialise(global_rank(e.select(F.explode(F.array("a", "b")).alias("v")).distinct(), "v", name="id").select("v", "id"), "contour-vertices")
     named = lambda v, k: ids.select(F.col("v").alias(v), F.col("id").alias(k))
     edges = materialise(e.join(named("a", "_a"), "a").join(named("b", "_b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")), "contour-edges")
@@ -176,8 +277,7 @@ def stitch_contours(segments: DataFrame, max_rounds: int = 60) -> DataFrame:
     size = kept.join(runs.select("run", "n", F.col("b").alias("v")), "run").withColumn("_end", F.col("start") + F.col("n"))
     ends = size.groupBy("component", "part", "closed").agg(F.max(F.struct("_end", "v")).alias("e")).select("component", "part", "closed", F.col("e._end").alias("seq"), F.col("e.v").alias("v"))
     at = places.unionByName(ends).join(named("p", "v"), "v").join(named("l", "component"), "component")
-    line = F.concat_ws(":", F.col("l.level").cast("string"), F.col("l.i").cast("string"), F.col("l.j").cast("string"), F.col("part").cast("string"))
-    return at.select(F.col("p.level").alias("level"), line.alias("line_id"), F.col("seq").cast("int").alias("seq"), (F.col("p.i") * tol).alias("x"), (F.col("p.j") * tol).alias("y"), "closed")
+    return at.select("p.level", "p.i", "p.j", F.col("l.i").alias("i2"), F.col("l.j").alias("j2"), "part", F.col("seq").cast("int").alias("seq"), "closed")
 
 
 def assay_heatmap(points: DataFrame, measure: str, method: str = "idw", scale: str = "linear", lo: float = 0.0, hi: float = 100.0, power: float = 2.0, radius: float = 0.0, min_points: int = 3, max_points: int = 32, smoothness: int = 256, pad: float = 0.0) -> tuple[DataFrame, dict, DataFrame, DataFrame]:

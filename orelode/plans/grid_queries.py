@@ -247,7 +247,8 @@ def contour_xyz(spark, sf_dir):
 @query()
 def stitch_contours(spark, sf_dir):
     g, spec = part_grid(spark, sf_dir)
-    return contours.stitch_contours(contours.iso_extract(grids.relax_grid(g).join(g.select("ix", "iy", "x", "y"), ["ix", "iy"]), spec))
+    g = materialise(grids.relax_grid(g).join(g.select("ix", "iy", "x", "y"), ["ix", "iy"]), "relaxed")  # read for the levels and for the cells
+    return contours.stitch_contours(contours.iso_extract(g, spec))
 
 
 _HEAT = f"""{with_views('points')}, q as (select v, row_number() over (order by v) - 1 as i, count(*) over () as n from points where v is not null), lim as (select max(v) filter (i = floor((n - 1) * .02 + .5)) as lo, max(v) filter (i = floor((n - 1) * .98 + .5)) as hi from q),

@@ -67,6 +67,22 @@ def test_lines_rings_and_junctions_equal_a_walk(spark):
     assert got_lines(contours.stitch_contours(df)) == [([tuple(map(round, v)) for v in p], c) for p, c in plain_lines(data)]
 
 
+@pytest.mark.parametrize("leaf", [4, 12, 40])
+def test_lines_within_leaves_and_across_them_equal_a_walk(spark, leaf, monkeypatch):
+    """Leaves of few edges: some lines stay within one, others go through joins over all."""
+    taken, whole = [], contours._stitch
+    monkeypatch.setattr(contours, "_stitch", lambda e, n: taken.append(e.count()) or whole(e, n))
+    data = shapes()
+    assert got_lines(contours.stitch_contours(spark.createDataFrame(data, SEG).repartition(3), leaf_edges=leaf)) == [([tuple(map(round, v)) for v in p], c) for p, c in plain_lines(data)]
+    assert 0 < taken[0] < len(data) - 1
+
+
+def test_lines_of_one_leaf_need_no_rounds(spark, monkeypatch):
+    monkeypatch.setattr(contours, "_stitch", None)
+    data = shapes()
+    assert got_lines(contours.stitch_contours(spark.createDataFrame(data, SEG))) == [([tuple(map(round, v)) for v in p], c) for p, c in plain_lines(data)]
+
+
 def test_long_line_is_ranked_in_few_rounds(spark):
     """A bent line of 3000 segments: places from joins, well under its length in rounds."""
     points = [(float(k), float(abs((k % 200) - 100))) for k in range(3001)]
