@@ -52,7 +52,7 @@ class WordTokenizer:
     those not seen since the last time that it was full go.
     """
 
-    def __init__(self, path: str, size: int = 60_000):
+    def __init__(self, path: str, size: int = 250_000):
         import json
 
         import regex

@@ -276,3 +276,13 @@ def test_rollup_query_counts_every_document(spark, sf_dir):
     counted = tc.count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     plain = counted.groupBy("source", "lang").agg({"*": "count", "tokens": "sum"}).collect()
     assert got == {(r["source"], r["lang"], "word_bpe_49k"): (r["count(1)"], r["sum(tokens)"]) for r in plain}
+
+
+def test_words_of_a_batch_are_merged_once():
+    """130 000 distinct words, read twice: the second time none is made again."""
+    t = tokens.WordTokenizer(tokens.tokenizer_path())
+    texts = [" ".join(f"w{k}" for k in range(a, a + 1000)) for a in range(0, 130_000, 1000)]
+    once, made = t.encode(texts), t.words.make
+    t.words.make = lambda w: again.append(w) or made(w)
+    again = []
+    assert t.encode(texts) == once and not again
