@@ -244,9 +244,14 @@ def _candidates(threshold: float, what: str):
     return run
 
 
-def region_pairs(regions: DataFrame, classes: DataFrame, threshold: float, what: str, parts: int) -> DataFrame:
-    """a, b from ``regions(region, id[, comp])``."""
-    rows = regions.select("region", "id", *(["comp"] if what == "across" else [])).join(classes.select("id", "sig"), "id")
+def by_document(regions: DataFrame) -> DataFrame:
+    """id, regions of ``regions(region, id)``: one row a document, with two regions a tree at most. Joins on id keep to that."""
+    return materialise(regions.groupBy("id").agg(F.collect_list("region").alias("regions")), "regions-by-document")
+
+
+def region_pairs(own: DataFrame, classes: DataFrame, threshold: float, what: str, parts: int) -> DataFrame:
+    """a, b from ``own(id, regions[, comp])``, one row a document."""
+    rows = own.join(classes.select("id", "sig"), "id").select(F.explode("regions").alias("region"), "id", "sig", *(["comp"] if what == "across" else []))
     return rows.repartition(parts, "region").sortWithinPartitions("region").mapInPandas(_candidates(threshold, what), "a long, b long")
 
 
@@ -303,8 +308,8 @@ def crowded_pairs(crowded: DataFrame, comps: DataFrame, signed: DataFrame, thres
     """a, b: candidates of ``crowded(run, id)`` that ``comps(id, comp)`` doesn't hold together, block by block."""
     rows, loose = loose_runs(crowded, comps)
     rows = materialise(rows.join(loose.select("run", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb")), "run"), "loose-runs")
-    runs = rows.groupBy("id").agg(F.collect_set("run").alias("runs"))  # one a tree at most
-    rows = rows.join(runs, "id").join(signed.select("id", "sig"), "id")
+    own = rows.groupBy("id").agg(F.first("comp").alias("comp"), F.collect_set(F.struct("run", "nb")).alias("own"))  # one a tree at most
+    rows = own.join(signed.select("id", "sig"), "id").select("id", "comp", "sig", F.col("own.run").alias("runs"), F.explode("own").alias("o")).select("id", "comp", "sig", "runs", "o.run", "o.nb")
     rows = rows.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     rows = rows.select("run", F.least("blk", "_o").alias("bi"), F.greatest("blk", "_o").alias("bj"), "blk", "id", "comp", "sig", "runs")
     rows = rows.repartition(parts, "run", "bi", "bj").sortWithinPartitions("run", "bi", "bj")
@@ -357,7 +362,8 @@ def set_links(docs: DataFrame, classes: DataFrame, percent: int, width: int) ->
     threshold, parts = percent / 100, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shared = max([1, *(d for d in range(1, 5) if (1 - threshold**d) ** TREES <= MISS)])
     regions = forest_regions(sorted_orders(classes, TREES, DEPTH), DEPTH, shared)
-    comps = _comps(region_pairs(regions, classes, threshold, "forest", parts))
+    regions_of_each = by_document(regions)
+    comps = _comps(region_pairs(regions_of_each, classes, threshold, "forest", parts))
     crowded = materialise(regions.where("crowded").select("run", "id").distinct(), "crowded-runs")
     comps = comps.unionByName(crowded.select("id").distinct().join(comps, "id", "left_anti").select("id", F.col("id").alias("comp")))
     sizes = comps.groupBy("comp").agg(F.count("*").alias("m"))
@@ -368,7 +374,7 @@ def set_links(docs: DataFrame, classes: DataFrame, percent: int, width: int) ->
     large, tried = full.where("not small").select("id", "shingles"), None
     if not large.isEmpty():
         # Each document of a large component meets its likeliest neighbours first, then only those that this left apart.
-        own = regions.join(large.select("id"), "id")
+        own = regions_of_each.join(large.select("id"), "id")
         tried = new_pairs(region_pairs(own, classes, threshold, "best", parts))
         first = linked_pairs(tried, large, percent)
         own = own.join(_comps(first), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
@@ -380,17 +386,18 @@ def set_links(docs: DataFrame, classes: DataFrame, percent: int, width: int) ->
     rows, loose = loose_runs(crowded, linked)
     apart = materialise(rows.join(loose, "run").select("id").distinct(), "crowded-documents")
     if apart.isEmpty():
-        discard(full, regions)
+        discard(full, regions, regions_of_each)
         return links
     trees = math.ceil(math.log(MISS) / math.log(1 - threshold**DEEP_SHARED))
     deep = materialise(full.join(apart, "id").select("id", "shingles").mapInArrow(_deep_signatures(trees), "id long, sig binary"), "deep-signatures")
     seen = forest_regions(sorted_orders(deep, trees, DEEP), DEEP, DEEP_SHARED)
-    own = seen.join(linked, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    seen_of_each = by_document(seen)
+    own = seen_of_each.join(linked, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     others = new_pairs(region_pairs(own, deep, threshold, "across", parts), tried)
     links, tried = links.unionByName(linked_pairs(others, full, percent)), others if tried is None else tried.unionByName(others)
     pairs = crowded_pairs(seen.where("crowded").select("run", "id"), _comps(links), deep, threshold, parts)
     links = links.unionByName(linked_pairs(new_pairs(pairs, tried), full, percent))
-    discard(full, regions, seen, deep)
+    discard(full, regions, regions_of_each, seen, seen_of_each, deep)
     return links
 
 

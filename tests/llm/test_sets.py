@@ -361,3 +361,13 @@ def test_line_dedup_returns_the_callers_columns(spark):
     got = line_dedup.dedup_lines(rows).collect()
     assert {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in got} == {1: ("one fish\ntwo fish", 2, 0), 2: ("red fish", 2, 1), 3: (None, 0, 0)}
     assert all(r[n] == "clash" for r in got for n in names[:-1])
+
+
+def test_region_joins_have_one_row_a_document(spark, monkeypatch):
+    """A document that lies in a region of each tree enters joins on id once, not once a region."""
+    rows = [(k, " ".join(f"w{(k % 3) * 1000 + j}" for j in range(80)) + f" x{k}", "en", "a", 1) for k in range(30)]
+    seen, whole = [], minhash_dedup.region_pairs
+    monkeypatch.setattr(minhash_dedup, "region_pairs", lambda own, *a: seen.append((own.count(), own.select("id").distinct().count())) or whole(own, *a))
+    got = minhash_dedup.near_documents(docs(spark, rows))
+    assert {(r.doc_id, r.component_id) for r in got.collect()} == {(k, k % 3) for k in range(30)}
+    assert seen and all(n == ids for n, ids in seen)
