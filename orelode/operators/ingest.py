@@ -218,8 +218,11 @@ def top_attributes(df: DataFrame, attrs: str = "num_attrs", k: int = 20) -> Data
 
 def igrf_subtract(df: DataFrame, threshold: float = 5000.0) -> DataFrame:
     """m less igrf, if any row has igrf and the median of |m| is over ``threshold``; else m as it is."""
-    median = kth_values(df.select(F.abs("m").alias("v")), "v", [0.5], linear=True)[0]
-    if median is None or median <= threshold or df.where("igrf is not null").isEmpty():
+    v, over = F.abs(F.col("m").cast("double")), F.abs(F.col("m").cast("double")) > threshold
+    # How many values lie over the threshold tells on which side of it the median is; only with one half on each side do the values next to it count.
+    n, k, lo, hi = df.agg(F.count(v), F.count_if(over), F.max(F.when(~over, v)), F.min(F.when(over, v))).first()
+    high = 2 * k > n or (0 < n == 2 * k and not 0.5 * lo + 0.5 * hi <= threshold)
+    if not high or df.where("igrf is not null").isEmpty():
         return df
     return df.withColumn("m", F.when(F.col("igrf").isNotNull(), F.col("m") - F.col("igrf")).otherwise(F.col("m")))
 

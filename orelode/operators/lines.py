@@ -7,13 +7,16 @@ A null line is a line like any other.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scans import beside, in_runs, running_max, running_sum
+from .scans import PLACE, beside, in_runs, running_max, running_sum, with_carry
 from .selection import keyed, selected
 from .shared import materialise
 
+#: Gradients of a line that a task puts in order as one array; longer lines go through radix selection.
+WHOLE = 50_000
+
 
 def along_track_distance(df: DataFrame, line: str = "line", order: list[str] | None = None) -> DataFrame:
     """``df`` with along_m, the distance flown since the line's first row; a step from or to a row without coordinates counts 0."""
@@ -37,15 +40,63 @@ def _middle(df: DataFrame, column: str, line: str, name: str) -> DataFrame:
     return selected(keyed(df, column, [line]), [0.5], linear=True).select(F.col("g").alias("_line"), F.col("value").alias(name))
 
 
+def _half(a: str) -> Column:
+    """The median of a sorted array that isn't empty."""
+    at = lambda i: F.get(a, F.expr(f"int({i})"))
+    return F.when(F.size(a) % 2 == 1, at(f"size({a}) div 2")).otherwise(0.5 * at(f"size({a}) div 2 - 1") + 0.5 * at(f"size({a}) div 2"))
+
+
+def _spikeless(d: DataFrame, line: str, sigma: float) -> DataFrame:
+    """Rows of ``d(..., _grad)`` that ``despike`` keeps; one pass finds median and MAD of every line unless one is very long."""
+    d = d.withColumn("_line", F.struct(line))
+    if (d.groupBy("_line").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) <= WHOLE:
+        a = d.where("_grad is not null").groupBy("_line").agg(F.sort_array(F.collect_list("_grad")).alias("a")).withColumn("_med", _half("a"))
+        a = a.select("_line", "_med", F.sort_array(F.transform("a", lambda g: F.abs(g - F.col("_med")))).alias("a"))
+        told = a.select("_line", "_med", _half("a").alias("_mad"))
+    else:
+        med = materialise(_middle(d, "_grad", line, "_med"), "medians")
+        dev = d.join(med, "_line").select(line, F.abs(F.col("_grad") - F.col("_med")).alias("_dev"))
+        told = med.join(_middle(dev, "_dev", line, "_mad"), "_line", "left")
+    # Written, so that its size is known and a small one isn't joined by a shuffle of all rows.
+    told = materialise(told, "spread-of-lines")
+    most = F.abs("_med") + sigma * 1.4826 * F.greatest("_mad", F.lit(1e-9))
+    return d.join(told, "_line", "left").where(F.col("_grad").isNull() | (F.abs("_grad") <= most))
+
+
 def despike(df: DataFrame, line: str = "line", sigma: float = 6.0, order: list[str] | None = None) -> DataFrame:
     """Rows whose gradient to the row before is at most |median| + sigma * 1.4826 * MAD of their line's gradients."""
     d = beside(in_runs(df, [line], ["along_m", *(order or [])]), ["m", "along_m"], "_b")
     g = (F.col("m") - F.col("_b.m")) / F.greatest(F.col("along_m") - F.col("_b.along_m"), F.lit(1e-6))
-    d = materialise(d.withColumn("_grad", g).withColumn("_line", F.struct(line)).select(*df.columns, "_grad", "_line"), "gradients")
-    dev = d.join(_middle(d, "_grad", line, "_med"), "_line", "left")
-    mad = _middle(dev.select(line, F.abs(F.col("_grad") - F.col("_med")).alias("_dev")), "_dev", line, "_mad")
-    most = F.abs("_med") + sigma * 1.4826 * F.greatest("_mad", F.lit(1e-9))
-    return dev.join(mad, "_line", "left").where(F.col("_grad").isNull() | (F.abs("_grad") <= most)).select(*df.columns)
+    d = materialise(d.withColumn("_grad", g).select(*df.columns, "_grad"), "gradients")
+    return _spikeless(d, line, sigma).select(*df.columns)
+
+
+def clean_lines(df: DataFrame, sigma: float = 6.0, line: str = "line", arrival: str = "fid", ts: str = "ts") -> DataFrame:
+    """``order_violation_filter``, then ``along_track_distance``, then ``despike``: rows that are in runs, with along_m.
+
+    One shuffle by run serves all three. What goes from run to run is added row
+    by row afterwards: a run's first and last rows tell how far the line had
+    come before it.
+    """
+    w = Window.partitionBy("_g", "_run").orderBy("_at")
+    d = running_max(in_runs(df, [line], [arrival]), ts, "_m").where(F.col(ts).isNull() | F.col("_m").isNull() | (F.col(ts) >= F.col("_m")))
+    d = d.withColumn("_b", F.lag(F.struct("x", "y", "m")).over(w)).withColumn("_last", F.lead("_at").over(w).isNull())
+    gone = lambda x, y, b: F.coalesce(F.hypot(x - b["x"], y - b["y"]).cast("double"), F.lit(0.0))
+    d = d.withColumn("_in", F.sum(gone(F.col("x"), F.col("y"), F.col("_b"))).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_in_b", F.lag("_in").over(w))
+    own = [*df.columns, *(c for c in PLACE if c not in df.columns)]
+    d = materialise(d.select(*own, "_in", "_in_b", F.col("_b.m").alias("_m_b"), "_last"), "in-order")
+    ends = d.where("_in_b is null").select("_g", "_run", "x", "y").join(d.where("_last").select("_g", "_run", F.struct("x", "y", "m", "_in").alias("_end")), ["_g", "_run"])
+    g = Window.partitionBy("_g").orderBy("_run")
+    ends = ends.withColumn("_b", F.lag("_end").over(g)).withColumn("_come", F.coalesce(F.col("_b._in"), F.lit(0.0)) + gone(F.col("x"), F.col("y"), F.col("_b")))
+    ends = ends.withColumn("_base", F.sum("_come").over(g.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = ends.withColumn("_base_b", F.lag("_base").over(g) + F.col("_b._in")).where("_b is not null")
+    carry = materialise(ends.select("_g", "_run", "_base", "_base_b", F.col("_b.m").alias("_end_m")), "carry")
+    d = with_carry(d, carry)
+    base, first = F.coalesce("_base", F.lit(0.0)), F.col("_in_b").isNull()
+    d = d.withColumn("along_m", F.col("_in") + base)
+    before, m = F.when(first, F.col("_base_b")).otherwise(F.col("_in_b") + base), F.when(first, F.col("_end_m")).otherwise(F.col("_m_b"))
+    d = d.withColumn("_grad", (F.col("m") - m) / F.greatest(F.col("along_m") - before, F.lit(1e-6)))
+    return _spikeless(d, line, sigma).select(*own, "along_m")
 
 
 def smooth_by_distance(df: DataFrame, window_m: float, line: str = "line") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .grids import bilinear_sample, interpolate_grid, magnetic_derivatives, make_grid, relax_grid, stencil
 from .ingest import igrf_subtract, magnetic_row_filter
-from .lines import along_track_distance, decimate, despike, magnetic_report, order_violation_filter, resample_by_distance, smooth_by_distance
+from .lines import clean_lines, decimate, magnetic_report, resample_by_distance, smooth_by_distance
 from .scans import PLACE, in_runs
 from .selection import kth_values
 from .shared import materialise
@@ -25,10 +25,8 @@ def magnetic_model(rows: DataFrame, resolution: float = 25.0, max_cells: int = 2
         F.coalesce(has("line").cast("string"), F.lit("LINE_000")).alias("line"), "fid", has("ts").alias("ts"), "x", "y",
         F.coalesce(has("radar"), has("gps_alt"), F.lit(0.0)).cast("double").alias("z"), F.coalesce(has("tmf"), has("mag_lev")).cast("double").alias("m"), has("igrf").cast("double").alias("igrf"),
     )
-    # One sort by line and fid for all steps; each is written, as the next reads it more than once.
-    p = order_violation_filter(in_runs(igrf_subtract(p), ["line"], ["fid"]))
-    p = materialise(along_track_distance(materialise(p, "in-order")), "along")
-    p = smooth_by_distance(despike(p, sigma=sigma), smooth)
+    # Written first, as the median and the sample for the sort read all rows too; then one sort and one pass for the line's steps.
+    p = smooth_by_distance(clean_lines(igrf_subtract(materialise(p, "line-rows")), sigma), smooth)
     if spacing > 0:
         p = in_runs(resample_by_distance(materialise(p, "smooth"), spacing).drop(*PLACE), ["line"], ["along_m", "fid"])
     p = materialise(decimate(p, pct).withColumn("pid", F.col("_at")).drop(*PLACE), "magnetic-points")
@@ -43,8 +41,9 @@ def magnetic_model(rows: DataFrame, resolution: float = 25.0, max_cells: int = 2
     g = materialise(g, "magnetic-grid")
     if relax:
         g = materialise(g.drop("v").join(relax_grid(g), ["ix", "iy"]), "magnetic-grid")
+    # From the written grid, whose size is known, so that a small one doesn't have all points shuffled.
+    points = bilinear_sample(p, g, spec, outside="clamp", name="m_grid")
     g = g.join(magnetic_derivatives(g, res), ["ix", "iy"])
-    points = bilinear_sample(p, g.select("ix", "iy", "v"), spec, outside="clamp", name="m_grid")
     box = rows.sparkSession.createDataFrame([(nx, ny, spec["xmin"], spec["xmax"], spec["ymin"], spec["ymax"], res)], "nx int, ny int, xmin double, xmax double, ymin double, ymax double, resolution double")
     return {"points": points, "grid": g, "report": magnetic_report(rows, p), "spec": box}
 

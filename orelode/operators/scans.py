@@ -5,6 +5,8 @@ place by one range shuffle, so a long group lies in several runs (a run is the
 part of a group within one range). Windows then work within a run, and what a
 run hands to the next one (its last row, its sum, its maximum) comes from a
 table with one small row a run, where the runs of a group are put in order.
+Only the first group of a range can have a run before, so what is handed on is
+at most one row a range, whatever the groups, and is broadcast.
 """
 
 from __future__ import annotations
@@ -32,6 +34,11 @@ def in_runs(df: DataFrame, by: list[str], order: list[str | Column]) -> DataFram
     return materialise(rows.withColumn("_g", F.struct(*by)).withColumn("_run", F.shiftright("_at", 33)), "runs")
 
 
+def with_carry(rows: DataFrame, carry: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``carry(_g, _run, ...)``, a row for each run that another run precedes (or follows): at most one a range."""
+    return rows.join(F.broadcast(carry), _RUN, "left")
+
+
 def beside(rows: DataFrame, columns: list[str], name: str, step: int = -1) -> DataFrame:
     """``rows`` with ``name``, a struct of ``columns`` in the row before (or after, with step 1) in the group; null where there is none."""
     shift, edge = (F.lag, F.max_by) if step < 0 else (F.lead, F.min_by)
@@ -39,7 +46,7 @@ def beside(rows: DataFrame, columns: list[str], name: str, step: int = -1) -> Da
     edges = rows.groupBy(*_RUN).agg(edge(one, "_at").alias("_edge"))
     edges = edges.select(*_RUN, shift("_edge").over(Window.partitionBy("_g").orderBy("_run")).alias("_edge"))
     inner = rows.withColumn(name, shift(one).over(Window.partitionBy(*_RUN).orderBy("_at")))
-    return inner.join(edges, _RUN).withColumn(name, F.coalesce(name, "_edge")).drop("_edge")
+    return with_carry(inner, edges.where("_edge is not null")).withColumn(name, F.coalesce(name, "_edge")).drop("_edge")
 
 
 def running_sum(rows: DataFrame, value: Column, name: str) -> DataFrame:
@@ -47,15 +54,15 @@ def running_sum(rows: DataFrame, value: Column, name: str) -> DataFrame:
     rows = rows.withColumn(name, F.coalesce(value, F.lit(0)))
     totals = rows.groupBy(*_RUN).agg(F.sum(name).alias("_carry"))
     before = Window.partitionBy("_g").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*_RUN, F.coalesce(F.sum("_carry").over(before), F.lit(0)).alias("_carry"))
+    totals = totals.select(*_RUN, F.sum("_carry").over(before).alias("_carry")).where("_carry is not null")
     inner = rows.withColumn(name, F.sum(name).over(Window.partitionBy(*_RUN).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)))
-    return inner.join(totals, _RUN).withColumn(name, F.col(name) + F.col("_carry")).drop("_carry")
+    return with_carry(inner, totals).withColumn(name, F.col(name) + F.coalesce("_carry", F.lit(0))).drop("_carry")
 
 
 def running_max(rows: DataFrame, value: str, name: str) -> DataFrame:
     """``rows`` with the largest ``value`` of the group's rows before this one; null where there is none."""
     tops = rows.groupBy(*_RUN).agg(F.max(value).alias("_carry"))
     before = Window.partitionBy("_g").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    tops = tops.select(*_RUN, F.max("_carry").over(before).alias("_carry"))
+    tops = tops.select(*_RUN, F.max("_carry").over(before).alias("_carry")).where("_carry is not null")
     inner = rows.withColumn(name, F.max(value).over(Window.partitionBy(*_RUN).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)))
-    return inner.join(tops, _RUN).withColumn(name, F.greatest(name, "_carry")).drop("_carry")
+    return with_carry(inner, tops).withColumn(name, F.greatest(name, "_carry")).drop("_carry")

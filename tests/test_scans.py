@@ -6,7 +6,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from orelode.operators import lines, scans
+from orelode.operators import ingest, lines, scans
 
 
 @pytest.fixture()
@@ -98,3 +98,45 @@ def test_scans_of_empty_and_single_rows(spark):
         assert [r.along_m for r in a.collect()] == [0.0] * n
         for done in (lines.order_violation_filter(rows), lines.despike(a), lines.decimate(a, 10.0), lines.smooth_by_distance(a, 5.0), lines.resample_by_distance(a, 5.0)):
             assert done.count() == n
+
+
+@pytest.mark.parametrize("whole", [0, lines.WHOLE])
+def test_lines_are_cleaned_in_one_pass(spark, cut, monkeypatch, whole):
+    monkeypatch.setattr(lines, "WHOLE", whole)
+    d = _rows()
+    d = d.astype(object)
+    for column, every in (("ts", 211), ("x", 173), ("m", 97)):
+        d.loc[::every, column] = None
+    runs = _laid(spark, d)
+    want = lines.despike(lines.along_track_distance(lines.order_violation_filter(runs)), sigma=3.0)
+    written = []
+    monkeypatch.setattr(lines, "materialise", lambda df, name, own=lines.materialise: written.append(name) or own(df, name))
+    got = lines.clean_lines(runs, 3.0)
+    assert written.count("in-order") == 1 and "gradients" not in written
+    assert got.columns == want.columns
+    rows = lambda t: sorted((r.line or "", r.fid, r.m, round(r.along_m, 6)) for r in t.collect())
+    assert rows(got) == rows(want) and 0 < len(rows(got)) < len(d)
+    assert got.select("_run").distinct().count() > 2
+
+
+def test_what_runs_hand_on_is_at_most_one_row_a_range(spark, cut, monkeypatch):
+    seen = []
+    monkeypatch.setattr(scans, "with_carry", lambda rows, carry, own=scans.with_carry: seen.append(carry.count()) or own(rows, carry))
+    d = _rows()
+    d["line"] = [f"{k // 3:05d}" for k in range(len(d))]  # many lines
+    runs = _laid(spark, d)
+    ranges = runs.select("_run").distinct().count()
+    lines.order_violation_filter(runs), lines.along_track_distance(runs)
+    assert len(seen) == 3 and max(seen) < ranges < 10
+
+
+@pytest.mark.parametrize("values", [[1.0, -3.0], [3.0, -9.0], [1.0, -2.0, 9.0], [None, 9.0, 1.0], [None], [9.0, float("nan")], [1.0, float("nan")], [5.0, 5.0]])
+def test_igrf_goes_if_the_median_is_over_the_threshold(spark, monkeypatch, values):
+    monkeypatch.setattr(ingest, "kth_values", None)  # which side the median lies on takes one aggregate
+    rows = spark.createDataFrame([(k, v, 0.5) for k, v in enumerate(values)], "fid long, m double, igrf double")
+    known = sorted((abs(v) for v in values if v is not None), key=lambda v: (v != v, v))
+    n = len(known)
+    median = (known[(n - 1) // 2] + known[n // 2]) / 2 if n else 0.0
+    high = median > 5.0 or median != median
+    got = [r.m for r in ingest.igrf_subtract(rows, 5.0).orderBy("fid").collect()]
+    assert repr(got) == repr([None if v is None else v - 0.5 if high else v for v in values])
