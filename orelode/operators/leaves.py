@@ -38,6 +38,7 @@ class Splits:
         self.dim, self.cut, self.kids, self.leaf = [-1], [0.0], [(0, 0)], [0]
         self.leaves = 1
         self.box: np.ndarray | None = None
+        self._flat: tuple[np.ndarray, ...] | None = None  # the lists as arrays; nodes only come in pairs, so the length tells if they are old
 
     def divide(self, leaf: int, rows: np.ndarray, count: float, most: float, whole: np.ndarray) -> None:
         """Cut a leaf by medians of its sample until its parts should hold at most ``most`` of ``count`` points."""
@@ -77,18 +78,16 @@ class Splits:
         return k, float(cut if cut > values[0] else values[np.searchsorted(values, cut, "right")])
 
     def of(self, rows: np.ndarray) -> np.ndarray:
-        """The leaf that each row lies in."""
-        out, todo = np.zeros(len(rows), np.int32), [(0, np.arange(len(rows)))]
-        while todo:
-            node, own = todo.pop()
-            if not len(own):
-                continue
-            if self.dim[node] < 0:
-                out[own] = self.leaf[node]
-                continue
-            left = rows[own, self.dim[node]] < self.cut[node]
-            todo += [(self.kids[node][0], own[left]), (self.kids[node][1], own[~left])]
-        return out
+        """The leaf that each row lies in: all rows go down a level at once, so a batch costs the tree's depth, not its nodes."""
+        if self._flat is None or len(self._flat[0]) != len(self.dim):
+            self._flat = np.array(self.dim, np.int32), np.array(self.cut, float), np.array(self.kids, np.int32), np.array(self.leaf, np.int32)
+        dim, cut, kids, leaf = self._flat
+        node, own = np.zeros(len(rows), np.int32), np.arange(len(rows))
+        while len(own := own[dim[node[own]] >= 0]):
+            at = node[own]
+            right = ~(rows[own, dim[at]] < cut[at])
+            node[own] = kids[at, right.astype(np.int32)]
+        return leaf[node]
 
     def bound(self, boxes: dict[int, np.ndarray], dims: int) -> None:
         """Each node's box (least and largest coordinates) from its leaves'; a leaf without points is nowhere."""

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orelode.operators import blocks, neighbours, pairs
+from orelode.operators import blocks, leaves, neighbours, pairs
 
 POINT = "pid long, x double, y double, z double, v double"
 
@@ -142,3 +142,35 @@ def test_equal_distances_go_by_pid_though_their_squares_differ():
     d2 = np.array([[2.0000000000000004, 2.0, 5.0]])
     assert np.sqrt(d2[0, 0]) == np.sqrt(d2[0, 1])
     assert leaves.smallest(d2, np.array([np.inf]), 1)[1].tolist() == [0]
+
+
+def test_rows_go_down_the_tree_by_level(monkeypatch):
+    r = np.random.default_rng(3)
+    seen = np.concatenate([r.normal(0, 1, (4000, 2)), np.full((500, 2), 0.25)])
+    tree = leaves.Splits()
+    tree.divide(0, seen, len(seen), 4, np.array([seen.min(0), seen.max(0)]))
+    assert tree.leaves > 500
+
+    def down(row):
+        node = 0
+        while tree.dim[node] >= 0:
+            node = tree.kids[node][0 if row[tree.dim[node]] < tree.cut[node] else 1]
+        return tree.leaf[node]
+
+    rows = np.concatenate([seen[::10], r.normal(0, 3, (200, 2)), [[np.nan, 0.0], [np.inf, -np.inf]]])
+    want = [down(row) for row in rows]
+
+    class Counted(list):
+        read = 0
+
+        def __getitem__(self, k):
+            Counted.read += 1
+            return super().__getitem__(k)
+
+    tree.dim = Counted(tree.dim)
+    assert tree.of(rows).tolist() == want
+    assert Counted.read < 50  # not one step a node
+    assert tree.of(rows[:0]).tolist() == []
+    big = tree.leaf.index(want[0])  # cut again: the arrays are made anew
+    tree.divide(want[0], seen[:40], 40, 4, np.array([seen.min(0), seen.max(0)]))
+    assert tree.dim[big] >= 0 and tree.of(rows).tolist() == [down(row) for row in rows]
