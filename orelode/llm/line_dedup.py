@@ -46,11 +46,19 @@ from .common import WORD, discard, materialise, read_table
 PERCENT = 80
 #: Words that occur more often than this have their lists dealt over several tasks.
 LIST_ROWS = 100_000
+#: Words that occur in more lines than this first lead to their earliest line only.
+SHORT_LIST = 200
+#: Lines of at most this many words have 64 bits of parity, longer ones 128.
+FEW_WORDS = 64
+#: Holds the distinct hashes of a file, so that a hash is stored as an index of two to three bytes.
+DICTIONARY = {"parquet.dictionary.page.size": str(8 << 20)}
 #: Levels of rarity, and slots of the table that holds them: 16 of four bits to a long.
 LEVELS, LONGS = 16, 1 << 14
 SLOTS = LONGS * 16
 #: Larger n and positions are not told apart in the index; such pairs are left to verification.
 MOST = (1 << 16) - 1
+#: The bit of an index row's m that says that its line still looks for a match.
+OPEN = 1 << 15
 
 
 def _spaced(line: Column) -> Column:
@@ -71,27 +79,29 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text_key", F.posexplode(F.split(F.lower("text"), "\n")).alias("line", "low"))
 
 
-def _keys() -> list[Column]:
-    return [F.xxhash64("low").alias("k1"), F.xxhash64(F.lit(1), F.col("low")).alias("k2")]
+def line_words(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, line, k1, k2, words (hashes of the distinct words) of every line: texts are split once, here."""
+    keys = [F.xxhash64("low").alias("k1"), F.xxhash64(F.lit(1), F.col("low")).alias("k2")]
+    rows = lines_of(docs).select("doc_id", "text_key", "line", *keys, word_hashes(F.col("low")).alias("words"))
+    return materialise(rows, "line-hashes", DICTIONARY)
 
 
-def rarity_levels(docs: DataFrame) -> tuple[list[int], list[int]]:
-    """The table of levels, LONGS longs with the levels of 16 slots each; and the largest count of each level.
+def rarity_levels(lines: DataFrame) -> tuple[list[int], list[int]]:
+    """The levels (-8 to 7) of all slots, and the largest count of each level.
 
-    Exact counts by word first (with map-side partials), then the largest of
-    each slot; at most LONGS numbers come to the driver.
+    Exact counts of lines by word first (with map-side partials), then the
+    largest of each slot; at most LONGS numbers, of 16 slots each, come to the driver.
     """
-    words = lines_of(docs).select(F.explode(F.split(_spaced(F.col("low")), " ")).alias("w")).where("w <> ''")
-    counts = words.groupBy(F.xxhash64("w").alias("w")).agg(F.count("*").alias("n"))
+    counts = lines.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     slots = materialise(counts.groupBy(F.col("w").bitwiseAND(SLOTS - 1).alias("s")).agg(F.max("n").alias("n")), "word-slots")
     step = math.log((slots.agg(F.max("n")).first()[0] or 1) + 1) / (LEVELS - 0.001)
     # Half of the levels are stored as negative numbers, so that codes sort by level.
     level = F.pmod(F.floor(F.log("n") / step).cast("long") + LEVELS // 2, F.lit(LEVELS)).alias("v")
     packed = slots.select(F.expr(f"int(s & {LONGS - 1})").alias("i"), F.expr(f"int(4 * (s div {LONGS}))").alias("by"), level)
     got = packed.groupBy("i").agg(F.bit_or(F.expr("shiftleft(v, `by`)")).alias("v")).toPandas()
-    table = [0] * LONGS
+    table = [0] * SLOTS
     for i, v in zip(got["i"].tolist(), got["v"].tolist(), strict=True):
-        table[i] = v
+        table[i::LONGS] = [((v >> 4 * k & 15) ^ 8) - 8 for k in range(16)]
     discard(slots)
     return table, [math.ceil(math.exp((k + 1) * step)) for k in range(LEVELS)]
 
@@ -101,22 +111,23 @@ def word_codes(hashes: Column, levels: list[int]) -> Column:
     table = F.from_json(F.lit(str(levels)), "array<bigint>")
 
     def code(h: Column) -> Column:
-        of_slot = F.call_function("shiftrightunsigned", F.get(table, h.bitwiseAND(LONGS - 1).cast("int")), F.shiftright(h, LONGS.bit_length() - 3).bitwiseAND(60).cast("int"))
-        return F.shiftleft(of_slot, 60) + F.shiftrightunsigned(h, 4)
+        return F.shiftleft(F.get(table, h.bitwiseAND(SLOTS - 1).cast("int")), 60).bitwiseOR(F.shiftrightunsigned(h, 4))
 
     return F.sort_array(F.transform(hashes, code))
 
 
 def _parity(half: int) -> Column:
-    """64 of the 128 parity bits: those of codes whose 7th lowest bit is ``half``."""
-    return F.expr(f"aggregate(codes, 0L, (a, c) -> if((c & 64) = {64 * half}, a ^ shiftleft(1L, int(c & 63)), a))")
+    """64 of the 128 parity bits: those of codes whose 7th lowest bit is ``half``. A short line has both halves, one upon the other, in the first."""
+    own = f"aggregate(codes, 0L, (a, c) -> if((c & 64) = {64 * half}, a ^ shiftleft(1L, int(c & 63)), a))"
+    both = "0L" if half else "aggregate(codes, 0L, (a, c) -> a ^ shiftleft(1L, int(c & 63)))"
+    return F.expr(f"if(size(codes) <= {FEW_WORDS}, {both}, {own})")
 
 
-def line_classes(docs: DataFrame, levels: list[int], percent: int) -> DataFrame:
+def line_classes(lines: DataFrame, levels: list[int], percent: int) -> DataFrame:
     """doc_id, text_key, line (the first place), k1, k2, n, b0, b1, prefix: one row per distinct line with a word."""
     # explode keeps the codes from being computed once for each use of them.
-    codes = F.explode(F.array(word_codes(word_hashes(F.col("low")), levels))).alias("codes")
-    sets = lines_of(docs).select("doc_id", "text_key", "line", *_keys(), codes).where("size(codes) > 0")
+    codes = F.explode(F.array(word_codes(F.col("words"), levels))).alias("codes")
+    sets = lines.where("size(words) > 0").select("doc_id", "text_key", "line", "k1", "k2", codes)
     n = F.size("codes")
     prefix = F.slice("codes", F.lit(1), F.expr(f"size(codes) - int((size(codes) * {percent}L + 99) div 100) + 1"))
     slim = sets.select(F.struct("doc_id", "text_key", "line").alias("at"), "k1", "k2", F.struct(n.alias("n"), _parity(0).alias("b0"), _parity(1).alias("b1"), prefix.alias("prefix")).alias("own"))
@@ -125,48 +136,59 @@ def line_classes(docs: DataFrame, levels: list[int], percent: int) -> DataFrame:
 
 
 def prefix_index(classes: DataFrame) -> DataFrame:
-    """A row for each word of each class's prefix; m holds n and the word's place in the prefix.
+    """A row for each word of each class's prefix: word, doc_id, text_key, m, b0, b1.
+
+    m holds, from its upper half down, the line, n (16 bits), whether the class
+    is open (1) and the word's place in the prefix (15). Of one text's rows
+    with a word, m is in order of lines.
 
     No word is null; saying so makes the sides of a join on it the same plan,
     which is shuffled once.
     """
-    kept = [c for c in classes.columns if c in ("doc_id", "text_key", "line", "n", "b0", "b1", "open")]
-    rows = classes.select(*kept, F.posexplode("prefix").alias("pos", "word"))
-    packed = F.expr(f"shiftleft(least(n, {MOST}), 16) | least(pos, {MOST})").alias("m")
-    return rows.select("word", *(c for c in kept if c != "n"), packed).where("word is not null")
+    is_open = F.expr(f"if(open, {OPEN}L, 0L)") if "open" in classes.columns else F.lit(0).cast("long")
+    rows = classes.select("doc_id", "text_key", F.expr(f"shiftleft(bigint(line), 32) | shiftleft(bigint(least(n, {MOST})), 16)").bitwiseOR(is_open).alias("own"), "b0", "b1", F.posexplode("prefix").alias("pos", "word"))
+    return rows.select("word", "doc_id", "text_key", F.expr(f"own | least(pos, {OPEN - 1})").alias("m"), "b0", "b1").where("word is not null")
+
 
+def _n(side: str) -> str:
+    return f"(shiftright({side}.m, 16) & {MOST})"
 
-_DIFFER = "(bit_count(a.b0 ^ b.b0) + bit_count(a.b1 ^ b.b1))"
+
+#: With a short line, the other's halves are laid upon each other too.
+_SHORT = f"({_n('a')} <= {FEW_WORDS} or {_n('b')} <= {FEW_WORDS})"
+_DIFFER = f"if({_SHORT}, bit_count(a.b0 ^ b.b0 ^ a.b1 ^ b.b1), bit_count(a.b0 ^ b.b0) + bit_count(a.b1 ^ b.b1))"
 
 
 def _maybe(percent: int) -> str:
     """b is earlier than a, and no filter rules out that they are similar."""
-    na, nb, pa, pb = "shiftrightunsigned(a.m, 16)", "shiftrightunsigned(b.m, 16)", f"(a.m & {MOST})", f"(b.m & {MOST})"
-    return f"""(b.doc_id < a.doc_id or (b.doc_id = a.doc_id and (b.text_key < a.text_key or (b.text_key = a.text_key and b.line < a.line))))
+    na, nb, pa, pb = _n("a"), _n("b"), f"(a.m & {OPEN - 1})", f"(b.m & {OPEN - 1})"
+    return f"""(b.doc_id < a.doc_id or (b.doc_id = a.doc_id and (b.text_key < a.text_key or (b.text_key = a.text_key and b.m < a.m))))
         and ({na} = {MOST} or {nb} = {MOST}
           or (100 * least({na}, {nb}) >= {percent} * greatest({na}, {nb})
             and {100 + percent} * least({na} - {pa}, {nb} - {pb}) >= {percent} * ({na} + {nb})
             and {100 + percent} * {_DIFFER} <= {100 - percent} * ({na} + {nb})))"""
 
 
-_PAIR = "a.doc_id as d1, a.text_key as t1, a.line as l1, b.doc_id as d2, b.text_key as t2, b.line as l2"
+_FIRST, _SECOND = ([f"{s}.doc_id as d{k}", f"{s}.text_key as t{k}", f"int(shiftright({s}.m, 32)) as l{k}"] for k, s in ((1, "a"), (2, "b")))
 
 
 def earliest_partners(classes: DataFrame, percent: int, counts: list[int]) -> DataFrame:
-    """d1, t1, l1, d2, t2, l2: each class with the likeliest of the earliest classes that its words lead to.
+    """d1, t1, l1, d2, t2, l2: each class with the likeliest of the earliest classes that its common words lead to.
 
     One partner a word at most, so a group of copies gives as many rows as it
     has members. A word's rows stream by in order of place: only the first of
-    them is held. ``counts``: the most occurrences of a word of each level.
+    them is held. ``counts``: the most lines with a word of each level. Words
+    of at most ``SHORT_LIST`` lines are left to ``other_partners``, where a
+    line meets no more than that many by such a word.
     """
     shares = F.array(*(F.lit(max(1, n // LIST_ROWS)) for n in counts))
     level = F.pmod(F.shiftright("word", 60).cast("int") + LEVELS // 2, F.lit(LEVELS))
-    index = prefix_index(classes).withColumn("salt", F.pmod(F.xxhash64("doc_id", "line"), F.get(shares, level)).cast("int"))
-    upto = Window.partitionBy("word", "salt").orderBy("doc_id", "text_key", "line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    own = F.struct("doc_id", "text_key", "line", "b0", "b1", "m")
+    common = F.get(F.array(*(F.lit(n > SHORT_LIST) for n in counts)), level)
+    index = prefix_index(classes).where(common).withColumn("salt", F.pmod(F.xxhash64("doc_id", F.shiftright("m", 32)), F.get(shares, level)).cast("int"))
+    upto = Window.partitionBy("word", "salt").orderBy("doc_id", "text_key", "m").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = F.struct("doc_id", "text_key", "m", "b0", "b1")
     met = index.select(own.alias("a"), F.first(own).over(upto).alias("b")).where(F.expr(_maybe(percent)))
-    best = met.groupBy(F.col("a.doc_id").alias("d1"), F.col("a.text_key").alias("t1"), F.col("a.line").alias("l1"))
-    best = best.agg(F.min(F.expr(f"struct({_DIFFER} as x, b.doc_id as d2, b.text_key as t2, b.line as l2)")).alias("m"))
+    best = met.selectExpr(*_FIRST, f"struct({_DIFFER} as x, {', '.join(_SECOND)}) as m").groupBy("d1", "t1", "l1").agg(F.min("m").alias("m"))
     return materialise(best.select("d1", "t1", "l1", "m.d2", "m.t2", "m.l2"), "line-partners")
 
 
@@ -174,29 +196,30 @@ def other_partners(classes: DataFrame, settled: DataFrame, percent: int) -> Data
     """d1, t1, l1, d2, t2, l2: every class that isn't settled with every earlier class that may be similar.
 
     Both sides are the same rows, so they are shuffled once; that a side is
-    open is asked in the join (and of both sides, or it would be asked before
-    the shuffle and make two of it).
+    open is asked in the join (and with the other side's m, which is never
+    negative, or it would be asked before the shuffle and make two of it).
     """
     done = settled.select(F.col("d1").alias("doc_id"), F.col("t1").alias("text_key"), F.col("l1").alias("line"), F.lit(True).alias("_done"))
     marked = classes.drop("k1", "k2").join(done, ["doc_id", "text_key", "line"], "left").withColumn("open", F.col("_done").isNull()).drop("_done")
     index = prefix_index(marked)
-    pairs = index.alias("a").join(index.alias("b"), F.expr(f"a.word = b.word and (a.open or (b.m < 0 and b.open)) and {_maybe(percent)}"))
-    return materialise(pairs.selectExpr(*_PAIR.split(", ")).distinct(), "line-pairs")
+    pairs = index.alias("a").join(index.alias("b"), F.expr(f"a.word = b.word and ((a.m & {OPEN}) > 0 or b.m < 0) and {_maybe(percent)}"))
+    return materialise(pairs.selectExpr(*_FIRST, *_SECOND).distinct(), "line-pairs")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """d1, t1, l1 of pairs whose sets of words are similar, read from the texts of ``docs(doc_id, text_key, text)``."""
     ends = F.explode(F.array(F.struct(F.col("d1").alias("doc_id"), F.col("t1").alias("text_key"), F.col("l1").alias("line")), F.struct(F.col("d2").alias("doc_id"), F.col("t2").alias("text_key"), F.col("l2").alias("line"))))
     wanted = pairs.select(ends.alias("e")).groupBy("e.doc_id", "e.text_key").agg(F.collect_set("e.line").alias("lines"))  # lines of one text
-    # Never broadcast, so that the plan is the same at every size.
-    texts = docs.hint("merge").join(wanted, ["doc_id", "text_key"]).select("doc_id", "text_key", "lines", F.split(F.lower("text"), "\n").alias("_all"))
+    # Never broadcast, so that the plan is the same at every size; texts aren't sorted, line numbers are what is held.
+    texts = docs.join(wanted.hint("shuffle_hash"), ["doc_id", "text_key"]).select("doc_id", "text_key", "lines", F.split(F.lower("text"), "\n").alias("_all"))
     sets = texts.select("doc_id", "text_key", F.explode("lines").alias("line"), "_all").select("doc_id", "text_key", "line", F.get("_all", F.col("line")).alias("low"))
     words = F.array_remove(F.array_distinct(F.split(_spaced(F.col("low")), " ")), "")
     sets = materialise(sets.select("doc_id", "text_key", "line", words.alias("words")), "line-words")
     one = sets.toDF("d1", "t1", "l1", "c1")
     two = sets.toDF("d2", "t2", "l2", "c2")
-    both = pairs.join(one, ["d1", "t1", "l1"]).join(two, ["d2", "t2", "l2"]).withColumn("o", F.size(F.array_intersect("c1", "c2")))
-    hit = both.where(f"100L * o >= {percent}L * (size(c1) + size(c2) - o)").select("d1", "t1", "l1").distinct()
+    both = pairs.join(one, ["d1", "t1", "l1"]).join(two, ["d2", "t2", "l2"])
+    # The common words o stand here once, so that they are counted once: 100 o >= percent (n1 + n2 - o).
+    hit = both.where(f"{100 + percent}L * size(array_intersect(c1, c2)) >= {percent}L * (size(c1) + size(c2))").select("d1", "t1", "l1").distinct()
     hit = materialise(hit, "line-hits")
     discard(sets, pairs)
     return hit
@@ -209,16 +232,19 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def lines_to_remove(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_key, gone (array of line numbers) of texts with lines that go."""
     docs = _keyed(docs)
-    levels, counts = rarity_levels(docs)
-    classes = line_classes(docs, levels, percent)
-    hits = verified(earliest_partners(classes, percent, counts), docs, percent)
-    more = verified(other_partners(classes, hits, percent), docs, percent)
+    lines = line_words(docs)
+    levels, counts = rarity_levels(lines)
+    classes = line_classes(lines, levels, percent)
     # Later members of a class; lines without a word have none.
     places = classes.select("k1", "k2", F.col("doc_id").alias("d0"), F.col("text_key").alias("t0"), F.col("line").alias("l0"))
-    again = lines_of(docs).select("doc_id", "text_key", "line", *_keys()).join(places, ["k1", "k2"]).where("doc_id <> d0 or text_key <> t0 or line <> l0")
-    gone = hits.unionByName(more).toDF("doc_id", "text_key", "line").unionByName(again.select("doc_id", "text_key", "line"))
+    again = lines.select("doc_id", "text_key", "line", "k1", "k2").join(places, ["k1", "k2"]).where("doc_id <> d0 or text_key <> t0 or line <> l0")
+    again = materialise(again.select("doc_id", "text_key", "line"), "lines-again")
+    discard(lines)
+    hits = verified(earliest_partners(classes, percent, counts), docs, percent)
+    more = verified(other_partners(classes, hits, percent), docs, percent)
+    gone = hits.unionByName(more).toDF("doc_id", "text_key", "line").unionByName(again)
     gone = materialise(gone.groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("gone")), "lines-gone")
-    discard(classes, hits, more)
+    discard(classes, again, hits, more)
     return gone
 
 
@@ -232,7 +258,7 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     names = own.columns
     own = own.toDF(*(c if c in ("doc_id", "text") else f"carried_{k}" for k, c in enumerate(names)))
     gone = lines_to_remove(docs, percent).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("gone").alias("_gone"))
-    out = own.hint("merge").join(gone, (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left")
+    out = own.join(gone.hint("shuffle_hash"), (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left")
     every = F.split("text", "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(every) - 1), "_gone")
     clean = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform("_stay", lambda i: F.get("_all", i)), "\n"))

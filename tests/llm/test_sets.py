@@ -260,6 +260,29 @@ def test_hot_words_and_groups_of_line_copies(spark, monkeypatch):
     assert left == {0, *range(1000, 1200)}
 
 
+def test_lines_are_split_once_and_only_common_words_meet_first(spark, monkeypatch):
+    rows = [(k, " ".join(f"w{j}" for j in range(30) if j != k), "en", "a", 1) for k in range(20)]
+    lines = line_dedup.line_words(line_dedup._keyed(docs(spark, rows)))
+    levels, counts = line_dedup.rarity_levels(lines)
+    classes = line_dedup.line_classes(lines, levels, 80)
+    first = lambda: {x.d1: x.d2 for x in line_dedup.earliest_partners(classes, 80, counts).collect()}
+    # No word is in more than SHORT_LIST lines: all pairs are left to the join.
+    found = first()
+    assert found == {}
+    nothing = spark.createDataFrame([], "d1 long, t1 long, l1 int")
+    assert {(x.d1, x.d2) for x in line_dedup.other_partners(classes, nothing, 80).collect()} == {(a, b) for a in range(20) for b in range(a)}
+    monkeypatch.setattr(line_dedup, "SHORT_LIST", 10)
+    found = first()
+    assert set(found) == set(range(1, 20)) and all(b < a for a, b in found.items())
+
+
+def test_parity_of_short_and_long_lines_rules_out_no_similar_pair(spark):
+    """Lines on either side of 64 words: one with both halves of its parity laid upon each other, one with two halves."""
+    rows = [(k, " ".join([*(f"w{k // 2}x{j}" for j in range(60 + k % 2 * (3 + k // 2 % 12)))]), "en", "a", 1) for k in range(0, 60)]
+    got = {x.doc_id for x in line_dedup.dedup_lines(docs(spark, rows)).where("n_removed = 1").collect()}
+    assert got == {k for k in range(60) if k % 2}
+
+
 def test_mix_laws(spark):
     data = [(k, t, "en", None if k % 7 == 0 else f"s{k % 3}", 1) for k, t in enumerate(prose(300, 8, length=(0, 60)))]
     d = clash(docs(spark, data), "size", "target", "copies")
