@@ -13,12 +13,12 @@ least ``percent`` / 100 with it. Lines without a word stay and match nothing.
    others of it go. Only the prefix of a class's words travels.
 3. Prefix filter: similar sets share a word among their first
    n - ceil(percent * n / 100) + 1. Length, positional and parity filters are
-   join conditions, so pairs that fail are never rows. Parity: 128 bits, each
-   the parity of how many words fall on it; each bit in which two lines differ
+   join conditions, so pairs that fail are never rows. Parity: 128 bits (64 for
+   lines of at most ``FEW_WORDS`` words), each the parity of how many words fall on it; each bit in which two lines differ
    is a word that only one has.
 4. Pairs left are verified on the words themselves, read from the texts again.
    A line needs one earlier match only: each first meets the earliest line of
-   each of its words, so groups of copies cost no more than their members; only
+   each of its words of over ``SHORT_LIST`` lines, so large groups of copies cost no more than their members; only
    lines that this doesn't settle meet all their other partners. A word's level
    tells how long its list may be: lists of over ``LIST_ROWS`` lines are dealt
    over several tasks, each with an earliest line of its own.
