@@ -89,10 +89,10 @@ def idw_surface(points: DataFrame, resolution: float = 25.0, max_cells: int = 65
     return make_grid(points.sparkSession, spec).join(v, ["ix", "iy"], "left").select("ix", "iy", "x", "y", "v"), spec
 
 
-def interpolate_grid(cells: DataFrame, points: DataFrame, method: str = "idw", power: float = 2.0, radius: float = 0.0, min_points: int = 3, max_points: int = 32, hit_d: float = 1e-6) -> DataFrame:
-    """``cells(ix, iy, x, y)`` with v from the nearest of ``points(pid, x, y, v)``."""
+def interpolate_grid(cells: DataFrame, points: DataFrame, method: str = "idw", power: float = 2.0, radius: float = 0.0, min_points: int = 3, max_points: int = 32, hit_d: float = 1e-6, squares: bool = False) -> DataFrame:
+    """``cells(ix, iy, x, y)`` with v from the nearest of ``points(pid, x, y, v)``, ties as in ``knn``."""
     left = cells.withColumn("id", F.col("iy").cast("long") * 1_000_000 + F.col("ix"))
-    got = interpolate(knn(left, points, max_points, radius), method, power, min_points, hit_d)
+    got = interpolate(knn(left, points, max_points, radius, squares=squares), method, power, min_points, hit_d)
     return left.join(got, "id", "left").select("ix", "iy", "x", "y", "v")
 
 
@@ -157,7 +157,8 @@ def terrain_from_raster(raster: DataFrame, raster_spec: dict, points: DataFrame,
     """(grid, spec) over the raster's extent, sampled from it.
 
     Under a quarter of the nodes known: an IDW surface of the points instead.
-    Else unknown nodes are filled by IDW of known ones. With at least
+    Else unknown nodes are filled by IDW of known ones, the nearest by squared
+    distance (on a grid many are as far, up to the last bits). With at least
     ``min_points`` points on it the grid is then fitted to them.
     """
     spark = raster.sparkSession
@@ -169,7 +170,7 @@ def terrain_from_raster(raster: DataFrame, raster_spec: dict, points: DataFrame,
         return idw_surface(points, resolution, max_cells)
     if known < total:
         pid = F.col("iy").cast("long") * 1_000_000 + F.col("ix")
-        filled = interpolate_grid(g.where("v is null").select("ix", "iy", "x", "y"), g.where("v is not null").select(pid.alias("pid"), "x", "y", "v"), min_points=1, max_points=12)
+        filled = interpolate_grid(g.where("v is null").select("ix", "iy", "x", "y"), g.where("v is not null").select(pid.alias("pid"), "x", "y", "v"), min_points=1, max_points=12, squares=True)
         g = g.where("v is not null").unionByName(filled)
     if fit != "none" and terrain_control_match(points, g, spec).limit(min_points).count() >= min_points:
         g, _, _ = terrain_adjust(g, spec, points, fit, at="node")

@@ -152,8 +152,8 @@ def partition(points: DataFrame, dims: tuple[str, ...], leaf_rows: int = LEAF, s
             splits.divide(leaf, parts.get(leaf, np.zeros((0, len(dims)))), n, leaf_rows / 2, boxes[leaf])
 
 
-def smallest(d2: np.ndarray, reach: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, column and distance of each row's k smallest within its reach; equal distances in order of columns."""
+def smallest(d2: np.ndarray, reach: np.ndarray, k: int, squares: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and distance (its square, if ``squares``) of each row's k smallest within its reach; equal ones in order of columns."""
     if d2.shape[1] > k:
         least = np.partition(d2, k - 1, axis=1)[:, k - 1]
         i, j = np.nonzero(d2 <= least[:, None] * (1 + 1e-15))  # squares that differ in their last bits have one root
@@ -161,15 +161,15 @@ def smallest(d2: np.ndarray, reach: np.ndarray, k: int) -> tuple[np.ndarray, np.
         i, j = np.nonzero(np.isfinite(d2))
     d = np.sqrt(d2[i, j])
     near = np.isfinite(d) & (d <= reach[i])
-    i, j, d = i[near], j[near], d[near]
+    i, j, d = i[near], j[near], (d2[i, j] if squares else d)[near]
     order = np.lexsort((j, d, i))
     i, j, d = i[order], j[order], d[order]
     place = np.arange(len(i)) - np.searchsorted(i, i)
     return i[place < k], j[place < k], d[place < k]
 
 
-def _meet(queries: DataFrame, leaves: DataFrame, dims: tuple[str, ...], k: int, exclude_self: bool, schema: str) -> DataFrame:
-    """id, pid, d, v: the k nearest points of ``queries(id, dims, reach, leaf)`` in that leaf, equal distances by pid."""
+def _meet(queries: DataFrame, leaves: DataFrame, dims: tuple[str, ...], k: int, exclude_self: bool, schema: str, squares: bool = False) -> DataFrame:
+    """id, pid, d (its square, if ``squares``), v: the k nearest points of ``queries(id, dims, reach, leaf)`` in that leaf, equal d by pid."""
     # Nothing is shuffled by leaf alone: of few leaves one can hold most rows. The counts are a row a leaf (bounded by MOST_LEAVES).
     parts = F.broadcast(queries.groupBy("leaf").agg(F.ceil(F.count("*") / QUERIES).alias("_n")))
     packed = queries.join(parts, "leaf").groupBy("leaf", F.pmod(F.xxhash64("id", *dims), F.col("_n")).alias("_part")).agg(F.collect_list(F.struct("id", *dims, "reach")).alias("q"))
@@ -192,14 +192,15 @@ def _meet(queries: DataFrame, leaves: DataFrame, dims: tuple[str, ...], k: int,
                     if exclude_self:
                         at = np.flatnonzero(own[lo : lo + step] >= 0)
                         d2[at, own[lo : lo + step][at]] = np.inf
-                    i, j, d = smallest(d2, reach[lo : lo + step], k)
+                    i, j, d = smallest(d2, reach[lo : lo + step], k, squares)
                     yield pa.RecordBatch.from_arrays([q.field("id").take(pa.array(lo + i)), p.field("pid").take(pa.array(j)), pa.array(d), p.field("v").take(pa.array(j))], names=["id", "pid", "d", "v"])
 
     return both.mapInArrow(run, schema)
 
 
-def nearest(left: DataFrame, points: DataFrame, k: int, radius: float, dims: tuple[str, ...], exclude_self: bool = False, leaf_rows: int = LEAF, sample: int = SAMPLE) -> DataFrame:
-    """id, pid, rank, d, v: the k nearest of ``points(pid, dims, v)`` to each row of ``left(id, dims)``; ids are unique, equal distances go by pid."""
+def nearest(left: DataFrame, points: DataFrame, k: int, radius: float, dims: tuple[str, ...], exclude_self: bool = False, leaf_rows: int = LEAF, sample: int = SAMPLE, squares: bool = False) -> DataFrame:
+    """id, pid, rank, d, v: the k nearest of ``points(pid, dims, v)`` to each row of ``left(id, dims)``; ids are unique, equal distances (their squares, if ``squares``) go by pid."""
+    root = F.sqrt if squares else F.col  # d is a square until the end
     known = lambda df, key: df.where(" and ".join(f"`{d}` is not null and not isnan(`{d}`)" for d in dims)).select(key, *(F.col(d).cast("double").alias(d) for d in dims), *(["v"] if key == "pid" else []))
     place = Window.partitionBy(*dims).orderBy("pid")
     first = known(points, "pid").withColumn("_r", F.row_number().over(place)).where(F.col("_r") <= k + 1).drop("_r")
@@ -212,13 +213,13 @@ def nearest(left: DataFrame, points: DataFrame, k: int, radius: float, dims: tup
     limit = float(radius) if radius > 0 else float("inf")
     w = Window.partitionBy("id").orderBy("d", "pid")
     queries = materialise(with_leaf(known(left, "id"), splits, dims).withColumn("reach", F.lit(limit)), "queries")
-    best = materialise(_meet(queries, leaves, dims, k, exclude_self, found), "nearest")
+    best = materialise(_meet(queries, leaves, dims, k, exclude_self, found, squares), "nearest")
     todo, at_once = queries.select("id", *dims, F.col("leaf").alias("own"), F.lit(-1.0).alias("last_d"), F.lit(-1).alias("last_leaf")), AT_ONCE
     names = ["id", *dims, "own", "reach", "leaf", "last_d", "last_leaf", "more"]
     schema = f"id {kinds[0]}, {', '.join(f'`{d}` double' for d in dims)}, own int, reach double, leaf int, last_d double, last_leaf int, more boolean"
     while True:
         far = best.groupBy("id").agg(F.count("*").alias("_n"), F.max("d").alias("_d"))
-        rows = todo.join(far, "id", "left").withColumn("reach", F.when(F.col("_n") >= k, F.col("_d")).otherwise(F.lit(limit))).select("id", *dims, "own", "reach", "last_d", "last_leaf")
+        rows = todo.join(far, "id", "left").withColumn("reach", F.when(F.col("_n") >= k, root("_d")).otherwise(F.lit(limit))).select("id", *dims, "own", "reach", "last_d", "last_leaf")
 
         def send(batches, at_once=at_once):
             for b in batches:
@@ -239,8 +240,8 @@ def nearest(left: DataFrame, points: DataFrame, k: int, radius: float, dims: tup
 
         sent = materialise(rows.mapInArrow(send, schema), "touched")
         if sent.isEmpty():
-            return best.withColumn("rank", F.row_number().over(w)).select("id", "pid", "rank", "d", "v")
-        got = best.unionByName(_meet(sent.select("id", *dims, "reach", "leaf"), leaves, dims, k, exclude_self, found))
+            return best.withColumn("rank", F.row_number().over(w)).select("id", "pid", "rank", root("d").alias("d"), "v")
+        got = best.unionByName(_meet(sent.select("id", *dims, "reach", "leaf"), leaves, dims, k, exclude_self, found, squares))
         best = materialise(got.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r"), "nearest")
         todo = sent.where("more").groupBy("id").agg(*(F.first(c).alias(c) for c in (*dims, "own", "last_d", "last_leaf")))
         at_once *= 4

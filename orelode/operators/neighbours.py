@@ -24,7 +24,7 @@ TASK_PAIRS = 200_000_000
 _OUT = "id {kind}, pid {pkind}, rank int, d double, v double"
 
 
-def _broadcast_search(left: DataFrame, points: DataFrame, k: int, radius: float, dims: tuple[str, ...], exclude_self: bool) -> DataFrame:
+def _broadcast_search(left: DataFrame, points: DataFrame, k: int, radius: float, dims: tuple[str, ...], exclude_self: bool, squares: bool) -> DataFrame:
     rows = points.select("pid", *dims, "v").orderBy("pid").collect()  # at most BROADCAST_ROWS
     kinds = {"kind": left.schema["id"].dataType.simpleString(), "pkind": points.schema["pid"].dataType.simpleString()}
     told = left.sparkSession.sparkContext.broadcast((np.array([r["pid"] for r in rows]), np.array([[r[d] for d in dims] for r in rows], float).reshape(-1, len(dims)), np.array([r["v"] for r in rows], float)))
@@ -43,9 +43,9 @@ def _broadcast_search(left: DataFrame, points: DataFrame, k: int, radius: float,
                 d2[np.isnan(d2)] = np.inf
                 if exclude_self:
                     d2[ids[:, None] == pid[None, :]] = np.inf
-                i, j, d = smallest(d2, np.full(len(ids), limit), k)
+                i, j, d = smallest(d2, np.full(len(ids), limit), k, squares)
                 rank = np.arange(len(i)) - np.searchsorted(i, i) + 1
-                yield pd.DataFrame({"id": ids[i], "pid": pid[j], "rank": rank.astype(np.int32), "d": d, "v": v[j]})
+                yield pd.DataFrame({"id": ids[i], "pid": pid[j], "rank": rank.astype(np.int32), "d": np.sqrt(d) if squares else d, "v": v[j]})
 
     # A small file is one task, whatever is searched for its rows.
     own = left.select("id", *dims)
@@ -53,12 +53,16 @@ def _broadcast_search(left: DataFrame, points: DataFrame, k: int, radius: float,
     return (own.repartition(tasks, "id") if tasks > 1 else own).mapInPandas(run, _OUT.format(**kinds))
 
 
-def knn(left: DataFrame, points: DataFrame, k: int, radius: float = 0.0, dims: tuple[str, ...] = ("x", "y"), exclude_self: bool = False, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """id, pid, rank, d, v: the k nearest ``points(pid, dims, v)`` of each ``left(id, dims)``; ties by pid."""
+def knn(left: DataFrame, points: DataFrame, k: int, radius: float = 0.0, dims: tuple[str, ...] = ("x", "y"), exclude_self: bool = False, broadcast_rows: int = BROADCAST_ROWS, squares: bool = False) -> DataFrame:
+    """id, pid, rank, d, v: the k nearest ``points(pid, dims, v)`` of each ``left(id, dims)``; ties by pid.
+
+    Distances tie if they are equal; with ``squares`` only if their squares
+    are, of which several may round to one root.
+    """
     n = points.count()
     if n <= broadcast_rows:
-        return _broadcast_search(left, points, k, radius, dims, exclude_self)
-    return nearest(left, points, k, radius, dims, exclude_self)
+        return _broadcast_search(left, points, k, radius, dims, exclude_self, squares)
+    return nearest(left, points, k, radius, dims, exclude_self, squares=squares)
 
 
 def knn_2d(left: DataFrame, points: DataFrame, k: int = 32, radius: float = 0.0) -> DataFrame:

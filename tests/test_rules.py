@@ -86,6 +86,22 @@ def test_raster_is_at_cell_centres_and_clips_the_result(spark):
     assert {r.v for r in grids.raster_interpolate(same, 2, 3).collect()} == {2.0} and grids.raster_interpolate(same.where("v < 0"), 2, 3).where("v is null").count() == 6
 
 
+def test_terrain_fills_from_the_nearest_by_squared_distance(spark):
+    spec = {"nx": 20, "ny": 100, "xmin": 0.0, "xmax": 190.0, "ymin": 0.0, "ymax": 990.0}
+    raster = spark.createDataFrame([(i, j, None if (i + j) % 11 == 0 else float(i * 7 % 5 + j * j % 9)) for i in range(20) for j in range(100)], "ix int, iy int, v double")
+    got, own = grids.terrain_from_raster(raster, spec, None, 15.0, fit="none")
+    raw = [r for r in grids.bilinear_sample(grids.make_grid(spark, own), raster, spec).collect()]
+    known = sorted((r.iy, r.ix, r.x, r.y, r.v) for r in raw if r.v is not None)
+    kx, ky, kv = (np.array([k[c] for k in known]) for c in (2, 3, 4))
+    got = {(r.ix, r.iy): r.v for r in got.collect()}
+    assert len(got) == len(raw) > len(known)
+    for r in raw:
+        d2 = (r.x - kx) ** 2 + (r.y - ky) ** 2
+        near = np.argsort(d2, kind="stable")[:12]
+        want = (kv[near] / d2[near]).sum() / (1 / d2[near]).sum() if r.v is None else r.v
+        assert abs(got[r.ix, r.iy] - want) < 1e-9, (r.ix, r.iy)
+
+
 def test_terrain_classes(spark):
     spec = {"nx": 41, "ny": 2, "xmin": 0.0, "xmax": 400.0, "ymin": 0.0, "ymax": 10.0}
     grid = spark.createDataFrame([(i, j, 10.0 * i, 10.0 * j, None if (i, j) == (3, 1) else 1.0, i % 2 == 1) for i in range(41) for j in range(2)], "ix int, iy int, x double, y double, v double, f boolean")

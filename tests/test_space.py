@@ -144,6 +144,25 @@ def test_equal_distances_go_by_pid_though_their_squares_differ():
     assert leaves.smallest(d2, np.array([np.inf]), 1)[1].tolist() == [0]
 
 
+def test_squares_rank_what_has_one_root(spark):
+    """The places of a grid are often as far up to the last bits: by squares the smaller one comes first, whatever its pid, in both searches."""
+    at = [(j * 1000 + i, i / 13 * 190.0, j / 66 * 990.0, float(i - j)) for j in range(67) for i in range(14)]
+    points = [x for x in at if sum(divmod(x[0], 1000)) % 11]
+    left = [x[:3] for x in at if not sum(divmod(x[0], 1000)) % 11]
+    p = np.array(points)
+    want, other = set(), set()
+    for k, x, y in left:
+        d2 = (x - p[:, 1]) ** 2 + (y - p[:, 2]) ** 2
+        want |= {(k, int(p[j, 0]), r) for r, j in enumerate(np.lexsort((p[:, 0], d2))[:24], 1)}
+        other |= {(k, int(p[j, 0]), r) for r, j in enumerate(np.lexsort((p[:, 0], np.sqrt(d2)))[:24], 1)}
+    assert want != other
+    left, points = spark.createDataFrame(left, "id long, x double, y double").repartition(3), spark.createDataFrame(points, "pid long, x double, y double, v double").repartition(3)
+    for most in (50_000, 0):
+        got = neighbours.knn(left, points, 24, broadcast_rows=most, squares=True).collect()
+        assert {(x.id, x.pid, x["rank"]) for x in got} == want
+        assert max(x.d for x in got) < 120  # roots, not squares
+
+
 def test_rows_go_down_the_tree_by_level(monkeypatch):
     r = np.random.default_rng(3)
     seen = np.concatenate([r.normal(0, 1, (4000, 2)), np.full((500, 2), 0.25)])
